@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from bandframe.llm import sharding
+from bandframe.llm import linededup, mixing, sharding
 from bandframe.llm.store import documents
 
 
@@ -15,6 +15,44 @@ def op3_hilbert_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.hilbert_shards(docs, n_shards=16).withColumn("grown_shard", F.lit(None).cast("int"))
 
 
-QUERIES = {"op3_hilbert_shards": op3_hilbert_shards}
-
-ORACLE_SQL: dict[str, str] = {}
+def op5_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All documents without the lines that a document with a smaller id holds."""
+    kept = linededup.dedup_lines(documents(spark, sf_dir, "doc_id", "text"), least=10)
+    return kept.select("doc_id", "n_lines", "n_dropped", F.sha2("text", 256).alias("kept_sha256"))
+
+
+def op10_source_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Words that the mix takes of every document."""
+    docs = documents(spark, sf_dir, "doc_id", "text", "source")
+    return mixing.taken_words(*mixing.mix(docs, weights=(5, 2, 1), share=1.5, most=2.0, block=128, n_shards=16))
+
+
+QUERIES = {
+    "op3_hilbert_shards": op3_hilbert_shards,
+    "op5_line_dedup": op5_line_dedup,
+    "op10_source_mix": op10_source_mix,
+}
+
+LINE_DEDUP_SQL = r"""
+WITH cut AS (
+  SELECT doc_id, string_split(coalesce(text, ''), chr(10)) AS ls FROM documents
+), line AS (
+  SELECT doc_id, unnest(ls) AS line, unnest(range(len(ls))) AS i FROM cut
+), keyed AS (
+  SELECT doc_id, i, line,
+         translate(trim(line, ' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)),
+                   'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS k
+  FROM line
+), firsts AS (
+  SELECT k, min(doc_id) AS first_doc FROM keyed WHERE length(k) >= 10
+  GROUP BY k HAVING count(DISTINCT doc_id) > 1
+), marked AS (
+  SELECT keyed.doc_id, i, line, first_doc IS NOT NULL AND keyed.doc_id <> first_doc AS lost
+  FROM keyed LEFT JOIN firsts USING (k)
+)
+SELECT doc_id, count(*) AS n_lines, count(*) FILTER (WHERE lost) AS n_dropped,
+       sha256(coalesce(string_agg(line, chr(10) ORDER BY i) FILTER (WHERE NOT lost), '')) AS kept_sha256
+FROM marked GROUP BY doc_id
+"""
+
+ORACLE_SQL = {"op5_line_dedup": LINE_DEDUP_SQL}
