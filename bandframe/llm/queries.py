@@ -5,8 +5,28 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from bandframe.llm import linededup, mixing, neardup, sharding
-from bandframe.llm.store import documents
+from bandframe.llm import linededup, mixing, neardup, sharding, wavelet
+from bandframe.llm.store import documents, scratch
+
+
+#: Folder of public vocabulary files; by default that of the installed package.
+TOKENIZERS: str | None = None
+
+
+def tokenizer_path(name: str) -> str:
+    """Place of a vocabulary file."""
+    if TOKENIZERS:
+        return f"{TOKENIZERS}/{name}"
+    import public_tokenizers
+
+    return public_tokenizers.path(name)
+
+
+def op1_wavelet_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Token ids of all documents, written as wavelet matrices and read back."""
+    path = scratch(spark, "tokens")
+    wavelet.write_tokens(documents(spark, sf_dir, "doc_id", "text"), path, tokenizer=tokenizer_path("word_bpe_49k.json"), end_id=2)
+    return wavelet.token_documents(wavelet.open_tokens(spark, path))
 
 
 def op2_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -33,6 +53,7 @@ def op10_source_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {
+    "op1_wavelet_tokens": op1_wavelet_tokens,
     "op2_near_duplicates": op2_near_duplicates,
     "op3_hilbert_shards": op3_hilbert_shards,
     "op5_line_dedup": op5_line_dedup,
