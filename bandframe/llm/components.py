@@ -70,6 +70,8 @@ def link_buckets(members: DataFrame, verify: Callable[[DataFrame], DataFrame], m
         picked = rest.where("c <> largest").groupBy("bucket", lot.alias("lot")).agg(F.min(F.struct("node", "c")).alias("hub"))
         picked = cut(picked.select("bucket", F.col("hub.node").alias("hub"), F.col("hub.c").alias("hub_c")), "picked")
         pairs = rest.join(picked, "bucket").where("c <> hub_c").select(F.least("hub", "node").alias("u"), F.greatest("hub", "node").alias("v"))
-        links = cut(links.union(verify(pairs.distinct())).distinct(), "links")
-        found = cut(components(links), "components")
+        more = cut(verify(pairs.distinct()), "links")
+        if not more.isEmpty():
+            links = links.union(more)
+            found = cut(components(links), "components")
         open_ = cut(rest.join(picked.select("bucket", F.col("hub").alias("node")), ["bucket", "node"], "left_anti"), "open")
