@@ -197,7 +197,7 @@ def mix(
     covered = F.sequence(F.expr(f"at div {block}L"), F.expr(f"(at + size - 1) div {block}L"))
     parts = placed.where("size > 0").select("id", "size", "number", "at", F.explode(covered).alias("block"))
     lo, hi = F.greatest("at", F.col("block") * block), F.least(F.col("at") + F.col("size"), F.col("block") * block + F.col("taken"))
-    pieces = parts.join(slots, ["number", "block"]).where(hi > lo)
+    pieces = parts.join(slots.hint("merge"), ["number", "block"]).where(hi > lo)  # both grow with the data
     pieces = pieces.select("number", "at", "id", "size", "shard", "k", (lo - F.col("at")).alias("from_word"), (hi - lo).alias("words"))
     placed = placed.withColumnsRenamed({"id": id_col, "source": source_col})
     return placed, pieces.withColumnRenamed("id", id_col)
