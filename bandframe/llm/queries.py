@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from bandframe.llm import linededup, mixing, neardup, sharding, wavelet
+from bandframe.llm import langid, linededup, mixing, neardup, quality, sharding, wavelet
 from bandframe.llm.store import documents, scratch
 
 
@@ -40,12 +40,24 @@ def op3_hilbert_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.hilbert_shards(docs, n_shards=16).withColumn("grown_shard", F.lit(None).cast("int"))
 
 
+def op4_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The language of all documents, learned from those not held out."""
+    model = langid.fit(documents(spark, sf_dir, "doc_id", "text", "lang"))
+    found = langid.identify(documents(spark, sf_dir, "doc_id", "text"), model)
+    return found.select("doc_id", langid.held_out(F.col("doc_id")).alias("held_out"), "lang_pred", "score")
+
+
 def op5_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All documents without the lines that a document with a smaller id holds."""
     kept = linededup.dedup_lines(documents(spark, sf_dir, "doc_id", "text"), least=10)
     return kept.select("doc_id", "n_lines", "n_dropped", F.sha2("text", 256).alias("kept_sha256"))
 
 
+def op8_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Base statistics of all documents and the verdict of rules learned from ``labels``."""
+    return quality.judge(documents(spark, sf_dir, "doc_id", "text"), spark.read.parquet(f"{sf_dir}/labels.parquet"))
+
+
 def op10_source_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Words that the mix takes of every document."""
     docs = documents(spark, sf_dir, "doc_id", "text", "source")
@@ -56,7 +68,9 @@ QUERIES = {
     "op1_wavelet_tokens": op1_wavelet_tokens,
     "op2_near_duplicates": op2_near_duplicates,
     "op3_hilbert_shards": op3_hilbert_shards,
+    "op4_language_id": op4_language_id,
     "op5_line_dedup": op5_line_dedup,
+    "op8_quality_rules": op8_quality_rules,
     "op10_source_mix": op10_source_mix,
 }
 
