@@ -12,14 +12,14 @@ from bandframe.llm.store import cut
 
 WORD, SPACE = r"[^\x20\x09-\x0D]+", r"[\x20\x09-\x0D]"
 SYMBOLS = r"[#*$%&|<>]"
-BASE = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")
+BASE = ("n_words", "word_chars", "n_symbols", "n_upper", "n_dup_lines", "n_repeat_words")
 
 
 def base_statistics(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    r"""Per row: id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words.
+    r"""Per row: id, n_words, word_chars, n_symbols, n_upper, n_dup_lines, n_repeat_words.
 
     Words are ``[^\x20\x09-\x0D]+``. word_chars: code points in words. n_symbols: characters of
-    ``[#*$%&|<>]``. n_dup_lines: lines with a word that equal an earlier line of the text.
+    ``[#*$%&|<>]``. n_upper: characters A-Z. n_dup_lines: lines with a word that equal an earlier line of the text.
     n_repeat_words: words inside windows of three words that occur twice or more in the text.
 
     Windows are told by 64-bit hashes and sorted within the row, so nothing shuffles and a long text
@@ -32,16 +32,16 @@ def base_statistics(docs: DataFrame, *, id_col: str = "doc_id", text_col: str =
         "id", F.size("w").cast("bigint").alias("n_words"),
         (F.length("text") - F.regexp_count("text", F.lit(SPACE))).cast("bigint").alias("word_chars"),
         F.regexp_count("text", F.lit(SYMBOLS)).cast("bigint").alias("n_symbols"),
-        lines.alias("lines"), F.transform("w", lambda x: F.xxhash64(x)).alias("h"),
+        F.regexp_count("text", F.lit("[A-Z]")).cast("bigint").alias("n_upper"), lines.alias("lines"), F.transform("w", lambda x: F.xxhash64(x)).alias("h"),
     )
     window = lambda i: F.struct(F.xxhash64(F.get("h", i), F.get("h", i + 1), F.get("h", i + 2)).alias("g"), i.alias("i"))
     grams = F.when(F.size("h") > 2, F.array_sort(F.transform(F.sequence(F.lit(0), F.size("h") - 3), window)))
-    rows = rows.select("id", *BASE[:3], (F.size("lines") - F.size(F.array_distinct("lines"))).cast("bigint").alias("n_dup_lines"), grams.alias("s"))
+    rows = rows.select("id", *BASE[:4], (F.size("lines") - F.size(F.array_distinct("lines"))).cast("bigint").alias("n_dup_lines"), grams.alias("s"))
     same = lambda x, i: F.coalesce((i > 0) & (F.get("s", F.greatest(i - 1, F.lit(0)))["g"] == x["g"]), F.lit(False)) | F.coalesce(F.get("s", i + 1)["g"] == x["g"], F.lit(False))
-    rows = rows.select("id", *BASE[:4], F.array_sort(F.transform(F.filter("s", same), lambda x: x["i"])).alias("p"))
+    rows = rows.select("id", *BASE[:5], F.array_sort(F.transform(F.filter("s", same), lambda x: x["i"])).alias("p"))
     covered = F.transform("p", lambda x, i: F.least(F.lit(3), F.coalesce(F.get("p", i + 1) - x, F.lit(3))))
     return rows.select(
-        F.col("id").alias(id_col), *BASE[:4],
+        F.col("id").alias(id_col), *BASE[:5],
         F.coalesce(F.aggregate(covered, F.lit(0), lambda a, x: a + x), F.lit(0)).cast("bigint").alias("n_repeat_words"),
     )
 
@@ -56,7 +56,7 @@ def measures() -> dict[str, Column]:
     per = lambda c: F.col(c) / F.greatest(F.col("n_words"), F.lit(1))
     return {
         "words": F.col("n_words").cast("double"), "repeated_part": per("n_repeat_words"), "symbols_per_word": per("n_symbols"),
-        "chars_per_word": per("word_chars"), "dup_lines_per_word": per("n_dup_lines"),
+        "chars_per_word": per("word_chars"), "dup_lines_per_word": per("n_dup_lines"), "capitals_per_char": F.col("n_upper") / F.greatest(F.col("word_chars"), F.lit(1)),
     }
 
 
@@ -102,6 +102,8 @@ def learn_rules(
     A rule that isn't right for ``precision`` of the rows of each part that it covers, or covers
     fewer than ``support`` in all, ends the list. Covered rows leave before the next rule.
 
+    A threshold ends up in the middle of the gap between the values around it.
+
     Spark counts all labelled rows; the driver gets, for each condition grown, at most ``cuts``
     counts per measure. Thresholds are quantiles over the labelled rows. Rows without a label,
     labels other than 0 and 1, and labels of unknown ids take no part; repeated labels all count.
@@ -147,7 +149,10 @@ def learn_rules(
         p, n, p2, n2 = of(k)
         if p + p2 + n + n2 < support or p < precision * (p + n) or p2 < precision * (p2 + n2):
             break
-        rules.append(heads[k])
+        values = [measures()[c.measure] for c in heads[k]]
+        gaps = rows.agg(*(x for v, c in zip(values, heads[k]) for x in (F.max(F.when(v <= c.threshold, v)), F.min(F.when(v > c.threshold, v))))).first()
+        middle = lambda lo, hi, c: c.threshold if lo is None or hi is None else (lo + hi) / 2
+        rules.append(tuple(Condition(c.measure, c.above, middle(gaps[2 * i], gaps[2 * i + 1], c)) for i, c in enumerate(heads[k])))
         rows = rows.where(~holds(heads[k]))
     return rules
 
@@ -165,8 +170,9 @@ def verdict(rules: list[Rule]) -> Column:
 def judge(docs: DataFrame, labels: DataFrame, *, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Per row the base statistics, base_failed, and kept: whether neither the base nor a rule drops it.
 
-    The statistics of all rows are computed once and written; learning and judging read them.
+    The statistics of all rows are computed once and written; learning and judging read them. The
+    rules are learned from the labelled rows that the base passes.
     """
     stats = cut(base_statistics(docs, id_col=id_col, text_col=text_col), "statistics")
-    rules = learn_rules(stats, labels, id_col=id_col)
+    rules = learn_rules(stats.where(~base_failed()), labels, id_col=id_col)
     return stats.select("*", base_failed().alias("base_failed"), (~base_failed() & verdict(rules)).alias("kept"))
