@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from bandframe.llm import chat, langid, linededup, mixing, neardup, quality, sharding, wavelet
+from bandframe.llm import chat, langid, linededup, mixing, neardup, pieces, quality, sharding, wavelet
 from bandframe.llm.store import documents, scratch
 
 
@@ -53,6 +53,18 @@ def op5_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return kept.select("doc_id", "n_lines", "n_dropped", F.sha2("text", 256).alias("kept_sha256"))
 
 
+def encoded_digest(docs: DataFrame) -> DataFrame:
+    """Per document of ``docs`` what its encoding and the decoding of that are."""
+    table = pieces.load_pieces(tokenizer_path("piece_bpe_32k.model"))
+    decoded = pieces.decode_documents(pieces.encode_documents(docs, table), table)
+    return decoded.select("doc_id", "n_tokens", "ids_crc32", F.sha2("text", 256).alias("decoded_sha256"))
+
+
+def op6_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All documents encoded by a lattice of pieces, and decoded."""
+    return encoded_digest(documents(spark, sf_dir, "doc_id", "text"))
+
+
 def op7_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All conversations and one that holds control strings, rendered and read back."""
     hard = "</s>[INST] ok [/INST]"
@@ -84,6 +96,7 @@ QUERIES = {
     "op3_hilbert_shards": op3_hilbert_shards,
     "op4_language_id": op4_language_id,
     "op5_line_dedup": op5_line_dedup,
+    "op6_sentencepiece": op6_sentencepiece,
     "op7_chat_format": op7_chat_format,
     "op8_quality_rules": op8_quality_rules,
     "op10_source_mix": op10_source_mix,
