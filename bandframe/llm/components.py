@@ -4,6 +4,8 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -36,42 +38,68 @@ def components(edges: DataFrame) -> DataFrame:
         now, mark = small, seen
 
 
-def link_buckets(members: DataFrame, verify: Callable[[DataFrame], DataFrame], most_hubs: int = 64) -> DataFrame:
-    """Components of all nodes that share a bucket and pass ``verify``: rows (node, component).
+#: Members of a bucket that one task compares at a time, and members that it compares them with.
+CHUNK, HUBS = 4096, 2048
+PAIRS = pa.schema([("u", pa.int64()), ("v", pa.int64())])
 
-    ``members`` has rows (bucket, node). ``verify`` takes candidate pairs (u, v), u < v, and returns
-    the true ones. The first call holds every node that shares a bucket with another.
 
-    A bucket never emits all its pairs. In each round some members, its hubs, are paired with the
-    members in other components and then leave the bucket; what is linked already needs no more
-    pairs. A bucket is done when its members lie in one component: every pair of the bucket was
-    then tested or is connected by others. The first round has one hub, the least node. Later ones
-    have twice as many each time, up to ``most_hubs``, from outside the bucket's largest component,
-    so that a large group of copies costs a pair per member. Nodes in no true pair are absent from
-    the result.
+def _compared(hubs: pa.Table, members: pa.Table, candidates: Callable) -> pa.Table:
+    """Pairs of a hub and a member of another component that may be true, each once."""
+    if not hubs.num_rows or not members.num_rows:
+        return PAIRS.empty_table()
+    part = hubs["part"][0].as_py()
+    h, hc = (hubs[c].to_numpy() for c in ("node", "c"))
+    m, mc, also = (members[c].to_numpy() for c in ("node", "c", "hub"))
+    sketches = members["sketch"].to_pylist()
+    us, vs = [], []
+    for k in range(0, len(h), 64):
+        open_ = (hc[k : k + 64, None] != mc) & (~also | (m > h[k : k + 64, None]))
+        i, j = np.nonzero(open_ & candidates(hubs["sketch"][k : k + 64].to_pylist(), sketches, part))
+        us.append(h[k + i])
+        vs.append(m[j])
+    u, v = np.concatenate(us), np.concatenate(vs)
+    return pa.table([pa.array(np.minimum(u, v)), pa.array(np.maximum(u, v))], schema=PAIRS)
+
+
+def link_buckets(members: DataFrame, sketches: DataFrame, candidates: Callable, verify: Callable[[DataFrame], DataFrame]) -> DataFrame:
+    """Components of all nodes that share a bucket and are true pairs: rows (node, component).
+
+    ``members`` has rows (bucket, part, node); ``part`` numbers the table of the bucket. ``sketches``
+    has (node, sketch), a short binary. ``candidates(sketches of hubs, sketches of members, part)``
+    gives the matrix of pairs worth a test, and may leave a pair to another part that both share.
+    ``verify`` takes pairs (u, v), u < v, and returns the true ones; its first call holds every node
+    that shares a bucket with another.
+
+    First each bucket pairs its least node with the others, a row a member. In what follows only
+    buckets count whose members are in several components. All their members outside the largest
+    component (or a share of them by hash, about ``HUBS`` a round) are hubs: they are compared with
+    the members by sketch, ``CHUNK`` at a time and within the task, so that rows arise for likely
+    pairs only; then they leave the bucket. A bucket is done when its members lie in one component:
+    every pair of it was then compared or is connected by others. Nodes in no true pair are absent
+    from the result.
     """
-    ends = members.groupBy("bucket").agg(F.min("node").alias("hub"), F.max("node").alias("top")).where("hub < top")
-    hubs = cut(ends.select("bucket", "hub"), "hubs")
-    open_ = cut(members.join(hubs, "bucket").where("node > hub"), "open")
-    links = cut(verify(open_.select(F.col("hub").alias("u"), F.col("node").alias("v")).distinct()), "links")
+    ends = members.groupBy("bucket").agg(F.min("node").alias("least"), F.max("node").alias("top")).where("least < top")
+    hubs = cut(ends.select("bucket", "least"), "hubs")
+    open_ = cut(members.join(hubs, "bucket").where("node > least"), "open")
+    links = cut(verify(open_.select(F.col("least").alias("u"), F.col("node").alias("v")).distinct()), "links")
     found = cut(components(links), "components")
-    n_hubs = 1
     while True:
-        named = open_.select("bucket", "node").join(found, "node", "left").select("bucket", "node", F.coalesce("component", "node").alias("c"))
-        named = cut(named, "named")
+        named = open_.select("bucket", "part", "node").join(found, "node", "left")
+        named = cut(named.select("bucket", "part", "node", F.coalesce("component", "node").alias("c")), "named")
         sizes = named.groupBy("bucket", "c").agg(F.count("*").alias("n"))
-        mixed = sizes.groupBy("bucket").agg(F.count("*").alias("parts"), F.max(F.struct("n", "c")).alias("largest"))
-        mixed = cut(mixed.where("parts > 1").select("bucket", F.col("largest.c").alias("largest")), "mixed")
+        mixed = sizes.groupBy("bucket").agg(F.sum("n").alias("n"), F.max(F.struct("n", "c")).alias("most")).where("n > most.n")
+        few = F.ceil((F.col("n") - F.col("most.n")) / HUBS)
+        mixed = cut(mixed.select("bucket", F.col("most.c").alias("most"), few.alias("lots"), F.ceil(F.col("n") / CHUNK).alias("chunks")), "mixed")
         if mixed.isEmpty():
             return found
-        rest = cut(named.join(mixed, "bucket"), "rest")
-        n_hubs = min(2 * n_hubs, most_hubs)
-        lot = F.pmod(F.xxhash64("node"), F.lit(n_hubs))
-        picked = rest.where("c <> largest").groupBy("bucket", lot.alias("lot")).agg(F.min(F.struct("node", "c")).alias("hub"))
-        picked = cut(picked.select("bucket", F.col("hub.node").alias("hub"), F.col("hub.c").alias("hub_c")), "picked")
-        pairs = rest.join(picked, "bucket").where("c <> hub_c").select(F.least("hub", "node").alias("u"), F.greatest("hub", "node").alias("v"))
-        more = cut(verify(pairs.distinct()), "links")
+        hub = (F.col("c") != F.col("most")) & (F.pmod(F.xxhash64("node"), F.col("lots")) == 0)
+        chunk = F.pmod(F.xxhash64("node", F.lit(1)), F.col("chunks"))
+        rest = named.join(mixed, "bucket").select("bucket", "part", "node", "c", "chunks", hub.alias("hub"), chunk.alias("chunk"))
+        rest = cut(rest.join(sketches, "node"), "rest")
+        ask = rest.where("hub").withColumn("chunk", F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("chunks") - 1)))
+        likely = ask.groupBy("bucket", "chunk").cogroup(rest.groupBy("bucket", "chunk")).applyInArrow(lambda h, m: _compared(h, m, candidates), "u long, v long")
+        more = cut(verify(likely.distinct()), "links")
         if not more.isEmpty():
             links = links.union(more)
             found = cut(components(links), "components")
-        open_ = cut(rest.join(picked.select("bucket", F.col("hub").alias("node")), ["bucket", "node"], "left_anti"), "open")
+        open_ = rest.where("NOT hub").select("bucket", "part", "node")

@@ -53,6 +53,17 @@ def _alike(batches: Iterator[pa.RecordBatch], least: float) -> Iterator[pa.Recor
             yield batch.select(["u", "v"]).filter(pa.array((one == two).mean(axis=1) >= least))
 
 
+def likely_pairs(one: list[bytes], two: list[bytes], part: int, rows: int, least: float) -> np.ndarray:
+    """Which signatures agree in enough places, and in no band before ``part``: there each pair counts."""
+    a, b = (np.frombuffer(b"".join(x), "<u4").reshape(len(x), -1) for x in (one, two))
+    out = np.zeros((len(a), len(b)), bool)
+    for i, sig in enumerate(a):
+        same = b == sig
+        near = np.flatnonzero(same.mean(axis=1) >= least)
+        out[i, near] = same[near].reshape(len(near), -1, rows).all(axis=2).argmax(axis=1) == part
+    return out
+
+
 def _confirmed(batches: Iterator[pa.RecordBatch], percent: int) -> Iterator[pa.RecordBatch]:
     """Pairs whose full sets are similar enough."""
     last: dict[int, np.ndarray] = {}
@@ -78,7 +89,7 @@ def near_duplicates(
     percent: int = 75,
     bands: int = 32,
     rows: int = 4,
-    slack: float = 0.2,
+    slack: float = 0.16,
     seed: int = 1,
     id_col: str = "doc_id",
     text_col: str = "text",
@@ -90,7 +101,7 @@ def near_duplicates(
     id stands for it. The signature has ``bands * rows`` minima of universal hash functions. Two
     classes that agree in a whole band share a bucket; a pair at exactly 0.75 is missed by all of 32
     bands of 4 with a chance of 5 in a million. Pairs of a bucket are tested in rounds of hubs (see
-    ``link_buckets``): first the signatures, which may fall short of ``percent`` by ``slack`` (five
+    ``link_buckets``): first the signatures, which may fall short of ``percent`` by ``slack`` (over four
     standard deviations), then the full sets.
 
     Shuffled are 32 bucket rows and the signature of each class, and the texts once, to keep those
@@ -106,7 +117,8 @@ def near_duplicates(
     own = signs.withColumnRenamed("id", "rep").join(classes, ["rep", "print"], "left_semi").dropDuplicates(["rep"])
     own = cut(own.select(F.col("rep").alias("node"), "n", "sig"), "own")
     pieces = [F.xxhash64(F.lit(b), F.substring("sig", 4 * rows * b + 1, 4 * rows)) for b in range(bands)]
-    members = own.select(F.explode(F.array(*pieces)).alias("bucket"), "node")
+    members = own.select(F.posexplode(F.array(*pieces)).alias("part", "bucket"), "node")
+    least = percent / 100 - slack
     texts: list[DataFrame] = []
 
     def verify(pairs: DataFrame) -> DataFrame:
@@ -116,11 +128,12 @@ def near_duplicates(
             texts.append(cut(docs.join(nodes, "id").dropDuplicates(["id"]), "texts"))
         one, two = (own.select(F.col("node").alias(x), F.col("n").alias(f"n_{x}"), F.col("sig").alias(f"sig_{x}")) for x in "uv")
         near = pairs.join(one, "u").join(two, "v").where(F.least("n_u", "n_v") * 100 >= F.greatest("n_u", "n_v") * percent)
-        near = cut(near.select("u", "v", "sig_u", "sig_v").mapInArrow(lambda x: _alike(x, percent / 100 - slack), "u long, v long"), "near")
+        near = cut(near.select("u", "v", "sig_u", "sig_v").mapInArrow(lambda x: _alike(x, least), "u long, v long"), "near")
         one, two = (texts[0].select(F.col("id").alias(x), F.col("text").alias(f"text_{x}")) for x in "uv")
         return near.join(two, "v").join(one, "u").select("u", "v", "text_u", "text_v").mapInArrow(lambda x: _confirmed(x, percent), "u long, v long")
 
-    found = link_buckets(members, verify).withColumnRenamed("node", "rep")
+    sketches = own.select("node", F.col("sig").alias("sketch"))
+    found = link_buckets(members, sketches, lambda one, two, part: likely_pairs(one, two, part, rows, least), verify).withColumnRenamed("node", "rep")
     named = cut(classes.join(found, "rep", "left").select("print", F.coalesce("component", "rep").alias("component")), "named")
     component = F.when(F.col("id").isNotNull(), F.coalesce("component", "id"))
     return signs.select("id", "n", "print").join(named, "print", "left").select(
