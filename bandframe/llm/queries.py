@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from bandframe.llm import chat, langid, linededup, mixing, neardup, pieces, quality, sharding, wavelet
+from bandframe.llm import chat, images, langid, linededup, mixing, neardup, pieces, quality, sharding, wavelet
 from bandframe.llm.store import documents, scratch
 
 
@@ -84,6 +84,11 @@ def op8_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.judge(documents(spark, sf_dir, "doc_id", "text"), spark.read.parquet(f"{sf_dir}/labels.parquet"))
 
 
+def op9_image_copies(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Copies among pictures drawn from all embeddings, every fourth with an edited copy."""
+    return images.image_copies(images.pictures(spark.read.parquet(f"{sf_dir}/embeddings.parquet")))
+
+
 def op10_source_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Words that the mix takes of every document."""
     docs = documents(spark, sf_dir, "doc_id", "text", "source")
@@ -99,6 +104,7 @@ QUERIES = {
     "op6_sentencepiece": op6_sentencepiece,
     "op7_chat_format": op7_chat_format,
     "op8_quality_rules": op8_quality_rules,
+    "op9_image_copies": op9_image_copies,
     "op10_source_mix": op10_source_mix,
 }
 
