@@ -112,14 +112,15 @@ def _suspects(batches: Iterator[pa.RecordBatch], packed: bytes, bits: int, least
         )
 
 
-def dedup_lines(docs: DataFrame, *, least: int = 10, max_filter_bits: int = 1 << 30, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def dedup_lines(docs: DataFrame, *, least: int = 10, max_filter_bits: int = 1 << 30, carry: tuple[str, ...] = (), id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     r"""Drop lines that another document with a smaller id holds too.
 
     A text is split at \n. The key of a line is the line without ``[\x20\x09-\x0D]`` at both ends,
     A-Z lower-cased. Keys of at least ``least`` code points found in two documents or more lose all
     their lines except those of the smallest id that holds them.
 
-    Returns id, text (the lines that stay, joined by \n), n_lines (before) and n_dropped.
+    Returns id, text (the lines that stay, joined by \n), n_lines (before), n_dropped, and the columns
+    named in ``carry``.
 
     Each task notes which hashes it saw once and which twice; merged over all tasks, bits set by two
     tasks count as twice. The filter of twice-seen hashes, of at most ``max_filter_bits`` (128 MB),
@@ -130,7 +131,9 @@ def dedup_lines(docs: DataFrame, *, least: int = 10, max_filter_bits: int = 1 <<
     Null text counts as one empty line. Rows with equal ids are one document to the count. Rows with a null id keep all lines and count for nobody.
     An empty table gives an empty result; other columns are ignored.
     """
-    docs = docs.select(F.col(id_col).cast("bigint").alias("id"), F.xxhash64(text_col).alias("mark"), F.col(text_col).alias("text"))
+    more = {f"carried{i}": c for i, c in enumerate(carry)}
+    whole = docs.select(F.col(id_col).cast("bigint").alias("id"), F.xxhash64(text_col).alias("mark"), F.col(text_col).alias("text"), *(F.col(c).alias(k) for k, c in more.items()))
+    docs = whole.select("id", "mark", "text")
     packed, bits = twice_filter(docs, "text", least, max_filter_bits)
     sent = docs.sparkSession.sparkContext.broadcast(packed)
     suspects = cut(docs.mapInArrow(lambda x: _suspects(x, sent.value, bits, least), "id long, mark long, key binary, lines array<int>"), "suspects")
@@ -140,12 +143,13 @@ def dedup_lines(docs: DataFrame, *, least: int = 10, max_filter_bits: int = 1 <<
     lines = F.split(F.coalesce(F.col("text"), F.lit("")), "\n")
     kept = F.array_except(F.sequence(F.lit(0), F.size("line") - 1), "lost")
     return (
-        docs.join(lost, ["id", "mark"], "left")
-        .select("id", "text", lines.alias("line"), "lost")
+        whole.join(lost, ["id", "mark"], "left")
+        .select("id", "text", lines.alias("line"), "lost", *more)
         .select(
             F.col("id").alias(id_col),
             F.when(F.col("lost").isNull(), F.coalesce("text", F.lit(""))).otherwise(F.array_join(F.transform(kept, lambda i: F.get("line", i)), "\n")).alias("text"),
             F.size("line").cast("bigint").alias("n_lines"),
             F.when(F.col("lost").isNull(), 0).otherwise(F.size("lost")).cast("bigint").alias("n_dropped"),
+            *(F.col(k).alias(c) for k, c in more.items()),
         )
     )
