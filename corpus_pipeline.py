@@ -3,13 +3,55 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
+from bandframe.llm import langid, linededup, mixing, neardup, queries
 from bandframe.llm.store import cut
 
-STAGES: list = []
+#: SQL has no suffix automata, permutations or lattices; the stages are tested against brute force.
 ORACLE_SQL = None
 
 
+def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Write the language found into ``lang``; documents of no language (no letter, no text) go."""
+    found = langid.identify(docs, langid.fit(docs)).where("lang_pred <> 'und'")
+    return found.withColumn("lang", F.col("lang_pred")).select(*docs.columns)
+
+
+def dedup_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Drop lines that a document with a smaller id holds; ``n_chars`` counts what stays.
+
+    All documents stay, those that lose every line with an empty text."""
+    kept = linededup.dedup_lines(docs, least=10, carry=("lang", "source"))
+    return kept.select("doc_id", "text", "lang", "source", F.length("text").cast("bigint").alias("n_chars"))
+
+
+def dedup_documents(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Keep the least id of each group of near duplicates."""
+    gone = neardup.near_duplicates(docs).where("NOT kept").select("doc_id")
+    return docs.join(gone, "doc_id", "left_anti").select(*docs.columns)
+
+
+def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The words that the mix takes of each document, twice where it takes them twice."""
+    _, pieces = mixing.mix(docs, weights=(5, 2, 1), share=1.5, most=2.0, block=128, n_shards=16)
+    return mixing.mixed_documents(docs, pieces)
+
+
+def encode_pieces(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Token count and checksum of each document, and the hash of the text decoded from them."""
+    return queries.encoded_digest(docs)
+
+
+STAGES = [
+    ("language_id", identify_language),
+    ("line_dedup", dedup_lines),
+    ("near_dedup", dedup_documents),
+    ("source_mix", mix_sources),
+    ("sentencepiece", encode_pieces),
+]
+
+
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All stages in turn, each written as Parquet and reread as the next one's documents."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
