@@ -97,7 +97,7 @@ ORACLES: dict[str, str] = {
     "q13_regrid_nearest": f"""{PX}, cells AS (
         SELECT tile, r.range AS row, c.range AS col FROM (SELECT DISTINCT tile_no AS tile FROM px) CROSS JOIN range(64) r CROSS JOIN range(104) c
       ), places AS (SELECT *, floor(((col + 0.5) * 5 - 12.5) / 10) AS x, floor(((row + 0.5) * 5 - 7.5) / 10) AS y FROM cells)
-      SELECT tile, CAST(row AS INT) AS row, count(*) AS cells, count(p_milli) AS inside, CAST(sum(p_milli * (col + 1)) AS BIGINT) AS weighted
+      SELECT tile, CAST(row AS INT) AS row, count(*) AS cells, count(p_milli) AS inside, CAST(coalesce(sum(p_milli * (col + 1)), 0) AS BIGINT) AS weighted
       FROM places LEFT JOIN px ON tile = tile_no AND x = col_i AND y = row_i GROUP BY tile, row""",
     "q14_window_blend": f"""{PX}, win AS (SELECT t AS top, l AS left_ FROM (SELECT unnest([0, 12, 14]) AS t) CROSS JOIN (SELECT unnest([0, 12, 24, 34]) AS l)), s AS (
         SELECT tile_no, row_i, col_i, avg(top * 0.01 - {P}) AS a, avg({P} + left_ * 0.02) AS b

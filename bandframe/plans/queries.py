@@ -138,7 +138,7 @@ def q13_regrid_nearest(spark: SparkSession, sf_dir: str) -> DataFrame:
     side = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
     targets = px.select("tile").distinct().select("tile", side(64).alias("row")).select("*", side(104).alias("col"))
     out = J.regrid_nearest(px, src, dst, ["p_milli"], targets=targets, keys=("tile",))
-    return out.groupBy("tile", "row").agg(F.count("*").alias("cells"), F.count("p_milli").alias("inside"), F.sum(F.col("p_milli") * (F.col("col") + 1)).alias("weighted"))
+    return out.groupBy("tile", "row").agg(F.count("*").alias("cells"), F.count("p_milli").alias("inside"), F.coalesce(F.sum(F.col("p_milli") * (F.col("col") + 1)), F.lit(0)).alias("weighted"))
 
 
 @query
