@@ -15,6 +15,8 @@ from bandframe.llm.store import cut, drop
 def components(edges: DataFrame) -> DataFrame:
     """The least node that each node of ``edges`` (u, v) can reach: rows (node, component).
 
+    The least node of a component has no row of its own.
+
     Alternating large-star and small-star (Kiveris et al., 2014). Minima are found by
     pre-aggregation and joined back, so a node with very many neighbours is never one task's list:
     the join can be split at it. Loops and repeated edges do no harm; nodes are not null.
