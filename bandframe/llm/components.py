@@ -12,36 +12,52 @@ from pyspark.sql import functions as F
 from bandframe.llm.store import cut, drop
 
 
+def _mark(edges: DataFrame) -> tuple:
+    """A checksum of the rows, in any order."""
+    return tuple(edges.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first())
+
+
 def components(edges: DataFrame) -> DataFrame:
     """The least node that each node of ``edges`` (u, v) can reach: rows (node, component).
 
-    The least node of a component has no row of its own.
+    The least node of a component has no row of its own. ``edges`` is a written table.
 
     Alternating large-star and small-star (Kiveris et al., 2014). Minima are found by
     pre-aggregation and joined back, so a node with very many neighbours is never one task's list:
     the join can be split at it. Loops and repeated edges do no harm; nodes are not null.
     """
-    now = cut(edges.where("u <> v").select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct(), "edges")
-    mark = None
+    now = edges.where("u <> v").select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v"))
+    mark, old = _mark(now), []
     while True:
         # Large star: every neighbour above u goes to the least of u and its neighbours.
         both = now.union(now.select("v", "u"))
         least = cut(both.groupBy("u").agg(F.least(F.min("v"), F.first("u")).alias("m")), "least")
-        large = cut(both.where("v > u").join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct(), "large")
+        large = cut(both.where("v > u").join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")), "large")
         # Small star: u and every neighbour below it go to the least of those.
         below = cut(large.groupBy("u").agg(F.min("v").alias("m")), "below")
         moved = large.join(below, "u").where("v > m").select(F.col("v").alias("u"), F.col("m").alias("v"))
         small = cut(moved.union(below.select("u", F.col("m").alias("v"))).distinct(), "small")
-        seen = small.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
-        for old in (now, least, large, below):
-            drop(old)
-        if seen == mark:
-            return small.groupBy(F.col("u").alias("node")).agg(F.min("v").alias("component"))
-        now, mark = small, seen
+        seen = _mark(small)
+        for table in (*old, least, large, below):
+            drop(table)
+        if seen == mark:  # stars, each node with the one edge to its component's least
+            return small.select(F.col("u").alias("node"), F.col("v").alias("component"))
+        now, mark, old = small, seen, [small]
+
+
+def joined_components(found: DataFrame, links: DataFrame) -> DataFrame:
+    """``found`` after more links (u, v): only the components that they connect are worked on."""
+    name = lambda c: found.select(F.col("node").alias(c), F.col("component").alias(f"c{c}"))
+    ends = links.join(name("u"), "u", "left").join(name("v"), "v", "left")
+    ends = ends.select(F.coalesce("cu", "u").alias("u"), F.coalesce("cv", "v").alias("v")).where("u <> v").distinct()
+    moved = components(cut(ends, "contracted"))
+    of = moved.select(F.col("node").alias("component"), F.col("component").alias("least"))
+    kept = found.join(of, "component", "left").select("node", F.coalesce("least", "component").alias("component"))
+    return kept.union(moved)
 
 
 #: Members of a bucket that one task compares at a time, and members that it compares them with.
-CHUNK, HUBS = 4096, 2048
+CHUNK, HUBS = 1024, 1024
 PAIRS = pa.schema([("u", pa.int64()), ("v", pa.int64())])
 
 
@@ -63,14 +79,14 @@ def _compared(hubs: pa.Table, members: pa.Table, candidates: Callable) -> pa.Tab
     return pa.table([pa.array(np.minimum(u, v)), pa.array(np.maximum(u, v))], schema=PAIRS)
 
 
-def link_buckets(members: DataFrame, sketches: DataFrame, candidates: Callable, verify: Callable[[DataFrame], DataFrame]) -> DataFrame:
+def link_buckets(members: DataFrame, sketch: Callable[[DataFrame], DataFrame], candidates: Callable, verify: Callable[[DataFrame], DataFrame]) -> DataFrame:
     """Components of all nodes that share a bucket and are true pairs: rows (node, component).
 
-    ``members`` has rows (bucket, part, node); ``part`` numbers the table of the bucket. ``sketches``
-    has (node, sketch), a short binary. ``candidates(sketches of hubs, sketches of members, part)``
-    gives the matrix of pairs worth a test, and may leave a pair to another part that both share.
-    ``verify`` takes pairs (u, v), u < v, and returns the true ones; its first call holds every node
-    that shares a bucket with another.
+    ``members`` has rows (bucket, part, node); ``part`` numbers the table of the bucket. ``verify``
+    takes pairs (u, v), u < v, and returns the true ones; its first call holds every node that
+    shares a bucket with another. ``sketch`` gives for rows (node) a binary each, (node, sketch), and
+    ``candidates(sketches of hubs, sketches of members, part)`` the matrix of pairs worth a test,
+    where it may leave a pair to another part that both share.
 
     First each bucket pairs its least node with the others, a row a member. In what follows only
     buckets count whose members are in several components. All their members outside the largest
@@ -84,7 +100,7 @@ def link_buckets(members: DataFrame, sketches: DataFrame, candidates: Callable,
     hubs = cut(ends.select("bucket", "least"), "hubs")
     open_ = cut(members.join(hubs, "bucket").where("node > least"), "open")
     links = cut(verify(open_.select(F.col("least").alias("u"), F.col("node").alias("v")).distinct()), "links")
-    found = cut(components(links), "components")
+    found = components(links)
     while True:
         named = open_.select("bucket", "part", "node").join(found, "node", "left")
         named = cut(named.select("bucket", "part", "node", F.coalesce("component", "node").alias("c")), "named")
@@ -97,11 +113,10 @@ def link_buckets(members: DataFrame, sketches: DataFrame, candidates: Callable,
         hub = (F.col("c") != F.col("most")) & (F.pmod(F.xxhash64("node"), F.col("lots")) == 0)
         chunk = F.pmod(F.xxhash64("node", F.lit(1)), F.col("chunks"))
         rest = named.join(mixed, "bucket").select("bucket", "part", "node", "c", "chunks", hub.alias("hub"), chunk.alias("chunk"))
-        rest = cut(rest.join(sketches, "node"), "rest")
+        rest = cut(rest.join(sketch(rest.select("node").distinct()), "node"), "rest")
         ask = rest.where("hub").withColumn("chunk", F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("chunks") - 1)))
         likely = ask.groupBy("bucket", "chunk").cogroup(rest.groupBy("bucket", "chunk")).applyInArrow(lambda h, m: _compared(h, m, candidates), "u long, v long")
         more = cut(verify(likely.distinct()), "links")
         if not more.isEmpty():
-            links = links.union(more)
-            found = cut(components(links), "components")
+            found = cut(joined_components(found, more), "components")
         open_ = rest.where("NOT hub").select("bucket", "part", "node")

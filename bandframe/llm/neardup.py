@@ -53,14 +53,32 @@ def _alike(batches: Iterator[pa.RecordBatch], least: float) -> Iterator[pa.Recor
             yield batch.select(["u", "v"]).filter(pa.array((one == two).mean(axis=1) >= least))
 
 
-def likely_pairs(one: list[bytes], two: list[bytes], part: int, rows: int, least: float) -> np.ndarray:
-    """Which signatures agree in enough places, and in no band before ``part``: there each pair counts."""
-    a, b = (np.frombuffer(b"".join(x), "<u4").reshape(len(x), -1) for x in (one, two))
-    out = np.zeros((len(a), len(b)), bool)
-    for i, sig in enumerate(a):
-        same = b == sig
+def _sketched(batches: Iterator[pa.RecordBatch], n_hashes: int, seed: int) -> Iterator[pa.RecordBatch]:
+    """Per node the signature and, behind it, the set as sorted 32-bit hashes."""
+    a, b = hash_family(n_hashes, seed)
+    for batch in batches:
+        sets = shingle_sets(batch.column(1).to_pylist())
+        out = [signature(s, a, b).tobytes() + np.unique(s >> U(32)).astype("<u4").tobytes() for s in sets]
+        yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(out, pa.binary())], names=["node", "sketch"])
+
+
+def likely_pairs(one: list[bytes], two: list[bytes], part: int, n_hashes: int, rows: int, least: float, percent: int) -> np.ndarray:
+    """Which sketches are those of similar sets, or nearly so.
+
+    Their signatures agree in enough places, and in no band before ``part``: each pair counts in the
+    first band that both share. Then their sets of short hashes decide.
+    """
+    hubs, members = ([np.frombuffer(x, "<u4") for x in side] for side in (one, two))
+    sigs = np.stack([m[:n_hashes] for m in members])
+    out = np.zeros((len(hubs), len(members)), bool)
+    for i, hub in enumerate(hubs):
+        same = sigs == hub[:n_hashes]
         near = np.flatnonzero(same.mean(axis=1) >= least)
-        out[i, near] = same[near].reshape(len(near), -1, rows).all(axis=2).argmax(axis=1) == part
+        near = near[same[near].reshape(len(near), n_hashes // rows, rows).all(axis=2).argmax(axis=1) == part]
+        for j in near:
+            x, y = hub[n_hashes:], members[j][n_hashes:]
+            both = len(np.intersect1d(x, y, assume_unique=True))
+            out[i, j] = 100 * both >= (percent - 2) * (len(x) + len(y) - both)
     return out
 
 
@@ -104,7 +122,7 @@ def near_duplicates(
     ``link_buckets``): first the signatures, which may fall short of ``percent`` by ``slack`` (over four
     standard deviations), then the full sets.
 
-    Shuffled are 32 bucket rows and the signature of each class, and the texts once, to keep those
+    Joins that grow with the data are sort-merge joins at every size. Shuffled are 32 bucket rows and the signature of each class, and the texts once, to keep those
     that share a bucket. No task holds the members of a class, bucket or component.
 
     Null or wordless text has an empty set: no links, its own component. Rows with equal ids are one
@@ -125,15 +143,19 @@ def near_duplicates(
         pairs = cut(pairs, "pairs")
         if not texts:
             nodes = pairs.select(F.col("u").alias("id")).union(pairs.select("v")).distinct()
-            texts.append(cut(docs.join(nodes, "id").dropDuplicates(["id"]), "texts"))
+            texts.append(cut(docs.join(nodes.hint("merge"), "id").dropDuplicates(["id"]), "texts"))
         one, two = (own.select(F.col("node").alias(x), F.col("n").alias(f"n_{x}"), F.col("sig").alias(f"sig_{x}")) for x in "uv")
-        near = pairs.join(one, "u").join(two, "v").where(F.least("n_u", "n_v") * 100 >= F.greatest("n_u", "n_v") * percent)
+        near = pairs.join(one.hint("merge"), "u").join(two.hint("merge"), "v").where(F.least("n_u", "n_v") * 100 >= F.greatest("n_u", "n_v") * percent)
         near = cut(near.select("u", "v", "sig_u", "sig_v").mapInArrow(lambda x: _alike(x, least), "u long, v long"), "near")
         one, two = (texts[0].select(F.col("id").alias(x), F.col("text").alias(f"text_{x}")) for x in "uv")
-        return near.join(two, "v").join(one, "u").select("u", "v", "text_u", "text_v").mapInArrow(lambda x: _confirmed(x, percent), "u long, v long")
+        return near.join(two.hint("merge"), "v").join(one.hint("merge"), "u").select("u", "v", "text_u", "text_v").mapInArrow(lambda x: _confirmed(x, percent), "u long, v long")
+
+    def sketch(nodes: DataFrame) -> DataFrame:
+        rows_ = texts[0].join(nodes.withColumnRenamed("node", "id").hint("merge"), "id").select("id", "text")
+        return rows_.mapInArrow(lambda x: _sketched(x, bands * rows, seed), "node long, sketch binary")
 
-    sketches = own.select("node", F.col("sig").alias("sketch"))
-    found = link_buckets(members, sketches, lambda one, two, part: likely_pairs(one, two, part, rows, least), verify).withColumnRenamed("node", "rep")
+    likely = lambda one, two, part: likely_pairs(one, two, part, bands * rows, rows, least, percent)
+    found = link_buckets(members, sketch, likely, verify).withColumnRenamed("node", "rep")
     named = cut(classes.join(found, "rep", "left").select("print", F.coalesce("component", "rep").alias("component")), "named")
     component = F.when(F.col("id").isNotNull(), F.coalesce("component", "id"))
     return signs.select("id", "n", "print").join(named, "print", "left").select(
