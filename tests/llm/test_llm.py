@@ -160,8 +160,11 @@ def test_components(spark):
     for _ in range(len(to)):
         for a, b in pairs:
             to[a] = to[b] = min(to[a], to[b])
-    got = {r["node"]: r["component"] for r in components.components(spark.createDataFrame(pairs, "u long, v long")).collect()}
+    edges_ = lambda p: spark.createDataFrame(p, "u long, v long")
+    got = {r["node"]: r["component"] for r in components.components(edges_(pairs)).collect()}
     assert got == {x: c for x, c in to.items() if x != c}
+    later = components.joined_components(components.components(edges_(pairs[::2])), edges_(pairs[1::2]))
+    assert Counter(map(tuple, later.collect())) == Counter(got.items())
 
 
 def test_shingle_sets():
