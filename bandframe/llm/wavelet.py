@@ -245,7 +245,8 @@ def open_tokens(spark: SparkSession, path: str) -> DataFrame:
     files = spark.read.parquet(path)
     before = Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)  # a row per part
     parts = files.groupBy("part").agg(F.sum("n_ids").alias("n")).select("part", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("before"))
-    return files.join(parts, "part").withColumn("first", F.col("before") + F.col("start")).drop("before")
+    # A row per part, and as many parts as shuffle partitions at most: small enough to send to all.
+    return files.join(F.broadcast(parts), "part").withColumn("first", F.col("before") + F.col("start")).drop("before")
 
 
 def _documents(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
