@@ -14,11 +14,15 @@ import zstandard
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from bandframe.llm.store import small_batches
+
 BLANK = "▁"
 #: A word is what no piece reaches across: leading blanks with letters or with other signs; a line end.
 WORD = regex.compile(rf"{BLANK}*[\p{{L}}\p{{M}}]+|{BLANK}*[^\p{{L}}\p{{M}}{BLANK}\n]+|{BLANK}+|\n")
 #: Text in code units of which a block is made; each block brings its words once.
-BLOCK = 32 << 20
+BLOCK = 4 << 20
+#: Units whose codes a task keeps at a time.
+KEPT = 1 << 17
 #: Longer words don't go through the fold, whose steps grow with the square of the length.
 FOLDED = 48
 
@@ -66,11 +70,6 @@ def load_pieces(path: str) -> PieceTable:
     return PieceTable(tuple(rows), first, sp.unk_id(), "bpe", path)
 
 
-def words_of(text: str | None) -> list[str]:
-    """The words of a text, blanks written as the model does, one before the text."""
-    return WORD.findall((BLANK + text).replace(" ", BLANK)) if text else []
-
-
 def lattice(words: DataFrame, table: PieceTable) -> DataFrame:
     """Edges of all words: rows (word, n, scores, ids), maps by ``begin * 64 + end`` of a substring.
 
@@ -79,13 +78,13 @@ def lattice(words: DataFrame, table: PieceTable) -> DataFrame:
     without a piece keep an edge without id.
     """
     pieces = words.sparkSession.createDataFrame(list(table.pieces), "piece string, id int, score double")
-    n = F.length("word")
-    spans = F.flatten(F.transform(F.sequence(F.lit(0), n - 1), lambda i: F.transform(F.sequence(F.lit(1), F.least(F.lit(table.longest), n - i)), lambda k: F.struct(i.alias("i"), k.alias("k")))))
-    cut_ = words.select("word", F.explode(spans).alias("s")).select("word", "s.i", "s.k", F.expr("substring(word, s.i + 1, s.k)").alias("piece"))
-    edges = cut_.join(F.broadcast(pieces), "piece", "left").where("id IS NOT NULL OR k = 1")
+    begins = words.select("word", F.explode(F.sequence(F.lit(0), F.length("word") - 1)).alias("i"))
+    spans = begins.select("word", "i", F.explode(F.sequence(F.lit(1), F.least(F.lit(table.longest), F.length("word") - F.col("i")))).alias("k"))
+    spans = spans.select("word", "i", "k", F.expr("substring(word, i + 1, k)").alias("piece"))
+    edges = spans.join(F.broadcast(pieces), "piece", "left").where("id IS NOT NULL OR k = 1")
     edge = F.struct((F.col("i") * 64 + F.col("i") + F.col("k")).alias("key"), F.col("score"), F.col("id"))
     grouped = edges.groupBy("word").agg(F.collect_list(edge).alias("edges"))
-    value = lambda name: F.map_from_entries(F.transform("edges", lambda e: F.struct(e["key"], e[name])))
+    value = lambda name: F.map_from_arrays(F.col("edges.key"), F.col(f"edges.{name}"))
     return grouped.select("word", F.length("word").alias("n"), value("score").alias("scores"), value("id").alias("ids"))
 
 
@@ -140,15 +139,46 @@ def fold_words(words: DataFrame, table: PieceTable) -> DataFrame:
     return rows.select("word", F.flatten(F.transform(F.sequence(F.lit(0), F.size("cuts") - 2), span)).alias("code"))
 
 
-def _long_words(batches: Iterator[pa.RecordBatch], path: str) -> Iterator[pa.RecordBatch]:
-    import sentencepiece
+UNIT = regex.compile(f"{BLANK}+[^{BLANK}]*")
+#: Signs that end a word of letters, as ``WORD`` has it; the empty text isn't one.
+PLAIN = frozenset(".,;:!?|")
 
-    sp = sentencepiece.SentencePieceProcessor(model_file=path)
-    for batch in batches:
-        words = batch.column(0).to_pylist()
-        skip = len(sp.encode("\n"))  # a line end before the word keeps the model's own blank away
-        codes = [sp.encode("\n" + w.replace(BLANK, " "))[skip:] for w in words]
-        yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(codes, pa.list_(pa.int32()))], names=["word", "code"])
+
+def units_of(text: str) -> list[str]:
+    """A text cut before blanks; each unit without the one blank that the model writes before it."""
+    if "  " in text or BLANK in text or text[:1] == " " or text[-1:] == " ":
+        return [u[1:] for u in UNIT.findall((BLANK + text).replace(" ", BLANK))]
+    return text.split(" ")
+
+
+def unit_words(unit: str) -> list[str]:
+    """The words of a unit; the first two cases only spare the pattern."""
+    if unit.isalpha():
+        return [BLANK + unit]
+    if unit[-1:] in PLAIN and unit[:-1].isalpha():
+        return [BLANK + unit[:-1], unit[-1]]
+    return WORD.findall(BLANK + unit)
+
+
+def words_of(text: str | None) -> list[str]:
+    """The words of a text, blanks written as the model does, one before the text."""
+    return [w for u in units_of(text) for w in unit_words(u)] if text else []
+
+
+def numbered_words(texts: list[str | None]) -> list[str]:
+    """The distinct words of texts that go through the fold, in an order that the texts settle."""
+    units: set[str] = set()
+    for text in texts:
+        if text:
+            units.update(units_of(text))
+    words: set[str] = set()
+    for u in units:
+        words.update(unit_words(u))
+    return sorted(w for w in words if len(w) <= FOLDED)
+
+
+#: Blocks of a task and words of a block at most, for one number that names a word of a block.
+PER_TASK, PER_BLOCK = 1 << 16, 1 << 23
 
 
 def _blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[int, list, list]]:
@@ -162,21 +192,18 @@ def _blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[int, list, list
             texts.append(text)
             size += len(text or "")
             if size >= BLOCK:
-                yield part << 32 | number, ids, texts
+                yield part * PER_TASK + number, ids, texts
                 number, ids, texts, size = number + 1, [], [], 0
     if ids:
-        yield part << 32 | number, ids, texts
+        yield part * PER_TASK + number, ids, texts
 
 
 def _block_words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for block, _, texts in _blocks(batches):
-        words: set[str] = set()
-        for text in texts:
-            words.update(words_of(text))
-        found = sorted(words)
+        found = numbered_words(texts)
         for k in range(0, len(found), 20_000):
             part = found[k : k + 20_000]
-            yield pa.RecordBatch.from_arrays([pa.array([block] * len(part), pa.int64()), pa.array(part, pa.string())], names=["block", "word"])
+            yield pa.RecordBatch.from_arrays([pa.array(block * PER_BLOCK + np.arange(k, k + len(part))), pa.array(part, pa.string())], names=["ref", "word"])
 
 
 def _block_texts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -191,45 +218,108 @@ def _block_texts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         )
 
 
+def _block_codes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Codes of words, sorted out to the blocks that hold the words: a row per block and task."""
+    named, sizes, codes = [], [], []
+    for batch in batches:
+        refs, code = batch.column("refs"), batch.column("code")
+        of = np.repeat(np.arange(batch.num_rows), refs.value_lengths().to_numpy(zero_copy_only=False))
+        named.append(refs.flatten().to_numpy())
+        size = code.value_lengths().to_numpy(zero_copy_only=False).astype(np.int64)
+        starts = np.cumsum(size) - size
+        sizes.append(size[of])
+        # The places of each code's ids, once for each ref of its word.
+        at = np.repeat(starts[of], size[of]) + np.arange(size[of].sum()) - np.repeat(np.cumsum(size[of]) - size[of], size[of])
+        codes.append(code.flatten().to_numpy()[at].astype(np.uint32))
+    if not named:
+        return
+    ref, size, code = np.concatenate(named), np.concatenate(sizes), np.concatenate(codes)
+    block, number = ref // PER_BLOCK, ref % PER_BLOCK
+    begins = np.cumsum(size) - size
+    squeeze = zstandard.ZstdCompressor(level=1)
+    order = np.argsort(ref)
+    for part in np.split(order, np.flatnonzero(np.diff(block[order])) + 1):
+        own = size[part]
+        at = np.repeat(begins[part], own) + np.arange(own.sum()) - np.repeat(np.cumsum(own) - own, own)
+        packed = [squeeze.compress(x.astype("<u4").tobytes()) for x in (np.diff(number[part], prepend=0), own, code[at])]
+        yield pa.RecordBatch.from_arrays([pa.array([x], t) for x, t in zip((block[part[0]], *packed), CODES.types)], schema=CODES)
+
+
+CODES = pa.schema([("block", pa.int64()), ("gaps", pa.binary()), ("sizes", pa.binary()), ("codes", pa.binary())])
 ENCODED = pa.schema([("id", pa.int64()), ("ids", pa.binary())])
 
 
-def _encoded(texts: pa.Table, words: pa.Table) -> pa.Table:
+class UnitCodes(dict):
+    """Codes of units, put together from those of their words when first met."""
+
+    def __init__(self, words: dict[str, bytes], path: str):
+        super().__init__()
+        self.words, self.path, self.library = words, path, None
+
+    def __missing__(self, unit: str) -> bytes:
+        code = b"".join([self.words[w] if len(w) <= FOLDED else self._long(w) for w in unit_words(unit)])
+        if len(self) >= KEPT:
+            self.clear()
+        self[unit] = code
+        return code
+
+    def _long(self, word: str) -> bytes:
+        """By the library; a line end before the word keeps the model's own blank away."""
+        if self.library is None:
+            import sentencepiece
+
+            self.library = sentencepiece.SentencePieceProcessor(model_file=self.path)
+        skip = len(self.library.encode("\n"))
+        return np.array(self.library.encode("\n" + word.replace(BLANK, " "))[skip:], "<u4").tobytes()
+
+
+def _encoded(texts: pa.Table, coded: pa.Table, path: str) -> pa.Table:
     """The ids of every text of a block, four bytes each, from the codes of its words."""
-    codes = words["code"].combine_chunks()
-    ends = codes.offsets.to_numpy()
-    flat = codes.flatten().to_numpy().astype("<u4").tobytes()
-    known = {w: flat[4 * a : 4 * b] for w, a, b in zip(words["word"].to_pylist(), (ends - ends[0])[:-1].tolist(), (ends - ends[0])[1:].tolist())}
-    out_ids, out = [], []
+    expand = zstandard.ZstdDecompressor().decompress
+    out = []
     for row in texts.to_pylist():
-        body, at = zstandard.ZstdDecompressor().decompress(row["body"]), 0
-        for i, size in zip(row["ids"], np.frombuffer(row["sizes"], "<i8").tolist()):
-            out_ids.append(i)
-            out.append(b"".join([known[w] for w in words_of(body[at : at + max(size, 0)].decode())]))
+        body, at, raw = expand(row["body"]), 0, []
+        for size in np.frombuffer(row["sizes"], "<i8").tolist():
+            raw.append(body[at : at + max(size, 0)].decode())
             at += max(size, 0)
-    return pa.table([pa.array(out_ids, pa.int64()), pa.array(out, pa.binary())], schema=ENCODED)
+        del body
+        words = numbered_words(raw)
+        found: list[bytes | None] = [None] * len(words)
+        for gaps, sizes, codes in zip(*(coded[c].to_pylist() for c in ("gaps", "sizes", "codes"))):
+            flat = expand(codes)
+            ends = 4 * np.cumsum(np.frombuffer(expand(sizes), "<u4").astype(np.int64))
+            start = 0
+            for n, end in zip(np.cumsum(np.frombuffer(expand(gaps), "<u4").astype(np.int64)).tolist(), ends.tolist()):
+                found[n], start = flat[start:end], end
+        units = UnitCodes(dict(zip(words, found)), path)
+        del words, found
+        for k in range(0, len(raw), 256):
+            ids = [b"".join([units[u] for u in units_of(t)]) if t else b"" for t in raw[k : k + 256]]
+            out.append(pa.RecordBatch.from_arrays([pa.array(row["ids"][k : k + 256], pa.int64()), pa.array(ids, pa.binary())], schema=ENCODED))
+    return pa.Table.from_batches(out, ENCODED)
 
 
 def encode_documents(docs: DataFrame, table: PieceTable, *, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """The ids of every text by the model: rows (id, ids), ids a binary of 32-bit little-endian numbers.
 
-    Tasks give the distinct words of blocks of their rows; over all blocks each distinct word goes
-    through the lattice once, and its code returns to the blocks that hold it. Words of over
-    ``FOLDED`` characters are encoded by the library. The texts move once, compressed, to meet their
-    block's words, and no task holds more than a block. The rows are read twice and must come in
-    the same partitions; a word without a code is an error, never a gap.
+    Tasks number the distinct words of blocks of their rows; over all blocks each distinct word goes
+    through the lattice once, and its code returns to the blocks that hold it, packed by task. The
+    texts move once, compressed, to meet their block's codes, and no task holds more than a block.
+    The rows are read twice and must come in the same partitions; a word without a code is an error,
+    never a gap. Words of over ``FOLDED`` characters are encoded by the library.
 
     Null and empty texts have no ids. Rows with equal or null ids are all kept. An empty table gives
     an empty result; other columns are ignored.
     """
+    small_batches(docs.sparkSession)
     rows = docs.select(F.col(id_col).cast("bigint").alias("id"), F.col(text_col).alias("text"))
-    pairs = rows.mapInArrow(_block_words, "block long, word string")
-    words = pairs.groupBy("word").agg(F.collect_list("block").alias("blocks"))
-    short = fold_words(words.where(F.length("word") <= FOLDED).select("word"), table)
-    long_ = words.where(F.length("word") > FOLDED).select("word").mapInArrow(lambda x, p=table.path: _long_words(x, p), "word string, code array<int>")
-    codes = words.join(short.unionByName(long_), "word").select(F.explode("blocks").alias("block"), "word", "code")
+    pairs = rows.mapInArrow(_block_words, "ref long, word string")
+    words = pairs.groupBy("word").agg(F.collect_list("ref").alias("refs"))
+    todo = words.where(F.size("refs") > 0).select("word")  # the same exchange serves both sides of the join
+    codes = words.join(fold_words(todo, table), "word").select("refs", "code").mapInArrow(_block_codes, "block long, gaps binary, sizes binary, codes binary")
     texts = rows.mapInArrow(_block_texts, "block long, ids array<long>, sizes binary, body binary")
-    return texts.groupBy("block").cogroup(codes.groupBy("block")).applyInArrow(lambda a, b: _encoded(a, b), "id long, ids binary").withColumnRenamed("id", id_col)
+    both, path = texts.groupBy("block").cogroup(codes.groupBy("block")), table.path
+    return both.applyInArrow(lambda a, b: _encoded(a, b, path), "id long, ids binary").withColumnRenamed("id", id_col)
 
 
 def decode_ids(ids: bytes, texts: list[bytes]) -> str:

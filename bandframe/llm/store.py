@@ -41,6 +41,17 @@ def drop(df: DataFrame) -> None:
         path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
 
 
+def small_batches(spark: SparkSession, rows: int = 1000) -> None:
+    """Send at most so many rows to Python at a time, from now on in this session.
+
+    With Spark's 10,000 rows a batch of long texts takes hundreds of MB, several times over.
+    """
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    now = int(spark.conf.get(key))
+    if now <= 0 or now > rows:
+        spark.conf.set(key, rows)
+
+
 def documents(spark: SparkSession, sf_dir: str, *columns: str) -> DataFrame:
     """The columns asked for of the whole ``documents`` table."""
     return spark.read.parquet(f"{sf_dir}/documents.parquet").select(*(columns or ("*",)))
