@@ -20,9 +20,7 @@ BLANK = "▁"
 #: A word is what no piece reaches across: leading blanks with letters or with other signs; a line end.
 WORD = regex.compile(rf"{BLANK}*[\p{{L}}\p{{M}}]+|{BLANK}*[^\p{{L}}\p{{M}}{BLANK}\n]+|{BLANK}+|\n")
 #: Text in code units of which a block is made; each block brings its words once.
-BLOCK = 4 << 20
-#: Units whose codes a task keeps at a time.
-KEPT = 1 << 17
+BLOCK = 3 << 20
 #: Longer words don't go through the fold, whose steps grow with the square of the length.
 FOLDED = 48
 
@@ -165,16 +163,18 @@ def words_of(text: str | None) -> list[str]:
     return [w for u in units_of(text) for w in unit_words(u)] if text else []
 
 
-def numbered_words(texts: list[str | None]) -> list[str]:
-    """The distinct words of texts that go through the fold, in an order that the texts settle."""
+def block_units(texts: list[str | None]) -> dict[str, list[str]]:
+    """The distinct units of texts with their words."""
     units: set[str] = set()
     for text in texts:
         if text:
             units.update(units_of(text))
-    words: set[str] = set()
-    for u in units:
-        words.update(unit_words(u))
-    return sorted(w for w in words if len(w) <= FOLDED)
+    return {u: unit_words(u) for u in units}
+
+
+def numbered_words(units: dict[str, list[str]]) -> list[str]:
+    """The distinct words of units that go through the fold, in an order that they settle."""
+    return sorted({w for words in units.values() for w in words if len(w) <= FOLDED})
 
 
 #: Blocks of a task and words of a block at most, for one number that names a word of a block.
@@ -200,7 +200,7 @@ def _blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[int, list, list
 
 def _block_words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for block, _, texts in _blocks(batches):
-        found = numbered_words(texts)
+        found = numbered_words(block_units(texts))
         for k in range(0, len(found), 20_000):
             part = found[k : k + 20_000]
             yield pa.RecordBatch.from_arrays([pa.array(block * PER_BLOCK + np.arange(k, k + len(part))), pa.array(part, pa.string())], names=["ref", "word"])
@@ -249,28 +249,15 @@ CODES = pa.schema([("block", pa.int64()), ("gaps", pa.binary()), ("sizes", pa.bi
 ENCODED = pa.schema([("id", pa.int64()), ("ids", pa.binary())])
 
 
-class UnitCodes(dict):
-    """Codes of units, put together from those of their words when first met."""
-
-    def __init__(self, words: dict[str, bytes], path: str):
-        super().__init__()
-        self.words, self.path, self.library = words, path, None
-
-    def __missing__(self, unit: str) -> bytes:
-        code = b"".join([self.words[w] if len(w) <= FOLDED else self._long(w) for w in unit_words(unit)])
-        if len(self) >= KEPT:
-            self.clear()
-        self[unit] = code
-        return code
-
-    def _long(self, word: str) -> bytes:
-        """By the library; a line end before the word keeps the model's own blank away."""
-        if self.library is None:
-            import sentencepiece
+def long_codes(words: list[str], path: str) -> dict[str, bytes]:
+    """Words encoded by the library; a line end before each keeps the model's own blank away."""
+    if not words:
+        return {}
+    import sentencepiece
 
-            self.library = sentencepiece.SentencePieceProcessor(model_file=self.path)
-        skip = len(self.library.encode("\n"))
-        return np.array(self.library.encode("\n" + word.replace(BLANK, " "))[skip:], "<u4").tobytes()
+    sp = sentencepiece.SentencePieceProcessor(model_file=path)
+    skip = len(sp.encode("\n"))
+    return {w: np.array(sp.encode("\n" + w.replace(BLANK, " "))[skip:], "<u4").tobytes() for w in words}
 
 
 def _encoded(texts: pa.Table, coded: pa.Table, path: str) -> pa.Table:
@@ -283,7 +270,8 @@ def _encoded(texts: pa.Table, coded: pa.Table, path: str) -> pa.Table:
             raw.append(body[at : at + max(size, 0)].decode())
             at += max(size, 0)
         del body
-        words = numbered_words(raw)
+        units = block_units(raw)
+        words = numbered_words(units)
         found: list[bytes | None] = [None] * len(words)
         for gaps, sizes, codes in zip(*(coded[c].to_pylist() for c in ("gaps", "sizes", "codes"))):
             flat = expand(codes)
@@ -291,10 +279,11 @@ def _encoded(texts: pa.Table, coded: pa.Table, path: str) -> pa.Table:
             start = 0
             for n, end in zip(np.cumsum(np.frombuffer(expand(gaps), "<u4").astype(np.int64)).tolist(), ends.tolist()):
                 found[n], start = flat[start:end], end
-        units = UnitCodes(dict(zip(words, found)), path)
-        del words, found
+        known = dict(zip(words, found)) | long_codes(list({w for ws in units.values() for w in ws if len(w) > FOLDED}), path)
+        coded_units = {u: known[ws[0]] if len(ws) == 1 else b"".join([known[w] for w in ws]) for u, ws in units.items()}
+        del words, found, known, units
         for k in range(0, len(raw), 256):
-            ids = [b"".join([units[u] for u in units_of(t)]) if t else b"" for t in raw[k : k + 256]]
+            ids = [b"".join([coded_units[u] for u in units_of(t)]) if t else b"" for t in raw[k : k + 256]]
             out.append(pa.RecordBatch.from_arrays([pa.array(row["ids"][k : k + 256], pa.int64()), pa.array(ids, pa.binary())], schema=ENCODED))
     return pa.Table.from_batches(out, ENCODED)
 
