@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from itertools import count
 
 import numpy as np
 import pyarrow as pa
@@ -90,9 +91,10 @@ def link_buckets(members: DataFrame, sketch: Callable[[DataFrame], DataFrame], c
 
     First each bucket pairs its least node with the others, a row a member. In what follows only
     buckets count whose members are in several components. All their members outside the largest
-    component (or a share of them by hash, about ``HUBS`` a round) are hubs: they are compared with
-    the members by sketch, ``CHUNK`` at a time and within the task, so that rows arise for likely
-    pairs only; then they leave the bucket. A bucket is done when its members lie in one component:
+    component (or a share of them by a hash of the node and the round, about ``HUBS`` a round) are
+    hubs: they are compared with the members by sketch, ``CHUNK`` at a time and within the task, so
+    that rows arise for likely pairs only; then they leave the bucket. Each round draws anew: a hash
+    of the node alone would find its residue classes emptied by the hubs that left before. A bucket is done when its members lie in one component:
     every pair of it was then compared or is connected by others. Nodes in no true pair are absent
     from the result.
     """
@@ -101,7 +103,7 @@ def link_buckets(members: DataFrame, sketch: Callable[[DataFrame], DataFrame], c
     open_ = cut(members.join(hubs, "bucket").where("node > least"), "open")
     links = cut(verify(open_.select(F.col("least").alias("u"), F.col("node").alias("v")).distinct()), "links")
     found = components(links)
-    while True:
+    for turn in count(2):  # 1 salts the chunks
         named = open_.select("bucket", "part", "node").join(found, "node", "left")
         named = cut(named.select("bucket", "part", "node", F.coalesce("component", "node").alias("c")), "named")
         sizes = named.groupBy("bucket", "c").agg(F.count("*").alias("n"))
@@ -110,7 +112,7 @@ def link_buckets(members: DataFrame, sketch: Callable[[DataFrame], DataFrame], c
         mixed = cut(mixed.select("bucket", F.col("most.c").alias("most"), few.alias("lots"), F.ceil(F.col("n") / CHUNK).alias("chunks")), "mixed")
         if mixed.isEmpty():
             return found
-        hub = (F.col("c") != F.col("most")) & (F.pmod(F.xxhash64("node"), F.col("lots")) == 0)
+        hub = (F.col("c") != F.col("most")) & (F.pmod(F.xxhash64("node", F.lit(turn)), F.col("lots")) == 0)
         chunk = F.pmod(F.xxhash64("node", F.lit(1)), F.col("chunks"))
         rest = named.join(mixed, "bucket").select("bucket", "part", "node", "c", "chunks", hub.alias("hub"), chunk.alias("chunk"))
         rest = cut(rest.join(sketch(rest.select("node").distinct()), "node"), "rest")

@@ -167,6 +167,26 @@ def test_components(spark):
     assert Counter(map(tuple, later.collect())) == Counter(got.items())
 
 
+def test_buckets_of_unlinked_members_end(spark, monkeypatch):
+    monkeypatch.setattr(components, "HUBS", 8)
+    monkeypatch.setattr(components, "CHUNK", 8)
+    nodes, tested, turns = range(1, 41), [], []
+    members = spark.createDataFrame([(7, 0, n) for n in nodes], "bucket long, part int, node long")
+
+    def sketch(nodes):
+        turns.append(nodes.count())
+        assert turns[-1] < turns[-2] if turns[1:] else True, "a round without hubs"
+        return nodes.withColumn("sketch", F.lit(b""))
+
+    def verify(pairs):
+        tested.extend((r["u"], r["v"]) for r in pairs.collect())
+        return pairs.where("u < 0")
+
+    found = components.link_buckets(members, sketch, lambda one, two, part: np.ones((len(one), len(two)), bool), verify)
+    assert found.isEmpty() and len(turns) > 2
+    assert sorted(tested) == [(u, v) for u in nodes for v in nodes if u < v]
+
+
 def test_shingle_sets():
     texts = [t for _, t, _, _ in EDGES] + ["a", "A  b\tc\nd", "a b c d e", "a b c d e a b c d e"]
     assert [len(s) for s in shingles.shingle_sets(texts)] == [len(set_of(t)) for t in texts]
