@@ -92,6 +92,14 @@ def _gain(p: int, n: int, p0: int, n0: int) -> float:
     return p * (math.log2(p / (p + n)) - math.log2(p0 / (p0 + n0))) if p else 0.0
 
 
+def _bin(measure: str, edges: list[float], first: int = 0) -> str:
+    """SQL for how many of the sorted edges a measure is above."""
+    if not edges:
+        return str(first)
+    k = len(edges) // 2
+    return f"if({measure} > {edges[k]!r}D, {_bin(measure, edges[k + 1 :], first + k + 1)}, {_bin(measure, edges[:k], first)})"
+
+
 def learn_rules(
     stats: DataFrame, labels: DataFrame, *, max_rules: int = 8, max_conditions: int = 3, cuts: int = 32, precision: float = 0.9, support: int = 10, id_col: str = "doc_id", label_col: str = "quality"
 ) -> list[Rule]:
@@ -100,32 +108,35 @@ def learn_rules(
     Two thirds of the labelled rows (by a hash of the id) grow a rule, condition by condition, by
     information gain; the rest prunes it to the prefix with the best (bad - good) / (bad + good).
     A rule that isn't right for ``precision`` of the rows of each part that it covers, or covers
-    fewer than ``support`` in all, ends the list. Covered rows leave before the next rule.
+    fewer than ``support`` in all, is dropped, and the next one starts with another measure or
+    direction; the list ends when none is left. Covered rows leave before the next rule.
 
-    A threshold ends up in the middle of the gap between the values around it.
+    Thresholds are quantiles of the bad and of the good rows that the rule so far leaves open: each
+    ``1 / cuts``, and at both ends halving steps down to 1/4096. So a rare kind has its own. A
+    threshold ends up in the middle of the gap between the values around it.
 
-    Spark counts all labelled rows; the driver gets, for each condition grown, at most ``cuts``
-    counts per measure. Thresholds are quantiles over the labelled rows. Rows without a label,
+    Spark counts all labelled rows; the driver gets, for each condition grown, at most
+    2 * (``cuts`` + 13) quantiles and counts per measure. Rows without a label,
     labels other than 0 and 1, and labels of unknown ids take no part; repeated labels all count.
     No bad rows give no rules.
     """
     marks = labels.where(F.col(label_col).isin(0, 1)).select(F.col(id_col).alias("label_id"), F.col(label_col).alias("label"))
     rows = stats.join(marks, F.col(id_col) == F.col("label_id")).select(*BASE, (F.col("label") == 0).alias("bad"), (F.pmod(F.xxhash64("label_id"), F.lit(3)) > 0).alias("grow"))
-    rows = cut(rows, "labelled")
-    parts = F.array(*(F.lit(k / cuts) for k in range(1, cuts)))
-    ends = rows.agg(*(F.percentile_approx(c, parts, 10_000).alias(m) for m, c in measures().items())).first()
-    edges = {m: sorted(set(ends[m] or [])) for m in measures()}
-    bins = F.array(*(
-        F.struct(F.lit(m).alias("m"), sum(((c > F.lit(e)).cast("int") for e in edges[m]), F.lit(0)).alias("bin")) for m, c in measures().items()
-    ))
-    rows = cut(rows.withColumn("bins", bins), "binned")
+    rows = cut(rows.select("*", *(c.alias(m) for m, c in measures().items())), "labelled")
+    tails = [2.0**-k for k in range(1, 13) if 2**k > cuts]
+    parts = F.array(*map(F.lit, sorted({*tails, *(k / cuts for k in range(1, cuts)), *(1 - t for t in tails)})))
     tally = (F.coalesce(F.sum(F.col("bad").cast("int")), F.lit(0)).alias("p"), F.coalesce(F.sum((~F.col("bad")).cast("int")), F.lit(0)).alias("n"))
     rules: list[Rule] = []
+    failed: set[tuple[str, bool]] = set()
     while len(rules) < max_rules:
         rule: Rule = ()
         p0, n0 = rows.where("grow").agg(*tally).first()
         while p0 and n0 and len(rule) < max_conditions:
-            seen = rows.where(F.col("grow") & holds(rule)).select("bad", F.explode("bins").alias("b")).groupBy("b.m", "b.bin").agg(*tally).collect()
+            left = rows.where(F.col("grow") & holds(rule))
+            ends = left.agg(*(F.percentile_approx(F.when(F.col("bad") == bad, F.col(m)), parts, 10_000).alias(f"{m}_{bad}") for m in measures() for bad in (True, False))).first()
+            edges = {m: sorted({*ends[f"{m}_True"], *ends[f"{m}_False"]}) for m in measures()}
+            bins = F.expr("array(" + ", ".join(f"struct('{m}' AS m, {_bin(m, edges[m])} AS bin)" for m in edges) + ")")
+            seen = left.select("bad", F.explode(bins).alias("b")).groupBy("b.m", "b.bin").agg(*tally).collect()
             best = (0.0, None, 0, 0)
             for m in sorted(edges):
                 below_p = below_n = 0
@@ -134,7 +145,8 @@ def learn_rules(
                     p, n = counts.get(i, (0, 0))
                     below_p, below_n = below_p + p, below_n + n
                     for above, (p, n) in ((False, (below_p, below_n)), (True, (p0 - below_p, n0 - below_n))):
-                        best = max(best, (_gain(p, n, p0, n0), Condition(m, above, edge), p, n), key=lambda x: x[0])
+                        if rule or (m, above) not in failed:
+                            best = max(best, (_gain(p, n, p0, n0), Condition(m, above, edge), p, n), key=lambda x: x[0])
             if best[1] is None:
                 break
             rule, p0, n0 = (*rule, best[1]), best[2], best[3]
@@ -148,12 +160,14 @@ def learn_rules(
         k = max(range(len(heads)), key=lambda k: (worth(k), -k))
         p, n, p2, n2 = of(k)
         if p + p2 + n + n2 < support or p < precision * (p + n) or p2 < precision * (p2 + n2):
-            break
+            failed.add((rule[0].measure, rule[0].above))
+            continue
         values = [measures()[c.measure] for c in heads[k]]
         gaps = rows.agg(*(x for v, c in zip(values, heads[k]) for x in (F.max(F.when(v <= c.threshold, v)), F.min(F.when(v > c.threshold, v))))).first()
         middle = lambda lo, hi, c: c.threshold if lo is None or hi is None else (lo + hi) / 2
         rules.append(tuple(Condition(c.measure, c.above, middle(gaps[2 * i], gaps[2 * i + 1], c)) for i, c in enumerate(heads[k])))
         rows = rows.where(~holds(heads[k]))
+        failed.clear()
     return rules
 
 

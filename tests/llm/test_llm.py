@@ -435,6 +435,28 @@ def test_decision_list(spark):
     assert quality.learn_rules(stats, marks.where("quality = 1")) == [] == quality.learn_rules(stats.limit(0), marks)
 
 
+def test_decision_list_finds_rare_kinds(spark):
+    rng = np.random.default_rng(5)
+    rows, bad = [], set()
+    for i in range(6000):
+        kind = "caps" if i % 100 == 7 else "symbols" if i % 50 == 3 else "words" if i % 20 == 11 else "good"
+        words = int(rng.integers(900, 1000) if kind == "words" else rng.integers(60, 600))
+        chars = 5 * words + int(rng.integers(0, words))
+        upper = int(chars * (rng.uniform(0.5, 0.9) if kind == "caps" else rng.uniform(0.01, 0.2)))
+        symbols = int(words * (rng.uniform(0.5, 0.9) if kind == "symbols" else rng.uniform(0.0, 0.2)))
+        rows.append((i, words, chars, symbols, upper, int(rng.integers(0, 5)), int(rng.integers(0, 9))))
+        # mislabelled rows that no measure tells apart
+        bad |= {i} if kind != "good" or rng.random() < 0.02 else set()
+    junk = {r[0] for r in rows if r[0] % 100 == 7 or r[0] % 50 == 3 or r[0] % 20 == 11}
+    stats = spark.createDataFrame(rows, "doc_id long, " + ", ".join(f"{c} long" for c in quality.BASE))
+    rules = quality.learn_rules(stats, spark.createDataFrame([(r[0], int(r[0] not in bad)) for r in rows], "doc_id long, quality int"))
+    dropped = {r["doc_id"] for r in stats.where(~quality.verdict(rules)).select("doc_id").collect()}
+    for period, at in ((100, 7), (50, 3), (20, 11)):
+        kind = {i for i in range(6000) if i % period == at}
+        assert len(kind & dropped) >= 0.9 * len(kind), (period, list(map(str, rules)))
+    assert len(dropped - junk) <= 0.02 * 6000
+
+
 def test_judge(spark, edges):
     labels = spark.createDataFrame([(1, 1), (6, 0)], "doc_id long, quality int")
     got = {r["doc_id"]: (r["base_failed"], r["kept"]) for r in quality.judge(edges, labels).collect()}
