@@ -52,6 +52,15 @@ def small_batches(spark: SparkSession, rows: int = 1000) -> None:
         spark.conf.set(key, rows)
 
 
+def wide_groups(spark: SparkSession, groups: int = 20_000) -> None:
+    """Let an aggregation of lists keep so many groups in memory before it sorts its input, from now on.
+
+    Spark's 128 would sort every edge of every word, although those of a word come together.
+    """
+    key = "spark.sql.objectHashAggregate.sortBased.fallbackThreshold"
+    spark.conf.set(key, max(groups, int(spark.conf.get(key))))
+
+
 def documents(spark: SparkSession, sf_dir: str, *columns: str) -> DataFrame:
     """The columns asked for of the whole ``documents`` table."""
     return spark.read.parquet(f"{sf_dir}/documents.parquet").select(*(columns or ("*",)))

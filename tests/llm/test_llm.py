@@ -341,9 +341,31 @@ def test_pieces_are_the_library_s(request, which):
     assert back == Counter((i, (t or "").replace("▁", " ")) for i, t in rows_of(df))
 
 
+def test_pieces_of_odd_words(spark):
+    import sentencepiece
+
+    rng = np.random.default_rng(5)
+    letters = lambda n, of: "".join(rng.choice(list(of), n))
+    texts = ["a" * 500, "ab" * 3000, *("x" * n for n in range(58, 66)), "the" * 20 + "n", *(" " * n + "word" + " " * n for n in (1, 2, 15, 16, 17, 31, 47, 90))]
+    texts += [letters(5000, "abcdefghijklmnopqrstuvwxyzéß漢😀"), "x\ny\n\n z", "\x00\x01 a\tb", "İstanbul ǅ", "\n", "a\n", "▁▁ ▁", "é" * 100, "漢" * 70, "😀" * 65]
+    texts += [letters(rng.integers(1, 90), "ab é,.\n1the") for _ in range(300)]
+    path = tokenizer_path("piece_bpe_32k.model")
+    sp, table = sentencepiece.SentencePieceProcessor(model_file=path), pieces.load_pieces(path)
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    wanted = {i: np.array(sp.encode(t), "<u4").tobytes() for i, t in enumerate(texts)}
+    for common in (0, 40):
+        assert {r["doc_id"]: r["ids"] for r in pieces.encode_documents(df, table, common=common).collect()} == wanted
+
+
+def test_models_whose_merges_rise_are_refused():
+    own = (("a", 0, -5.0), ("b", 1, -6.0), ("c", 2, -7.0), ("ab", 3, -2.0), ("abc", 4, -1.0))
+    with pytest.raises(ValueError, match="merges"):
+        pieces.check_merges(pieces.PieceTable(own, None, 0, "bpe"))
+
+
 def test_viterbi_against_brute_force(spark):
     own = [("a", 0, -2.0), ("b", 1, -2.0), ("ab", 2, -3.0), ("ba", 3, -2.5), ("aba", 4, -5.0), ("▁", 5, -1.0), ("▁a", 6, -2.2)]
-    table = pieces.PieceTable(tuple(own), 100, 0, "unigram", "")
+    table = pieces.PieceTable(tuple(own), 100, 0, "unigram")
     score = {p: (i, s) for p, i, s in own}
 
     def best(word):
@@ -359,8 +381,8 @@ def test_viterbi_against_brute_force(spark):
             found[j] = max(arrive)[::2]
         return found[len(word)][1]
 
-    words = ["a", "abab", "▁abba", "bab", "aé", "▁aaba", "abaab", "c"]
-    got = {r["word"]: r["code"] for r in pieces.fold_words(spark.createDataFrame([(w,) for w in words], "word string"), table).collect()}
+    words = ["a", "abab", "▁abba", "bab", "aé", "▁aaba", "abaab", "c", "ab" * 50 + "éa"]
+    got = {r["key"]: r["code"] for r in pieces.fold_words(spark.createDataFrame([(w, w) for w in words], "key string, word string"), table).collect()}
     assert got == {w: best(w) for w in words}
 
 
