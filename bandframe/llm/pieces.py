@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import hashlib
 import zlib
 from collections.abc import Iterator
 from dataclasses import dataclass
@@ -261,8 +262,8 @@ def fold_words(words: DataFrame, table: PieceTable) -> DataFrame:
 
 
 UNIT = regex.compile(f"{BLANK}+[^{BLANK}]*")
-#: Signs that end a word of letters, as ``WORD`` has it.
-PLAIN = frozenset(".,;:!?|")
+#: What parts the words of a unit without blanks while it is cut.
+CUT = "\0"
 
 
 def units_of(text: str) -> list[str]:
@@ -270,11 +271,29 @@ def units_of(text: str) -> list[str]:
     return [u[1:] for u in UNIT.findall((BLANK + text).replace(" ", BLANK))] if text else []
 
 
-def unit_words(unit: str) -> list[str]:
-    """The words of a unit; the first case only spares the pattern."""
-    if unit[-1:] in PLAIN and unit[:-1].isalpha():
-        return [BLANK + unit[:-1], unit[-1]]
-    return WORD.findall(BLANK + unit)
+def unit_words(units: pa.Array) -> tuple[pa.Array, np.ndarray]:
+    """The words of units, one after the other, and how many each unit has.
+
+    Where letters and other signs meet and around line ends a mark is set, at which the unit is cut;
+    units that hold more blanks or the mark itself are cut by ``WORD``.
+    """
+    odd = pc.or_(pc.match_substring(units, BLANK), pc.match_substring(units, CUT)).to_numpy(zero_copy_only=False)
+    marked = pc.binary_join_element_wise(BLANK, units.filter(pa.array(~odd)), "")
+    marked = pc.replace_substring_regex(marked, r"([\pL\pM])([^\pL\pM])", rf"\1{CUT}\2")
+    marked = pc.replace_substring_regex(marked, rf"([^\pL\pM{BLANK}])([\pL\pM])", rf"\1{CUT}\2")
+    lists = pc.split_pattern(pc.replace_substring(marked, "\n", f"{CUT}\n{CUT}"), CUT)
+    full = pc.not_equal(pc.binary_length(lists.flatten()), 0).to_numpy(zero_copy_only=False)
+    others = [WORD.findall(BLANK + u) for u in units.filter(pa.array(odd)).to_pylist()]
+    many = np.diff(np.concatenate([[0], np.cumsum(full)])[np.concatenate([[0], np.cumsum(lists.value_lengths().to_numpy())])])
+    sizes = np.zeros(len(units), np.int64)
+    sizes[~odd], sizes[odd] = many, [len(ws) for ws in others]
+    words = [lists.flatten().filter(pa.array(full)), pa.array([w for ws in others for w in ws], pa.string())]
+    if odd.any():  # back in the order of the units
+        place = np.empty(int(sizes.sum()), np.int64)
+        kind = np.repeat(odd, sizes)
+        place[~kind], place[kind] = np.arange(many.sum()), many.sum() + np.arange(sizes[odd].sum())
+        return pa.concat_arrays(words).take(pa.array(place)), sizes
+    return words[0], sizes
 
 
 @dataclass
@@ -307,11 +326,11 @@ def read_block(texts: pa.Array) -> Block:
     found, odd = coded.dictionary, odd.to_numpy(zero_copy_only=False)
     letters = pc.utf8_is_alpha(found).to_numpy(zero_copy_only=False)
     whole = pc.binary_join_element_wise(BLANK, found.filter(pa.array(letters)), "")
-    mixed = [unit_words(u) for u in found.filter(pa.array(~letters)).to_pylist()]
-    words = pa.concat_arrays([whole, pa.array([w for ws in mixed for w in ws], pa.string())]).dictionary_encode()
+    mixed, many = unit_words(found.filter(pa.array(~letters)))
+    words = pa.concat_arrays([whole, mixed]).dictionary_encode()
     # Word numbers lie by unit, first those of units of letters, one each.
     sizes = np.ones(len(found), np.int64)
-    sizes[~letters] = [len(ws) for ws in mixed]
+    sizes[~letters] = many
     part_ends = np.cumsum(sizes)
     parts = np.zeros(int(sizes.sum()), np.int32)
     numbers, one = words.indices.to_numpy(), np.repeat(letters, sizes)
@@ -380,14 +399,21 @@ def _block_texts(sizes: bytes, body: bytes) -> pa.Array:
 
 
 def _block_words(batches: Iterator[pa.RecordBatch], common: pa.Array) -> Iterator[pa.RecordBatch]:
-    """The words of blocks that are not common, each with the number that names it."""
+    """The words of blocks that are not common, each with the number that names it, as text.
+
+    A word of over ``SHORT`` characters is named by a hash and follows its number.
+    """
     for batch in batches:
         for block, sizes, body in zip(*(batch.column(c).to_pylist() for c in ("block", "sizes", "body"))):
             words = read_block(_block_texts(sizes, body)).words
             rare = words.filter(pc.invert(pc.is_in(words, common)))
+            ref = pa.array(block * PER_BLOCK + np.arange(len(rare))).cast(pa.string())
+            if (long := pc.greater(pc.utf8_length(rare), SHORT)).true_count:
+                ref = pc.if_else(long, pc.binary_join_element_wise(ref, rare, " "), ref)
+                keys = [hashlib.sha256(w.encode()).hexdigest() for w in rare.filter(long).to_pylist()]
+                rare = pc.replace_with_mask(rare, long, pa.array(keys, pa.string()))
             for k in range(0, len(rare), 20_000):
-                part = rare.slice(k, 20_000)
-                yield pa.RecordBatch.from_arrays([pa.array(block * PER_BLOCK + np.arange(k, k + len(part))), part], names=["ref", "word"])
+                yield pa.RecordBatch.from_arrays([rare.slice(k, 20_000), ref.slice(k, 20_000)], names=["key", "ref"])
 
 
 CODES = pa.schema([("block", pa.int64()), ("gaps", pa.binary()), ("sizes", pa.binary()), ("codes", pa.binary())])
@@ -487,11 +513,12 @@ def encode_documents(docs: DataFrame, table: PieceTable, *, common: int = 1 << 1
     frequent = common_words(rows, table, common, sample)
     sent = spark.sparkContext.broadcast(frequent)
     blocks = rows.mapInArrow(_block_rows, "block long, ids array<long>, sizes binary, body binary").repartition("block")
-    pairs = blocks.select("block", "sizes", "body").mapInArrow(lambda x: _block_words(x, sent.value["word"].combine_chunks()), "ref long, word string")
-    key = F.when(F.length("word") <= SHORT, F.col("word")).otherwise(F.sha2("word", 256))
-    pairs = pairs.select("ref", "word", key.alias("key")).repartition("key")  # one exchange for both sides of the join
-    codes = pairs.select("ref", "key").join(fold_words(pairs.select("key", "word").distinct(), table).hint("merge"), "key")
-    codes = codes.select("ref", "code").sortWithinPartitions("ref").mapInArrow(_packed_codes, "block long, gaps binary, sizes binary, codes binary")
+    pairs = blocks.select("block", "sizes", "body").mapInArrow(lambda x: _block_words(x, sent.value["word"].combine_chunks()), "key string, ref string").repartition("key")
+    # Both sides of the join read both columns, so that one exchange serves them.
+    words = pairs.groupBy("key").agg(F.max("ref").alias("ref"))
+    words = words.select("key", F.when(F.length("key") <= SHORT, F.col("key")).otherwise(F.expr("substring(ref, instr(ref, ' ') + 1)")).alias("word"))
+    codes = pairs.join(fold_words(words, table).hint("merge"), "key")
+    codes = codes.select(F.substring_index("ref", " ", 1).cast("bigint").alias("ref"), "code").sortWithinPartitions("ref").mapInArrow(_packed_codes, "block long, gaps binary, sizes binary, codes binary")
     both = blocks.groupBy("block").cogroup(codes.groupBy("block"))
     return both.applyInArrow(lambda a, b: _encoded(a, b, sent.value), "id long, ids binary").withColumnRenamed("id", id_col)
 
