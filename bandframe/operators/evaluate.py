@@ -24,16 +24,20 @@ def first_names(records: DataFrame, n: int, name: str = "name") -> DataFrame:
 def band_stats(pixels: DataFrame, n_bands: int, names: DataFrame | None = None, max_files: int = 256, key: str = "tile", bands: str = "bands") -> DataFrame:
     """Mean and population std per band over the first ``max_files`` tiles in name order: band, mean, std.
 
-    The variance is floored at 1e-8. Sums are generated per band, so a pixel stays one row and only
-    partial sums shuffle.
+    The variance is floored at 1e-8. A pixel stays one row, a vector whose moments are summed by task;
+    only those sums shuffle. Bands must not be null: clean them first (``clean_bands``).
     """
+    from pyspark.ml.functions import array_to_vector, vector_to_array
+    from pyspark.ml.stat import Summarizer
+
     if names is not None:
         pixels = pixels.join(F.broadcast(first_names(names, max_files, key)), key, "left_semi")  # at most max_files rows
-    x = [F.get(bands, F.lit(i)) for i in range(n_bands)]
-    sums = pixels.agg(*(F.avg(v).alias(f"m{i}") for i, v in enumerate(x)), *(F.avg(v * v).alias(f"q{i}") for i, v in enumerate(x)))
-    rows = F.array(*(F.struct(F.lit(i).alias("band"), F.col(f"m{i}").alias("mean"), F.col(f"q{i}").alias("square")) for i in range(n_bands)))
-    out = sums.select(F.explode(rows).alias("r")).select("r.*")
-    return out.select("band", "mean", F.sqrt(F.greatest(F.col("square") - F.col("mean") * F.col("mean"), F.lit(1e-8))).alias("std"))
+    vector = array_to_vector(F.slice(bands, 1, n_bands).cast("array<double>"))
+    sums = pixels.select(vector.alias("v")).agg(Summarizer.metrics("mean", "variance", "count").summary(F.col("v")).alias("s"))
+    n = F.col("s.count")
+    sums = sums.select(n.alias("n"), F.arrays_zip(vector_to_array("s.mean").alias("mean"), vector_to_array("s.variance").alias("variance")).alias("r")).where("n > 0")
+    out = sums.select("n", F.posexplode("r").alias("band", "r"))
+    return out.select("band", "r.mean", F.sqrt(F.greatest(F.col("r.variance") * (F.col("n") - 1) / F.col("n"), F.lit(1e-8))).alias("std"))
 
 
 def confusion_columns(pred: Column, truth: Column) -> list[Column]:
@@ -79,8 +83,8 @@ def threshold_sweep(probs: DataFrame, thresholds: tuple[float, ...] = THRESHOLDS
     reached = sum(((F.coalesce(F.col(prob), F.lit(-1.0)) >= F.lit(t)).cast("int") for t in cuts), F.lit(0))
     water = F.coalesce(F.col(truth) == 1, F.lit(False))
     buckets = probs.select(reached.alias("bucket"), water.alias("water")).groupBy("bucket").agg(F.count_if("water").alias("pos"), F.count_if(~F.col("water")).alias("neg"))
-    spark = probs.sparkSession
-    steps = spark.createDataFrame([(i, float(t)) for i, t in enumerate([-1.0, *cuts])], "bucket int, threshold double")
+    table = F.array(*(F.struct(F.lit(i).alias("bucket"), F.lit(float(t)).alias("threshold")) for i, t in enumerate([-1.0, *cuts])))
+    steps = probs.sparkSession.range(1).select(F.inline(table))
     rows = steps.join(F.broadcast(buckets), "bucket", "left").na.fill(0, ["pos", "neg"])
     above = Window.orderBy(F.desc("bucket")).rowsBetween(Window.unboundedPreceding, 0)
     every = Window.orderBy(F.desc("bucket")).rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
@@ -103,16 +107,41 @@ def tile_metrics(probs: DataFrame, threshold: float, mode: str = "plain", prob:
 def scene_summary(probs: DataFrame, keys: tuple[str, ...] = ("scene_id",), prob: str = "prob", exact: bool = True) -> DataFrame:
     """Pixels and probability statistics per scene; probabilities are null where invalid.
 
-    The 95th percentile is interpolated; with ``exact=False`` it is approximate, for scenes too
-    large for a table of their distinct values. Without valid pixels the statistics are 0.
+    The 95th percentile is interpolated; with ``exact=False`` it is approximate and spares a shuffle
+    of distinct values. Without valid pixels the statistics are 0. Keys are not null.
     """
-    p95 = F.percentile(prob, F.lit(0.95)) if exact else F.percentile_approx(prob, 0.95, 10_000)
     six = lambda c: F.bround(F.coalesce(c, F.lit(0.0)), 6)
-    return probs.groupBy(*keys).agg(
+    more = [] if exact else [F.percentile_approx(prob, 0.95, 10_000).alias("p95")]
+    rows = probs.groupBy(*keys).agg(
         F.count("*").alias("total_pixels"), F.count(prob).alias("valid_pixels"),
         F.bround(1 - F.count(prob) / F.greatest(F.count("*"), F.lit(1)), 6).alias("nodata_fraction"),
-        six(F.avg(prob)).alias("mean_probability"), six(p95).alias("p95_probability"), six(F.max(prob)).alias("max_probability"),
+        six(F.avg(prob)).alias("mean_probability"), six(F.max(prob)).alias("max_probability"), *more,
     )
+    rows = rows.join(quantile(probs, 0.95, keys, prob).withColumnRenamed("value", "p95"), list(keys), "left") if exact else rows
+    return rows.select(*keys, "total_pixels", "valid_pixels", "nodata_fraction", "mean_probability", six(F.col("p95")).alias("p95_probability"), "max_probability")
+
+
+def quantile(df: DataFrame, q: float, keys: tuple[str, ...], value: str, buckets: int = 1024) -> DataFrame:
+    """The exact quantile of each group, between its two neighbours: keys, value.
+
+    Values are counted once each, and the counts summed over ``buckets`` ranges of 0 to 1 (others
+    join the first or last). The bucket that holds the rank is known from these sums, and only
+    its values are put in order, so no task holds or sorts a group.
+    """
+    at = F.least(F.greatest(F.floor(F.col("v") * buckets), F.lit(0)), F.lit(buckets - 1)).cast("int")
+    counts = df.where(F.col(value).isNotNull()).groupBy(*keys, F.col(value).cast("double").alias("v")).agg(F.count("*").alias("n")).withColumn("_b", at)
+    group = Window.partitionBy(*keys)
+    before = lambda w: F.coalesce(F.sum("n").over(w.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    sums = counts.groupBy(*keys, "_b").agg(F.sum("n").alias("n"))
+    sums = sums.select(*keys, "_b", "n", before(group.orderBy("_b")).alias("_start"), (q * (F.sum("n").over(group) - 1)).alias("_rank"))
+    lo, hi = F.floor("_rank"), F.ceil("_rank")
+    holding = sums.where((F.col("_start") <= hi) & (F.col("_start") + F.col("n") > lo)).drop("n")
+    rows = counts.join(holding, [*keys, "_b"])
+    first = F.col("_start") + before(Window.partitionBy(*keys, "_b").orderBy("v"))
+    rows = rows.select(*keys, "v", "n", "_rank", first.alias("_first"))
+    holds = lambda k: F.max(F.when((F.col("_first") <= k) & (F.col("_first") + F.col("n") > k), F.col("v")))
+    ends = rows.groupBy(*keys, "_rank").agg(holds(lo).alias("a"), holds(hi).alias("b"))
+    return ends.select(*keys, (F.col("a") + (F.col("b") - F.col("a")) * (F.col("_rank") - lo)).alias("value"))
 
 
 def audit(pixels: DataFrame, tile: str = "tile", split: str = "split", label: str = "label") -> DataFrame:
@@ -216,41 +245,57 @@ def threshold_list(ranges: list[tuple[float, float, float]]) -> tuple[float, ...
     return tuple(sorted(out))
 
 
-def lovasz_softmax(df: DataFrame, by: list[str] | None = None, prob: str = "prob", truth: str = "label", order: str = "px_id", buckets: int = 4096) -> DataFrame:
+def lovasz_softmax(df: DataFrame, by: list[str] | None = None, prob: str = "prob", truth: str = "label", order: str = "px_id", buckets: int = 1024) -> DataFrame:
     """Lovasz-Softmax loss of two classes: mean over the classes present, 0 if none is (Berman et al., 2018).
 
     Errors are sorted falling; an error weighs as much as it moves the Jaccard loss. With ``by``
-    each group (a tile, say) is one window. Without, errors are dealt into ``buckets`` ranges:
-    sums over the buckets above carry into a bucket, so no task sorts all pixels.
+    each group (a tile, say) is one window. Without, see ``_lovasz_whole``. The order among equal errors
+    doesn't matter to the loss.
     """
     by = by or []
     classes = F.explode(F.array(F.lit(0), F.lit(1)))
     p = F.when(F.col("class") == 1, F.col(prob)).otherwise(1 - F.col(prob))
-    rows = df.select(*by, F.col(prob), F.col(truth), F.col(order).alias("_px"), classes.alias("class"))
+    rows = df.select(*by, F.col(prob), F.col(truth), *([F.col(order).alias("_px")] if by else []), classes.alias("class"))
     fg = (F.col(truth) == F.col("class")).cast("int")
-    rows = rows.select(*by, "class", "_px", fg.alias("fg"), F.abs(fg - p).alias("err"))
+    rows = rows.select(*by, "class", *(["_px"] if by else []), fg.alias("fg"), F.abs(fg - p).alias("err"))
+    if not by:
+        return _lovasz_whole(rows, buckets)
     totals = rows.groupBy(*by, "class").agg(F.sum("fg").alias("gts"))
-    if by:
-        part, extra = [*by, "class"], []
-        carry = None
-    else:
-        rows = rows.withColumn("_b", F.least((F.col("err") * buckets).cast("int"), F.lit(buckets - 1)))
-        sums = rows.groupBy("class", "_b").agg(F.sum("fg").alias("f"), F.count("*").alias("n"))
-        above = Window.partitionBy("class").orderBy(F.desc("_b")).rowsBetween(Window.unboundedPreceding, -1)
-        carry = sums.select("class", "_b", F.coalesce(F.sum("f").over(above), F.lit(0)).alias("f0"), F.coalesce(F.sum("n").over(above), F.lit(0)).alias("n0"))
-        part, extra = ["class", "_b"], ["_b"]
-        rows = rows.join(F.broadcast(carry), ["class", "_b"])  # two rows a bucket at most
-    rows = rows.join(F.broadcast(totals), [*by, "class"]) if not by else rows.join(totals, [*by, "class"])
-    w = Window.partitionBy(*part).orderBy(F.desc("err"), "_px").rowsBetween(Window.unboundedPreceding, 0)
-    f = F.sum("fg").over(w) + (F.col("f0") if extra else 0)
-    n = F.count("*").over(w) + (F.col("n0") if extra else 0)
-    rows = rows.withColumn("_f", f).withColumn("_n", n)
-    jac = lambda f, n: F.when(n > 0, 1 - (F.col("gts") - f) / (F.col("gts") + n - f)).otherwise(0.0)
-    grad = jac(F.col("_f"), F.col("_n")) - jac(F.col("_f") - F.col("fg"), F.col("_n") - 1)
+    rows = rows.join(totals, [*by, "class"])
+    w = Window.partitionBy(*by, "class").orderBy(F.desc("err"), "_px").rowsBetween(Window.unboundedPreceding, 0)
+    rows = rows.withColumn("_f", F.sum("fg").over(w)).withColumn("_n", F.count("*").over(w))
+    grad = _jaccard_loss(F.col("_f"), F.col("_n")) - _jaccard_loss(F.col("_f") - F.col("fg"), F.col("_n") - 1)
     losses = rows.where("gts > 0").groupBy(*by, "class").agg(F.sum(F.col("err") * grad).alias("loss"))
-    if by:
-        groups = df.select(*by).distinct()
-        return groups.join(losses.groupBy(*by).agg(F.avg("loss").alias("loss")), by, "left").withColumn("loss", F.coalesce("loss", F.lit(0.0)))
+    groups = df.select(*by).distinct()
+    return groups.join(losses.groupBy(*by).agg(F.avg("loss").alias("loss")), by, "left").withColumn("loss", F.coalesce("loss", F.lit(0.0)))
+
+
+def _jaccard_loss(f: Column, n: Column) -> Column:
+    """The loss after the ``n`` greatest errors, ``f`` of them on the class, of ``gts`` pixels of it."""
+    return F.when(n > 0, 1 - (F.col("gts") - f) / (F.col("gts") + n - f)).otherwise(0.0)
+
+
+def _lovasz_whole(rows: DataFrame, buckets: int) -> DataFrame:
+    """The loss over all rows (class, fg, err).
+
+    Equal errors become one row, and these are dealt into ranges of about equal size, cut at
+    approximate quantiles: sums over the ranges above carry into a range, so no task sorts all
+    pixels, and a model that is sure of most pixels fills no range more than others.
+    """
+    from pyspark.ml.feature import Bucketizer
+
+    equal = rows.where("err IS NOT NULL").groupBy("class", "err").agg(F.sum("fg").alias("f"), F.count("*").alias("n"))
+    cuts = equal.agg(F.percentile_approx("err", [k / buckets for k in range(1, buckets)], 10 * buckets).alias("cuts")).first()["cuts"]
+    splits = [-float("inf"), *sorted(set(cuts or [])), float("inf")]
+    equal = Bucketizer(splits=splits, inputCol="err", outputCol="_b").transform(equal)
+    sums = equal.groupBy("class", "_b").agg(F.sum("f").alias("f"), F.sum("n").alias("n"))
+    above = Window.partitionBy("class").orderBy(F.desc("_b")).rowsBetween(Window.unboundedPreceding, -1)
+    carry = sums.select("class", "_b", F.coalesce(F.sum("f").over(above), F.lit(0)).alias("f0"), F.coalesce(F.sum("n").over(above), F.lit(0)).alias("n0"), F.sum("f").over(Window.partitionBy("class")).alias("gts"))
+    equal = equal.join(F.broadcast(carry), ["class", "_b"])  # two rows a range at most
+    w = Window.partitionBy("class", "_b").orderBy(F.desc("err")).rowsBetween(Window.unboundedPreceding, 0)
+    equal = equal.withColumn("_f", F.sum("f").over(w) + F.col("f0")).withColumn("_n", F.sum("n").over(w) + F.col("n0"))
+    grad = _jaccard_loss(F.col("_f"), F.col("_n")) - _jaccard_loss(F.col("_f") - F.col("f"), F.col("_n") - F.col("n"))
+    losses = equal.where("gts > 0").groupBy("class").agg(F.sum(F.col("err") * grad).alias("loss"))
     return losses.agg(F.coalesce(F.avg("loss"), F.lit(0.0)).alias("loss"))
 
 

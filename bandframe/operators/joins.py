@@ -47,8 +47,14 @@ def pairing_report(rows: DataFrame, examples: int = 3) -> DataFrame:
     return counts.crossJoin(F.broadcast(lists))
 
 
-def align_pixels(s1: DataFrame, aef: DataFrame, label: DataFrame, on: tuple[str, ...] = ("tile", "row", "col")) -> DataFrame:
-    """The three layers of each pixel by position."""
+def align_pixels(s1: DataFrame, aef: DataFrame, label: DataFrame, on: tuple[str, ...] = ("tile", "row", "col"), strict: bool = True) -> DataFrame:
+    """The three layers of each pixel by position.
+
+    ``strict`` refuses tiles whose layers differ in shape, naming some; else pixels without all three
+    layers are left out.
+    """
+    if strict and (bad := shape_mismatches({"s1": s1, "aef": aef, "label": label}, on[0]).orderBy(on[0]).limit(5).collect()):
+        raise ValueError(f"layers differ in shape in tiles {[r[on[0]] for r in bad]}")
     return s1.join(aef, list(on)).join(label, list(on))
 
 

@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from bandframe.functions.columns import dot, softmax_water
-from bandframe.operators.grid import FLIPS, flip
+from bandframe.operators.grid import FLIPS
 
 
 def score_pixels(pixels: DataFrame, head: tuple[list[float], list[float]], bias: tuple[float, float] = (0.0, 0.0), bands: str = "bands") -> DataFrame:
@@ -88,27 +88,29 @@ def score_blocks(blocks: DataFrame, fn: BlockScorer, size: int, n_bands: int, tt
     return blocks.mapInPandas(scored, f"{fields}, top int, left int, row int, col int, logit0 double, logit1 double, error string")
 
 
-def tta_average(pixels: DataFrame, scorer: Callable[[DataFrame], DataFrame], mode: str, h: int, w: int, keys: tuple[str, ...] = ("tile",)) -> DataFrame:
-    """Score four flips of each tile and average them back: keys, row, col, prob.
+def tta_average(pixels: DataFrame, scorer: Callable[[DataFrame], DataFrame], mode: str | tuple[str, ...], h: int, w: int, keys: tuple[str, ...] = ("tile",)) -> DataFrame:
+    """Score four flips of each tile and average them back: keys, row, col, prob; with several modes a
+    column of the name of each.
 
     ``scorer`` maps a table of pixels (keys, flip, row, col, ...) to one with logit0 and logit1 and
     may look at neighbours within (keys, flip). ``logit_mean`` averages logits before the softmax,
     ``prob_mean`` probabilities after it.
     """
-    turned = None
-    for name, dims in FLIPS:
-        one = flip(pixels, dims, h, w).withColumn("flip", F.lit(name))
-        turned = one if turned is None else turned.unionByName(one)
-    scored = scorer(turned)
-    row = F.when(F.col("flip").isin("vertical", "both"), h - 1 - F.col("row")).otherwise(F.col("row"))
-    col = F.when(F.col("flip").isin("horizontal", "both"), w - 1 - F.col("col")).otherwise(F.col("col"))
-    back = scored.select(*keys, row.alias("row"), col.alias("col"), "logit0", "logit1").groupBy(*keys, "row", "col")
-    if mode == "logit_mean":
-        means = back.agg(F.avg("logit0").alias("l0"), F.avg("logit1").alias("l1"))
-        return means.select(*keys, "row", "col", softmax_water(F.col("l0"), F.col("l1")).alias("prob"))
-    if mode == "prob_mean":
-        return back.agg(F.avg(softmax_water(F.col("logit0"), F.col("logit1"))).alias("prob"))
-    raise ValueError(f"unknown mode: {mode}")
+    modes = (mode,) if isinstance(mode, str) else mode
+    if unknown := set(modes) - {"logit_mean", "prob_mean"}:
+        raise ValueError(f"unknown mode: {sorted(unknown)}")
+    size = {"row": h, "col": w}
+    place = lambda c, dims: (size[c] - 1 - F.col(c) if c in dims else F.col(c)).cast("int").alias(c)
+    turns = F.array(*(F.struct(F.lit(name).alias("flip"), place("row", dims), place("col", dims)) for name, dims in FLIPS))
+    turned = pixels.withColumn("_turn", F.explode(turns)).drop("row", "col", "flip").select("*", "_turn.*").drop("_turn")
+    scored = scorer(turned)  # one scan, a row for each flip
+    back = F.array(*(F.struct(F.lit(name).alias("flip"), place("row", dims), place("col", dims)) for name, dims in FLIPS))
+    at = F.filter(back, lambda t: t["flip"] == F.col("flip"))[0]
+    rows = scored.select(*keys, at.alias("_at"), "logit0", "logit1")
+    l0, l1 = F.avg("logit0"), F.avg("logit1")
+    means = {"logit_mean": softmax_water(l0, l1), "prob_mean": F.avg(softmax_water(F.col("logit0"), F.col("logit1")))}
+    out = rows.select(*keys, "_at.row", "_at.col", "logit0", "logit1").groupBy(*keys, "row", "col")
+    return out.agg(*(means[m].alias("prob" if isinstance(mode, str) else m) for m in modes))
 
 
 def features(kind: str, bands: str = "bands", n_s1: int = 3) -> Column:

@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import tempfile
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 
 TABLES = ("orders", "embeddings", "part", "supplier")
@@ -21,7 +24,7 @@ SELECT o.o_orderkey AS px_id,
        e.label AS dw_class,
        CASE WHEN e.label = 0 THEN 400 + (o.o_orderkey * 7919) % 601
             ELSE (o.o_orderkey * 7919) % 751 END AS p_milli
-FROM orders o JOIN embeddings e ON e.vec_id = o.o_orderkey % 500
+FROM (SELECT *, o_orderkey % (SELECT COUNT(*) FROM embeddings) AS vec FROM orders) o JOIN embeddings e ON e.vec_id = o.vec
 """
 PX = _PX.format(nodata="array_repeat(CAST(-128 AS FLOAT), 64)")
 PX_DUCKDB = _PX.format(nodata="list_resize(CAST([] AS FLOAT[]), 64, CAST(-128 AS FLOAT))")
@@ -67,21 +70,51 @@ SELECT CONCAT('scene_', s_suppkey) AS raster_id,
 FROM supplier
 """
 
-PROJ_W = """
-SELECT p.vec_id AS proj, b.vec_id AS band,
-       (((p.vec_id * 31 + b.vec_id * 17) % 41) - 20) / CAST(100 AS DOUBLE) AS w
-FROM (SELECT vec_id FROM embeddings WHERE vec_id < 16) p CROSS JOIN (SELECT vec_id FROM embeddings WHERE vec_id < 64) b
+#: Weights of 16 projections of 64 bands: the means of the embeddings whose ids leave each rest.
+_PROJ_W = """
+SELECT vec_id % 16 AS proj, CAST(band AS BIGINT) AS band, ROUND(AVG(CAST(x AS DOUBLE)), 6) AS w
+FROM {bands} GROUP BY vec_id % 16, band
 """
+PROJ_W = _PROJ_W.format(bands="(SELECT vec_id, POSEXPLODE(embedding) AS (band, x) FROM embeddings) b")
+PROJ_W_DUCKDB = _PROJ_W.format(bands="(SELECT vec_id, UNNEST(embedding) AS x, UNNEST(range(64)) AS band FROM embeddings) b")
 
 VIEWS = {"px": PX, "scene_paths": SCENE_PATHS, "tile_files": TILE_FILES, "manifest": MANIFEST, "grid_headers": GRID_HEADERS, "proj_w": PROJ_W}
 
 
 def view(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     """A fixture over the tables of a folder."""
-    tables = {t: spark.read.parquet(f"{sf_dir}/{t}.parquet") for t in TABLES if f" {t}" in VIEWS[name]}
+    tables = {t: spread(spark.read.parquet(f"{sf_dir}/{t}.parquet"), t) for t in TABLES if f" {t}" in VIEWS[name]}
     return spark.sql(_bound(VIEWS[name], tables), **tables)
 
 
+#: What the fixtures read of a table whose rows are dealt out anew, and the key.
+NARROW = {"orders": ("o_orderkey", "o_custkey", "o_orderdate")}
+
+
+def spread(df: DataFrame, table: str) -> DataFrame:
+    """A small table in one split would leave all work on it to one core: its few columns are dealt out.
+
+    A table of as many splits as there are cores stays as it is.
+    """
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    if table not in NARROW or df.rdd.getNumPartitions() >= cores:
+        return df
+    return df.select(*NARROW[table]).repartition(cores, NARROW[table][0])
+
+
+def workdir(spark: SparkSession) -> str:
+    """A fresh folder for what a query writes, below ``spark.checkpoint.dir``.
+
+    Where that is unset a local folder serves if all tasks run in the driver; else it is an error.
+    """
+    base = spark.conf.get("spark.checkpoint.dir", None)
+    if not base:
+        if spark.sparkContext.master.split("[")[0] != "local":
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+        return tempfile.mkdtemp(prefix="spark-")
+    return f"{base.rstrip('/')}/queries/{uuid.uuid4().hex}"
+
+
 def _bound(sql: str, tables: dict[str, DataFrame]) -> str:
     for t in tables:
         sql = sql.replace(f"FROM {t}", f"FROM {{{t}}}").replace(f"JOIN {t}", f"JOIN {{{t}}}")
@@ -90,5 +123,5 @@ def _bound(sql: str, tables: dict[str, DataFrame]) -> str:
 
 def duckdb_with(*names: str) -> str:
     """The fixtures as the beginning of a DuckDB statement."""
-    own = VIEWS | {"px": PX_DUCKDB}
+    own = VIEWS | {"px": PX_DUCKDB, "proj_w": PROJ_W_DUCKDB}
     return "WITH " + ", ".join(f"{n} AS ({own[n]})" for n in names)

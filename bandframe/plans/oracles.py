@@ -43,6 +43,14 @@ counted AS (SELECT eval_mode, threshold, {COUNTS.format(pred="(p >= threshold)",
 sweep AS (SELECT eval_mode, threshold, {METRICS} FROM counted),
 raw AS (SELECT eval_mode, threshold, tp / CAST(greatest(tp + fp + fn, 1) AS DOUBLE) AS water_iou, tp / CAST(greatest(tp + fp, 1) AS DOUBLE) AS precision,
   (2 * tn / CAST(greatest(2 * tn + fp + fn, 1) AS DOUBLE) + 2 * tp / CAST(greatest(2 * tp + fp + fn, 1) AS DOUBLE)) / 2 AS dice FROM counted)"""
+WINDOWS = "win AS (SELECT t AS top, l AS left_ FROM (SELECT unnest([0, 12, 14]) AS t) CROSS JOIN (SELECT unnest([0, 12, 24, 34]) AS l))"
+CELLS = """cells AS (SELECT tile_no, CAST(r.range AS INT) AS row, CAST(c.range AS INT) AS col FROM (SELECT DISTINCT tile_no FROM px) CROSS JOIN range({n}) r CROSS JOIN range({n}) c)"""
+#: Between four neighbours: from places (tile_no, row, col, y, x, ly, lx) and crops c (tile_no, r, c, vh, p, label).
+BETWEEN = """corners AS (SELECT * FROM (VALUES (0, 0), (0, 1), (1, 0), (1, 1)) AS k(i, j)),
+ask AS (SELECT tile_no, row, col, floor(y) + i AS r, floor(x) + j AS c, (CASE i WHEN 1 THEN y - floor(y) ELSE 1 - (y - floor(y)) END) * (CASE j WHEN 1 THEN x - floor(x) ELSE 1 - (x - floor(x)) END) AS wt FROM places CROSS JOIN corners),
+image AS (SELECT ask.tile_no, row, col, sum(vh * wt) AS v0, sum(p * wt) AS v1 FROM ask JOIN c ON c.tile_no = ask.tile_no AND c.r = ask.r AND c.c = ask.c WHERE wt > 0 GROUP BY ALL)
+SELECT p.tile_no AS tile, p.row, p.col, CAST(coalesce(l.label, 0) AS INT) AS label, round(coalesce(v0, 0), 5) + 0.0 AS b0, round(coalesce(v1, 0), 5) + 0.0 AS b1
+FROM places p LEFT JOIN image USING (tile_no, row, col) LEFT JOIN c l ON l.tile_no = p.tile_no AND l.r = p.ly AND l.c = p.lx"""
 STARTS = "list_distinct(list_append(range(0, greatest({n} - 16, 0) + 1, 12), greatest({n} - 16, 0)))"
 
 
@@ -68,7 +76,7 @@ def _flipped(name: str) -> str:
 ORACLES: dict[str, str] = {
     "q01_discover_scenes": f"""{DATED} SELECT CAST(day AS VARCHAR) AS date, year, 's1aef' AS model_kind, path AS s1_path, '/d/aef.tif' AS aef_path,
         'out/probabilities/' || year || '/' || replace(file, '.tif', '') || '_prob.tif' AS prob_path
-        FROM good WHERE file_id < 600 AND year IN (1993, 1995, 1996) ORDER BY string_split(path, '/') LIMIT 100""",
+        FROM good WHERE year IN (1993, 1995, 1996) ORDER BY string_split(path, '/') LIMIT 100""",
     "q02_pair_triplets": f"{SIDES} SELECT * FROM trip",
     "q03_manifest_checks": f"""{duckdb_with("manifest", "tile_files")}, m AS (
         SELECT coalesce(nullif(tile_name, ''), string_split(s1_path, '/')[-1]) AS name, s1_path, nullif(aef_path, '') AS aef_path, label_path FROM manifest WHERE sample_id = 'a'
@@ -119,7 +127,7 @@ ORACLES: dict[str, str] = {
       SELECT tile_no AS tile, count(*) AS total_pixels, count(p) AS valid_pixels, round_even(1 - count(p) / CAST(greatest(count(*), 1) AS DOUBLE), 6) AS nodata_fraction,
         round_even(coalesce(avg(p), 0), 6) AS mean_probability, round_even(coalesce(quantile_cont(p, 0.95), 0), 6) AS p95_probability, round_even(coalesce(max(p), 0), 6) AS max_probability
       FROM v GROUP BY tile_no""",
-    "q21_band_stats": f"""{PX}, b AS (SELECT {BANDS} AS bands FROM px WHERE tile_no IN (SELECT DISTINCT tile_no FROM px ORDER BY tile_no LIMIT 8)), {STATS}
+    "q21_band_stats": f"""{PX}, b AS (SELECT {BANDS} AS bands FROM px WHERE tile_no IN (SELECT DISTINCT tile_no FROM px ORDER BY tile_no LIMIT 256)), {STATS}
       SELECT CAST(band AS INT) AS band, round(mean, 6) + 0.0 AS mean, round(std, 6) AS std FROM stats""",
     "q22_confusion": f"""{PX}, c AS (SELECT {COUNTS.format(pred=f"({P} > 1 - {P})", y=LABEL)} FROM px)
       SELECT {METRICS}, round(CASE WHEN tp + fp + fn > 0 THEN tp / CAST(tp + fp + fn AS DOUBLE) ELSE 0 END, 6) AS iou_metric FROM c""",
@@ -168,3 +176,52 @@ ORACLES: dict[str, str] = {
         array_to_string(list_sort(list(name) FILTER (WHERE status = 'missing_label'))[1:3], ',') AS missing_label_examples FROM trip""",
 }
 ORACLES["q32_lovasz_all"] = ORACLES["q26_lovasz"].replace("tile_no AS tile", "1 AS tile").replace("SELECT t.tile, round", "SELECT round")
+
+
+def _unit(seed: str, lot: str) -> str:
+    return f"({drawn(seed, lot)} / CAST(268435456 AS DOUBLE))"
+
+
+def _crop(size: int, rows: int, cols: int) -> str:
+    return f"""d AS (SELECT *, {drawn("7:1", "top")} % {rows} AS t, {drawn("7:1", "left")} % {cols} AS l FROM px),
+      c AS (SELECT tile_no, row_i - t AS r, col_i - l AS c, vh, {P} AS p, {LABEL} AS label FROM d WHERE row_i BETWEEN t AND t + {size - 1} AND col_i BETWEEN l AND l + {size - 1})"""
+
+
+ORACLES |= {
+    "q33_blocks_stitch": f"""{PX}, {WINDOWS} SELECT a.tile_no AS tile, a.row_i AS row, a.col_i AS col,
+        round(avg({P.replace("p_milli", "a.p_milli")} * 2 + coalesce({P.replace("p_milli", "n.p_milli")}, 0) / 2), 6) AS logit1
+      FROM px a JOIN win ON a.row_i >= top AND a.row_i < top + 16 AND a.col_i >= left_ AND a.col_i < left_ + 16
+      LEFT JOIN px n ON n.tile_no = a.tile_no AND n.row_i = a.row_i AND n.col_i = a.col_i - 1 AND n.col_i >= left_ GROUP BY ALL""",
+    "q34_scale_jitter": f"""{PX}, {_crop(30, 1, 21)}, {CELLS.format(n=30)},
+      f AS (SELECT *, greatest(32, round_even((CAST(0.8 AS DOUBLE) + {_unit("7", "scale")} * CAST({1.25 - 0.8!r} AS DOUBLE)) * 30, 0)) AS side FROM cells),
+      o AS (SELECT *, row + {drawn("7", "jitter_top")} % CAST(side - 29 AS BIGINT) AS iy, col + {drawn("7", "jitter_left")} % CAST(side - 29 AS BIGINT) AS ix, CAST(30 AS DOUBLE) / side AS ratio FROM f),
+      places AS (SELECT *, least(greatest((iy + CAST(0.5 AS DOUBLE)) * ratio - 0.5, 0), 29) AS y, least(greatest((ix + CAST(0.5 AS DOUBLE)) * ratio - 0.5, 0), 29) AS x,
+        least(floor(iy * ratio), 29) AS ly, least(floor(ix * ratio), 29) AS lx FROM o), {BETWEEN}""",
+    "q35_rotate_small": f"""{PX}, {_crop(16, 15, 35)}, {CELLS.format(n=16)},
+      f AS (SELECT *, radians(CASE WHEN {_unit("7", "turn_p")} < CAST(0.7 AS DOUBLE) THEN ({_unit("7", "angle")} * 2 - 1) * CAST(5 AS DOUBLE) ELSE 0 END) AS a, row - CAST(7.5 AS DOUBLE) AS dy, col - CAST(7.5 AS DOUBLE) AS dx FROM cells),
+      g AS (SELECT tile_no, row, col, round(sin(a) * dx + cos(a) * dy + 7.5, 9) AS y, round(cos(a) * dx - sin(a) * dy + 7.5, 9) AS x FROM f),
+      places AS (SELECT *, round_even(y, 0) AS ly, round_even(x, 0) AS lx FROM g), {BETWEEN}""",
+    "q36_probabilities": f"{PX} SELECT 'tile_' || tile_no AS scene_id, CAST(tile_no % 3 + 2000 AS INT) AS year, row_i AS row, col_i AS col, CASE WHEN {VALID} THEN round({P}, 4) END AS prob FROM px",
+    "q37_run_config": f"""{DATED}, g AS (SELECT crs, width, height FROM grid_headers ORDER BY raster_id LIMIT 1), y AS (SELECT year, count(*) AS n FROM good GROUP BY year)
+      SELECT '{{"overlap":"64","tile_size":"512"}}' AS settings, CAST(sum(n) AS BIGINT) AS scene_count, '{{' || string_agg('"' || year || '":' || n, ',' ORDER BY year) || '}}' AS by_year,
+        (SELECT '{{"crs":"' || crs || '","width":' || width || ',"height":' || height || '}}' FROM g) AS grid FROM y""".replace("WITH scene_paths AS", f"{duckdb_with('grid_headers')}, scene_paths AS", 1),
+    "q38_distinct_samples": f"{duckdb_with('manifest')} SELECT string_agg(DISTINCT sample_id, ',' ORDER BY sample_id) AS sample_ids FROM manifest WHERE sample_id <> ''",
+    "q39_apply_thresholds": f"""{PX}, t AS (SELECT CAST(unnest([{", ".join(map(str, THRESHOLDS))}]) AS DOUBLE) AS threshold)
+      SELECT threshold, count(*) AS pixels, count(*) FILTER (WHERE {P} >= threshold) AS water FROM px CROSS JOIN t GROUP BY threshold""",
+    "q40_stored_stats": f"{PX}, b AS (SELECT {BANDS} AS bands FROM px), {STATS} SELECT CAST(band AS INT) AS band, round(mean, 6) + 0.0 AS mean, round(std, 6) AS std FROM stats",
+    "q41_eval_artifacts": f"""{PX}, probs AS (SELECT 'plain' AS eval_mode, {P} AS p, {LABEL} AS y FROM px), {SWEEP},
+      n AS (SELECT tile_no AS tile, {COUNTS.format(pred=f"({P} >= CAST(0.55 AS DOUBLE))", y=LABEL)} FROM px GROUP BY tile_no), m AS (SELECT tile, {METRICS} FROM n),
+      x AS (SELECT tile, tp / CAST(greatest(tp + fp + fn, 1) AS DOUBLE) AS a, tp / CAST(greatest(tp + fp, 1) AS DOUBLE) AS b, tp / CAST(greatest(tp + fn, 1) AS DOUBLE) AS c FROM n ORDER BY a, b, c, tile LIMIT 25)
+      SELECT 'worst' AS kind, tile AS key, water_iou, tp, fn FROM m JOIN x USING (tile)
+      UNION ALL SELECT 'sweep', CAST(round(threshold * 100) AS BIGINT), water_iou, tp, fn FROM sweep""",
+    "q42_stream_scenes": f"""{PX}, v AS (SELECT tile_no, CASE WHEN {VALID} THEN {P} END AS p FROM px)
+      SELECT 'tile_' || tile_no AS scene, CAST(2025 AS INT) AS year, CASE WHEN tile_no % 10 = 3 THEN 'error' ELSE 'ok' END AS status,
+        CASE WHEN tile_no % 10 <> 3 THEN count(*) END AS total_pixels, CASE WHEN tile_no % 10 <> 3 THEN count(p) END AS valid_pixels,
+        CASE WHEN tile_no % 10 <> 3 THEN round(avg(p), 3) END AS mean_probability, CASE WHEN tile_no % 10 <> 3 THEN round(max(p), 3) END AS max_probability,
+        CASE WHEN tile_no % 10 = 3 THEN 'unexpected number of bands' END AS error FROM v GROUP BY tile_no""",
+}
+ORACLES["q43_training_table"] = (
+    ORACLES["q30_crop_augment"].replace("md5('7:flip", "md5('7:1:flip").replace("md5('7:turns", "md5('7:1:turns").replace("md5('7:gain", "md5('7:1:gain").replace("md5('7:bias", "md5('7:1:bias")
+    .replace("round(vh * g + b, 5)", "round((vh * g + b + 15) / 8, 5) + 0.0").replace("round(angle * g + b, 5)", "round((angle * g + b - 37) / 4, 5) + 0.0")
+    .replace(f"round({P}, 5)", f"round(({P} * g + b - 0.5) / CAST(0.3 AS DOUBLE), 5) + 0.0")
+)

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -12,9 +13,10 @@ from bandframe.functions import columns as C
 from bandframe.operators import evaluate as E
 from bandframe.operators import grid as G
 from bandframe.operators import joins as J
-from bandframe.operators.score import score_pixels, tta_average
-from bandframe.plans.fixtures import view
+from bandframe.operators.score import fit_pixel_classifier, predict_pixels, score_blocks, score_pixels, tta_average
+from bandframe.plans.fixtures import view, workdir
 from bandframe.sources import files as S
+from bandframe.streaming import incremental as X
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -54,7 +56,7 @@ def pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query
 def q01_discover_scenes(spark: SparkSession, sf_dir: str) -> DataFrame:
-    files = view(spark, sf_dir, "scene_paths").where("file_id < 600")
+    files = view(spark, sf_dir, "scene_paths")
     return S.scene_manifest(S.discover_scenes(files, years=[1993, 1995, 1996], max_scenes=100, strict=False), "s1aef", "/d/aef.tif")
 
 
@@ -115,7 +117,7 @@ def q11_align_pixels(spark: SparkSession, sf_dir: str) -> DataFrame:
     px = pixels(spark, sf_dir)
     on = ("tile", "row", "col")
     s1, aef = px.select(*on, "p_milli"), px.where("px_id % 13 <> 0").select(*on, F.size("aef").alias("n_aef"))
-    rows = J.align_pixels(s1, aef, px.where("px_id % 7 <> 0").select(*on, "label"), on)
+    rows = J.align_pixels(s1, aef, px.where("px_id % 7 <> 0").select(*on, "label"), on, strict=False)
     return rows.groupBy("tile").agg(F.count("*").alias("n"), F.sum("p_milli").alias("p_milli"), F.sum("label").alias("water"), F.sum("n_aef").alias("n_aef"))
 
 
@@ -197,7 +199,7 @@ def q20_scene_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query
 def q21_band_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
     px = banded(pixels(spark, sf_dir))
-    out = E.band_stats(px, N_BANDS, px.select("tile"), max_files=8)
+    out = E.band_stats(px, N_BANDS, px.select("tile"), max_files=256)
     return out.select("band", (F.round("mean", 6) + 0.0).alias("mean"), F.round("std", 6).alias("std"))
 
 
@@ -263,8 +265,8 @@ def looks_left(px: DataFrame) -> DataFrame:
 @query
 def q29_flips_tta(spark: SparkSession, sf_dir: str) -> DataFrame:
     px = pixels(spark, sf_dir).select("tile", "row", "col", "prob")
-    a, b = (tta_average(px, looks_left, m, H, W).withColumnRenamed("prob", m) for m in ("logit_mean", "prob_mean"))
-    return a.join(b, ["tile", "row", "col"]).select("tile", "row", "col", F.round("logit_mean", 6).alias("logit_mean"), F.round("prob_mean", 6).alias("prob_mean"))
+    both = tta_average(px, looks_left, ("logit_mean", "prob_mean"), H, W)
+    return both.select("tile", "row", "col", F.round("logit_mean", 6).alias("logit_mean"), F.round("prob_mean", 6).alias("prob_mean"))
 
 
 @query
@@ -284,3 +286,112 @@ def q31_pairing_report(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query
 def q32_lovasz_all(spark: SparkSession, sf_dir: str) -> DataFrame:
     return E.lovasz_softmax(pixels(spark, sf_dir), buckets=512).select(F.round("loss", 6).alias("loss"))
+
+
+def sees_left(blocks: np.ndarray) -> np.ndarray:
+    """A block scorer that adds half of the left neighbour's value."""
+    left = np.zeros_like(blocks[:, 0])
+    left[:, :, 1:] = blocks[:, 0, :, :-1]
+    return np.stack([np.ones_like(left), blocks[:, 0] * 2 + left / 2], 1)
+
+
+@query
+def q33_blocks_stitch(spark: SparkSession, sf_dir: str) -> DataFrame:
+    px = pixels(spark, sf_dir).select("tile", "row", "col", F.array("prob").alias("bands"))
+    blocks = G.to_blocks(G.assign_windows(px, 16, 4, H, W), ("tile",))
+    out = G.stitch(score_blocks(blocks, sees_left, 16, 1, keys=("tile",)), ("tile",))
+    return out.select("tile", "row", "col", F.round("logit1", 6).alias("logit1"))
+
+
+def cropped(spark: SparkSession, sf_dir: str, size: int) -> DataFrame:
+    """One crop per tile with two bands."""
+    px = pixels(spark, sf_dir).select("tile", "row", "col", F.array("vh", "prob").alias("bands"), "label")
+    return G.random_crop(px, size, 7, 1, H, W)
+
+
+def shown(rows: DataFrame) -> DataFrame:
+    return rows.select("tile", "row", "col", "label", *((F.round(F.get("bands", F.lit(i)), 5) + 0.0).alias(f"b{i}") for i in range(2)))
+
+
+@query
+def q34_scale_jitter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return shown(G.scale_jitter(cropped(spark, sf_dir, 30), 30, 0.8, 1.25, 7))
+
+
+@query
+def q35_rotate_small(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return shown(G.rotate_small(cropped(spark, sf_dir, 16), 16, 5.0, 0.7, 7))
+
+
+@query
+def q36_probabilities(spark: SparkSession, sf_dir: str) -> DataFrame:
+    px = pixels(spark, sf_dir).withColumn("prob", C.mask_probability(F.col("prob"), is_valid()))
+    root = workdir(spark)
+    S.write_probability(px.select(F.concat(F.lit("tile_"), "tile").alias("scene_id"), (F.col("tile") % 3 + 2000).cast("int").alias("year"), "row", "col", "prob"), root)
+    return S.read_probability(spark, root).select("scene_id", "year", "row", "col", F.round(F.col("prob").cast("double"), 4).alias("prob"))
+
+
+@query
+def q37_run_config(spark: SparkSession, sf_dir: str) -> DataFrame:
+    grid = view(spark, sf_dir, "grid_headers").orderBy("raster_id").select("crs", "width", "height")
+    out = S.run_config(S.scene_dates(view(spark, sf_dir, "scene_paths")), {"tile_size": "512", "overlap": "64"}, grid)
+    return out.select(F.to_json("settings").alias("settings"), "scene_count", F.to_json("by_year").alias("by_year"), F.to_json("grid").alias("grid"))
+
+
+@query
+def q38_distinct_samples(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return S.distinct_samples(view(spark, sf_dir, "manifest")).select(F.array_join("sample_ids", ",").alias("sample_ids"))
+
+
+@query
+def q39_apply_thresholds(spark: SparkSession, sf_dir: str) -> DataFrame:
+    thresholds = E.threshold_list([(0.30, 0.50, 0.05), (0.55, 0.70, 0.01), (0.75, 0.80, 0.05)])
+    rows = E.apply_thresholds(pixels(spark, sf_dir).select("px_id", "prob"), thresholds)
+    return rows.groupBy("threshold").agg(F.count("*").alias("pixels"), F.sum("pred").alias("water"))
+
+
+@query
+def q40_stored_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
+    root, px = workdir(spark), banded(pixels(spark, sf_dir))
+    S.resolve_band_stats(spark, f"{root}/stats", N_BANDS, lambda: E.band_stats(px, N_BANDS))
+    out = S.resolve_band_stats(spark, f"{root}/next", N_BANDS, lambda: E.band_stats(px, N_BANDS), parent=f"{root}/stats")
+    return out.select("band", (F.round("mean", 6) + 0.0).alias("mean"), F.round("std", 6).alias("std"))
+
+
+@query
+def q41_eval_artifacts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    px, root = pixels(spark, sf_dir), workdir(spark)
+    sweep, tiles = E.threshold_sweep(px), E.tile_metrics(px, 0.55)
+    S.write_eval_artifacts(root, sweep, tiles, E.worst_tiles(tiles, 25), E.best_threshold(sweep))
+    read = lambda name, df: spark.read.csv(f"{root}/{name}", header=True, schema=df.schema)
+    worst = rounded(read("worst_tiles", tiles)).select(F.lit("worst").alias("kind"), F.col("tile_name").alias("key"), "water_iou", "tp", "fn")
+    both = rounded(read("threshold_sweep", sweep)).select(F.lit("sweep").alias("kind"), F.round(F.col("threshold") * 100).cast("bigint").alias("key"), "water_iou", "tp", "fn")
+    return worst.unionByName(both)
+
+
+@query
+def q42_stream_scenes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    root = workdir(spark)
+    px = pixels(spark, sf_dir).withColumn("s1", F.when(F.col("tile") % 10 == 3, F.array("vv")).otherwise(F.col("s1")))
+    px = px.select(F.concat(F.lit("tile_"), "tile").alias("scene_id"), F.lit(2025).alias("year"), "row", "col", "s1", "aef", "s1_mask", "prob")
+    px.repartition(3, "col").write.parquet(f"{root}/in")  # a scene comes in three files, a file at a time
+    stream = spark.readStream.schema(px.schema).option("maxFilesPerTrigger", 1).parquet(f"{root}/in")
+    score = lambda df: df.withColumn("prob", C.mask_probability(F.col("prob"), is_valid()))
+    X.score_new_scenes(stream, f"{root}/out", score, f"{root}/checkpoint").awaitTermination()
+    rows = X.read_summary(spark, f"{root}/out")
+    return rows.select("scene", "year", "status", "total_pixels", "valid_pixels", *(F.round(c, 3).alias(c) for c in ("mean_probability", "max_probability")), "error")
+
+
+@query
+def q43_training_table(spark: SparkSession, sf_dir: str) -> DataFrame:
+    px = pixels(spark, sf_dir).select("tile", "row", "col", "px_id", F.array("vh", "angle", "prob").alias("bands"), "label")
+    rows = G.training_table(px, ([-15.0, 37.0, 0.5], [8.0, 4.0, 0.3]), size=16, h=H, w=W, seed=7, epoch=1, radar=(0.1, 0.5))
+    return rows.select("tile", "row", "col", "px_id", "label", *((F.round(F.get("bands", F.lit(i)), 5) + 0.0).alias(f"b{i}") for i in range(3)))
+
+
+@query
+def q44_pixel_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    px = banded(pixels(spark, sf_dir)).where("label IS NOT NULL").select("tile", "px_id", "bands", "label")
+    fitted = fit_pixel_classifier(px.where("tile % 5 <> 0"), "s1")
+    held = predict_pixels(fitted, px.where("tile % 5 = 0"), "s1")
+    return held.groupBy("tile").agg(F.count("*").alias("pixels"), F.round(F.avg("prob"), 3).alias("mean_prob"))

@@ -2,11 +2,15 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
+from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from bandframe.functions.columns import NODATA, file_name, file_stem, hidden_path
+from bandframe.functions.columns import NODATA, file_name, hidden_path
 
+#: Columns of the summary and of the split manifest (fixed values of the file formats).
 SUMMARY_COLUMNS = (
     "date", "year", "scene", "s1_path", "prob_path", "status", "seconds", "total_pixels", "valid_pixels",
     "nodata_fraction", "mean_probability", "p95_probability", "max_probability", "error",
@@ -35,12 +39,17 @@ def scene_dates(files: DataFrame) -> DataFrame:
 
     Day and month may have one digit, the year has four.
     """
-    name = file_name(F.col("path"))
-    stem = file_stem(F.col("path"))
-    text = F.regexp_replace(stem, "s1_", "")
-    day = F.when(text.rlike(r"^\d{4}-\d{1,2}-\d{1,2}$"), F.try_to_timestamp(text, F.lit("y-M-d")).cast("date"))
-    found = files.where(name.rlike(r"^s1_.*\.tif$")).withColumn("date", day).where("date IS NOT NULL")
-    return found.select("path", F.date_format("date", "yyyy-MM-dd").alias("date"), F.year("date").alias("year"), stem.alias("scene"))
+    name = F.substring_index("path", "/", -1)
+    named = files.where(name.startswith("s1_") & name.endswith(".tif")).select("path", F.substring_index(name, ".tif", 1).alias("scene"), name.alias("_name"))
+    named = named.where(F.length("_name") == F.length("scene") + 4)  # a name may hold .tif once more
+    found = named.withColumn("date", scene_date(F.col("scene"))).where("date IS NOT NULL")
+    return found.select("path", F.date_format("date", "yyyy-MM-dd").alias("date"), F.year("date").alias("year"), "scene")
+
+
+def scene_date(scene: Column) -> Column:
+    """The date that a scene's name holds, null if none."""
+    text = F.replace(scene, F.lit("s1_"), F.lit(""))
+    return F.when(text.rlike(r"^\d{4}-\d{1,2}-\d{1,2}$"), F.try_to_timestamp(text, F.lit("y-M-d")).cast("date"))
 
 
 def filter_years(scenes: DataFrame, years: list[int] | None) -> DataFrame:
@@ -185,9 +194,28 @@ def write_scene_summary(rows: DataFrame, path: str) -> None:
 
 
 def write_probability(probs: DataFrame, root: str) -> None:
-    """Probabilities by year and scene, missing as -9999; scenes written before are replaced whole."""
+    """Probabilities by year and scene, missing as -9999; scenes written before are replaced whole.
+
+    With a column ``batch`` each scene has a folder per batch, and only those of the same batch are replaced.
+    """
     out = probs.withColumn("prob", F.coalesce("prob", F.lit(NODATA)).cast("float"))
-    out.write.partitionBy("year", "scene_id").option("partitionOverwriteMode", "dynamic").mode("overwrite").parquet(f"{root}/probabilities")
+    out.write.partitionBy("year", "scene_id", *(["batch"] if "batch" in probs.columns else [])).option("partitionOverwriteMode", "dynamic").mode("overwrite").parquet(f"{root}/probabilities")
+
+
+def read_table(spark: SparkSession, path: str) -> DataFrame | None:
+    """A Parquet table, or None if nothing is there."""
+    try:
+        return spark.read.parquet(path)
+    except AnalysisException as e:
+        if e.getCondition() in ("PATH_NOT_FOUND", "UNABLE_TO_INFER_SCHEMA"):
+            return None
+        raise
+
+
+def read_probability(spark: SparkSession, root: str) -> DataFrame | None:
+    """What ``write_probability`` wrote, missing as null; None if it wrote nothing."""
+    found = read_table(spark, f"{root}/probabilities")
+    return found and found.withColumn("scene_id", F.col("scene_id").cast("string")).withColumn("prob", F.nullif(F.col("prob"), F.lit(NODATA).cast("float")))
 
 
 def save_band_stats(stats: DataFrame, path: str, source: str = "computed") -> None:
@@ -210,6 +238,21 @@ def copy_band_stats(spark: SparkSession, source: str, path: str, expected_bands:
     return load_band_stats(spark, path, expected_bands)
 
 
+def resolve_band_stats(spark: SparkSession, path: str, expected_bands: int, compute: Callable[[], DataFrame], source: str | None = None, parent: str | None = None) -> DataFrame:
+    """The statistics of a run, stored at ``path``.
+
+    Those at ``source`` if given, else those stored already, else those of the run ``parent`` if it
+    has any, else computed; copies and computed ones are stored with where they come from.
+    """
+    if source:
+        return copy_band_stats(spark, source, path, expected_bands)
+    if read_table(spark, path) is None:
+        if parent and read_table(spark, parent) is not None:
+            return copy_band_stats(spark, parent, path, expected_bands)
+        save_band_stats(compute(), path)
+    return load_band_stats(spark, path, expected_bands)
+
+
 def year_counts(scenes: DataFrame) -> DataFrame:
     """Scenes per year, in order."""
     return scenes.groupBy("year").agg(F.count("*").alias("scenes")).orderBy("year")

@@ -1,15 +1,17 @@
-"""Scoring scenes as they arrive: each once, failures kept apart, reruns without effect."""
+"""Scoring scenes as they arrive: each pixel once, failures kept apart, reruns without effect."""
 
 from __future__ import annotations
 
+import time
 from collections.abc import Callable
+from datetime import UTC, datetime
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 from bandframe.operators.evaluate import scene_summary
-from bandframe.sources.files import write_probability
+from bandframe.sources.files import read_probability, scene_date, write_probability
 
 
 def scene_status(pixels: DataFrame, n_s1: int = 3, n_aef: int | None = None, key: str = "scene_id") -> DataFrame:
@@ -30,41 +32,52 @@ def isolate_failures(pixels: DataFrame, n_s1: int = 3, n_aef: int | None = None,
     return pixels.join(failed.select(key), key, "left_anti"), failed
 
 
-def written_scenes(spark: SparkSession, root: str) -> DataFrame:
-    """Scenes with probabilities below ``root``, from folder names alone."""
-    try:
-        return spark.read.parquet(f"{root}/probabilities").select("scene_id").distinct()
-    except Exception as e:
-        if "PATH_NOT_FOUND" in str(e) or "UNABLE_TO_INFER_SCHEMA" in str(e):
-            return spark.createDataFrame([], "scene_id string")
-        raise
-
-
 def append_summary(rows: DataFrame, root: str, batch: int) -> None:
     """Add the summary of one batch under its number; the same batch again replaces it."""
     rows.withColumn("batch", F.lit(batch)).write.partitionBy("batch").option("partitionOverwriteMode", "dynamic").mode("overwrite").parquet(f"{root}/summary")
 
 
+def read_summary(spark: SparkSession, root: str) -> DataFrame:
+    """The last row of each scene; a later batch brings the scene's pixels of all batches so far."""
+    rows = spark.read.option("mergeSchema", "true").parquet(f"{root}/summary")
+    last = rows.groupBy("scene_id").agg(F.max("batch").alias("batch"))
+    return rows.join(last, ["scene_id", "batch"])
+
+
 def score_batch(pixels: DataFrame, root: str, scorer: Callable[[DataFrame], DataFrame], batch: int, n_s1: int = 3, n_aef: int | None = None) -> None:
-    """Score the scenes of a batch that aren't written yet.
+    """Score the pixels of a batch that no other batch has written.
 
-    ``pixels`` has scene_id, year, row, col, s1 and what ``scorer`` needs; the scorer adds prob, null
-    where invalid. Scenes already written are left, scenes that can't be scored give a summary row
-    with status ``error``.
+    ``pixels`` has scene_id, year, row, col, s1, what ``scorer`` needs, and perhaps s1_path; the scorer
+    adds prob, null where invalid. A scene may come in several batches: each adds its pixels, and the
+    summary is that of all of them. Scenes that can't be scored give a row with status ``error`` and
+    write nothing. Probabilities are computed once: the summary reads back what was written. ``seconds``
+    is the time of the batch by its scenes, ``finished`` the end as ISO text in UTC.
     """
-    new = pixels.join(written_scenes(pixels.sparkSession, root), "scene_id", "left_anti")
-    good, failed = isolate_failures(new, n_s1, n_aef)
-    probs = scorer(good).select("scene_id", "year", "row", "col", "prob")
-    summary = scene_summary(probs).withColumn("status", F.lit("ok")).unionByName(failed, allowMissingColumns=True)
-    append_summary(summary, root, batch)
+    spark, began = pixels.sparkSession, time.monotonic()
+    good, failed = isolate_failures(pixels, n_s1, n_aef)
+    place = ["scene_id", "row", "col"]
+    if (done := read_probability(spark, root)) is not None:
+        good = good.join(done.where(F.col("batch") != batch).select(*place), place, "left_anti")
+    probs = scorer(good).select("year", *place, "prob", F.lit(batch).alias("batch"))
     write_probability(probs, root)
+    own = pixels.groupBy("scene_id").agg(F.max("year").alias("year"), F.max("s1_path" if "s1_path" in pixels.columns else F.lit(None).cast("string")).alias("s1_path"))
+    rows = failed.withColumn("status", F.lit("error"))
+    if (done := read_probability(spark, root)) is not None:
+        touched = done.join(own.select("scene_id"), "scene_id", "left_semi")
+        rows = scene_summary(touched).withColumn("status", F.lit("ok")).unionByName(rows, allowMissingColumns=True)
+        rows = rows.groupBy("scene_id").agg(*(F.max_by(c, F.col("status") == "error").alias(c) for c in rows.columns if c != "scene_id"))
+    rows = rows.join(own, "scene_id").withColumn("scene", F.col("scene_id")).withColumn("date", F.date_format(scene_date(F.col("scene_id")), "yyyy-MM-dd"))
+    rows = rows.withColumn("prob_path", F.concat_ws("/", F.lit(root), F.lit("probabilities"), F.col("year").cast("string"), "scene_id"))
+    rows = rows.withColumn("seconds", F.lit(round((time.monotonic() - began) / max(1, own.count()), 3)))
+    append_summary(rows.withColumn("finished", F.lit(datetime.now(UTC).isoformat(timespec="seconds"))), root, batch)
 
 
 def score_new_scenes(stream: DataFrame, root: str, scorer: Callable[[DataFrame], DataFrame], checkpoint: str, n_s1: int = 3, n_aef: int | None = None) -> StreamingQuery:
     """Score what a stream of pixel files brings and stop when it is used up.
 
-    The checkpoint takes each file once; ``score_batch`` writes each scene once, so a scene that
-    comes again, or a batch that runs again after a crash, changes nothing.
+    The checkpoint takes each file once; ``score_batch`` writes each pixel once, so a scene that comes
+    again, or a batch that runs again after a crash, changes nothing, and a scene whose files come in
+    several batches ends up whole.
     """
     work = lambda df, batch: score_batch(df, root, scorer, batch, n_s1, n_aef)
     return stream.writeStream.foreachBatch(work).trigger(availableNow=True).option("checkpointLocation", checkpoint).start()

@@ -315,12 +315,56 @@ def test_stream_scores_each_scene_once(spark, tmp_path):
         X.score_new_scenes(stream(), root, score, str(tmp_path / "ck")).awaitTermination()
         good.where("scene_id = 's0'").coalesce(1).write.mode("append").parquet(drops)
         assert spark.read.parquet(f"{root}/probabilities").count() == good.count()
-    summary = spark.read.parquet(f"{root}/summary")
+    summary = X.read_summary(spark, root)
     assert {(r["scene_id"], r["status"]) for r in summary.collect()} == {("s0", "ok"), ("s1", "ok"), ("s2", "error")} and summary.count() == 3
-    work, report = J.skip_existing(px.select("scene_id").distinct(), X.written_scenes(spark, root), "scene_id")
+    work, report = J.skip_existing(px.select("scene_id").distinct(), S.read_probability(spark, root).select("scene_id").distinct(), "scene_id")
     assert [r[0] for r in work.collect()] == ["s2"] and report.count() == 2
-    S.write_scene_summary(summary.withColumnRenamed("scene_id", "scene"), str(tmp_path / "csv"))
-    assert spark.read.csv(str(tmp_path / "csv"), header=True).columns == list(S.SUMMARY_COLUMNS)
+    S.write_scene_summary(summary, str(tmp_path / "csv"))
+    rows = spark.read.csv(str(tmp_path / "csv"), header=True)
+    assert rows.columns == list(S.SUMMARY_COLUMNS) and rows.where("seconds IS NULL OR prob_path IS NULL").isEmpty()
+    assert summary.first()["finished"].endswith("+00:00")
+
+
+def test_scene_over_several_batches_is_whole(spark, tmp_path):
+    px = pixels(spark, SF).where("tile = 0").select(
+        F.lit("s1_2025-1-5").alias("scene_id"), F.lit(2025).alias("year"), "row", "col", "s1", "prob", F.lit("/a/s1_2025-1-5.tif").alias("s1_path")
+    )
+    drops, root = str(tmp_path / "drops"), str(tmp_path / "out")
+    px.repartition(3, "col").write.parquet(drops)
+    stream = spark.readStream.schema(px.schema).option("maxFilesPerTrigger", 1).parquet(drops)
+    calls = []
+    X.score_new_scenes(stream, root, lambda d: calls.append(1) or d, str(tmp_path / "ck")).awaitTermination()
+    assert len(calls) == 3 and S.read_probability(spark, root).count() == px.count()
+    row = X.read_summary(spark, root).collect()
+    assert len(row) == 1 and row[0]["total_pixels"] == px.count()
+    assert (row[0]["date"], row[0]["s1_path"], row[0]["status"]) == ("2025-01-05", "/a/s1_2025-1-5.tif", "ok")
+
+
+def test_stats_are_reused(spark, tmp_path):
+    stats = spark.createDataFrame([(0, 1.0, 2.0), (1, 3.0, 0.0)], "band int, mean double, std double")
+    made = []
+    find = lambda path, **more: S.resolve_band_stats(spark, str(tmp_path / path), 2, lambda: made.append(path) or stats, **more)
+    for _ in range(2):
+        assert [r["std"] for r in find("a").orderBy("band").collect()] == [2.0, 1.0] and made == ["a"]
+    assert find("b", parent=str(tmp_path / "a")).count() == 2 and find("c", parent=str(tmp_path / "none")).count() == 2
+    assert find("a", source=str(tmp_path / "b")).count() == 2 and made == ["a", "c"]
+
+
+def test_layers_of_other_shapes_are_refused(spark):
+    px = pixels(spark, SF).where("tile < 2")
+    layer = lambda c: px.select("tile", "row", "col", c)
+    assert J.align_pixels(layer("prob"), layer("vv"), layer("label")).count() == px.count()
+    with pytest.raises(ValueError, match="tiles \\[1\\]"):
+        J.align_pixels(layer("prob"), layer("vv").where("tile = 0 OR row > 0"), layer("label"))
+
+
+def test_quantile_against_numpy(spark):
+    rng = np.random.default_rng(2)
+    rows = [(k, float(v)) for k, n in ((0, 1), (1, 2), (2, 999), (3, 400)) for v in (rng.random(n) if k < 3 else rng.integers(0, 4, n) * 0.3)] + [(4, None)]
+    got = {r["k"]: r["value"] for r in E.quantile(spark.createDataFrame(rows, "k int, v0 double"), 0.95, ("k",), "v0").collect()}
+    assert set(got) == {0, 1, 2, 3}
+    for k, v in got.items():
+        assert abs(v - np.percentile([x for i, x in rows if i == k], 95)) < 1e-12
 
 
 def test_registry_and_artifacts(spark, tmp_path):
