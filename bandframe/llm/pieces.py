@@ -23,7 +23,7 @@ BLANK = "▁"
 #: A word is what no piece reaches across: leading blanks with letters or with other signs; a line end.
 WORD = regex.compile(rf"{BLANK}*[\p{{L}}\p{{M}}]+|{BLANK}*[^\p{{L}}\p{{M}}{BLANK}\n]+|{BLANK}+|\n")
 #: Characters of text of which a block is made; each block brings its words once.
-BLOCK = 8 << 20
+BLOCK = 4 << 20
 #: Words of so many characters have their boundaries in one 64-bit number; longer ones in an array.
 SHORT = 61
 #: The number that stands for an edge has 22 bits of rank, 31 of the end, 5 of the length, and 5 that
@@ -406,6 +406,7 @@ def _block_words(batches: Iterator[pa.RecordBatch], common: pa.Array) -> Iterato
     for batch in batches:
         for block, sizes, body in zip(*(batch.column(c).to_pylist() for c in ("block", "sizes", "body"))):
             words = read_block(_block_texts(sizes, body)).words
+            pa.default_memory_pool().release_unused()
             rare = words.filter(pc.invert(pc.is_in(words, common)))
             ref = pa.array(block * PER_BLOCK + np.arange(len(rare))).cast(pa.string())
             if (long := pc.greater(pc.utf8_length(rare), SHORT)).true_count:
@@ -462,6 +463,7 @@ def _encoded(texts: pa.Table, coded: pa.Table, common: pa.Table) -> pa.Table:
         number[rare] = common.num_rows + np.arange(rare.sum())
         ids = encode_block(raw, codes.take(pa.array(number)), block)
         out.append(pa.RecordBatch.from_arrays([texts["ids"].combine_chunks()[k].values, ids], schema=ENCODED))
+        pa.default_memory_pool().release_unused()
     return pa.Table.from_batches(out, ENCODED)
 
 
@@ -513,8 +515,8 @@ def encode_documents(docs: DataFrame, table: PieceTable, *, common: int = 1 << 1
     frequent = common_words(rows, table, common, sample)
     sent = spark.sparkContext.broadcast(frequent)
     blocks = rows.mapInArrow(_block_rows, "block long, ids array<long>, sizes binary, body binary").repartition("block")
-    pairs = blocks.select("block", "sizes", "body").mapInArrow(lambda x: _block_words(x, sent.value["word"].combine_chunks()), "key string, ref string").repartition("key")
-    # Both sides of the join read both columns, so that one exchange serves them.
+    pairs = blocks.mapInArrow(lambda x: _block_words(x, sent.value["word"].combine_chunks()), "key string, ref string").where("key IS NOT NULL").repartition("key")
+    # All that read the blocks or the words read all columns, so that each has one exchange.
     words = pairs.groupBy("key").agg(F.max("ref").alias("ref"))
     words = words.select("key", F.when(F.length("key") <= SHORT, F.col("key")).otherwise(F.expr("substring(ref, instr(ref, ' ') + 1)")).alias("word"))
     codes = pairs.join(fold_words(words, table).hint("merge"), "key")
