@@ -57,8 +57,9 @@ def joined_components(found: DataFrame, links: DataFrame) -> DataFrame:
     return kept.union(moved)
 
 
-#: Members of a bucket that one task compares at a time, and members that it compares them with.
-CHUNK, HUBS = 1024, 1024
+#: Members of a bucket that one task compares at a time, members that it compares them with, and the
+#: bytes of sketches of either.
+CHUNK, HUBS, WEIGHT = 1024, 1024, 16 << 20
 PAIRS = pa.schema([("u", pa.int64()), ("v", pa.int64())])
 
 
@@ -83,7 +84,8 @@ def _compared(hubs: pa.Table, members: pa.Table, candidates: Callable) -> pa.Tab
 def link_buckets(members: DataFrame, sketch: Callable[[DataFrame], DataFrame], candidates: Callable, verify: Callable[[DataFrame], DataFrame]) -> DataFrame:
     """Components of all nodes that share a bucket and are true pairs: rows (node, component).
 
-    ``members`` has rows (bucket, part, node); ``part`` numbers the table of the bucket. ``verify``
+    ``members`` has rows (bucket, part, node, weight); ``part`` numbers the table of the bucket, and
+    ``weight`` is about the bytes of the node's sketch. ``verify``
     takes pairs (u, v), u < v, and returns the true ones; its first call holds every node that
     shares a bucket with another. ``sketch`` gives for rows (node) a binary each, (node, sketch), and
     ``candidates(sketches of hubs, sketches of members, part)`` the matrix of pairs worth a test,
@@ -91,10 +93,11 @@ def link_buckets(members: DataFrame, sketch: Callable[[DataFrame], DataFrame], c
 
     First each bucket pairs its least node with the others, a row a member. In what follows only
     buckets count whose members are in several components. All their members outside the largest
-    component (or a share of them by a hash of the node and the round, about ``HUBS`` a round) are
-    hubs: they are compared with the members by sketch, ``CHUNK`` at a time and within the task, so
-    that rows arise for likely pairs only; then they leave the bucket. Each round draws anew: a hash
-    of the node alone would find its residue classes emptied by the hubs that left before. A bucket is done when its members lie in one component:
+    component (or a share of them by a hash of the node and the round, about ``HUBS`` or ``WEIGHT`` a
+    round) are hubs: they are compared with the members by sketch, ``CHUNK`` or ``WEIGHT`` at a time and
+    within the task, so that rows arise for likely pairs only; then they leave the bucket. Each round
+    draws anew: a hash of the node alone would find its residue classes emptied by the hubs that left
+    before. A bucket is done when its members lie in one component:
     every pair of it was then compared or is connected by others. Nodes in no true pair are absent
     from the result.
     """
@@ -104,21 +107,22 @@ def link_buckets(members: DataFrame, sketch: Callable[[DataFrame], DataFrame], c
     links = cut(verify(open_.select(F.col("least").alias("u"), F.col("node").alias("v")).distinct()), "links")
     found = components(links)
     for turn in count(2):  # 1 salts the chunks
-        named = open_.select("bucket", "part", "node").join(found, "node", "left")
-        named = cut(named.select("bucket", "part", "node", F.coalesce("component", "node").alias("c")), "named")
-        sizes = named.groupBy("bucket", "c").agg(F.count("*").alias("n"))
-        mixed = sizes.groupBy("bucket").agg(F.sum("n").alias("n"), F.max(F.struct("n", "c")).alias("most")).where("n > most.n")
-        few = F.ceil((F.col("n") - F.col("most.n")) / HUBS)
-        mixed = cut(mixed.select("bucket", F.col("most.c").alias("most"), few.alias("lots"), F.ceil(F.col("n") / CHUNK).alias("chunks")), "mixed")
+        named = open_.select("bucket", "part", "node", "weight").join(found, "node", "left")
+        named = cut(named.select("bucket", "part", "node", "weight", F.coalesce("component", "node").alias("c")), "named")
+        sizes = named.groupBy("bucket", "c").agg(F.count("*").alias("n"), F.sum("weight").alias("w"))
+        mixed = sizes.groupBy("bucket").agg(F.sum("n").alias("n"), F.sum("w").alias("w"), F.max(F.struct("n", "w", "c")).alias("most")).where("n > most.n")
+        few = F.ceil(F.greatest((F.col("n") - F.col("most.n")) / HUBS, (F.col("w") - F.col("most.w")) / WEIGHT))
+        chunks = F.ceil(F.greatest(F.col("n") / CHUNK, F.col("w") / WEIGHT))
+        mixed = cut(mixed.select("bucket", F.col("most.c").alias("most"), few.alias("lots"), chunks.alias("chunks")), "mixed")
         if mixed.isEmpty():
             return found
         hub = (F.col("c") != F.col("most")) & (F.pmod(F.xxhash64("node", F.lit(turn)), F.col("lots")) == 0)
         chunk = F.pmod(F.xxhash64("node", F.lit(1)), F.col("chunks"))
-        rest = named.join(mixed, "bucket").select("bucket", "part", "node", "c", "chunks", hub.alias("hub"), chunk.alias("chunk"))
+        rest = named.join(mixed, "bucket").select("bucket", "part", "node", "weight", "c", "chunks", hub.alias("hub"), chunk.alias("chunk"))
         rest = cut(rest.join(sketch(rest.select("node").distinct()), "node"), "rest")
         ask = rest.where("hub").withColumn("chunk", F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("chunks") - 1)))
         likely = ask.groupBy("bucket", "chunk").cogroup(rest.groupBy("bucket", "chunk")).applyInArrow(lambda h, m: _compared(h, m, candidates), "u long, v long")
         more = cut(verify(likely.distinct()), "links")
         if not more.isEmpty():
             found = cut(joined_components(found, more), "components")
-        open_ = rest.where("NOT hub").select("bucket", "part", "node")
+        open_ = rest.where("NOT hub").select("bucket", "part", "node", "weight")

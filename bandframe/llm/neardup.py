@@ -15,7 +15,7 @@ from bandframe.llm.shingles import shingle_sets
 from bandframe.llm.store import cut
 
 U = np.uint64
-SIGNED = pa.schema([("id", pa.int64()), ("n", pa.int64()), ("print", pa.binary()), ("sig", pa.binary())])
+SIGNED = pa.schema([("id", pa.int64()), ("mark", pa.int64()), ("n", pa.int64()), ("print", pa.binary()), ("sig", pa.binary())])
 
 
 def hash_family(n: int, seed: int) -> tuple[np.ndarray, np.ndarray]:
@@ -38,11 +38,11 @@ def _signed(batches: Iterator[pa.RecordBatch], n_hashes: int, seed: int) -> Iter
     a, b = hash_family(n_hashes, seed)
     for batch in batches:
         n, prints, sigs = [], [], []
-        for s in shingle_sets(batch.column(1).to_pylist()):
+        for s in shingle_sets(batch.column("text").to_pylist()):
             n.append(len(s))
             prints.append(xxhash.xxh3_128_digest(s.tobytes()) if len(s) else None)
             sigs.append(signature(s, a, b).tobytes() if len(s) else None)
-        yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(n, pa.int64()), pa.array(prints, pa.binary()), pa.array(sigs, pa.binary())], schema=SIGNED)
+        yield pa.RecordBatch.from_arrays([batch.column("id"), batch.column("mark"), pa.array(n, pa.int64()), pa.array(prints, pa.binary()), pa.array(sigs, pa.binary())], schema=SIGNED)
 
 
 def _alike(batches: Iterator[pa.RecordBatch], least: float) -> Iterator[pa.RecordBatch]:
@@ -126,16 +126,18 @@ def near_duplicates(
     that share a bucket. No task holds the members of a class, bucket or component.
 
     Null or wordless text has an empty set: no links, its own component. Rows with equal ids are one
-    node. Rows with a null id have no links, a null component, and are kept. An empty table gives an
+    node; where their texts differ, those whose class the id stands for are told apart by a hash of the
+    text, and the least links for all of them. Rows with a null id have no links, a null component, and are kept. An empty table gives an
     empty result; other columns are ignored.
     """
-    docs = docs.select(F.col(id_col).cast("bigint").alias("id"), F.col(text_col).alias("text"))
-    signs = cut(docs.mapInArrow(lambda x: _signed(x, bands * rows, seed), "id long, n long, print binary, sig binary"), "signs")
+    docs = docs.select(F.col(id_col).cast("bigint").alias("id"), F.xxhash64(text_col).alias("mark"), F.col(text_col).alias("text"))
+    signs = cut(docs.mapInArrow(lambda x: _signed(x, bands * rows, seed), "id long, mark long, n long, print binary, sig binary"), "signs")
     classes = cut(signs.where("n > 0 AND id IS NOT NULL").groupBy("print").agg(F.min("id").alias("rep")), "classes")
-    own = signs.withColumnRenamed("id", "rep").join(classes, ["rep", "print"], "left_semi").dropDuplicates(["rep"])
-    own = cut(own.select(F.col("rep").alias("node"), "n", "sig"), "own")
+    own = signs.withColumnRenamed("id", "rep").join(classes, ["rep", "print"], "left_semi")
+    own = own.groupBy(F.col("rep").alias("node")).agg(F.min("mark").alias("mark"), F.min_by("n", "mark").alias("n"), F.min_by("sig", "mark").alias("sig"))
+    own = cut(own, "own")
     pieces = [F.xxhash64(F.lit(b), F.substring("sig", 4 * rows * b + 1, 4 * rows)) for b in range(bands)]
-    members = own.select(F.posexplode(F.array(*pieces)).alias("part", "bucket"), "node")
+    members = own.select(F.posexplode(F.array(*pieces)).alias("part", "bucket"), "node", (4 * (F.col("n") + bands * rows)).alias("weight"))
     least = percent / 100 - slack
     texts: list[DataFrame] = []
 
@@ -143,7 +145,8 @@ def near_duplicates(
         pairs = cut(pairs, "pairs")
         if not texts:
             nodes = pairs.select(F.col("u").alias("id")).union(pairs.select("v")).distinct()
-            texts.append(cut(docs.join(nodes.hint("merge"), "id").dropDuplicates(["id"]), "texts"))
+            nodes = own.select(F.col("node").alias("id"), "mark").join(nodes.hint("merge"), "id")
+            texts.append(cut(docs.join(nodes.hint("merge"), ["id", "mark"]).select("id", "text").dropDuplicates(["id"]), "texts"))
         one, two = (own.select(F.col("node").alias(x), F.col("n").alias(f"n_{x}"), F.col("sig").alias(f"sig_{x}")) for x in "uv")
         near = pairs.join(one.hint("merge"), "u").join(two.hint("merge"), "v").where(F.least("n_u", "n_v") * 100 >= F.greatest("n_u", "n_v") * percent)
         near = cut(near.select("u", "v", "sig_u", "sig_v").mapInArrow(lambda x: _alike(x, least), "u long, v long"), "near")

@@ -5,13 +5,18 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
+import xxhash
 
 WIDTH = 5
 #: Bytes of text that are hashed in one go.
 LOT = 1 << 20
 U = np.uint64
 BASE = 0x9E3779B97F4A7C15
-_powers: list[np.ndarray] = [np.ones(1, U), np.ones(1, U)]
+UPPER, SPACE = bytes(range(65, 91)), bytes(range(9, 14))
+#: A-Z to lower case, white space to blanks.
+PLAIN = bytes.maketrans(UPPER + SPACE, UPPER.lower() + b" " * len(SPACE))
 
 
 def mix(x: np.ndarray) -> np.ndarray:
@@ -21,20 +26,10 @@ def mix(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> U(33))
 
 
-def _power(n: int) -> list[np.ndarray]:
-    """BASE to the powers 0..n-1 and their inverses, modulo 2**64."""
-    if len(_powers[0]) < n:
-        for i, base in enumerate((BASE, pow(BASE, -1, 1 << 64))):
-            row = np.full(n, base, U)
-            row[0] = 1
-            _powers[i] = np.multiply.accumulate(row)
-    return _powers
-
-
 def _lots(texts: list[str | None]) -> Iterator[list[bytes]]:
     lot, size = [], 0
     for text in texts:
-        lot.append((text or "").encode().lower())  # bytes.lower knows A-Z alone
+        lot.append((text or "").encode().translate(PLAIN))
         size += len(lot[-1])
         if size >= LOT:
             yield lot
@@ -43,6 +38,20 @@ def _lots(texts: list[str | None]) -> Iterator[list[bytes]]:
         yield lot
 
 
+def word_hashes(lot: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+    """The hashes of all words of texts with plain blanks, and where those of each text end.
+
+    Each distinct word is hashed once, by its bytes.
+    """
+    lists = pc.split_pattern(pa.array(lot, pa.binary()), b" ")
+    words, ends = lists.flatten(), np.cumsum(lists.value_lengths().to_numpy())
+    full = pc.binary_length(words).to_numpy() > 0
+    ends = np.concatenate([[0], np.cumsum(full)])[ends]
+    coded = words.filter(pa.array(full)).dictionary_encode()
+    hashes = np.fromiter(map(xxhash.xxh3_64_intdigest, coded.dictionary.to_pylist()), U, len(coded.dictionary))
+    return hashes[coded.indices.to_numpy()], ends
+
+
 def shingle_sets(texts: list[str | None]) -> Iterator[np.ndarray]:
     """Per text the sorted hashes of its distinct shingles of five words.
 
@@ -50,21 +59,13 @@ def shingle_sets(texts: list[str | None]) -> Iterator[np.ndarray]:
     one shingle; without words, or null, it has none.
     """
     for lot in _lots(texts):
-        sizes = np.array([len(x) for x in lot]) + 1
-        buffer = np.frombuffer(b" ".join(lot) + b" ", np.uint8)
-        black = ~((buffer == 32) | ((buffer >= 9) & (buffer <= 13)))
-        edge = np.flatnonzero(np.diff(black, prepend=False, append=False))
-        starts, ends = edge[::2], edge[1::2]
-        power, inverse = _power(len(buffer) + 1)
-        total = np.zeros(len(buffer) + 1, U)
-        np.cumsum((buffer.astype(U) + U(1)) * power[: len(buffer)], out=total[1:])
-        words = mix((total[ends] - total[starts]) * inverse[starts])
-        bounds = np.searchsorted(starts, np.concatenate([[0], np.cumsum(sizes)]))
-        joined = np.zeros(max(0, len(words) - WIDTH + 1), U)
+        words, ends = word_hashes(lot)
+        n = max(0, len(words) - WIDTH + 1)
+        joined = np.zeros(n, U)
         for k in range(WIDTH):
-            joined = joined * U(BASE) + words[k : len(words) - WIDTH + 1 + k]
+            joined = joined * U(BASE) + words[k : k + n]
         joined = mix(joined)
-        for a, b in zip(bounds[:-1].tolist(), bounds[1:].tolist()):
+        for a, b in zip([0, *ends[:-1].tolist()], ends.tolist()):
             if b - a >= WIDTH:
                 yield np.unique(joined[a : b - WIDTH + 1])
             else:
