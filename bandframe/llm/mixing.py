@@ -19,6 +19,8 @@ WORD = r"[^\x20\x09-\x0D]+"
 #: Slots of one row before the second explode.
 CHUNK = 4096
 ROUNDS = 6
+#: Documents of a group at most, about, where there are more than ``groups`` of them.
+ROWS = 1 << 18
 
 
 def n_words(text: Column) -> Column:
@@ -142,28 +144,31 @@ def mix(
 ) -> tuple[DataFrame, DataFrame]:
     """Choose the words of a mix of all sources. Returns (documents, pieces).
 
-    documents: id, size (words), source, source_size, target, number (of the source), at (place in
-    the source). pieces: number, at, id, size, shard, k (slot of the source), from_word, words: a
-    run of words of one document that one slot takes. A document without words has no piece.
+    documents: id, mark (a hash of the text), size (words), source, source_size, target, number (of the
+    source), at (place in the source). pieces: number, at, id, source, mark, size, shard, k (slot of the source),
+    turn (pass over the source), from_word, words: a run of words of one document that one slot takes. A
+    document without words has no piece; number and at name a document with words.
 
     Sources in code point order, null last, get ``weights`` in turn; see ``targets``. The documents
-    of a source, in the order of (hash group of the id, id), are one stream of words, packed into
+    of a source, in the order of (hash group of id and text, id, hash of the text), are one stream of words, packed into
     blocks of ``block`` words. Output shards of near equal slot counts draw multinomial source
     counts; slot k of a source takes block ``permutation(k mod n)`` of its pass ``k div n``, so no
     word is taken more than ``ceil(most)`` times; the last slot of a source is cut to its target.
     All draws depend on ``seed`` and the data alone, so reruns agree.
 
     The driver holds one row per source and shard. A source may hold any part of the rows: its
-    stream is the sum of ``groups`` separately ordered groups. Null text has size 0. Documents with
-    equal ids are separate. Empty sources take no part. An empty table gives empty results; other
+    stream is the sum of separately ordered groups, ``groups`` or one for ``ROWS`` documents. Null text
+    has size 0. Documents with equal or null ids are separate. Empty sources take no part. An empty table gives empty results; other
     columns are ignored.
     """
     if not 0 < share <= most:
         raise ValueError("share is above 0 and no more than most")
     spark = docs.sparkSession
     key = F.when(F.col("source").isNull(), "n").otherwise(F.concat(F.lit("s"), "source"))
-    sized = docs.select(F.col(id_col).alias("id"), F.col(source_col).cast("string").alias("source"), n_words(F.col(text_col)).alias("size"))
-    sized = cut(sized.select("id", "source", key.alias("key"), F.pmod(F.xxhash64("id"), F.lit(groups)).cast("int").alias("group"), "size"), "sized")
+    sized = docs.select(F.col(id_col).alias("id"), F.col(source_col).cast("string").alias("source"), n_words(F.col(text_col)).alias("size"), F.xxhash64(text_col).alias("mark"))
+    sized = cut(sized.select("id", "source", key.alias("key"), "mark", "size"), "sized")
+    groups = max(groups, sized.count() // ROWS)
+    sized = sized.withColumn("group", F.pmod(F.xxhash64("id", "mark"), F.lit(groups)).cast("int"))
     bins = cut(sized.groupBy("key", "source", "group").agg(F.sum("size").alias("words")), "bins")
     rows = bins.groupBy("key", "source").agg(F.sum("words").alias("size")).collect()  # a row per source
     rows.sort(key=lambda r: (r["source"] is None, r["source"] or ""))
@@ -174,9 +179,9 @@ def mix(
     sources = spark.createDataFrame(table, "key string, number int, source_size long, target double")
     before = Window.partitionBy("key").orderBy("group").rowsBetween(Window.unboundedPreceding, -1)
     starts = bins.select("key", "group", F.coalesce(F.sum("words").over(before), F.lit(0)).alias("start")).join(sources, "key")
-    in_group = Window.partitionBy("key", "group").orderBy("id", "size").rowsBetween(Window.unboundedPreceding, -1)
+    in_group = Window.partitionBy("key", "group").orderBy("id", "mark", "size").rowsBetween(Window.unboundedPreceding, -1)
     placed = sized.join(cut(starts, "starts"), ["key", "group"]).select(
-        "id", "size", "source", "source_size", "target", "number", (F.col("start") + F.coalesce(F.sum("size").over(in_group), F.lit(0))).alias("at")
+        "id", "mark", "size", "source", "source_size", "target", "number", (F.col("start") + F.coalesce(F.sum("size").over(in_group), F.lit(0))).alias("at")
     )
     placed = cut(placed, "placed")
 
@@ -192,22 +197,22 @@ def mix(
     kinds = "shard int, number int, n_blocks long, slots long, last long, source_size long, k long"
     slots = slots.select("shard", "number", "n_blocks", "slots", "last", "source_size", "k").mapInArrow(lambda x: _blocks_of_slots(x, seed), f"{kinds}, block long")
     length = F.least(F.lit(block), F.col("source_size") - F.col("block") * block)
-    slots = slots.select("shard", "number", "k", "block", F.when(F.col("k") == F.col("slots") - 1, F.col("last")).otherwise(length).alias("taken"))
+    slots = slots.select("shard", "number", "k", F.expr("k div n_blocks").alias("turn"), "block", F.when(F.col("k") == F.col("slots") - 1, F.col("last")).otherwise(length).alias("taken"))
 
     covered = F.sequence(F.expr(f"at div {block}L"), F.expr(f"(at + size - 1) div {block}L"))
-    parts = placed.where("size > 0").select("id", "size", "number", "at", F.explode(covered).alias("block"))
+    parts = placed.where("size > 0").select("id", "source", "mark", "size", "number", "at", F.explode(covered).alias("block"))
     lo, hi = F.greatest("at", F.col("block") * block), F.least(F.col("at") + F.col("size"), F.col("block") * block + F.col("taken"))
     pieces = parts.join(slots.hint("merge"), ["number", "block"]).where(hi > lo)  # both grow with the data
-    pieces = pieces.select("number", "at", "id", "size", "shard", "k", (lo - F.col("at")).alias("from_word"), (hi - lo).alias("words"))
+    pieces = pieces.select("number", "at", "id", "source", "mark", "size", "shard", "k", "turn", (lo - F.col("at")).alias("from_word"), (hi - lo).alias("words"))
     placed = placed.withColumnsRenamed({"id": id_col, "source": source_col})
-    return placed, pieces.withColumnRenamed("id", id_col)
+    return placed, pieces.withColumnsRenamed({"id": id_col, "source": source_col})
 
 
 def taken_words(placed: DataFrame, pieces: DataFrame, id_col: str = "doc_id") -> DataFrame:
-    """Per document the words that the mix takes, repeats counted."""
-    on = ["number", "at", id_col, "size"]
-    taken = pieces.groupBy(*on).agg(F.sum("words").alias("taken"))
-    return placed.join(taken, on, "left").select(id_col, "size", "source_size", "target", F.coalesce("taken", F.lit(0)).cast("bigint").alias("taken"))
+    """Per document the words that the mix takes, repeats counted; null and repeated ids included."""
+    taken = pieces.groupBy("number", F.col("at").alias("place")).agg(F.sum("words").alias("taken"))
+    rows = placed.withColumn("place", F.when(F.col("size") > 0, F.col("at")))  # an empty document has no place of its own
+    return rows.join(taken, ["number", "place"], "left").select(id_col, "size", "source_size", "target", F.coalesce("taken", F.lit(0)).cast("bigint").alias("taken"))
 
 
 def cut_words(text: str, runs: list[tuple[int, int]]) -> list[str]:
@@ -216,36 +221,61 @@ def cut_words(text: str, runs: list[tuple[int, int]]) -> list[str]:
     return [text[ends[a][0] : ends[a + n - 1][1]] for a, n in runs]
 
 
+def joined_runs(pieces: list[dict]) -> list[tuple[int, int]]:
+    """Pieces (turn, from_word, words) in order, as runs: those that follow each other in a turn are one."""
+    runs: list[list[int]] = []
+    for p in pieces:
+        if runs and runs[-1][0] == p["turn"] and runs[-1][1] + runs[-1][2] == p["from_word"]:
+            runs[-1][2] += p["words"]
+        else:
+            runs.append([p["turn"], p["from_word"], p["words"]])
+    return [(a, n) for _, a, n in runs]
+
+
 def _texts(batches: Iterator[pa.RecordBatch], at: int) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        texts = [
-            "\n".join(cut_words(t, [(p["from_word"], p["words"]) for p in ps]))
-            for t, ps in zip(batch.column(at).to_pylist(), batch.column(batch.num_columns - 1).to_pylist())
-        ]
+        pieces = batch.column(batch.num_columns - 1).to_pylist()
+        texts = ["\n".join(cut_words(t, joined_runs(ps))) for t, ps in zip(batch.column(at).to_pylist(), pieces)]
         columns = batch.columns[:-1]
         columns[at] = pa.array(texts, pa.string())
         yield pa.RecordBatch.from_arrays(columns, names=batch.schema.names[:-1])
 
 
-def mixed_documents(docs: DataFrame, pieces: DataFrame, *, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """The documents as the mix takes them: the pieces of each in slot order, a line end between.
+def mixed_documents(docs: DataFrame, pieces: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source") -> DataFrame:
+    """The documents as the mix takes them: per pass over the source the words taken, in their order, a
+    line end where some are left out between and after each pass.
 
-    Ids must be unique. Documents of which nothing is taken are absent. Columns are those of
-    ``docs``; ``n_chars``, where present, counts the new text.
+    Rows meet their pieces by id, source and a hash of the text, null or not; rows alike in all of
+    these take the pieces of their places in turn, each its own. Documents of which nothing is taken
+    are absent. Columns are those of ``docs``; ``n_chars``, where present, counts the new text.
     """
-    order = F.array_sort(F.collect_list(F.struct("k", "from_word", "words")))
-    taken = pieces.groupBy(F.col(id_col).alias("_id")).agg(order.alias("_pieces"))
-    joined = docs.join(taken, F.col(id_col) == F.col("_id")).select(*docs.columns, "_pieces")
-    out = joined.mapInArrow(lambda x, at=docs.columns.index(text_col): _texts(x, at), docs.schema)
-    return out.withColumn("n_chars", F.length(text_col).cast(docs.schema["n_chars"].dataType)) if "n_chars" in docs.columns else out
+    names = docs.columns
+
+    def key(mark: Column) -> Column:
+        source = F.col(source_col).cast("string")
+        return F.concat_ws(" ", F.coalesce(F.col(id_col).cast("string"), F.lit("-")), mark.cast("string"), F.when(source.isNull(), "n").otherwise(F.concat(F.lit("s"), source)))
+
+    order = F.array_sort(F.collect_list(F.struct("turn", "from_word", "words")))
+    taken = pieces.groupBy("at", key(F.col("mark")).alias("_mix_key")).agg(order.alias("pieces"))
+    places = F.array_sort(F.collect_list(F.struct("at", "pieces")))
+    taken = taken.groupBy("_mix_key").agg(places["pieces"].alias("_mix_pieces"))
+    rows = docs.withColumn("_mix_key", key(F.xxhash64(text_col)))
+    rows = rows.withColumn("_mix_nth", F.row_number().over(Window.partitionBy("_mix_key").orderBy("_mix_key")))
+    own = F.get("_mix_pieces", F.col("_mix_nth") - 1).alias("_mix_pieces")
+    joined = rows.join(taken.hint("merge"), "_mix_key").select(*names, own).where("_mix_pieces IS NOT NULL")
+    out = joined.mapInArrow(lambda x, at=names.index(text_col): _texts(x, at), docs.schema)
+    return out.withColumn("n_chars", F.length(text_col).cast(docs.schema["n_chars"].dataType)) if "n_chars" in names else out
 
 
 def mixed_blocks(docs: DataFrame, pieces: DataFrame, *, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """The output: per shard and slot the source number and the words of the block, one space between.
 
-    Ids must be unique. A slot's words come from neighbours in the stream, so a group is one block.
+    Pieces meet their texts by id and a hash of the text. A slot's words come from neighbours in the
+    stream, so a group is one block.
     """
-    rows = docs.select(F.col(id_col).alias("_id"), F.col(text_col).alias("text")).join(pieces, F.col("_id") == F.col(id_col))
+    rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"), F.xxhash64(text_col).alias("mark")).dropDuplicates(["id", "mark"])
+    own = pieces.withColumnsRenamed({id_col: "piece_id", "mark": "piece_mark"})
+    rows = rows.join(own, F.col("id").eqNullSafe(F.col("piece_id")) & (F.col("mark") == F.col("piece_mark")))
     words = F.array_join(F.slice(F.regexp_extract_all("text", F.lit(WORD), F.lit(0)), F.col("from_word").cast("int") + 1, F.col("words").cast("int")), " ")
     blocks = rows.select("shard", "number", "k", F.struct("at", "from_word", words.alias("words")).alias("piece"))
     blocks = blocks.groupBy("shard", "number", "k").agg(F.array_sort(F.collect_list("piece")).alias("pieces"))
