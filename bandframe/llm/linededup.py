@@ -59,7 +59,10 @@ def _local_filters(batches: Iterator[pa.RecordBatch], bits: int, least: int, sal
 
 
 def _merge(table: pa.Table, last: bool) -> pa.Table:
-    """Combine the filters of one segment: a bit seen by two parts is a bit seen twice."""
+    """Combine the filters of one segment: a bit seen by two parts is a bit seen twice.
+
+    The last time over, the twice-seen bits come as they are in the filter, not as offsets.
+    """
     once, twice = np.zeros(SEGMENT, bool), np.zeros(SEGMENT, bool)
     for a, b in zip(table["once"].to_pylist(), table["twice"].to_pylist()):
         more = np.zeros(SEGMENT, bool)
@@ -68,7 +71,7 @@ def _merge(table: pa.Table, last: bool) -> pa.Table:
         twice[np.frombuffer(b, "<u2")] = True
         once |= more
     pack = lambda x: np.flatnonzero(x).astype("<u2").tobytes()
-    out = {"segment": table["segment"][:1], "once": [b"" if last else pack(once)], "twice": [pack(twice)]}
+    out = {"segment": table["segment"][:1], "once": [b"" if last else pack(once)], "twice": [np.packbits(twice, bitorder="little").tobytes() if last else pack(twice)]}
     return pa.table(out, schema=pa.schema([("segment", pa.int64()), ("once", pa.binary()), ("twice", pa.binary())]))
 
 
@@ -86,10 +89,10 @@ def twice_filter(docs: DataFrame, text_col: str, least: int, max_filter_bits: in
     merged = "segment long, once binary, twice binary"
     parts = parts.groupBy("segment", "salt").applyInArrow(lambda t: _merge(t, False), merged)
     parts = parts.groupBy("segment").applyInArrow(lambda t: _merge(t, True), merged)
-    twice = np.zeros(bits, bool)
+    twice, step = bytearray(bits // 8), SEGMENT // 8
     for row in parts.select("segment", "twice").toLocalIterator():
-        twice[row["segment"] * SEGMENT + np.frombuffer(row["twice"], "<u2").astype(np.int64)] = True
-    return zlib.compress(np.packbits(twice, bitorder="little").tobytes(), 1), bits
+        twice[row["segment"] * step : (row["segment"] + 1) * step] = row["twice"]
+    return zlib.compress(twice, 1), bits
 
 
 def _suspects(batches: Iterator[pa.RecordBatch], packed: bytes, bits: int, least: int) -> Iterator[pa.RecordBatch]:
