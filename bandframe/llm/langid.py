@@ -12,10 +12,12 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
+from pyspark.sql.window import Window
 
-#: Symbols: no letter, a letter outside the alphabet, then the alphabet; after it the break between
-#: two texts learned from, and the filler behind the end of a segment.
-BLANK, STRANGE, FIRST = 0, 1, 2
+#: Symbols: no letter, ``OTHERS`` for letters outside the alphabet by code point, then the alphabet;
+#: after it the break between two texts learned from, and the filler behind the end of a segment.
+BLANK, OTHERS = 0, 32
+FIRST = 1 + OTHERS
 #: Symbols parsed in one go: a parse starts anew so often.
 SEGMENT = 512
 #: Segments that advance together.
@@ -32,7 +34,7 @@ def classes(alphabet: str) -> np.ndarray:
         for point in range(0x110000):
             c = chr(point)
             if c.isalpha():
-                table[point] = number.get(c.lower(), STRANGE)
+                table[point] = number.get(c.lower(), 1 + ord(c.lower()[0]) % OTHERS)
         _classes[alphabet] = table
     return _classes[alphabet]
 
@@ -40,7 +42,7 @@ def classes(alphabet: str) -> np.ndarray:
 def symbols(text: str, alphabet: str) -> np.ndarray:
     """A text as symbols, runs of what is no letter as one blank."""
     out = classes(alphabet)[np.frombuffer(text.encode("utf-32-le"), "<u4")]
-    return out[(out != BLANK) | (np.concatenate([[STRANGE], out[:-1]]) != BLANK)]
+    return out[(out != BLANK) | (np.concatenate([[FIRST], out[:-1]]) != BLANK)]
 
 
 def suffix_automaton(text: list[int]) -> list[dict[int, int]]:
@@ -104,7 +106,11 @@ class LanguageModel:
 
 
 def learn(samples: dict[str, list[str]], max_letters: int = 60, max_chars: int = 32768) -> LanguageModel:
-    """Fit a model on texts by language; of each language whole texts, ``max_chars`` symbols at most."""
+    """Fit a model on texts by language; of each language ``max_chars`` symbols at most, the last text cut.
+
+    The alphabet is the ``max_letters`` most frequent letters of all languages; other letters share
+    ``OTHERS`` symbols by their code points, so scripts beyond the alphabet can still be told apart.
+    """
     count = Counter(c for texts in samples.values() for t in texts for c in t.lower() if c.isalpha())
     alphabet = "".join(sorted(sorted(count, key=lambda c: (-count[c], c))[:max_letters]))
     stop = len(alphabet) + FIRST
@@ -112,8 +118,8 @@ def learn(samples: dict[str, list[str]], max_letters: int = 60, max_chars: int =
     for language in sorted(samples):
         text: list[int] = []
         for t in samples[language]:
-            more = symbols(t, alphabet).tolist()
-            if len(text) + len(more) < max_chars:
+            more = symbols(t, alphabet)[: max(0, max_chars - len(text) - 1)].tolist()
+            if more:
                 text += [*more, stop]
         if text:
             automaton = suffix_automaton(text)
@@ -175,13 +181,15 @@ def held_out(doc_id: Column) -> Column:
     return F.coalesce(F.crc32(doc_id.cast("string")) % 3 == 1, F.lit(False))
 
 
-def fit(docs: DataFrame, *, rows: int = 48, max_chars: int = 32768, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> LanguageModel:
+def fit(docs: DataFrame, *, rows: int = 48, max_chars: int = 32768, passage: int = 4096, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> LanguageModel:
     """Learn from a bounded sample of the labelled documents that are not held out.
 
     Of each language about ``4 * rows`` documents are drawn by a hash of their id (in proportion to
-    its count, so a frequent language is no burden), those of over ``max_chars`` characters left
-    out, and the first ``rows`` of them in hash order come to the driver; whole texts are learned
-    from until ``max_chars`` symbols are reached. Rows without id, text or language take no part.
+    its count, so a frequent language is no burden), and the first ``rows`` of them in hash order come
+    to the driver, of a longer text a passage of ``passage`` characters from a place drawn by the same
+    hash; they are learned from until ``max_chars`` symbols are reached. So every language with a
+    labelled letter is learned. Rows without id, text or language take no part. Rows with equal ids
+    are drawn together, each with its own text; what is drawn doesn't depend on their order.
     """
     own = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"), F.col(lang_col).cast("string").alias("lang"))
     own = own.where(F.col("id").isNotNull() & F.col("text").isNotNull() & F.col("lang").isNotNull() & ~held_out(F.col("id")))
@@ -190,19 +198,21 @@ def fit(docs: DataFrame, *, rows: int = 48, max_chars: int = 32768, id_col: str
         return LanguageModel("", (), (), ())
     lot = F.pmod(F.xxhash64("id", F.lit("language")), F.lit(1 << 40))
     share = F.create_map(*(F.lit(x) for k, n in counts.items() for x in (k, int((1 << 40) * min(1.0, 4 * rows / n)))))
-    drawn = own.withColumn("lot", lot).where((F.col("lot") < F.element_at(share, F.col("lang"))) & (F.length("text") <= max_chars))
+    drawn = own.withColumn("lot", lot).where(F.col("lot") < F.element_at(share, F.col("lang")))
+    start = F.pmod(F.col("lot"), F.greatest(F.lit(1), F.length("text") - passage + 1)).cast("int") + 1
+    drawn = drawn.select("lang", "lot", F.substring("text", start, F.lit(passage)).alias("text"))
+    first = F.row_number().over(Window.partitionBy("lang").orderBy("lot", "text"))
     samples: dict[str, list[str]] = {k: [] for k in counts}
-    for row in drawn.orderBy("lot", "id", "text").limit(8 * rows * len(counts)).collect():
-        if len(samples[row["lang"]]) < rows:
-            samples[row["lang"]].append(row["text"])
+    for row in drawn.withColumn("first", first).where(F.col("first") <= rows).orderBy("lang", "first").collect():
+        samples[row["lang"]].append(row["text"])
     return learn(samples, max_chars=max_chars)
 
 
 def identify(docs: DataFrame, model: LanguageModel, *, text_col: str = "text") -> DataFrame:
     """``docs`` with ``lang_pred`` and ``score``, in place of columns of these names.
 
-    A text is read whole as symbols: letters of the alphabet with cases alike, other letters as one
-    symbol, each run of anything else as one blank. For each language it is parsed greedily into the
+    A text is read whole as symbols: letters of the alphabet with cases alike, other letters by code
+    point, each run of anything else as one blank. For each language it is parsed greedily into the
     longest phrases found in the text learned from (Ziv and Merhav, 1993), and the language with the
     fewest phrases wins, each weighed by the bits that point to a place of that text. ``score`` is 1
     less the quotient of the best and the second cost. Equal costs go to the first language in order.
