@@ -11,11 +11,13 @@ from pyspark.sql import DataFrame, SparkSession
 def shared_dir(spark: SparkSession) -> str:
     """The folder that the driver and all executors share.
 
-    It is the session's ``spark.checkpoint.dir``. Where that is unset (tests on one machine) a
-    fresh local folder is chosen once per session.
+    It is the session's ``spark.checkpoint.dir``. Where that is unset and all tasks run in the driver
+    (tests on one machine) a fresh local folder is chosen once per session; on a cluster it is an error.
     """
     found = spark.conf.get("spark.checkpoint.dir", None) or spark.conf.get("spark.bandframe.scratch", None)
     if not found:
+        if spark.sparkContext.master.split("[")[0] != "local":
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         found = tempfile.mkdtemp(prefix="spark-bandframe-")
         spark.conf.set("spark.bandframe.scratch", found)
     return found.rstrip("/")
