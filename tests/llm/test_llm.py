@@ -167,24 +167,68 @@ def test_components(spark):
     assert Counter(map(tuple, later.collect())) == Counter(got.items())
 
 
-def test_buckets_of_unlinked_members_end(spark, monkeypatch):
-    monkeypatch.setattr(components, "HUBS", 8)
-    monkeypatch.setattr(components, "CHUNK", 8)
-    nodes, tested, turns = range(1, 41), [], []
-    members = spark.createDataFrame([(7, 0, n) for n in nodes], "bucket long, part int, node long")
+@pytest.mark.parametrize("n,hubs,weight", [(40, 8, 1), (40, 1000, 1 << 21), (300, 64, 1), (400, 97, 1)])
+def test_buckets_of_unlinked_members_end(spark, monkeypatch, n, hubs, weight):
+    """As 40 members are to hubs of 8, 10,000 are to those of the library; each pair is tested once."""
+    monkeypatch.setattr(components, "HUBS", hubs)
+    monkeypatch.setattr(components, "CHUNK", hubs)
+    nodes, tested, turns = range(1, n + 1), Counter(), []
+    members = spark.createDataFrame([(7, 0, k, weight) for k in nodes], "bucket long, part int, node long, weight long")
 
     def sketch(nodes):
         turns.append(nodes.count())
-        assert turns[-1] < turns[-2] if turns[1:] else True, "a round without hubs"
+        assert len(turns) < 30, "no end"
         return nodes.withColumn("sketch", F.lit(b""))
 
     def verify(pairs):
-        tested.extend((r["u"], r["v"]) for r in pairs.collect())
+        tested.update((r["u"], r["v"]) for r in pairs.collect())
         return pairs.where("u < 0")
 
     found = components.link_buckets(members, sketch, lambda one, two, part: np.ones((len(one), len(two)), bool), verify)
-    assert found.isEmpty() and len(turns) > 2
-    assert sorted(tested) == [(u, v) for u in nodes for v in nodes if u < v]
+    assert found.isEmpty() and len(turns) > 1
+    assert tested == Counter((u, v) for u in nodes for v in range(u + 1, n + 1))
+
+
+@pytest.mark.parametrize("n", [3000, 4000, 10_000])
+def test_large_buckets_of_unlinked_members_end(spark, n):
+    """The library's own sizes, with a sketch by which no pair is likely."""
+    members = spark.range(1, n + 1).selectExpr("7L AS bucket", "0 AS part", "id AS node", "8L AS weight")
+    left = []
+
+    def sketch(nodes):
+        left.append(nodes.count())
+        assert len(left) < 40, "no end"
+        return nodes.withColumn("sketch", F.lit(b""))
+
+    found = components.link_buckets(members, sketch, lambda one, two, part: np.zeros((len(one), len(two)), bool), lambda pairs: pairs.where("u < 0"))
+    assert found.isEmpty() and all(b < a for a, b in zip(left, left[1:]))
+
+
+def test_equal_ids_of_different_texts(spark):
+    """Rows of one id are one node with one text, whatever the partitioning."""
+    word = lambda k: " ".join(f"w{k}x{i}" for i in range(40))
+    rows = [(1, word(1)), (2, word(1) + " end"), (2, word(2)), (3, word(2) + " end"), (4, word(3)), (4, word(4)), (5, word(4) + " end"), (6, word(3) + " end")]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    out = [sorted(map(tuple, neardup.near_duplicates(d).collect())) for d in (df.repartition(1), df.repartition(7, "text"), df.orderBy(F.desc("text")).repartition(3))]
+    assert out[0] == out[1] == out[2] and len(out[0]) == len(rows)
+
+
+@pytest.mark.parametrize("n", range(8))
+def test_shingle_sets_of_few_words(n):
+    """Lots that hold few words in all, alone or behind a full lot."""
+    text, full = " ".join("klmnopqr"[:n]), "a b c d e f " * (shingles.LOT // 12 + 1)
+    assert [len(s) for s in shingles.shingle_sets([text])] == [len(set_of(text))]
+    assert [len(s) for s in shingles.shingle_sets([full, text])][1] == len(set_of(text))
+    assert [len(s) for s in shingles.shingle_sets([])] == []
+
+
+def test_shingles_of_crafted_texts():
+    """Words whose polynomials modulo 2**64 agree for any base have hashes of their own."""
+    a, b = "a", "b"
+    for _ in range(12):
+        a, b = a + b, b + a
+    one, two = shingles.shingle_sets([f"v w {a} x y", f"v w {b} x y"])
+    assert one.tolist() != two.tolist()
 
 
 def test_shingle_sets():
@@ -269,13 +313,28 @@ def test_cross_parsing():
     samples = {"x": ["abc abd abe the cat sat", "on the mat"], "y": ["der die das und", "ein eine einer"]}
     model = langid.learn(samples)
     texts = ["the cat", "", "die eine Katze, die das tat!" * 40, "漢字 the", "zzz", "a"]
-    got = langid.phrase_counts([langid.symbols(t, model.alphabet) for t in texts], model.tables(), len(model.alphabet) + 4)
-    stop = len(model.alphabet) + 2
+    got = langid.phrase_counts([langid.symbols(t, model.alphabet) for t in texts], model.tables(), len(model.alphabet) + langid.FIRST + 2)
+    stop = len(model.alphabet) + langid.FIRST
     for k, language in enumerate(model.languages):
         reference = [c for t in samples[language] for c in (*langid.symbols(t, model.alphabet).tolist(), stop)]
         assert got[:, k].tolist() == [greedy(t, reference, model.alphabet) for t in texts]
 
 
+def test_languages_of_long_texts_and_other_scripts_are_learned(spark):
+    """Long labelled texts alone, letters beyond the alphabet, ties, and rows alike."""
+    words = {"de": "der die das und ein eine nicht auch wird haus", "en": "the and of that with this from have house been", "ru": "это как его она так было дом они что весь", "el": "και την του είναι από για σπίτι ήταν όλα δεν"}
+    rng = np.random.default_rng(4)
+    text = lambda k, n: " ".join(rng.choice(words[k].split(), n))
+    rows = [(i, text(k, 12_000), k) for i, k in enumerate(["de"] * 20 + ["ru"] * 20)] + [(100 + i, text("en", 30), "en") for i in range(40)] + [(200, text("el", 40), "el")] * 5
+    model = langid.fit(spark.createDataFrame(rows, "doc_id long, text string, lang string"))
+    assert set(model.languages) >= {"de", "en", "ru"}
+    small = langid.learn({k: [w] for k, w in words.items()}, max_letters=20)
+    asked = spark.createDataFrame([(i, text(k, 25), k) for i, k in enumerate(list(words) * 6)], "doc_id long, text string, lang string")
+    for m, wanted in ((model, model.languages), (small, tuple(words))):
+        got = langid.identify(asked, m).where(F.col("lang").isin(list(wanted))).collect()
+        assert all(r["lang"] == r["lang_pred"] for r in got)
+
+
 def test_language(spark, docs, edges):
     model = langid.fit(docs)
     got = langid.identify(docs, model).select("lang", "lang_pred", "score", langid.held_out(F.col("doc_id")).alias("out")).collect()
@@ -321,7 +380,7 @@ def test_filters_of_parts_merge():
     parts = [np.array([5, 9], np.uint64), np.array([9, 11], np.uint64)]
     rows = [linededup._segments(p, 1 << 16)[0] for p in parts]
     out = linededup._merge(pa.table({"segment": [0, 0], "once": rows, "twice": [b"", b""]}), True)
-    assert set(linededup.places(parts[0][1:], 1 << 16).ravel().tolist()) <= set(np.frombuffer(out["twice"][0].as_py(), "<u2").tolist())
+    assert set(linededup.places(parts[0][1:], 1 << 16).ravel().tolist()) <= set(np.flatnonzero(np.unpackbits(np.frombuffer(out["twice"][0].as_py(), np.uint8), bitorder="little")).tolist())
 
 
 # 6
@@ -538,12 +597,59 @@ def test_mix(request, which, block):
     order = sorted(sources, key=lambda s: (s is None, s or ""))
     goal = dict(zip(order, mixing.targets([sources[s] for s in order], (5, 2, 1), 1.5, 2.0)))
     assert len(got) == df.count() and all(r["taken"] <= 2 * r["size"] for r in got)
-    taken = {r["source"]: r["t"] for r in placed.select("source", "number").distinct().join(parts.groupBy("number").agg(F.sum("words").alias("t")), "number").collect()}
+    source = {(r["doc_id"], r["size"], r["source_size"], r["target"]): r["source"] for r in placed.collect()}
+    taken = Counter()
+    for r in got:
+        taken[source[r["doc_id"], r["size"], r["source_size"], r["target"]]] += r["taken"]
     assert all(abs(taken.get(s, 0) - goal[s]) <= 1 for s in order)
     again = mixing.taken_words(*mixing.mix(df.repartition(5), block=block)).collect()
     assert Counter(map(tuple, got)) == Counter(map(tuple, again))
 
 
+@pytest.mark.parametrize("which", ["edges", "docs"])
+def test_mix_by_document(request, which):
+    """Every document's words, slot by slot: blocks, passes and permutations once more, without Spark."""
+    df, block = request.getfixturevalue(which), 16
+    placed, parts = mixing.mix(df, block=block)
+    rows = placed.collect()
+    wanted = Counter()
+    for number in {r["number"] for r in rows}:
+        own = [r for r in rows if r["number"] == number and r["size"]]
+        size, target = max((r["source_size"] for r in own), default=0), max((r["target"] for r in own), default=0)
+        q, n = mixing.quota(size, target, block, 0, number), -(-size // block)
+        at = np.cumsum([0, *(r["size"] for r in sorted(own, key=lambda r: r["at"]))]).tolist()
+        assert sorted((r["at"], r["at"] + r["size"]) for r in own) == list(zip(at, at[1:]))  # a stream without gaps
+        for k in range(q.slots):
+            b = int(mixing.permute([k % n], [n], [mixing.seed_of(0, number, k // n)])[0])
+            end = min(b * block + (q.last if k == q.slots - 1 else block), size)
+            for r in own:
+                wanted[number, r["at"]] += max(0, min(end, r["at"] + r["size"]) - max(b * block, r["at"]))
+    got = Counter({(r["number"], r["at"]): r["n"] for r in parts.groupBy("number", "at").agg(F.sum("words").alias("n")).collect()})
+    assert got == +wanted
+    reported = Counter(r["taken"] for r in mixing.taken_words(placed, parts).collect())
+    assert reported == Counter(wanted[r["number"], r["at"]] if r["size"] else 0 for r in rows)
+
+
+def test_mixed_texts_of_odd_rows(edges):
+    """Null and repeated ids, texts and rows: each row takes the pieces of a place of its own."""
+    _, parts = mixing.mix(edges, block=16)
+    parts = cut(parts, "parts")
+    mixed = mixing.mixed_documents(edges, parts)
+    assert mixed.columns == edges.columns
+    rows = mixed.collect()
+    own = Counter((r["doc_id"], r["source"], r["mark"], r["n"]) for r in parts.groupBy("doc_id", "source", "mark", "at").agg(F.sum("words").alias("n")).collect())
+    marks = {(r["doc_id"], r["source"], r["m"]) for r in edges.select("doc_id", "source", F.xxhash64("text").alias("m")).collect()}
+    assert {k[:3] for k in own} <= marks
+    assert Counter((r["doc_id"], r["source"], len(WORD.findall(r["text"]))) for r in rows) == Counter({(i, s, n): c for (i, s, _, n), c in own.items()})
+    assert None in {r["doc_id"] for r in rows}
+    assert mixing.mixed_blocks(edges, parts).count() == parts.select("shard", "number", "k").distinct().count()
+    assert mixing.mixed_documents(edges.limit(0), parts).count() == 0
+
+
+def test_whole_passes_keep_the_text():
+    assert mixing.joined_runs([{"turn": t, "from_word": a, "words": 4} for t, a in ((0, 0), (0, 4), (0, 8), (1, 4), (1, 12))]) == [(0, 12), (4, 4), (12, 4)]
+
+
 def test_mixed_texts(docs):
     _, parts = mixing.mix(docs, block=64)
     parts = cut(parts, "parts")
