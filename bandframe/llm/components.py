@@ -81,7 +81,7 @@ def _compared(hubs: pa.Table, members: pa.Table, candidates: Callable) -> pa.Tab
     return pa.table([pa.array(np.minimum(u, v)), pa.array(np.maximum(u, v))], schema=PAIRS)
 
 
-def link_buckets(members: DataFrame, sketch: Callable[[DataFrame], DataFrame], candidates: Callable, verify: Callable[[DataFrame], DataFrame]) -> DataFrame:
+def link_buckets(members: DataFrame, sketch: Callable[[DataFrame], DataFrame], candidates: Callable, verify: Callable[[DataFrame], DataFrame], small: int = 0) -> DataFrame:
     """Components of all nodes that share a bucket and are true pairs: rows (node, component).
 
     ``members`` has rows (bucket, part, node, weight); ``part`` numbers the table of the bucket, and
@@ -98,7 +98,8 @@ def link_buckets(members: DataFrame, sketch: Callable[[DataFrame], DataFrame], c
     within the task, so that rows arise for likely pairs only; then they leave the bucket. Each round
     draws anew: a hash of the node alone would find its residue classes emptied by the hubs that left
     before. A bucket is done when its members lie in one component:
-    every pair of it was then compared or is connected by others. Nodes in no true pair are absent
+    every pair of it was then compared or is connected by others. Buckets of at most ``small`` members give
+    a row for each such pair instead, which costs no sketch. Nodes in no true pair are absent
     from the result.
     """
     ends = members.groupBy("bucket").agg(F.min("node").alias("least"), F.max("node").alias("top")).where("least < top")
@@ -113,15 +114,21 @@ def link_buckets(members: DataFrame, sketch: Callable[[DataFrame], DataFrame], c
         mixed = sizes.groupBy("bucket").agg(F.sum("n").alias("n"), F.sum("w").alias("w"), F.max(F.struct("n", "w", "c")).alias("most")).where("n > most.n")
         few = F.ceil(F.greatest((F.col("n") - F.col("most.n")) / HUBS, (F.col("w") - F.col("most.w")) / WEIGHT))
         chunks = F.ceil(F.greatest(F.col("n") / CHUNK, F.col("w") / WEIGHT))
-        mixed = cut(mixed.select("bucket", F.col("most.c").alias("most"), few.alias("lots"), chunks.alias("chunks")), "mixed")
+        mixed = cut(mixed.select("bucket", "n", F.col("most.c").alias("most"), few.alias("lots"), chunks.alias("chunks")), "mixed")
         if mixed.isEmpty():
             return found
         hub = (F.col("c") != F.col("most")) & (F.pmod(F.xxhash64("node", F.lit(turn)), F.col("lots")) == 0)
         chunk = F.pmod(F.xxhash64("node", F.lit(1)), F.col("chunks"))
-        rest = named.join(mixed, "bucket").select("bucket", "part", "node", "weight", "c", "chunks", hub.alias("hub"), chunk.alias("chunk"))
-        rest = cut(rest.join(sketch(rest.select("node").distinct()), "node"), "rest")
-        ask = rest.where("hub").withColumn("chunk", F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("chunks") - 1)))
-        likely = ask.groupBy("bucket", "chunk").cogroup(rest.groupBy("bucket", "chunk")).applyInArrow(lambda h, m: _compared(h, m, candidates), "u long, v long")
+        rest = named.join(mixed, "bucket").select("bucket", "part", "node", "weight", "c", "chunks", (F.col("n") <= small).alias("small"), hub.alias("hub"), chunk.alias("chunk"))
+        rest = cut(rest, "rest")
+        large = rest.where("NOT small")
+        large = cut(large.join(sketch(large.select("node").distinct()), "node"), "large")
+        ask = large.where("hub").withColumn("chunk", F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("chunks") - 1)))
+        likely = ask.groupBy("bucket", "chunk").cogroup(large.groupBy("bucket", "chunk")).applyInArrow(lambda h, m: _compared(h, m, candidates), "u long, v long")
+        if small:
+            one, two = (rest.where(w).select("bucket", *(F.col(c).alias(f"{c}_{x}") for c in ("node", "c", "hub"))) for x, w in (("u", "small AND hub"), ("v", "small")))
+            both = one.join(two.hint("merge"), "bucket").where("c_u <> c_v AND (NOT hub_v OR node_v > node_u)")
+            likely = likely.union(both.select(F.least("node_u", "node_v").alias("u"), F.greatest("node_u", "node_v").alias("v")))
         more = cut(verify(likely.distinct()), "links")
         if not more.isEmpty():
             found = cut(joined_components(found, more), "components")
