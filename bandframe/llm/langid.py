@@ -14,6 +14,8 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
+from bandframe.llm.store import tidy
+
 #: Symbols: no letter, ``OTHERS`` for letters outside the alphabet by code point, then the alphabet;
 #: after it the break between two texts learned from, and the filler behind the end of a segment.
 BLANK, OTHERS = 0, 32
@@ -157,6 +159,7 @@ def phrase_counts(parts: list[np.ndarray], tables: list[np.ndarray], width: int)
     return sums[ends] - sums[ends - number]
 
 
+@tidy
 def _predicted(batches: Iterator[pa.RecordBatch], model: LanguageModel, at: int) -> Iterator[pa.RecordBatch]:
     tables, width, bits = model.tables(), len(model.alphabet) + FIRST + 2, np.array(model.bits)
     for batch in batches:

@@ -11,7 +11,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from bandframe.llm.store import cut
+from bandframe.llm.store import cut, tidy
 
 SPACE = b" \t\n\v\f\r"
 #: Bits of a filter that are shuffled and merged together, and hash functions per key.
@@ -41,6 +41,7 @@ def _segments(hashes: np.ndarray, bits: int) -> dict[int, bytes]:
     return {int(n): x.astype("<u2").tobytes() for n, x in zip(number, np.split(at % SEGMENT, start[1:]))}
 
 
+@tidy
 def _local_filters(batches: Iterator[pa.RecordBatch], bits: int, least: int, salts: int) -> Iterator[pa.RecordBatch]:
     from pyspark import TaskContext
 
@@ -95,6 +96,7 @@ def twice_filter(docs: DataFrame, text_col: str, least: int, max_filter_bits: in
     return zlib.compress(twice, 1), bits
 
 
+@tidy
 def _suspects(batches: Iterator[pa.RecordBatch], packed: bytes, bits: int, least: int) -> Iterator[pa.RecordBatch]:
     filled = np.frombuffer(zlib.decompress(packed), np.uint8)
     for batch in batches:

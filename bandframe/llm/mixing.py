@@ -13,7 +13,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from bandframe.llm.store import cut
+from bandframe.llm.store import cut, tidy
 
 WORD = r"[^\x20\x09-\x0D]+"
 #: Slots of one row before the second explode.
@@ -119,6 +119,7 @@ def draw(slots: list[int], n_shards: int, seed: int) -> list[list[int]]:
     return out
 
 
+@tidy
 def _blocks_of_slots(batches: Iterator[pa.RecordBatch], seed: int) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         number, n, k = (batch.column(c).to_numpy(zero_copy_only=False) for c in ("number", "n_blocks", "k"))
@@ -232,6 +233,7 @@ def joined_runs(pieces: list[dict]) -> list[tuple[int, int]]:
     return [(a, n) for _, a, n in runs]
 
 
+@tidy
 def _texts(batches: Iterator[pa.RecordBatch], at: int) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         pieces = batch.column(batch.num_columns - 1).to_pylist()

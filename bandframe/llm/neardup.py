@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from bandframe.llm.components import link_buckets
 from bandframe.llm.shingles import shingle_sets
-from bandframe.llm.store import cut
+from bandframe.llm.store import cut, tidy
 
 U = np.uint64
 SIGNED = pa.schema([("id", pa.int64()), ("mark", pa.int64()), ("n", pa.int64()), ("print", pa.binary()), ("sig", pa.binary())])
@@ -34,6 +34,7 @@ def signature(shingles: np.ndarray, a: np.ndarray, b: np.ndarray) -> np.ndarray:
     return (least >> U(32)).astype("<u4")
 
 
+@tidy
 def _signed(batches: Iterator[pa.RecordBatch], n_hashes: int, seed: int) -> Iterator[pa.RecordBatch]:
     a, b = hash_family(n_hashes, seed)
     for batch in batches:
@@ -53,6 +54,7 @@ def _alike(batches: Iterator[pa.RecordBatch], least: float) -> Iterator[pa.Recor
             yield batch.select(["u", "v"]).filter(pa.array((one == two).mean(axis=1) >= least))
 
 
+@tidy
 def _sketched(batches: Iterator[pa.RecordBatch], n_hashes: int, seed: int) -> Iterator[pa.RecordBatch]:
     """Per node the signature and, behind it, the set as sorted 32-bit hashes."""
     a, b = hash_family(n_hashes, seed)
@@ -82,6 +84,7 @@ def likely_pairs(one: list[bytes], two: list[bytes], part: int, n_hashes: int, r
     return out
 
 
+@tidy
 def _confirmed(batches: Iterator[pa.RecordBatch], percent: int) -> Iterator[pa.RecordBatch]:
     """Pairs whose full sets are similar enough."""
     last: dict[int, np.ndarray] = {}

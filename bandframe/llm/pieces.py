@@ -17,13 +17,13 @@ import zstandard
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from bandframe.llm.store import small_batches, wide_groups
+from bandframe.llm.store import give_back, small_batches, tidy, wide_groups
 
 BLANK = "▁"
 #: A word is what no piece reaches across: leading blanks with letters or with other signs; a line end.
 WORD = regex.compile(rf"{BLANK}*[\p{{L}}\p{{M}}]+|{BLANK}*[^\p{{L}}\p{{M}}{BLANK}\n]+|{BLANK}+|\n")
 #: Characters of text of which a block is made; each block brings its words once.
-BLOCK = 4 << 20
+BLOCK = 2 << 20
 #: Words of so many characters have their boundaries in one 64-bit number; longer ones in an array.
 SHORT = 61
 #: The number that stands for an edge has 22 bits of rank, 31 of the end, 5 of the length, and 5 that
@@ -357,6 +357,7 @@ PER_TASK, PER_BLOCK = 1 << 16, 1 << 24
 BLOCKS = pa.schema([("block", pa.int64()), ("ids", pa.list_(pa.int64())), ("sizes", pa.binary()), ("body", pa.binary())])
 
 
+@tidy
 def _block_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """The rows of a task in blocks of about ``BLOCK`` bytes, the texts compressed."""
     from pyspark import TaskContext
@@ -398,6 +399,7 @@ def _block_texts(sizes: bytes, body: bytes) -> pa.Array:
     return pc.if_else(pa.array(n >= 0), texts, None) if (n < 0).any() else texts
 
 
+@tidy
 def _block_words(batches: Iterator[pa.RecordBatch], common: pa.Array) -> Iterator[pa.RecordBatch]:
     """The words of blocks that are not common, each with the number that names it, as text.
 
@@ -406,7 +408,6 @@ def _block_words(batches: Iterator[pa.RecordBatch], common: pa.Array) -> Iterato
     for batch in batches:
         for block, sizes, body in zip(*(batch.column(c).to_pylist() for c in ("block", "sizes", "body"))):
             words = read_block(_block_texts(sizes, body)).words
-            pa.default_memory_pool().release_unused()
             rare = words.filter(pc.invert(pc.is_in(words, common)))
             ref = pa.array(block * PER_BLOCK + np.arange(len(rare))).cast(pa.string())
             if (long := pc.greater(pc.utf8_length(rare), SHORT)).true_count:
@@ -419,8 +420,11 @@ def _block_words(batches: Iterator[pa.RecordBatch], common: pa.Array) -> Iterato
 
 CODES = pa.schema([("block", pa.int64()), ("gaps", pa.binary()), ("sizes", pa.binary()), ("codes", pa.binary())])
 ENCODED = pa.schema([("id", pa.int64()), ("ids", pa.binary())])
+DECODED = pa.schema([("id", pa.int64()), ("n_tokens", pa.int64()), ("ids_crc32", pa.int64()), ("text", pa.string())])
+DECODED_SQL = "id long, n_tokens long, ids_crc32 long, text string"
 
 
+@tidy
 def _packed_codes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Codes (ref, code) that come by block, packed: a row for each run of a block in a batch."""
     squeeze = zstandard.ZstdCompressor(level=1)
@@ -450,8 +454,9 @@ def _routed(coded: pa.Table, n: int) -> pa.Array:
     return codes.take(pa.array(np.argsort(number)))
 
 
-def _encoded(texts: pa.Table, coded: pa.Table, common: pa.Table) -> pa.Table:
-    """The ids of every text of a block, four bytes each, from the codes of its words."""
+def _encoded(texts: pa.Table, coded: pa.Table, common: pa.Table, pieces: pa.Array | None) -> pa.Table:
+    """The ids of every text of a block, four bytes each, from the codes of its words; or, with the
+    bytes of all pieces, what ``_decoded`` reads from them."""
     out = []
     for k in range(texts.num_rows):
         raw = _block_texts(texts["sizes"][k].as_py(), texts["body"][k].as_py())
@@ -463,10 +468,15 @@ def _encoded(texts: pa.Table, coded: pa.Table, common: pa.Table) -> pa.Table:
         number[rare] = common.num_rows + np.arange(rare.sum())
         ids = encode_block(raw, codes.take(pa.array(number)), block)
         out.append(pa.RecordBatch.from_arrays([texts["ids"].combine_chunks()[k].values, ids], schema=ENCODED))
-        pa.default_memory_pool().release_unused()
-    return pa.Table.from_batches(out, ENCODED)
+    if pieces is not None:
+        result = pa.Table.from_batches(list(_decoded(iter(out), pieces)), DECODED)
+    else:
+        result = pa.Table.from_batches(out, ENCODED)
+    give_back()
+    return result
 
 
+@tidy
 def _counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """The words of a task's texts and how often they occur, by batch."""
     for batch in batches:
@@ -493,9 +503,12 @@ def common_words(rows: DataFrame, table: PieceTable, most: int, sample: int) ->
     return pa.table([found["key"].combine_chunks().cast(pa.string()), codes], names=["word", "code"])
 
 
-def encode_documents(docs: DataFrame, table: PieceTable, *, common: int = 1 << 17, sample: int = 20_000, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def encode_documents(docs: DataFrame, table: PieceTable, *, common: int = 1 << 17, sample: int = 20_000, decode: bool = False, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """The ids of every text by the model: rows (id, ids), ids a binary of 32-bit little-endian numbers.
 
+    With ``decode`` the tasks decode the ids of a block at once and return what ``decode_documents``
+    returns for them: a round trip of which no ids leave the task.
+
     Tasks gather their rows to blocks, which move once, compressed; from there the distinct words of
     each block go through the lattice, each word of all blocks once, and its code returns to the blocks
     that hold it, packed. No task holds more than a block of about ``BLOCK`` bytes or one text. The
@@ -513,16 +526,16 @@ def encode_documents(docs: DataFrame, table: PieceTable, *, common: int = 1 << 1
     wide_groups(spark)
     rows = docs.select(F.col(id_col).cast("bigint").alias("id"), F.col(text_col).alias("text"))
     frequent = common_words(rows, table, common, sample)
-    sent = spark.sparkContext.broadcast(frequent)
+    sent = spark.sparkContext.broadcast((frequent, pa.array(table.texts, pa.binary()) if decode else None))
     blocks = rows.mapInArrow(_block_rows, "block long, ids array<long>, sizes binary, body binary").repartition("block")
-    pairs = blocks.mapInArrow(lambda x: _block_words(x, sent.value["word"].combine_chunks()), "key string, ref string").where("key IS NOT NULL").repartition("key")
+    pairs = blocks.mapInArrow(lambda x: _block_words(x, sent.value[0]["word"].combine_chunks()), "key string, ref string").where("key IS NOT NULL").repartition("key")
     # All that read the blocks or the words read all columns, so that each has one exchange.
     words = pairs.groupBy("key").agg(F.max("ref").alias("ref"))
     words = words.select("key", F.when(F.length("key") <= SHORT, F.col("key")).otherwise(F.expr("substring(ref, instr(ref, ' ') + 1)")).alias("word"))
     codes = pairs.join(fold_words(words, table).hint("merge"), "key")
     codes = codes.select(F.substring_index("ref", " ", 1).cast("bigint").alias("ref"), "code").sortWithinPartitions("ref").mapInArrow(_packed_codes, "block long, gaps binary, sizes binary, codes binary")
     both = blocks.groupBy("block").cogroup(codes.groupBy("block"))
-    return both.applyInArrow(lambda a, b: _encoded(a, b, sent.value), "id long, ids binary").withColumnRenamed("id", id_col)
+    return both.applyInArrow(lambda a, b: _encoded(a, b, *sent.value), DECODED_SQL if decode else "id long, ids binary").withColumnRenamed("id", id_col)
 
 
 def decode_ids(ids: bytes, texts: list[bytes]) -> str:
@@ -549,12 +562,13 @@ def decoded_texts(ids: pa.Array, texts: pa.Array) -> pa.Array:
         return pa.array([x.decode("utf-8", "replace") for x in raw.to_pylist()], pa.string())
 
 
+@tidy
 def _decoded(batches: Iterator[pa.RecordBatch], texts: pa.Array) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         ids = batch.column(1)
         yield pa.RecordBatch.from_arrays(
             [batch.column(0), pc.divide(pc.binary_length(ids), 4).cast(pa.int64()), pa.array([zlib.crc32(x.as_buffer()) for x in ids], pa.int64()), decoded_texts(ids, texts)],
-            names=["id", "n_tokens", "ids_crc32", "text"],
+            schema=DECODED,
         )
 
 
@@ -562,5 +576,5 @@ def decode_documents(encoded: DataFrame, table: PieceTable, *, id_col: str = "do
     """Texts from ids: rows (id, n_tokens, ids_crc32, text). The pieces are sent to all tasks: the
     model bounds them. Blank signs (U+2581) of a text come back as blanks, as in the library."""
     sent = encoded.sparkSession.sparkContext.broadcast(pa.array(table.texts, pa.binary()))
-    out = encoded.select(F.col(id_col).alias("id"), "ids").mapInArrow(lambda x: _decoded(x, sent.value), "id long, n_tokens long, ids_crc32 long, text string")
+    out = encoded.select(F.col(id_col).alias("id"), "ids").mapInArrow(lambda x: _decoded(x, sent.value), DECODED_SQL)
     return out.withColumnRenamed("id", id_col)

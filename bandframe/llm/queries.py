@@ -56,7 +56,7 @@ def op5_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 def encoded_digest(docs: DataFrame) -> DataFrame:
     """Per document of ``docs`` what its encoding and the decoding of that are."""
     table = pieces.load_pieces(tokenizer_path("piece_bpe_32k.model"))
-    decoded = pieces.decode_documents(pieces.encode_documents(docs, table), table)
+    decoded = pieces.encode_documents(docs, table, decode=True)
     return decoded.select("doc_id", "n_tokens", "ids_crc32", F.sha2("text", 256).alias("decoded_sha256"))
 
 

@@ -398,6 +398,8 @@ def test_pieces_are_the_library_s(request, which):
     assert got == Counter((i, np.array(sp.encode(t or ""), "<u4").tobytes().hex()) for i, t in rows_of(df))
     back = Counter((r["doc_id"], r["text"]) for r in pieces.decode_documents(encoded_, table).collect())
     assert back == Counter((i, (t or "").replace("▁", " ")) for i, t in rows_of(df))
+    at_once = pieces.encode_documents(df, table, decode=True).collect()
+    assert Counter(map(tuple, at_once)) == Counter(map(tuple, pieces.decode_documents(encoded_, table).collect()))
 
 
 def test_pieces_of_odd_words(spark):

@@ -42,6 +42,27 @@ def test_last_stage_is_the_library_s(stages):
     assert all(r["n_tokens"] == len(np.array(sp.encode(texts[r["doc_id"]]))) for r in stages[-1].collect())
 
 
+def test_odd_rows(spark):
+    """Nulls in every column, rows and ids repeated, a very long text, ties, and columns of the stages' own names."""
+    text = lambda k: " ".join(f"word{chr(97 + (i * k) % 26)}{chr(97 + i % 23)}" for i in range(60))
+    rows = [(1, text(1), "en", "a"), (1, text(1), "en", "a"), (2, text(1), "en", "a"), (3, text(3), "en", None), (3, text(5), None, "b"), (None, text(7), "de", "b"), (None, text(7), "de", "b"),
+            (4, None, None, None), (5, "", "en", "a"), (6, "1 2\n\n3", "en", "a"), (7, " ".join([text(9)] * 900), "de", "b"), (8, "a tie\na tie\na line to tie on", "de", ""), (9, "a line to tie on", "en", "")]
+    docs = spark.createDataFrame([(*r, None) for r in rows], "doc_id long, text string, lang string, source string, n_chars long")
+    clash = ("lang_pred", "score", "lost", "mark", "id", "node", "word", "key", "size", "block", "pieces", "carried0", "number")
+    docs = cut(docs.withColumns({c: F.lit(f"own {c}") for c in clash}), "odd")
+    names = docs.columns
+    ids = []
+    for name, stage in corpus_pipeline.STAGES[:-1]:
+        docs = cut(stage(spark, docs, SF), name)
+        assert docs.columns == names and docs.where(" OR ".join(f"{c} <> 'own {c}' OR {c} IS NULL" for c in clash)).isEmpty()
+        ids.append(sorted((r[0] for r in docs.select("doc_id").collect()), key=str))
+    assert ids[0] == sorted([1, 1, 2, 3, 3, None, None, 7, 8, 9], key=str) == ids[1]
+    assert ids[2] == ids[1]  # line dedup left nothing of the words of 2, 8 lost a line
+    assert set(ids[3]) <= set(ids[2])
+    last = corpus_pipeline.STAGES[-1][1](spark, docs, SF)
+    assert last.count() == docs.count() and last.where("n_tokens = 0").count() == docs.where("text = ''").count()
+
+
 def test_empty(spark):
     docs = spark.read.parquet(f"{SF}/documents.parquet").limit(0)
     for name, stage in corpus_pipeline.STAGES:
