@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import json
 import struct
 import zlib
 from collections.abc import Iterator
@@ -15,11 +16,13 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 LEVELS = 16
-MAGIC = b"WVM1"
-#: Bits between two entries of a rank directory.
-STEP = 512
+MAGIC = b"WVM2"
+#: Bits of a plane that are compressed together; the rank directory has an entry for each.
+CHUNK = 1 << 16
 #: A file is closed once it holds so many ids, at a document's end.
 FILE_IDS = 1 << 21
+#: Bytes of input that one task sorts and writes at most, about.
+PART_BYTES = 128 << 20
 #: Words whose ids a worker keeps, and the longest of them in bytes.
 CACHE, CACHED_BYTES = 1 << 20, 64
 
@@ -29,41 +32,54 @@ _encoders: dict[str, Encoder] = {}
 def pack(ids: np.ndarray) -> bytes:
     """The file of a sequence of ids below 2**16.
 
-    Magic, number of ids, then per level the number of zeros and the length of the zstd-compressed
-    bit-plane, then the planes. Level l holds bit ``15 - l`` of the ids in the order in which the
-    levels above have stably parted zeros from ones.
+    Magic, number of ids, the zeros of each level; then the rank directory: per level and chunk the ones
+    before it, and the length of the zstd-compressed chunk; then the chunks. Level l holds bit
+    ``15 - l`` of the ids in the order in which the levels above have stably parted zeros from ones.
     """
-    zeros, planes, now = [], [], np.ascontiguousarray(ids, np.uint16)
+    zeros, ones, chunks, now = [], [], [], np.ascontiguousarray(ids, np.uint16)
     squeeze = zstandard.ZstdCompressor(level=1)
     for level in range(LEVELS):
         bit = (now & np.uint16(1 << (LEVELS - 1 - level))) != 0
-        planes.append(squeeze.compress(np.packbits(bit, bitorder="little").tobytes()))
+        plane = np.packbits(bit, bitorder="little")
+        parts = [plane[k : k + CHUNK // 8] for k in range(0, len(plane), CHUNK // 8)]
+        chunks += [squeeze.compress(p.tobytes()) for p in parts]
+        ones += np.concatenate([[0], np.cumsum([np.bitwise_count(p).sum(dtype=np.int64) for p in parts])[:-1]])[: len(parts)].tolist()
         low = now[~bit]
         zeros.append(len(low))
         now = np.concatenate([low, now[bit]])
-    head = struct.pack(f"<4sQ{LEVELS}Q{LEVELS}Q", MAGIC, len(ids), *zeros, *map(len, planes))
-    return head + b"".join(planes)
+    directory = np.array([ones, [len(c) for c in chunks]], "<u8").tobytes()
+    return struct.pack(f"<4sQ{LEVELS}Q", MAGIC, len(ids), *zeros) + directory + b"".join(chunks)
 
 
 class WaveletMatrix:
-    """A file made by ``pack``: access, rank (count), select (occurrence) and the whole sequence."""
+    """A file made by ``pack``: access, rank (count), select (occurrence) and the whole sequence.
+
+    Chunks are expanded when they are first touched: access and rank touch two a level at most.
+    """
 
     def __init__(self, file: bytes):
-        magic, self.n, *rest = struct.unpack_from(f"<4sQ{LEVELS}Q{LEVELS}Q", file)
+        magic, self.n, *self.zeros = struct.unpack_from(f"<4sQ{LEVELS}Q", file)
         if magic != MAGIC:
             raise ValueError("not a wavelet matrix file")
-        self.zeros, at = rest[:LEVELS], struct.calcsize(f"<4sQ{LEVELS}Q{LEVELS}Q")
-        self.planes, self.sums = [], None
-        expand = zstandard.ZstdDecompressor()
-        for size in rest[LEVELS:]:
-            self.planes.append(np.frombuffer(expand.decompress(file[at : at + size]), np.uint8))
-            at += size
+        self.file, self.per, self.open = file, -(-self.n // CHUNK), {}
+        at, count = struct.calcsize(f"<4sQ{LEVELS}Q"), LEVELS * self.per
+        ones, sizes = np.frombuffer(file, "<u8", 2 * count, at).astype(np.int64).reshape(2, count)
+        self.ones = ones.reshape(LEVELS, self.per)
+        self.starts = at + 16 * count + np.concatenate([[0], np.cumsum(sizes)])
+        self.expand = zstandard.ZstdDecompressor().decompress
+
+    def _chunk(self, level: int, number: int) -> np.ndarray:
+        key = level * self.per + number
+        if key not in self.open:
+            self.open[key] = np.frombuffer(self.expand(self.file[self.starts[key] : self.starts[key + 1]]), np.uint8)
+        return self.open[key]
 
     def ids(self) -> np.ndarray:
         """The whole sequence, from the last level to the first."""
         now = np.zeros(self.n, np.uint16)
         for level in reversed(range(LEVELS)):
-            bit = np.unpackbits(self.planes[level], count=self.n, bitorder="little").view(bool)
+            plane = b"".join(self.expand(self.file[self.starts[k] : self.starts[k + 1]]) for k in range(level * self.per, (level + 1) * self.per))
+            bit = np.unpackbits(np.frombuffer(plane, np.uint8), count=self.n, bitorder="little").view(bool)
             up = np.empty_like(now)
             up[~bit] = now[: self.zeros[level]]
             up[bit] = now[self.zeros[level] :] | np.uint16(1 << (LEVELS - 1 - level))
@@ -72,21 +88,22 @@ class WaveletMatrix:
 
     def _ones(self, level: int, i: int) -> int:
         """Ones before place i of a level."""
-        if self.sums is None:
-            self.sums = []
-            for plane in self.planes:
-                per = np.add.reduceat(np.bitwise_count(plane), np.arange(0, len(plane), STEP // 8), dtype=np.int64) if len(plane) else np.zeros(0, np.int64)
-                self.sums.append(np.concatenate([[0], np.cumsum(per)]))
-        block, plane = i // STEP, self.planes[level]
-        rest = np.unpackbits(plane[block * STEP // 8 : (i + 7) // 8], bitorder="little")[: i - block * STEP]
-        return int(self.sums[level][block]) + int(rest.sum())
+        number, rest = divmod(i, CHUNK)
+        if number == self.per:  # behind the last full chunk
+            return self.n - self.zeros[level]
+        if not rest:
+            return int(self.ones[level, number])
+        chunk, (whole, bits) = self._chunk(level, number), divmod(rest, 8)
+        tail = int(chunk[whole] & ((1 << bits) - 1)).bit_count() if bits else 0
+        return int(self.ones[level, number]) + int(np.bitwise_count(chunk[:whole]).sum(dtype=np.int64)) + tail
 
     def access(self, i: int) -> int:
         """The id at place i."""
         value = 0
         for level in range(LEVELS):
             ones = self._ones(level, i)
-            bit = int(self.planes[level][i >> 3] >> (i & 7)) & 1
+            number, rest = divmod(i, CHUNK)
+            bit = int(self._chunk(level, number)[rest >> 3] >> (rest & 7)) & 1
             value = value << 1 | bit
             i = self.zeros[level] + ones if bit else i - ones
         return value
@@ -108,22 +125,42 @@ class WaveletMatrix:
     def select(self, value: int, k: int) -> int:
         """The place of occurrence k of a value, from 0; -1 if there are fewer."""
         lo, hi = self._run(value, self.n)
-        if not 0 <= k < hi - lo:
-            return -1
-        at = lo + k
+        return int(self._up(value, np.array([lo + k]))[0]) if 0 <= k < hi - lo else -1
+
+    def places(self, value: int) -> np.ndarray:
+        """The places of all occurrences of a value, rising."""
+        return self._up(value, np.arange(*self._run(value, self.n)))
+
+    def _up(self, value: int, at: np.ndarray) -> np.ndarray:
+        """From places below the last level to those in the sequence, rising, a level at a time.
+
+        The directory tells the chunk that holds the wanted one or zero; only those chunks are read.
+        """
         for level in reversed(range(LEVELS)):
             one = value >> (LEVELS - 1 - level) & 1
             want = at - self.zeros[level] if one else at
-            a, b = 0, self.n  # the least place whose prefix holds want + 1 bits of this kind
-            while a < b:
-                mid = (a + b) // 2
-                ones = self._ones(level, mid + 1)
-                a, b = (a, mid) if (ones if one else mid + 1 - ones) > want else (mid + 1, b)
-            at = a
+            before = self.ones[level] if one else np.arange(self.per) * CHUNK - self.ones[level]
+            number, at = np.searchsorted(before, want, "right") - 1, np.empty_like(at)
+            for k in np.unique(number):
+                own = number == k
+                bits = np.unpackbits(self._chunk(level, k), bitorder="little", count=min(CHUNK, self.n - k * CHUNK))
+                at[own] = k * CHUNK + np.flatnonzero(bits == one)[want[own] - before[k]]
         return at
 
 
 #: The tokenizer's own split rule, with its white space written out (fixed values).
+#: What a tokenizer file says of its normaliser, split and word ends where this rule holds (fixed values).
+RULES = {
+    "normalizer": {"type": "Sequence", "normalizers": [{"type": "NFC"}, {"type": "Replace", "pattern": {"Regex": r"\s+"}, "content": " "}, {"type": "Lowercase"}]},
+    "pre_tokenizer": {
+        "type": "Sequence",
+        "pretokenizers": [
+            {"type": "Split", "pattern": {"Regex": r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"}, "behavior": "Removed", "invert": True},
+            {"type": "ByteLevel", "add_prefix_space": False, "trim_offsets": True, "use_regex": False},
+        ],
+    },
+    "post_processor": None,
+}
 SPLIT = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000\p{L}\p{N}]+")
 
 
@@ -140,13 +177,17 @@ class Encoder:
     No token and no rule of the tokenizer reaches over an ASCII white space, so a word's ids are
     those it has alone. A word not met before is normalised, split by the tokenizer's rule, and its
     pieces go to the library's model unless they are known. What the rule can't see alone (words
-    that may hold a special token) goes through the library whole.
+    that may hold a special token) goes through the library whole, and so do all texts if the file's
+    rules aren't ``RULES``.
     """
 
     def __init__(self, path: str):
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
+        own = json.loads(self.tokenizer.to_str())
+        special = all(t["content"].startswith("<|") and not (t["lstrip"] or t["rstrip"] or t["normalized"]) for t in own["added_tokens"])
+        self.known = special and all(own[k] == v for k, v in RULES.items())
         self.model, self.normalizer = self.tokenizer.model, self.tokenizer.normalizer
         self.letters = byte_letters()
         self.words: dict[bytes, bytes] = {}
@@ -174,6 +215,9 @@ class Encoder:
         return out
 
     def encode(self, text: bytes) -> bytes:
+        """The ids of a text in UTF-8."""
+        if not self.known:
+            return np.array(self.tokenizer.encode(text.decode(), add_special_tokens=False).ids, "<u2").tobytes()
         words, known = text.split(), self.words
         try:
             return b"".join([known[w] for w in words])
@@ -234,7 +278,8 @@ def write_tokens(docs: DataFrame, path: str, *, tokenizer: str, end_id: int = 2,
     if max(Tokenizer.from_file(tokenizer).get_vocab_size(), end_id + 1) > 1 << LEVELS:
         raise ValueError("ids don't fit in 16 bits")
     rows = docs.select(F.col(id_col).cast("bigint").alias("id"), F.col(text_col).cast("binary").alias("text"))
-    parts = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    size = int(docs._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())  # Spark's estimate; far above any table if it has none
+    parts = max(int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), size // PART_BYTES if size < 1 << 50 else 0)
     rows = rows.repartitionByRange(parts, "id").sortWithinPartitions("id")
     files = rows.mapInArrow(lambda x: _write(x, tokenizer, end_id), FILES_DDL)
     files.write.option("compression", "none").parquet(path)  # the planes are compressed
@@ -268,7 +313,7 @@ def _found(batches: Iterator[pa.RecordBatch], value: int) -> Iterator[pa.RecordB
     for batch in batches:
         for row in batch.to_pylist():
             matrix, ends = WaveletMatrix(row["file"]), np.array(row["ends"], np.int64)
-            at = np.array([matrix.select(value, k) for k in range(matrix.rank(value, matrix.n))], np.int64)
+            at = matrix.places(value)
             doc = np.searchsorted(ends, at, "right")
             ids = [row["docs"][d] for d in doc]
             yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(at - np.concatenate([[0], ends])[doc])], names=["doc_id", "place"])

@@ -65,6 +65,30 @@ def test_wavelet_matrix():
             k = int((ids[:i] == v).sum())
             assert (m.access(i), m.rank(v, i), m.select(v, k)) == (v, k, i)
         assert m.select(7, len(ids)) == -1 and m.rank(9, m.n) == (ids == 9).sum()
+        assert m.places(7).tolist() == np.flatnonzero(ids == 7).tolist()
+
+
+def test_wavelet_access_reads_few_chunks(monkeypatch):
+    monkeypatch.setattr(wavelet, "CHUNK", 64)
+    for n in (1, 63, 64, 65, 128, 1000):
+        ids = np.random.default_rng(n).integers(0, 300, n).astype(np.uint16)
+        file = wavelet.pack(ids)
+        assert wavelet.WaveletMatrix(file).ids().tolist() == ids.tolist()
+        for i in {0, n // 2, n - 1}:
+            m, v = wavelet.WaveletMatrix(file), int(ids[i])
+            assert m.access(i) == v and len(m.open) <= wavelet.LEVELS
+            assert m.rank(v, i) == (ids[:i] == v).sum() and m.rank(v, n) == (ids == v).sum()
+            assert m.places(v).tolist() == np.flatnonzero(ids == v).tolist()
+
+
+def test_other_tokenizers_go_through_the_library():
+    from tokenizers import Tokenizer
+
+    path = tokenizer_path("byte_bpe_50k.json")
+    e, t = wavelet.Encoder(path), Tokenizer.from_file(path)
+    assert not e.known and wavelet.encoder(tokenizer_path("word_bpe_49k.json")).known
+    text = "Two  words, it's 12 é\n\n x"
+    assert np.frombuffer(e.encode(text.encode()), "<u2").tolist() == t.encode(text, add_special_tokens=False).ids
 
 
 def encoded(text):
