@@ -49,7 +49,7 @@ CELLS = """cells AS (SELECT tile_no, CAST(r.range AS INT) AS row, CAST(c.range A
 BETWEEN = """corners AS (SELECT * FROM (VALUES (0, 0), (0, 1), (1, 0), (1, 1)) AS k(i, j)),
 ask AS (SELECT tile_no, row, col, floor(y) + i AS r, floor(x) + j AS c, (CASE i WHEN 1 THEN y - floor(y) ELSE 1 - (y - floor(y)) END) * (CASE j WHEN 1 THEN x - floor(x) ELSE 1 - (x - floor(x)) END) AS wt FROM places CROSS JOIN corners),
 image AS (SELECT ask.tile_no, row, col, sum(vh * wt) AS v0, sum(p * wt) AS v1 FROM ask JOIN c ON c.tile_no = ask.tile_no AND c.r = ask.r AND c.c = ask.c WHERE wt > 0 GROUP BY ALL)
-SELECT p.tile_no AS tile, p.row, p.col, CAST(coalesce(l.label, 0) AS INT) AS label, round(coalesce(v0, 0), 5) + 0.0 AS b0, round(coalesce(v1, 0), 5) + 0.0 AS b1
+SELECT p.tile_no AS tile, p.row, p.col, CAST(coalesce(l.label, 0) AS INT) AS label, round(coalesce(v0, 0) + 1e-9, 5) + 0.0 AS b0, round(coalesce(v1, 0) + 1e-9, 5) + 0.0 AS b1
 FROM places p LEFT JOIN image USING (tile_no, row, col) LEFT JOIN c l ON l.tile_no = p.tile_no AND l.r = p.ly AND l.c = p.lx"""
 STARTS = "list_distinct(list_append(range(0, greatest({n} - 16, 0) + 1, 12), greatest({n} - 16, 0)))"
 

@@ -310,7 +310,8 @@ def cropped(spark: SparkSession, sf_dir: str, size: int) -> DataFrame:
 
 
 def shown(rows: DataFrame) -> DataFrame:
-    return rows.select("tile", "row", "col", "label", *((F.round(F.get("bands", F.lit(i)), 5) + 0.0).alias(f"b{i}") for i in range(2)))
+    """Two bands to five digits; weights of whole fractions end in a 5 behind them, which goes up."""
+    return rows.select("tile", "row", "col", "label", *((F.round(F.get("bands", F.lit(i)) + 1e-9, 5) + 0.0).alias(f"b{i}") for i in range(2)))
 
 
 @query
