@@ -216,7 +216,7 @@ ORACLES |= {
       UNION ALL SELECT 'sweep', CAST(round(threshold * 100) AS BIGINT), water_iou, tp, fn FROM sweep""",
     "q42_stream_scenes": f"""{PX}, v AS (SELECT tile_no, CASE WHEN {VALID} THEN {P} END AS p FROM px)
       SELECT 'tile_' || tile_no AS scene, CAST(2025 AS INT) AS year, CASE WHEN tile_no % 10 = 3 THEN 'error' ELSE 'ok' END AS status,
-        CASE WHEN tile_no % 10 <> 3 THEN count(*) END AS total_pixels, CASE WHEN tile_no % 10 <> 3 THEN count(p) END AS valid_pixels,
+        CASE WHEN tile_no % 10 <> 3 THEN count(*) ELSE 0 END AS total_pixels, CASE WHEN tile_no % 10 <> 3 THEN count(p) ELSE 0 END AS valid_pixels,
         CASE WHEN tile_no % 10 <> 3 THEN round(avg(p), 3) END AS mean_probability, CASE WHEN tile_no % 10 <> 3 THEN round(max(p), 3) END AS max_probability,
         CASE WHEN tile_no % 10 = 3 THEN 'unexpected number of bands' END AS error FROM v GROUP BY tile_no""",
 }

@@ -380,7 +380,8 @@ def q42_stream_scenes(spark: SparkSession, sf_dir: str) -> DataFrame:
     score = lambda df: df.withColumn("prob", C.mask_probability(F.col("prob"), is_valid()))
     X.score_new_scenes(stream, f"{root}/out", score, f"{root}/checkpoint").awaitTermination()
     rows = X.read_summary(spark, f"{root}/out")
-    return rows.select("scene", "year", "status", "total_pixels", "valid_pixels", *(F.round(c, 3).alias(c) for c in ("mean_probability", "max_probability")), "error")
+    counts = [F.coalesce(c, F.lit(0)).alias(c) for c in ("total_pixels", "valid_pixels")]
+    return rows.select("scene", "year", "status", *counts, *(F.round(c, 3).alias(c) for c in ("mean_probability", "max_probability")), "error")
 
 
 @query
