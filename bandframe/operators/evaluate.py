@@ -286,7 +286,7 @@ def _lovasz_whole(rows: DataFrame, buckets: int) -> DataFrame:
 
     equal = rows.where("err IS NOT NULL").groupBy("class", "err").agg(F.sum("fg").alias("f"), F.count("*").alias("n"))
     cuts = equal.agg(F.percentile_approx("err", [k / buckets for k in range(1, buckets)], 10 * buckets).alias("cuts")).first()["cuts"]
-    splits = [-float("inf"), *sorted(set(cuts or [])), float("inf")]
+    splits = [-float("inf"), *(sorted(set(cuts or [])) or [0.5]), float("inf")]
     equal = Bucketizer(splits=splits, inputCol="err", outputCol="_b").transform(equal)
     sums = equal.groupBy("class", "_b").agg(F.sum("f").alias("f"), F.sum("n").alias("n"))
     above = Window.partitionBy("class").orderBy(F.desc("_b")).rowsBetween(Window.unboundedPreceding, -1)
