@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from bandframe.llm import chat, images, langid, linededup, mixing, neardup, pieces, quality, sharding, wavelet
+from bandframe.llm import alignment, chat, collocations, images, langid, linededup, mixing, neardup, notices, pieces, quality, sharding, wavelet
 from bandframe.llm.store import documents, scratch
 
 
@@ -95,6 +95,24 @@ def op10_source_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.taken_words(*mixing.mix(docs, weights=(5, 2, 1), share=1.5, most=2.0, block=128, n_shards=16))
 
 
+def op11_license_notices(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Licence notices in all documents, exact and with a few errors."""
+    return notices.license_labels(notices.scan_notices(documents(spark, sf_dir, "doc_id", "text")))
+
+
+def op12_token_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All documents by two tokenizers: groups, links, and how common the linked pairs are."""
+    docs = documents(spark, sf_dir, "doc_id", "text")
+    aligned = alignment.align_tokens(docs, a=tokenizer_path("byte_bpe_50k.json"), b=tokenizer_path("piece_bpe_32k.model"))
+    digest = F.when(F.col("n_a") > 0, F.sha2("groups", 256)).otherwise("")
+    return alignment.link_statistics(aligned.withColumn("groups", digest)).withColumnRenamed("groups", "groups_sha256")
+
+
+def op13_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The best phrases of two and three words of each language."""
+    return collocations.collocations(documents(spark, sf_dir, "doc_id", "text", "lang"), least=10, most=3, top=2000, within=50)
+
+
 QUERIES = {
     "op1_wavelet_tokens": op1_wavelet_tokens,
     "op2_near_duplicates": op2_near_duplicates,
@@ -106,6 +124,9 @@ QUERIES = {
     "op8_quality_rules": op8_quality_rules,
     "op9_image_copies": op9_image_copies,
     "op10_source_mix": op10_source_mix,
+    "op11_license_notices": op11_license_notices,
+    "op12_token_alignment": op12_token_alignment,
+    "op13_collocations": op13_collocations,
 }
 
 LINE_DEDUP_SQL = r"""
@@ -171,4 +192,59 @@ SELECT conv_id, count(*) AS n_turns,
 FROM sized GROUP BY conv_id
 """
 
-ORACLE_SQL = {"op7_chat_format": CHAT_SQL, "op2_near_duplicates": NEAR_DUPLICATES_SQL, "op5_line_dedup": LINE_DEDUP_SQL}
+NOTICES_SQL = rf"""
+WITH ws AS (
+  SELECT row_number() OVER () AS row, doc_id, list_filter(string_split_regex(
+           translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+           '[\x00-\x2F\x3A-\x60\x7B-\x7F]+'), lambda x: x <> '') AS ws
+  FROM documents
+), notice AS (
+  SELECT *, (length(words) + 8) // 16 AS k FROM (VALUES {", ".join(f"({i}, '{label}', '{words}')" for i, (label, words) in enumerate(notices.NOTICES))}) AS v(number, label, words)
+), sized AS (SELECT *, unnest(range(length(words) - k, length(words) + k + 1)) AS size FROM notice
+), start AS (SELECT row, ws, unnest(range(len(ws))) AS i FROM ws
+), run AS (
+  SELECT row, i, j, regexp_replace(array_to_string(ws[i + 1:i + j], ' '), '[^\x00-\x7F]', '?', 'g') AS run
+  FROM start CROSS JOIN (SELECT unnest(range(1, 16)) AS j) WHERE i + j <= len(ws)
+), near AS (
+  SELECT row, i, j, number, label, words, levenshtein(run, words) AS errors FROM run JOIN sized ON length(run) = size WHERE levenshtein(run, words) <= k
+), nearest AS (SELECT *, min(errors) OVER (PARTITION BY row, i, j) AS least FROM near
+), won AS (
+  SELECT row, i, j, min(label) AS label, max(CASE WHEN number < 3 AND errors = 0 THEN label END) AS base, max(1 - errors / CAST(length(words) AS DOUBLE)) AS score
+  FROM nearest WHERE errors = least GROUP BY ALL HAVING min(label) = max(label)
+), told AS (
+  SELECT row, count(base) AS n_base, min(i) FILTER (WHERE base IS NOT NULL) AS first_word, max(i) FILTER (WHERE base IS NOT NULL) AS last_word,
+         string_agg(DISTINCT base, ',' ORDER BY base) AS base_labels, string_agg(DISTINCT label, ',' ORDER BY label) AS labels, max(score) AS score
+  FROM won GROUP BY row
+)
+SELECT doc_id, CAST(len(ws) AS BIGINT) AS n_words, coalesce(n_base, 0) AS n_base, first_word, last_word,
+       coalesce(base_labels, '') AS base_labels, coalesce(labels, '') AS labels, coalesce(score, 0) AS score
+FROM ws LEFT JOIN told USING (row)
+"""
+
+COLLOCATIONS_SQL = r"""
+WITH piece AS (
+  SELECT coalesce(lang, 'und') AS lang, unnest(string_split_regex(
+           translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[.,;:!?\x0A-\x0D]')) AS p
+  FROM documents
+), word AS (SELECT lang, list_filter(string_split_regex(p, '[\x20\x09]+'), lambda x: x <> '') AS ws FROM piece
+), start AS (SELECT lang, ws, unnest(range(len(ws))) AS i FROM word
+), f AS (
+  SELECT lang, k, array_to_string(ws[i + 1:i + k], ' ') AS phrase, count(*) AS f
+  FROM start CROSS JOIN (SELECT unnest([1, 2, 3]) AS k) WHERE i + k <= len(ws) GROUP BY ALL
+), total AS (SELECT lang, CAST(sum(f) AS BIGINT) AS n FROM f WHERE k = 1 GROUP BY lang
+), cand AS (SELECT *, string_split(phrase, ' ') AS ws FROM f WHERE k > 1 AND f >= 10
+), cut AS (
+  SELECT lang, phrase, ws, f AS a, j, array_to_string(ws[1:j], ' ') AS head, array_to_string(ws[j + 1:k], ' ') AS tail
+  FROM cand CROSS JOIN (SELECT unnest([1, 2]) AS j) WHERE j < k
+), scored AS (
+  SELECT cut.*, h.f AS l, t.f AS r, CAST((CAST(1000000 AS HUGEINT) * a * a) // (CAST(h.f AS HUGEINT) * t.f) AS BIGINT) AS score
+  FROM cut JOIN f h ON h.lang = cut.lang AND h.phrase = cut.head JOIN f t ON t.lang = cut.lang AND t.phrase = cut.tail
+), least AS (SELECT *, row_number() OVER (PARTITION BY lang, phrase ORDER BY score, j) AS place FROM scored
+), kept AS (
+  SELECT * FROM least s WHERE place = 1 AND NOT EXISTS (
+    SELECT 1 FROM cand c WHERE c.k = 3 AND len(s.ws) = 2 AND c.lang = s.lang AND (c.ws[1:2] = s.ws OR c.ws[2:3] = s.ws) AND 100 * c.f >= 50 * s.a)
+), ranked AS (SELECT *, row_number() OVER (PARTITION BY lang ORDER BY score DESC, a DESC, encode(phrase)) AS rank FROM kept)
+SELECT lang, rank, phrase, a, l, r, n, score FROM ranked JOIN total USING (lang) WHERE rank <= 2000
+"""
+
+ORACLE_SQL = {"op11_license_notices": NOTICES_SQL, "op13_collocations": COLLOCATIONS_SQL, "op7_chat_format": CHAT_SQL, "op2_near_duplicates": NEAR_DUPLICATES_SQL, "op5_line_dedup": LINE_DEDUP_SQL}
