@@ -84,7 +84,7 @@ class Coder:
             self.forget()
         known, flat, counts, new = self.known, [], [], []
         for text in texts:
-            units = units_of(text) if self.by_unit else [text]
+            units = units_of(text) if self.by_unit else [text] if text else []
             for unit in units:
                 if (code := known.get(unit)) is None:
                     code = known[unit] = len(known)
