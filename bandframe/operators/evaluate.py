@@ -63,13 +63,18 @@ def water_iou(df: DataFrame, pred: Column, truth: Column) -> DataFrame:
     return c.select(F.when(union > 0, F.col("tp") / union).otherwise(0.0).alias("water_iou"))
 
 
+def reaches(prob: Column, threshold: float | Column) -> Column:
+    """Whether a probability reaches a threshold. Neither null nor NaN does, though NaN is above all numbers to Spark."""
+    return F.coalesce(~F.isnan(prob.cast("double")) & (prob >= threshold), F.lit(False))
+
+
 def apply_thresholds(probs: DataFrame, thresholds: tuple[float, ...] = THRESHOLDS, prob: str = "prob") -> DataFrame:
     """Each pixel beside each threshold, with its decision: for looking at few pixels.
 
     ``threshold_sweep`` gives the counts without these rows.
     """
     each = F.explode(F.array(*map(F.lit, thresholds)))
-    return probs.withColumn("threshold", each).withColumn("pred", (F.col(prob) >= F.col("threshold")).cast("int"))
+    return probs.withColumn("threshold", each).withColumn("pred", reaches(F.col(prob), F.col("threshold")).cast("int"))
 
 
 def threshold_sweep(probs: DataFrame, thresholds: tuple[float, ...] = THRESHOLDS, mode: str = "plain", prob: str = "prob", truth: str = "label", tiled: bool = False) -> DataFrame:
@@ -77,10 +82,10 @@ def threshold_sweep(probs: DataFrame, thresholds: tuple[float, ...] = THRESHOLDS
 
     A pixel adds to one bucket, the number of thresholds that it reaches. Counts at a threshold are
     sums over the buckets above: a window over as many rows as there are thresholds, so the pixels
-    are read once and not repeated. Pixels without probability or label count as other.
+    are read once and not repeated. Pixels whose probability is null or NaN, or without label, count as other.
     """
     cuts = sorted(set(thresholds))
-    reached = sum(((F.coalesce(F.col(prob), F.lit(-1.0)) >= F.lit(t)).cast("int") for t in cuts), F.lit(0))
+    reached = sum((reaches(F.col(prob), F.lit(t)).cast("int") for t in cuts), F.lit(0))
     water = F.coalesce(F.col(truth) == 1, F.lit(False))
     buckets = probs.select(reached.alias("bucket"), water.alias("water")).groupBy("bucket").agg(F.count_if("water").alias("pos"), F.count_if(~F.col("water")).alias("neg"))
     table = F.array(*(F.struct(F.lit(i).alias("bucket"), F.lit(float(t)).alias("threshold")) for i, t in enumerate([-1.0, *cuts])))
@@ -95,7 +100,7 @@ def threshold_sweep(probs: DataFrame, thresholds: tuple[float, ...] = THRESHOLDS
 
 def tile_metrics(probs: DataFrame, threshold: float, mode: str = "plain", prob: str = "prob", truth: str = "label", tile: str = "tile", tiled: bool = False) -> DataFrame:
     """Counts, metrics and water pixels per tile at one threshold."""
-    pred = (F.coalesce(F.col(prob), F.lit(-1.0)) >= threshold).cast("int")
+    pred = reaches(F.col(prob), F.lit(threshold)).cast("int")
     counts = probs.groupBy(tile).agg(*confusion_columns(pred, F.col(truth)))
     rows = with_metrics(counts)
     return rows.select(

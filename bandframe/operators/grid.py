@@ -6,8 +6,12 @@ followed by equi-joins and grouped sums; no range join, no task that holds a who
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from functools import reduce
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -54,19 +58,47 @@ def assign_windows(pixels: DataFrame, size: int, overlap: int, height: Column |
 def stitch(windows: DataFrame, keys: tuple[str, ...] = ("scene_id",), logits: tuple[str, ...] = ("logit0", "logit1")) -> DataFrame:
     """Mean logits of each pixel over the windows that scored it.
 
-    Grouped by pixel, not by scene: sums combine before the shuffle and no task holds a scene.
+    Grouped by pixel, not by scene: sums combine before the shuffle and no task holds a scene. If the
+    windows have an ``error``, so has the result, beside ``failed``, the number of windows that a pixel lost;
+    one that lost all has null logits. Every pixel of the windows stays.
     """
-    return windows.groupBy(*keys, "row", "col").agg(*(F.avg(c).alias(c) for c in logits))
+    lost = [F.count("error").cast("int").alias("failed"), F.min("error").alias("error")] if "error" in windows.columns else []
+    return windows.groupBy(*keys, "row", "col").agg(*(F.avg(c).alias(c) for c in logits), *lost)
 
 
-def to_blocks(windows: DataFrame, keys: tuple[str, ...] = ("scene_id",), bands: str = "bands") -> DataFrame:
-    """One row per window with its pixels, sorted, in local coordinates: array of (row, col, bands).
+def to_blocks(windows: DataFrame, size: int, n_bands: int, keys: tuple[str, ...] = ("scene_id",), bands: str = "bands") -> DataFrame:
+    """One row per window, packed: keys, top, left, block, cells; for storing. ``unpack_block`` reads it.
 
-    A window bounds the array. Blocks smaller than the window are padded by the scorer, with zeros,
-    after normalising.
+    ``block`` is float32 planes (bands, size, size) in binary; ``cells`` a bit per cell (row by row) that
+    tells which have a pixel. Others are 0, as at the bottom and right of small scenes. Pixels stream into
+    the planes, so a task holds one block. Pixels with another number of bands than ``n_bands`` count as
+    absent.
     """
-    pixel = F.struct((F.col("row") - F.col("top")).alias("row"), (F.col("col") - F.col("left")).alias("col"), F.col(bands).alias("bands"))
-    return windows.groupBy(*keys, "top", "left").agg(F.array_sort(F.collect_list(pixel)).alias("block"))
+    from bandframe.operators.score import Blocks
+
+    names = [*keys, "top", "left", "block", "cells"]
+
+    def packed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        blocks, head = Blocks(size, n_bands), []
+        for part in batches:
+            head = head or [part.column(i)[0] for i in range(len(keys))]
+            fits = pc.fill_null(pc.equal(pc.list_value_length(part.column("bands")), n_bands), False)
+            blocks.add(part.filter(fits))
+        for [place], arrays, [cells], _ in blocks.lots():
+            there = np.zeros(size * size, np.uint8)
+            there[cells] = 1
+            columns = [*(pa.repeat(k, 1) for k in head), *(pa.array([x], pa.int32()) for x in place), pa.array([arrays.tobytes()], pa.binary()), pa.array([np.packbits(there).tobytes()], pa.binary())]
+            yield pa.RecordBatch.from_arrays(columns, names=names)
+
+    fields = ", ".join(f"{k} {windows.schema[k].dataType.simpleString()}" for k in keys)
+    rows = windows.select(*keys, *(F.col(c).cast("int").alias(c) for c in ("top", "left", "row", "col")), F.col(bands).cast("array<float>").alias("bands"))
+    return rows.groupBy(*keys, "top", "left").applyInArrow(packed, f"{fields}, top int, left int, block binary, cells binary")
+
+
+def unpack_block(block: bytes, cells: bytes, size: int, n_bands: int) -> tuple[np.ndarray, np.ndarray]:
+    """The planes (bands, size, size) of a packed block, and where it has pixels."""
+    there = np.unpackbits(np.frombuffer(cells, np.uint8), count=size * size).reshape(size, size).astype(bool)
+    return np.frombuffer(block, np.float32).reshape(n_bands, size, size), there
 
 
 def flip(df: DataFrame, dims: tuple[str, ...], h: Column | int, w: Column | int) -> DataFrame:
@@ -108,31 +140,33 @@ def gather(crops: DataFrame, wanted: DataFrame, key: str = "tile", bands: str =
     """Pixels of ``wanted`` (key, row, col, y, x: where to look) from the crop, each between its four
     neighbours, labels from the nearest. Places outside add nothing.
 
-    Four neighbours explode to rows that are equi-joined and summed band by band.
+    Four neighbours explode to rows that are equi-joined; at most four vectors come together again for a
+    pixel and are summed with their weights in a fixed order.
     """
     y0, x0 = F.floor("y"), F.floor("x")
     dy, dx = F.col("y") - y0, F.col("x") - x0
-    corner = lambda i, j, wt: F.struct((y0 + i).cast("int").alias("row"), (x0 + j).cast("int").alias("col"), wt.alias("wt"))
-    corners = F.array(corner(0, 0, (1 - dy) * (1 - dx)), corner(0, 1, (1 - dy) * dx), corner(1, 0, dy * (1 - dx)), corner(1, 1, dy * dx))
-    asks = wanted.select(F.col(key), F.col("row").alias("to_row"), F.col("col").alias("to_col"), F.explode(corners).alias("n"))
-    asks = asks.select(key, "to_row", "to_col", "n.row", "n.col", "n.wt").where("wt > 0")
-    hits = asks.join(crops.select(key, "row", "col", bands), [key, "row", "col"])
-    parts = hits.select(key, "to_row", "to_col", F.posexplode(F.transform(bands, lambda b: b * F.col("wt"))).alias("band", "v"))
-    summed = parts.groupBy(key, "to_row", "to_col", "band").agg(F.sum("v").alias("v"))
-    return summed.groupBy(key, "to_row", "to_col").agg(F.array_sort(F.collect_list(F.struct("band", "v"))).alias("s")).select(
-        key, F.col("to_row").alias("row"), F.col("to_col").alias("col"), F.col("s.v").alias(bands)
-    )
-
-
-def _nearest_labels(crops: DataFrame, wanted: DataFrame, y: Column, x: Column, key: str) -> DataFrame:
-    at = wanted.select(key, F.col("row").alias("to_row"), F.col("col").alias("to_col"), y.cast("int").alias("row"), x.cast("int").alias("col"))
+    corner = lambda n, i, j, wt: F.struct(F.lit(n).alias("n"), (y0 + i).cast("int").alias("row"), (x0 + j).cast("int").alias("col"), wt.alias("wt"))
+    corners = F.array(corner(0, 0, 0, (1 - dy) * (1 - dx)), corner(1, 0, 1, (1 - dy) * dx), corner(2, 1, 0, dy * (1 - dx)), corner(3, 1, 1, dy * dx))
+    asks = wanted.select(F.col(key), F.col("row").alias("to_row"), F.col("col").alias("to_col"), F.explode(F.filter(corners, lambda n: n["wt"] > 0)).alias("_n"))
+    asks = asks.select(key, "to_row", "to_col", "_n.n", "_n.row", "_n.col", "_n.wt")
+    hits = asks.join(crops.select(key, "row", "col", F.col(bands).cast("array<double>").alias("_bands")), [key, "row", "col"])
+    parts = hits.groupBy(key, "to_row", "to_col").agg(F.array_sort(F.collect_list(F.struct("n", "wt", "_bands"))).alias("_parts"))
+    weighted = lambda p: F.transform(p["_bands"], lambda b: b * p["wt"])
+    rest = F.slice("_parts", 2, F.greatest(F.size("_parts") - 1, F.lit(0)))
+    total = F.aggregate(rest, weighted(F.get("_parts", F.lit(0))), lambda acc, p: F.zip_with(acc, p["_bands"], lambda a, b: a + b * p["wt"]))
+    return parts.select(key, F.col("to_row").alias("row"), F.col("to_col").alias("col"), total.alias(bands))
+
+
+def _nearest_labels(crops: DataFrame, wanted: DataFrame, y: Column, x: Column, key: str, *more: str) -> DataFrame:
+    at = wanted.select(key, *more, F.col("row").alias("to_row"), F.col("col").alias("to_col"), y.cast("int").alias("row"), x.cast("int").alias("col"))
     found = at.join(crops.select(key, "row", "col", "label"), [key, "row", "col"], "left")
-    return found.select(key, F.col("to_row").alias("row"), F.col("to_col").alias("col"), F.coalesce("label", F.lit(0)).alias("label"))
+    return found.select(key, *more, F.col("to_row").alias("row"), F.col("to_col").alias("col"), F.coalesce("label", F.lit(0)).alias("label"))
 
 
-def _cells(crops: DataFrame, size: int, key: str) -> DataFrame:
+def _cells(crops: DataFrame, size: int, key: str, bands: str) -> DataFrame:
+    """All cells of each crop, and its number of bands."""
     side = F.sequence(F.lit(0), F.lit(size - 1))
-    return crops.select(key).distinct().select(key, F.explode(side).alias("row")).select("*", F.explode(side).alias("col"))
+    return crops.groupBy(key).agg(F.max(F.size(bands)).alias("n_bands")).select("*", F.explode(side).alias("row")).select("*", F.explode(side).alias("col"))
 
 
 def scale_jitter(crops: DataFrame, size: int, low: float, high: float, seed: int, key: str = "tile", bands: str = "bands") -> DataFrame:
@@ -145,7 +179,7 @@ def scale_jitter(crops: DataFrame, size: int, low: float, high: float, seed: int
     factor = low + uniform(seed, F.col(key), lot="scale") * (high - low)
     side = F.greatest(F.lit(32), F.bround(factor * size).cast("int"))
     room = F.abs(F.col("side") - size) + 1
-    cells = _cells(crops, size, key).withColumn("side", side)
+    cells = _cells(crops, size, key, bands).withColumn("side", side)
     cells = cells.withColumn("oy", F.pmod(draw(seed, F.col(key), lot="jitter_top"), room).cast("int")).withColumn("ox", F.pmod(draw(seed, F.col(key), lot="jitter_left"), room).cast("int"))
     bigger = F.col("side") > size
     in_y, in_x = F.when(bigger, F.col("row") + F.col("oy")).otherwise(F.col("row") - F.col("oy")), F.when(bigger, F.col("col") + F.col("ox")).otherwise(F.col("col") - F.col("ox"))
@@ -171,15 +205,14 @@ def rotate_small(crops: DataFrame, size: int, max_deg: float, p: float, seed: in
     Bands are interpolated and labels nearest; what comes from outside is 0.
     """
     angle = F.when(uniform(seed, F.col(key), lot="turn_p") < p, (uniform(seed, F.col(key), lot="angle") * 2 - 1) * max_deg).otherwise(0.0)
-    n_bands = crops.select(F.size(bands)).limit(1).collect()
     a, mid = F.radians(F.col("angle")), (size - 1) / 2
     dy, dx = F.col("row") - mid, F.col("col") - mid
-    cells = _cells(crops, size, key).withColumn("angle", angle)
+    cells = _cells(crops, size, key, bands).withColumn("angle", angle)
     cells = cells.withColumn("y", F.round(F.sin(a) * dx + F.cos(a) * dy + mid, 9)).withColumn("x", F.round(F.cos(a) * dx - F.sin(a) * dy + mid, 9))
     image = gather(crops, cells, key, bands)
-    labels = _nearest_labels(crops, cells, F.bround("y"), F.bround("x"), key)
-    zeros = F.array_repeat(F.lit(0.0), n_bands[0][0] if n_bands else 0)
-    return labels.join(image, [key, "row", "col"], "left").withColumn(bands, F.coalesce(bands, zeros))
+    labels = _nearest_labels(crops, cells, F.bround("y"), F.bround("x"), key, "n_bands")
+    zeros = F.array_repeat(F.lit(0.0), F.col("n_bands"))
+    return labels.join(image, [key, "row", "col"], "left").withColumn(bands, F.coalesce(bands, zeros)).drop("n_bands")
 
 
 def radar_jitter(crops: DataFrame, gain: float, bias: float, seed: int, n_s1: int = 3, key: str = "tile", bands: str = "bands") -> DataFrame:

@@ -131,6 +131,6 @@ def skip_existing(plan: DataFrame, done: DataFrame, key: str = "scene") -> tuple
     return work, report
 
 
-def label_tiles(metrics: DataFrame, records: DataFrame) -> DataFrame:
-    """Metrics with the record of their tile, by name."""
-    return metrics.join(records, metrics["tile"] == records["name"]).drop("name")
+def label_tiles(metrics: DataFrame, records: DataFrame, tile: str = "tile_name") -> DataFrame:
+    """Metrics, as ``tile_metrics`` gives them, with the record of their tile, by name."""
+    return metrics.join(records, metrics[tile] == records["name"]).drop("name")

@@ -5,7 +5,7 @@ from __future__ import annotations
 from collections.abc import Callable, Iterator
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -48,44 +48,100 @@ def run_blocks(arrays: np.ndarray, fn: BlockScorer, tta: str | None = None) -> n
     return np.log(np.maximum(mean, 1e-12)) if tta == "prob_mean" else mean
 
 
-def score_blocks(blocks: DataFrame, fn: BlockScorer, size: int, n_bands: int, tta: str | None = None, batch: int = 4, keys: tuple[str, ...] = ("scene_id",)) -> DataFrame:
-    """Logits per pixel and window from a function of blocks; see ``to_blocks`` and ``stitch``.
+#: Bytes of blocks that go to a scorer at a time, at most (one block may exceed it).
+BATCH_BYTES = 512 << 20
 
-    Blocks are zero-padded at the bottom and right. ``batch`` of them go to ``fn`` at a time. A block
-    on which ``fn`` fails gives one row with null place and logits and the text in ``error``; the
-    others go on.
+
+def score_blocks(windows: DataFrame, fn: BlockScorer, size: int, n_bands: int, tta: str | None = None, batch: int = 4, overlap: int = 0, keys: tuple[str, ...] = ("scene_id",), bands: str = "bands") -> DataFrame:
+    """Logits per pixel and window from a function of blocks: keys, top, left, row, col, logit0, logit1, error.
+
+    ``windows`` has a row per pixel and window (``assign_windows``). Up to ``batch`` neighbouring windows
+    of a row of windows form a group, whose pixels stream into float32 planes (n, bands, size, size) as
+    they come, and go to ``fn`` together, ``BATCH_BYTES`` at most; a worker holds these planes and little
+    else. Cells without pixel are 0, as at the bottom and right of a small scene.
+
+    If ``fn`` fails, each block of the group is tried alone. The pixels of a block that fails have null
+    logits and the text in ``error``, so ``stitch`` knows which pixels lost a window. A pixel whose number
+    of bands isn't ``n_bands`` fails its block. ``overlap`` is that of the windows.
     """
-    fields = ", ".join(f"{k} {blocks.schema[k].dataType.simpleString()}" for k in keys)
-    columns = [*keys, "top", "left", "row", "col", "logit0", "logit1", "error"]
-
-    def scored(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for frame in frames:
-            for k in range(0, len(frame), batch):
-                part = frame.iloc[k : k + batch]
-                arrays, places = np.zeros((len(part), n_bands, size, size)), []
-                for n, block in enumerate(part["block"]):
-                    at = np.array([(p["row"], p["col"]) for p in block])
-                    arrays[n, :, at[:, 0], at[:, 1]] = np.array([p["bands"] for p in block], float)
-                    places.append(at)
-                out: list = []
-                for one in ([slice(None)] if len(part) else []):
-                    try:
-                        out = list(run_blocks(arrays[one], fn, tta))
-                    except Exception:  # find the block that fails
-                        for n in range(len(part)):
-                            try:
-                                out.append(run_blocks(arrays[n : n + 1], fn, tta)[0])
-                            except Exception as e:
-                                out.append(f"{type(e).__name__}: {e}")
-                for (_, row), at, got in zip(part.iterrows(), places, out):
-                    head = {k: row[k] for k in (*keys, "top", "left")}
-                    if isinstance(got, str):
-                        yield pd.DataFrame([head | {"row": None, "col": None, "logit0": None, "logit1": None, "error": got}])[columns].astype({"row": "Int32", "col": "Int32", "logit0": "Float64", "logit1": "Float64"})
-                        continue
-                    rows = pd.DataFrame({"row": at[:, 0] + row["top"], "col": at[:, 1] + row["left"], "logit0": got[0, at[:, 0], at[:, 1]], "logit1": got[1, at[:, 0], at[:, 1]]})
-                    yield rows.assign(**head, error=None)[columns]
-
-    return blocks.mapInPandas(scored, f"{fields}, top int, left int, row int, col int, logit0 double, logit1 double, error string")
+    each = max(1, min(batch, BATCH_BYTES // (4 * n_bands * size * size)))
+    step = max(1, size - overlap)
+    fields = ", ".join(f"{k} {windows.schema[k].dataType.simpleString()}" for k in keys)
+    names = [*keys, "top", "left", "row", "col", "logit0", "logit1", "error"]
+
+    def scored(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        blocks = Blocks(size, n_bands, each)
+        head: list[pa.Scalar] = []
+        for part in batches:
+            head = head or [part.column(i)[0] for i in range(len(keys))]
+            blocks.add(part)
+        for places, arrays, cells, wrong in blocks.lots():
+            out = _scores(arrays, fn, tta, wrong)
+            for (top, left), at, got in zip(places, cells, out):
+                n, failed = len(at), isinstance(got, str)
+                logits = [pa.nulls(n, pa.float64())] * 2 if failed else [pa.array(got[k].reshape(-1)[at], pa.float64()) for k in (0, 1)]
+                row, col = (at // size + top).astype(np.int32), (at % size + left).astype(np.int32)
+                error = pa.repeat(pa.scalar(got if failed else None, pa.string()), n)
+                columns = [*(pa.repeat(k, n) for k in head), *(pa.repeat(pa.scalar(x, pa.int32()), n) for x in (top, left)), pa.array(row), pa.array(col), *logits, error]
+                yield pa.RecordBatch.from_arrays(columns, names=names)
+
+    lots = windows.select(*keys, *(F.col(c).cast("int").alias(c) for c in ("top", "left", "row", "col")), F.col(bands).cast("array<float>").alias("bands"))
+    lots = lots.groupBy(*keys, "top", F.floor(F.ceil(F.col("left") / step) / each).alias("_lot"))
+    return lots.applyInArrow(scored, f"{fields}, top int, left int, row int, col int, logit0 double, logit1 double, error string")
+
+
+class Blocks:
+    """The planes of the windows of a group, filled from batches of pixels (keys, top, left, row, col, bands)."""
+
+    def __init__(self, size: int, n_bands: int, each: int = 1):
+        self.size, self.n_bands, self.each = size, n_bands, each
+        self.number: dict[tuple[int, int], int] = {}
+        self.planes: list[np.ndarray] = []
+        self.there: list[np.ndarray] = []
+        self.wrong: set[int] = set()
+
+    def add(self, part: pa.RecordBatch) -> None:
+        top, left, row, col = (part.column(part.schema.get_field_index(c)).to_numpy(zero_copy_only=False).astype(np.int64) for c in ("top", "left", "row", "col"))
+        bands = part.column(part.schema.get_field_index("bands"))
+        sizes = bands.value_lengths().fill_null(-1).to_numpy(zero_copy_only=False)
+        fits = sizes == self.n_bands
+        values = bands.filter(pa.array(fits)).flatten().to_numpy(zero_copy_only=False).reshape(-1, self.n_bands)
+        nth = np.cumsum(fits) - 1
+        at = (row - top) * self.size + col - left
+        for t, le in sorted(set(zip(top.tolist(), left.tolist()))):
+            k = self.number.setdefault((t, le), len(self.number))
+            while len(self.there) <= k:
+                if len(self.there) % self.each == 0:
+                    self.planes.append(np.zeros((self.each, self.n_bands, self.size * self.size), np.float32))
+                self.there.append(np.zeros(self.size * self.size, bool))
+            own = np.flatnonzero((top == t) & (left == le))
+            self.there[k][at[own]] = True
+            if not fits[own].all():
+                self.wrong.add(k)
+            own = own[fits[own]]
+            self.planes[k // self.each][k % self.each][:, at[own]] = values[nth[own]].T
+
+    def lots(self) -> Iterator[tuple[list[tuple[int, int]], np.ndarray, list[np.ndarray], list[bool]]]:
+        """Places, blocks, cells that have a pixel, and which blocks are wrong, a lot at a time."""
+        places = list(self.number)
+        for k, planes in enumerate(self.planes):
+            own = range(k * self.each, min((k + 1) * self.each, len(places)))
+            arrays = planes[: len(own)].reshape(-1, self.n_bands, self.size, self.size)
+            yield [places[i] for i in own], arrays, [np.flatnonzero(self.there[i]) for i in own], [i in self.wrong for i in own]
+
+
+def _scores(arrays: np.ndarray, fn: BlockScorer, tta: str | None, wrong: list[bool]) -> list[np.ndarray | str]:
+    """The scores of each block, or what went wrong with it."""
+    if not any(wrong):
+        try:
+            return list(run_blocks(arrays, fn, tta))
+        except Exception as e:
+            if len(arrays) == 1:
+                return [f"{type(e).__name__}: {e}"]
+    out: list[np.ndarray | str] = []
+    for n, bad in enumerate(wrong):  # find the block that fails
+        out += ["unexpected number of bands"] if bad else _scores(arrays[n : n + 1], fn, tta, [False])
+    return out
 
 
 def tta_average(pixels: DataFrame, scorer: Callable[[DataFrame], DataFrame], mode: str | tuple[str, ...], h: int, w: int, keys: tuple[str, ...] = ("tile",)) -> DataFrame:

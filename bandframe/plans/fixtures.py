@@ -23,7 +23,9 @@ SELECT o.o_orderkey AS px_id,
        CASE WHEN o.o_orderkey % 89 = 0 THEN 0 ELSE 255 END AS s1_mask,
        e.label AS dw_class,
        CASE WHEN e.label = 0 THEN 400 + (o.o_orderkey * 7919) % 601
-            ELSE (o.o_orderkey * 7919) % 751 END AS p_milli
+            ELSE (o.o_orderkey * 7919) % 751 END AS p_milli,
+       CASE WHEN o.o_orderkey % 61 = 0 THEN CAST('NaN' AS DOUBLE)
+            WHEN o.o_orderkey % 67 <> 0 THEN p_milli / CAST(1000 AS DOUBLE) END AS p_raw
 FROM (SELECT *, o_orderkey % (SELECT COUNT(*) FROM embeddings) AS vec FROM orders) o JOIN embeddings e ON e.vec_id = o.vec
 """
 PX = _PX.format(nodata="array_repeat(CAST(-128 AS FLOAT), 64)")

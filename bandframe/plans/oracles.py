@@ -5,7 +5,7 @@ from __future__ import annotations
 
 from bandframe.operators.evaluate import THRESHOLDS
 from bandframe.plans.fixtures import duckdb_with
-from bandframe.plans.queries import HEAD, N_BANDS
+from bandframe.plans.queries import HEAD, N_BANDS, SEEN, SHOWN
 
 PX = duckdb_with("px")
 P = "(p_milli / CAST(1000 AS DOUBLE))"
@@ -24,6 +24,8 @@ tp, fp, tn, fn"""
 COUNTS = """
 count(*) FILTER (WHERE {pred} AND {y} = 1) AS tp, count(*) FILTER (WHERE {pred} AND {y} <> 1) AS fp,
 count(*) FILTER (WHERE NOT {pred} AND {y} <> 1) AS tn, count(*) FILTER (WHERE NOT {pred} AND {y} = 1) AS fn"""
+REACHES = "coalesce({0} >= {1} AND NOT isnan({0}), false)"
+RAW = COUNTS.format(pred=REACHES.format("p_raw", "CAST(0.55 AS DOUBLE)"), y=LABEL)
 DAY = r"""
 SELECT *, string_split(path, '/')[-1] AS file, replace(replace(string_split(path, '/')[-1], '.tif', ''), 's1_', '') AS d FROM scene_paths"""
 DATED = f"""{duckdb_with("scene_paths")}, named AS ({DAY}), dated AS (
@@ -39,17 +41,17 @@ SIDES = f"""{duckdb_with("tile_files")}, seen AS (
   FROM (SELECT * FROM side WHERE kind = 's1') s LEFT JOIN (SELECT * FROM side WHERE kind = 'aef') a USING (name)
   LEFT JOIN (SELECT * FROM side WHERE kind = 'label') l USING (name))"""
 SWEEP = f"""t AS (SELECT CAST(unnest([{", ".join(map(str, THRESHOLDS))}]) AS DOUBLE) AS threshold),
-counted AS (SELECT eval_mode, threshold, {COUNTS.format(pred="(p >= threshold)", y="y")} FROM probs CROSS JOIN t GROUP BY ALL),
+counted AS (SELECT eval_mode, threshold, {COUNTS.format(pred=REACHES.format("p", "threshold"), y="y")} FROM probs CROSS JOIN t GROUP BY ALL),
 sweep AS (SELECT eval_mode, threshold, {METRICS} FROM counted),
 raw AS (SELECT eval_mode, threshold, tp / CAST(greatest(tp + fp + fn, 1) AS DOUBLE) AS water_iou, tp / CAST(greatest(tp + fp, 1) AS DOUBLE) AS precision,
   (2 * tn / CAST(greatest(2 * tn + fp + fn, 1) AS DOUBLE) + 2 * tp / CAST(greatest(2 * tp + fp + fn, 1) AS DOUBLE)) / 2 AS dice FROM counted)"""
 WINDOWS = "win AS (SELECT t AS top, l AS left_ FROM (SELECT unnest([0, 12, 14]) AS t) CROSS JOIN (SELECT unnest([0, 12, 24, 34]) AS l))"
 CELLS = """cells AS (SELECT tile_no, CAST(r.range AS INT) AS row, CAST(c.range AS INT) AS col FROM (SELECT DISTINCT tile_no FROM px) CROSS JOIN range({n}) r CROSS JOIN range({n}) c)"""
-#: Between four neighbours: from places (tile_no, row, col, y, x, ly, lx) and crops c (tile_no, r, c, vh, p, label).
-BETWEEN = """corners AS (SELECT * FROM (VALUES (0, 0), (0, 1), (1, 0), (1, 1)) AS k(i, j)),
+#: Between four neighbours: from places (tile_no, row, col, y, x, ly, lx) and crops c (tile_no, r, c, bands, label).
+BETWEEN = f"""corners AS (SELECT * FROM (VALUES (0, 0), (0, 1), (1, 0), (1, 1)) AS k(i, j)),
 ask AS (SELECT tile_no, row, col, floor(y) + i AS r, floor(x) + j AS c, (CASE i WHEN 1 THEN y - floor(y) ELSE 1 - (y - floor(y)) END) * (CASE j WHEN 1 THEN x - floor(x) ELSE 1 - (x - floor(x)) END) AS wt FROM places CROSS JOIN corners),
-image AS (SELECT ask.tile_no, row, col, sum(vh * wt) AS v0, sum(p * wt) AS v1 FROM ask JOIN c ON c.tile_no = ask.tile_no AND c.r = ask.r AND c.c = ask.c WHERE wt > 0 GROUP BY ALL)
-SELECT p.tile_no AS tile, p.row, p.col, CAST(coalesce(l.label, 0) AS INT) AS label, round(coalesce(v0, 0) + 1e-9, 5) + 0.0 AS b0, round(coalesce(v1, 0) + 1e-9, 5) + 0.0 AS b1
+image AS (SELECT ask.tile_no, row, col, {", ".join(f"sum(bands[{i + 1}] * wt) AS v{i}" for i in SHOWN)} FROM ask JOIN c ON c.tile_no = ask.tile_no AND c.r = ask.r AND c.c = ask.c WHERE wt > 0 GROUP BY ALL)
+SELECT p.tile_no AS tile, p.row, p.col, CAST(coalesce(l.label, 0) AS INT) AS label, {", ".join(f"round(coalesce(v{i}, 0) + 1e-9, 5) + 0.0 AS b{i}" for i in SHOWN)}
 FROM places p LEFT JOIN image USING (tile_no, row, col) LEFT JOIN c l ON l.tile_no = p.tile_no AND l.r = p.ly AND l.c = p.lx"""
 STARTS = "list_distinct(list_append(range(0, greatest({n} - 16, 0) + 1, 12), greatest({n} - 16, 0)))"
 
@@ -63,7 +65,6 @@ def _list(values: list[float]) -> str:
     return "[" + ", ".join(f"CAST({v} AS DOUBLE)" for v in values) + "]"
 
 
-SHOWN = (0, 1, 2, 3, 34, 66)
 STATS = """stats AS (SELECT band, avg(x) AS mean, sqrt(greatest(avg(x * x) - avg(x) * avg(x), 1e-8)) AS std
   FROM (SELECT unnest(bands) AS x, unnest(range(67)) AS band FROM b) GROUP BY band)"""
 
@@ -116,8 +117,8 @@ ORACLES: dict[str, str] = {
       WHERE g.bands <> 3 OR (g.crs, g.a, g.b, g.c, g.d, g.e, g.f, g.width, g.height) IS DISTINCT FROM (f.crs, f.a, f.b, f.c, f.d, f.e, f.f, f.width, f.height)""",
     "q16_skip_existing": f"""{DATED}, plan AS (SELECT DISTINCT path, year FROM good), done AS (SELECT DISTINCT path FROM scene_paths WHERE file_id % 4 = 0)
       SELECT path, year, CASE WHEN path IN (SELECT path FROM done) THEN 'skipped-existing' ELSE 'to-do' END AS status FROM plan""",
-    "q17_threshold_sweep": f"{PX}, probs AS (SELECT 'plain' AS eval_mode, {P} AS p, {LABEL} AS y FROM px), {SWEEP} SELECT *, false AS used_tiled_inference FROM sweep",
-    "q18_tile_metrics_worst": f"""{PX}, c AS (SELECT tile_no AS tile, {COUNTS.format(pred=f"({P} >= CAST(0.55 AS DOUBLE))", y=LABEL)} FROM px GROUP BY tile_no),
+    "q17_threshold_sweep": f"{PX}, probs AS (SELECT 'plain' AS eval_mode, p_raw AS p, {LABEL} AS y FROM px), {SWEEP} SELECT *, false AS used_tiled_inference FROM sweep",
+    "q18_tile_metrics_worst": f"""{PX}, c AS (SELECT tile_no AS tile, {RAW} FROM px GROUP BY tile_no),
       m AS (SELECT tile, {METRICS} FROM c), w AS (SELECT * FROM m ORDER BY water_iou, precision, recall, tile LIMIT 25)
       SELECT w.*, 'plain' AS eval_mode, CAST(0.55 AS DOUBLE) AS threshold, false AS used_tiled_inference, tp + fn AS water_pixels, '/d/s1/tile_' || p_partkey AS s1_path
       FROM w JOIN part ON p_partkey = tile""",
@@ -151,7 +152,7 @@ ORACLES: dict[str, str] = {
       s AS (SELECT tile, c, sum(part) AS loss FROM d GROUP BY tile, c)
       SELECT t.tile, round(coalesce(avg(loss), 0), 6) AS loss FROM (SELECT DISTINCT tile_no AS tile FROM px) t LEFT JOIN s USING (tile) GROUP BY t.tile""",
     "q27_best_threshold": f"""{PX}, probs AS (
-        SELECT 'plain' AS eval_mode, {P} AS p, {LABEL} AS y FROM px
+        SELECT 'plain' AS eval_mode, p_raw AS p, {LABEL} AS y FROM px
         UNION ALL SELECT 'tta', least(p_milli + px_id % 60, 1000) / CAST(1000 AS DOUBLE), {LABEL} FROM px), {SWEEP},
       b AS (SELECT *, row_number() OVER (PARTITION BY eval_mode ORDER BY water_iou DESC, dice DESC, threshold) AS k,
         row_number() OVER (PARTITION BY eval_mode ORDER BY water_iou DESC, precision DESC, threshold) AS top,
@@ -184,14 +185,17 @@ def _unit(seed: str, lot: str) -> str:
 
 def _crop(size: int, rows: int, cols: int) -> str:
     return f"""d AS (SELECT *, {drawn("7:1", "top")} % {rows} AS t, {drawn("7:1", "left")} % {cols} AS l FROM px),
-      c AS (SELECT tile_no, row_i - t AS r, col_i - l AS c, vh, {P} AS p, {LABEL} AS label FROM d WHERE row_i BETWEEN t AND t + {size - 1} AND col_i BETWEEN l AND l + {size - 1})"""
+      c AS (SELECT tile_no, row_i - t AS r, col_i - l AS c, {BANDS} AS bands, {LABEL} AS label FROM d WHERE row_i BETWEEN t AND t + {size - 1} AND col_i BETWEEN l AND l + {size - 1})"""
 
 
 ORACLES |= {
-    "q33_blocks_stitch": f"""{PX}, {WINDOWS} SELECT a.tile_no AS tile, a.row_i AS row, a.col_i AS col,
-        round(avg({P.replace("p_milli", "a.p_milli")} * 2 + coalesce({P.replace("p_milli", "n.p_milli")}, 0) / 2), 6) AS logit1
+    "q33_blocks_stitch": f"""{PX}, {WINDOWS} SELECT a.tile_no AS tile, a.row_i AS row, a.col_i AS col, CAST(0 AS INT) AS failed, CAST(NULL AS VARCHAR) AS error,
+        round(avg(a.p_milli * 2 + coalesce(n.p_milli, 0) / CAST(2 AS DOUBLE) + list_inner_product(CAST(a.aef AS DOUBLE[]), {_list(SEEN)})), 4) AS logit1
       FROM px a JOIN win ON a.row_i >= top AND a.row_i < top + 16 AND a.col_i >= left_ AND a.col_i < left_ + 16
       LEFT JOIN px n ON n.tile_no = a.tile_no AND n.row_i = a.row_i AND n.col_i = a.col_i - 1 AND n.col_i >= left_ GROUP BY ALL""",
+    "q45_packed_blocks": f"""{PX}, {WINDOWS} SELECT tile_no AS tile, CAST(top AS INT) AS top, CAST(left_ AS INT) AS left, count(*) AS cells, round(sum(p_milli), 3) + 0.0 AS b0,
+        round(sum(px_id % 7), 3) + 0.0 AS b1, count(*) + 0.0::DOUBLE AS b2, round(sum(CAST(aef[1] AS DOUBLE)), 3) + 0.0 AS b3, round(sum(CAST(aef[64] AS DOUBLE)), 3) + 0.0 AS b66
+      FROM px JOIN win ON row_i >= top AND row_i < top + 16 AND col_i >= left_ AND col_i < left_ + 16 GROUP BY ALL""",
     "q34_scale_jitter": f"""{PX}, {_crop(30, 1, 21)}, {CELLS.format(n=30)},
       f AS (SELECT *, greatest(32, round_even((CAST(0.8 AS DOUBLE) + {_unit("7", "scale")} * CAST({1.25 - 0.8!r} AS DOUBLE)) * 30, 0)) AS side FROM cells),
       o AS (SELECT *, row + {drawn("7", "jitter_top")} % CAST(side - 29 AS BIGINT) AS iy, col + {drawn("7", "jitter_left")} % CAST(side - 29 AS BIGINT) AS ix, CAST(30 AS DOUBLE) / side AS ratio FROM f),
@@ -207,18 +211,19 @@ ORACLES |= {
         (SELECT '{{"crs":"' || crs || '","width":' || width || ',"height":' || height || '}}' FROM g) AS grid FROM y""".replace("WITH scene_paths AS", f"{duckdb_with('grid_headers')}, scene_paths AS", 1),
     "q38_distinct_samples": f"{duckdb_with('manifest')} SELECT string_agg(DISTINCT sample_id, ',' ORDER BY sample_id) AS sample_ids FROM manifest WHERE sample_id <> ''",
     "q39_apply_thresholds": f"""{PX}, t AS (SELECT CAST(unnest([{", ".join(map(str, THRESHOLDS))}]) AS DOUBLE) AS threshold)
-      SELECT threshold, count(*) AS pixels, count(*) FILTER (WHERE {P} >= threshold) AS water FROM px CROSS JOIN t GROUP BY threshold""",
+      SELECT threshold, count(*) AS pixels, count(*) FILTER (WHERE {REACHES.format("p_raw", "threshold")}) AS water FROM px CROSS JOIN t GROUP BY threshold""",
     "q40_stored_stats": f"{PX}, b AS (SELECT {BANDS} AS bands FROM px), {STATS} SELECT CAST(band AS INT) AS band, round(mean, 6) + 0.0 AS mean, round(std, 6) AS std FROM stats",
-    "q41_eval_artifacts": f"""{PX}, probs AS (SELECT 'plain' AS eval_mode, {P} AS p, {LABEL} AS y FROM px), {SWEEP},
-      n AS (SELECT tile_no AS tile, {COUNTS.format(pred=f"({P} >= CAST(0.55 AS DOUBLE))", y=LABEL)} FROM px GROUP BY tile_no), m AS (SELECT tile, {METRICS} FROM n),
+    "q41_eval_artifacts": f"""{PX}, probs AS (SELECT 'plain' AS eval_mode, p_raw AS p, {LABEL} AS y FROM px), {SWEEP},
+      n AS (SELECT tile_no AS tile, {RAW} FROM px GROUP BY tile_no), m AS (SELECT tile, {METRICS} FROM n),
       x AS (SELECT tile, tp / CAST(greatest(tp + fp + fn, 1) AS DOUBLE) AS a, tp / CAST(greatest(tp + fp, 1) AS DOUBLE) AS b, tp / CAST(greatest(tp + fn, 1) AS DOUBLE) AS c FROM n ORDER BY a, b, c, tile LIMIT 25)
       SELECT 'worst' AS kind, tile AS key, water_iou, tp, fn FROM m JOIN x USING (tile)
       UNION ALL SELECT 'sweep', CAST(round(threshold * 100) AS BIGINT), water_iou, tp, fn FROM sweep""",
-    "q42_stream_scenes": f"""{PX}, v AS (SELECT tile_no, CASE WHEN {VALID} THEN {P} END AS p FROM px)
-      SELECT 'tile_' || tile_no AS scene, CAST(2025 AS INT) AS year, CASE WHEN tile_no % 10 = 3 THEN 'error' ELSE 'ok' END AS status,
-        CASE WHEN tile_no % 10 <> 3 THEN count(*) ELSE 0 END AS total_pixels, CASE WHEN tile_no % 10 <> 3 THEN count(p) ELSE 0 END AS valid_pixels,
-        CASE WHEN tile_no % 10 <> 3 THEN round(avg(p), 3) END AS mean_probability, CASE WHEN tile_no % 10 <> 3 THEN round(max(p), 3) END AS max_probability,
-        CASE WHEN tile_no % 10 = 3 THEN 'unexpected number of bands' END AS error FROM v GROUP BY tile_no""",
+    "q42_stream_scenes": f"""{PX}, v AS (SELECT tile_no, row_i, col_i, CASE WHEN {VALID} THEN {P} END AS p FROM px), s AS (
+        SELECT tile_no, count(*) AS n, count(p) AS valid, round(avg(p), 3) AS mean, round(max(p), 3) AS top,
+          CASE WHEN tile_no % 10 = 3 AND bool_or(row_i = 4 AND col_i = 7) THEN 'unexpected number of bands' WHEN tile_no = 6 AND bool_or(row_i = 5 AND col_i = 11) THEN 'scorer' END AS error FROM v GROUP BY tile_no)
+      SELECT 'tile_' || tile_no AS scene, CAST(2025 AS INT) AS year, CASE WHEN error IS NULL THEN 'ok' ELSE 'error' END AS status, error,
+        CASE WHEN error IS NULL THEN n ELSE 0 END AS total_pixels, CASE WHEN error IS NULL THEN valid ELSE 0 END AS valid_pixels,
+        CASE WHEN error IS NULL THEN mean END AS mean_probability, CASE WHEN error IS NULL THEN top END AS max_probability FROM s""",
 }
 ORACLES["q43_training_table"] = (
     ORACLES["q30_crop_augment"].replace("md5('7:flip", "md5('7:1:flip").replace("md5('7:turns", "md5('7:1:turns").replace("md5('7:gain", "md5('7:1:gain").replace("md5('7:bias", "md5('7:1:bias")

@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -108,8 +109,8 @@ def q10_normalize(spark: SparkSession, sf_dir: str) -> DataFrame:
     px = banded(pixels(spark, sf_dir))
     rows = J.attach_stats(px, E.band_stats(px, N_BANDS))
     rows = rows.withColumn("bands", C.normalize(C.fill_invalid(F.col("bands"), is_valid(), F.col("mean")), F.col("mean"), F.col("std")))
-    sums = rows.groupBy("tile").agg(*(F.sum(F.get("bands", F.lit(i))).alias(f"b{i}") for i in (0, 1, 2, 3, 34, 66)))
-    return sums.select("tile", *((F.round(f"b{i}", 4) + 0.0).alias(f"b{i}") for i in (0, 1, 2, 3, 34, 66)))
+    sums = rows.groupBy("tile").agg(*(F.sum(F.get("bands", F.lit(i))).alias(f"b{i}") for i in SHOWN))
+    return sums.select("tile", *((F.round(f"b{i}", 4) + 0.0).alias(f"b{i}") for i in SHOWN))
 
 
 @query
@@ -166,7 +167,7 @@ def q16_skip_existing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query
 def q17_threshold_sweep(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return rounded(E.threshold_sweep(pixels(spark, sf_dir)))
+    return rounded(E.threshold_sweep(pixels(spark, sf_dir), prob="p_raw"))
 
 
 def rounded(sweep: DataFrame) -> DataFrame:
@@ -176,11 +177,11 @@ def rounded(sweep: DataFrame) -> DataFrame:
 
 @query
 def q18_tile_metrics_worst(spark: SparkSession, sf_dir: str) -> DataFrame:
-    tiles = rounded(E.tile_metrics(pixels(spark, sf_dir), 0.55))
-    worst = E.worst_tiles(tiles, 25).withColumnRenamed("tile_name", "tile")
+    tiles = rounded(E.tile_metrics(pixels(spark, sf_dir), 0.55, prob="p_raw"))
+    worst = E.worst_tiles(tiles, 25)
     parts = spark.read.parquet(f"{sf_dir}/part.parquet")
     records = parts.select(F.col("p_partkey").alias("name"), F.concat(F.lit("/d/s1/tile_"), "p_partkey").alias("s1_path"))
-    return J.label_tiles(worst, records)
+    return J.label_tiles(worst, records).withColumnRenamed("tile_name", "tile")
 
 
 @query
@@ -245,7 +246,7 @@ def q26_lovasz(spark: SparkSession, sf_dir: str) -> DataFrame:
 def q27_best_threshold(spark: SparkSession, sf_dir: str) -> DataFrame:
     px = pixels(spark, sf_dir)
     other = px.withColumn("prob", F.least(F.col("p_milli") + F.col("px_id") % 60, F.lit(1000)) / F.lit(1000.0))
-    both = E.union_sweeps(E.threshold_sweep(px, mode="plain"), E.threshold_sweep(other, mode="tta"))
+    both = E.union_sweeps(E.threshold_sweep(px, mode="plain", prob="p_raw"), E.threshold_sweep(other, mode="tta"))
     best = E.best_threshold(both).select(F.lit("best").alias("kind"), "scope", "eval_mode", "threshold", F.lit(1).alias("rank"), "water_iou")
     top = E.top_rows_per_mode(both).select(F.lit("top").alias("kind"), F.col("eval_mode").alias("scope"), "eval_mode", "threshold", "rank", F.bround("water_iou", 6).alias("water_iou"))
     return best.unionByName(top)
@@ -288,30 +289,63 @@ def q32_lovasz_all(spark: SparkSession, sf_dir: str) -> DataFrame:
     return E.lovasz_softmax(pixels(spark, sf_dir), buckets=512).select(F.round("loss", 6).alias("loss"))
 
 
+#: Weights of the embedding bands in the block scorer of the queries.
+SEEN = [(k % 5) - 2 for k in range(64)]
+
+
 def sees_left(blocks: np.ndarray) -> np.ndarray:
-    """A block scorer that adds half of the left neighbour's value."""
-    left = np.zeros_like(blocks[:, 0])
-    left[:, :, 1:] = blocks[:, 0, :, :-1]
-    return np.stack([np.ones_like(left), blocks[:, 0] * 2 + left / 2], 1)
+    """A block scorer of 67 bands that adds half of the left neighbour's value."""
+    first = blocks[:, 0].astype(float)
+    left = np.zeros_like(first)
+    left[:, :, 1:] = first[:, :, :-1]
+    return np.stack([np.ones_like(left), first * 2 + left / 2 + np.einsum("nkrc,k->nrc", blocks[:, 3:], np.array(SEEN, float))], 1)
+
+
+def blockwise(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Pixels with 67 bands that float32 holds exactly."""
+    px = pixels(spark, sf_dir)
+    return px.select("tile", "row", "col", C.stack_bands(F.array("p_milli", F.col("px_id") % 7, F.lit(1)), F.col("aef")).alias("bands"))
 
 
 @query
 def q33_blocks_stitch(spark: SparkSession, sf_dir: str) -> DataFrame:
-    px = pixels(spark, sf_dir).select("tile", "row", "col", F.array("prob").alias("bands"))
-    blocks = G.to_blocks(G.assign_windows(px, 16, 4, H, W), ("tile",))
-    out = G.stitch(score_blocks(blocks, sees_left, 16, 1, keys=("tile",)), ("tile",))
-    return out.select("tile", "row", "col", F.round("logit1", 6).alias("logit1"))
+    windows = G.assign_windows(blockwise(spark, sf_dir), 16, 4, H, W)
+    out = G.stitch(score_blocks(windows, sees_left, 16, N_BANDS, overlap=4, keys=("tile",)), ("tile",))
+    return out.select("tile", "row", "col", F.round("logit1", 4).alias("logit1"), "failed", "error")
+
+
+@query
+def q45_packed_blocks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Blocks as they are stored, and what is in them."""
+    blocks = G.to_blocks(G.assign_windows(blockwise(spark, sf_dir), 16, 4, H, W), 16, N_BANDS, ("tile",))
+    names = ["tile", "top", "left", "cells", *(f"b{k}" for k in (0, 1, 2, 3, 66))]
+    kinds = [pa.int64(), pa.int32(), pa.int32(), pa.int64(), *[pa.float64()] * 5]
+
+    def looked_at(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for row in batch.to_pylist():
+                planes, there = G.unpack_block(row["block"], row["cells"], 16, N_BANDS)
+                corner = [float(planes[k].astype(float).sum()) for k in (0, 1, 2, 3, 66)]
+                values = (row["tile"], row["top"], row["left"], int(there.sum()), *corner)
+                yield pa.RecordBatch.from_arrays([pa.array([v], t) for v, t in zip(values, kinds)], names=names)
+
+    sums = blocks.mapInArrow(looked_at, "tile long, top int, left int, cells long, b0 double, b1 double, b2 double, b3 double, b66 double")
+    return sums.select("tile", "top", "left", "cells", *((F.round(f"b{k}", 3) + 0.0).alias(f"b{k}") for k in (0, 1, 2, 3, 66)))
+
+
+#: Bands that queries over all 67 show.
+SHOWN = (0, 1, 2, 3, 34, 66)
 
 
 def cropped(spark: SparkSession, sf_dir: str, size: int) -> DataFrame:
-    """One crop per tile with two bands."""
-    px = pixels(spark, sf_dir).select("tile", "row", "col", F.array("vh", "prob").alias("bands"), "label")
+    """One crop per tile with all bands."""
+    px = banded(pixels(spark, sf_dir)).select("tile", "row", "col", "bands", "label")
     return G.random_crop(px, size, 7, 1, H, W)
 
 
 def shown(rows: DataFrame) -> DataFrame:
-    """Two bands to five digits; weights of whole fractions end in a 5 behind them, which goes up."""
-    return rows.select("tile", "row", "col", "label", *((F.round(F.get("bands", F.lit(i)) + 1e-9, 5) + 0.0).alias(f"b{i}") for i in range(2)))
+    """Some bands to five digits; weights of whole fractions end in a 5 behind them, which goes up."""
+    return rows.select("tile", "row", "col", "label", *((F.round(F.get("bands", F.lit(i)) + 1e-9, 5) + 0.0).alias(f"b{i}") for i in SHOWN))
 
 
 @query
@@ -347,7 +381,7 @@ def q38_distinct_samples(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query
 def q39_apply_thresholds(spark: SparkSession, sf_dir: str) -> DataFrame:
     thresholds = E.threshold_list([(0.30, 0.50, 0.05), (0.55, 0.70, 0.01), (0.75, 0.80, 0.05)])
-    rows = E.apply_thresholds(pixels(spark, sf_dir).select("px_id", "prob"), thresholds)
+    rows = E.apply_thresholds(pixels(spark, sf_dir).select("px_id", "p_raw"), thresholds, prob="p_raw")
     return rows.groupBy("threshold").agg(F.count("*").alias("pixels"), F.sum("pred").alias("water"))
 
 
@@ -362,7 +396,7 @@ def q40_stored_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query
 def q41_eval_artifacts(spark: SparkSession, sf_dir: str) -> DataFrame:
     px, root = pixels(spark, sf_dir), workdir(spark)
-    sweep, tiles = E.threshold_sweep(px), E.tile_metrics(px, 0.55)
+    sweep, tiles = E.threshold_sweep(px, prob="p_raw"), E.tile_metrics(px, 0.55, prob="p_raw")
     S.write_eval_artifacts(root, sweep, tiles, E.worst_tiles(tiles, 25), E.best_threshold(sweep))
     read = lambda name, df: spark.read.csv(f"{root}/{name}", header=True, schema=df.schema)
     worst = rounded(read("worst_tiles", tiles)).select(F.lit("worst").alias("kind"), F.col("tile_name").alias("key"), "water_iou", "tp", "fn")
@@ -372,16 +406,20 @@ def q41_eval_artifacts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query
 def q42_stream_scenes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Scenes in three files each; some have a wrong pixel in one of them, and the scorer fails on one scene."""
     root = workdir(spark)
-    px = pixels(spark, sf_dir).withColumn("s1", F.when(F.col("tile") % 10 == 3, F.array("vv")).otherwise(F.col("s1")))
+    wrong = (F.col("tile") % 10 == 3) & (F.col("row") == 4) & (F.col("col") == 7)
+    px = pixels(spark, sf_dir).withColumn("s1", F.when(wrong, F.array("vv")).otherwise(F.col("s1")))
     px = px.select(F.concat(F.lit("tile_"), "tile").alias("scene_id"), F.lit(2025).alias("year"), "row", "col", "s1", "aef", "s1_mask", "prob")
-    px.repartition(3, "col").write.parquet(f"{root}/in")  # a scene comes in three files, a file at a time
+    px.repartition(3, "col").write.parquet(f"{root}/in")  # a file at a time
     stream = spark.readStream.schema(px.schema).option("maxFilesPerTrigger", 1).parquet(f"{root}/in")
-    score = lambda df: df.withColumn("prob", C.mask_probability(F.col("prob"), is_valid()))
-    X.score_new_scenes(stream, f"{root}/out", score, f"{root}/checkpoint").awaitTermination()
+    stuck = (F.col("scene_id") == "tile_6") & (F.col("row") == 5) & (F.col("col") == 11)
+    prob = F.when(stuck, F.raise_error(F.lit("cannot score tile_6")).cast("double")).otherwise(C.mask_probability(F.col("prob"), is_valid()))
+    X.score_new_scenes(stream, f"{root}/out", lambda df: df.withColumn("prob", prob), f"{root}/checkpoint").awaitTermination()
     rows = X.read_summary(spark, f"{root}/out")
     counts = [F.coalesce(c, F.lit(0)).alias(c) for c in ("total_pixels", "valid_pixels")]
-    return rows.select("scene", "year", "status", *counts, *(F.round(c, 3).alias(c) for c in ("mean_probability", "max_probability")), "error")
+    error = F.when(F.contains("error", F.lit("cannot score tile_6")), "scorer").otherwise(F.col("error")).alias("error")
+    return rows.select("scene", "year", "status", *counts, *(F.round(c, 3).alias(c) for c in ("mean_probability", "max_probability")), error)
 
 
 @query

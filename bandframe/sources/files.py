@@ -197,8 +197,11 @@ def write_probability(probs: DataFrame, root: str) -> None:
     """Probabilities by year and scene, missing as -9999; scenes written before are replaced whole.
 
     With a column ``batch`` each scene has a folder per batch, and only those of the same batch are replaced.
+    Rows are dealt out by scene and a range of 256 rows of pixels first, so that a scene has a file per
+    range at most and not one from every task.
     """
     out = probs.withColumn("prob", F.coalesce("prob", F.lit(NODATA)).cast("float"))
+    out = out.withColumn("_band", F.floor(F.col("row") / 256)).repartition("year", "scene_id", "_band").drop("_band")
     out.write.partitionBy("year", "scene_id", *(["batch"] if "batch" in probs.columns else [])).option("partitionOverwriteMode", "dynamic").mode("overwrite").parquet(f"{root}/probabilities")
 
 
@@ -218,6 +221,44 @@ def read_probability(spark: SparkSession, root: str) -> DataFrame | None:
     return found and found.withColumn("scene_id", F.col("scene_id").cast("string")).withColumn("prob", F.nullif(F.col("prob"), F.lit(NODATA).cast("float")))
 
 
+#: Characters that Spark writes as %XX in names of partition folders (fixed values of the file format).
+ESCAPED = frozenset(map(chr, range(1, 32))) | set("\"#%'*/:=?\\{[]^\x7f")
+PROBABILITY = "row int, col int, prob float, year int, scene_id string, batch long"
+
+
+def partition_folder(name: str, value: str) -> str:
+    """The folder of a partition."""
+    return f"{name}=" + "".join(f"%{ord(c):02X}" if c in ESCAPED else c for c in value)
+
+
+def read_some(spark: SparkSession, base: str, folders: list[str], schema: str) -> DataFrame:
+    """Some folders of a partitioned table; others aren't even listed, and those that aren't there have no rows."""
+    path = spark._jvm.org.apache.hadoop.fs.Path
+    system = path(base).getFileSystem(spark._jsc.hadoopConfiguration())
+    there = [f"{base}/{f}" for f in folders if system.exists(path(f"{base}/{f}"))]
+    if not there:
+        return spark.createDataFrame([], schema)
+    return spark.read.schema(schema).option("basePath", base).parquet(*there)
+
+
+def _scene_folders(scenes: list[tuple[int, str]]) -> list[str]:
+    return [f"year={year}/{partition_folder('scene_id', scene)}" for year, scene in scenes]
+
+
+def read_scenes(spark: SparkSession, root: str, scenes: list[tuple[int, str]]) -> DataFrame:
+    """Probabilities of some scenes (year, scene_id) as ``write_probability`` with batches wrote them, missing as null."""
+    found = read_some(spark, f"{root}/probabilities", _scene_folders(scenes), PROBABILITY)
+    return found.withColumn("prob", F.nullif(F.col("prob"), F.lit(NODATA).cast("float")))
+
+
+def delete_scenes(spark: SparkSession, root: str, scenes: list[tuple[int, str]]) -> None:
+    """Take back the probabilities of some scenes (year, scene_id)."""
+    path = spark._jvm.org.apache.hadoop.fs.Path
+    for folder in _scene_folders(scenes):
+        at = path(f"{root}/probabilities/{folder}")
+        at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)
+
+
 def save_band_stats(stats: DataFrame, path: str, source: str = "computed") -> None:
     """Store band statistics with where they come from."""
     stats.select("band", "mean", "std", F.lit(source).alias("source")).coalesce(1).write.mode("overwrite").parquet(path)
@@ -279,10 +320,3 @@ def write_eval_artifacts(root: str, sweep: DataFrame, tiles: DataFrame, worst: D
     write_json(summary, f"{root}/summary")
     if projection is not None:
         write_json(projection, f"{root}/projection_report")
-
-
-def registry(spark: SparkSession, path: str) -> DataFrame:
-    """A JSON registry as rows (bundle, file): one per companion file of each bundle."""
-    text = spark.read.text(path, wholetext=True)
-    bundles = text.select(F.explode(F.from_json("value", "map<string, struct<status: string, checkpoint: string, required_companion_files: array<string>>>")).alias("bundle", "b"))
-    return bundles.select("bundle", "b.status", F.explode_outer("b.required_companion_files").alias("file"))

@@ -1,6 +1,7 @@
 """Golden cases and properties of the raster operators."""
 
 import math
+import resource
 
 import numpy as np
 import pytest
@@ -276,20 +277,69 @@ def test_grid_checks(spark):
 
 def test_blocks(spark):
     px = cube(spark, 10, 2).withColumn("scene_id", F.lit("s"))
-    blocks = G.to_blocks(G.assign_windows(px, 6, 2, 10, 10))
+    windows = G.assign_windows(px, 6, 2, 10, 10)
     fn = lambda x: np.stack([x[:, 0], x[:, 1]], 1)
-    out = G.stitch(score_blocks(blocks, fn, 6, 2, tta="logit_mean"))
-    assert {(r["row"], r["col"]): (r["logit0"], r["logit1"]) for r in out.collect()} == {(r["row"], r["col"]): tuple(r["bands"]) for r in px.collect()}
+    for each in (1, 3):
+        out = G.stitch(score_blocks(windows, fn, 6, 2, tta="logit_mean", overlap=2, batch=each))
+        assert {(r["row"], r["col"]): (r["logit0"], r["logit1"]) for r in out.collect()} == {(r["row"], r["col"]): tuple(r["bands"]) for r in px.collect()}
+        assert out.where("failed <> 0 OR error IS NOT NULL").isEmpty()
+    wide = score_blocks(G.assign_windows(px, 16, 4, 10, 10), fn, 16, 2)
+    assert wide.count() == 100
+
+
+def test_pixels_of_failed_blocks_stay(spark):
+    """10 x 10 pixels in four windows of 6, one of which fails: its own 16 pixels have no logits, the seam is marked."""
+    px = cube(spark, 10, 2).withColumn("scene_id", F.lit("s"))
 
     def fails(x):
-        if (x[:, 0] == 0).any() and x[0, 0, 0, 0] == 0:
+        if x[:, 0, 0, 0].min() == 0:
             raise RuntimeError("broken")
-        return fn(x)
-
-    rows = score_blocks(blocks, fails, 6, 2)
-    assert rows.where("error is not null").count() == 1 and rows.where("error is null").count() > 0
-    wide = score_blocks(G.to_blocks(G.assign_windows(px, 16, 4, 10, 10)), fn, 16, 2)
-    assert wide.count() == 100
+        return x[:, :2]
+
+    windows = G.assign_windows(px, 6, 2, 10, 10)
+    rows = score_blocks(windows, fails, 6, 2, overlap=2)
+    assert rows.where("error IS NOT NULL").count() == 36 and rows.where("row IS NULL").isEmpty() and rows.count() == windows.count()
+    out = G.stitch(rows)
+    assert out.count() == 100 and out.where("logit0 IS NULL").count() == 16 and out.where("failed = 1").count() == 36
+    assert {r[0] for r in out.where("failed = 1").select("error").distinct().collect()} == {"RuntimeError: broken"}
+    short = windows.withColumn("bands", F.when((F.col("row") == 9) & (F.col("col") == 9), F.array(F.lit(1.0))).otherwise(F.col("bands")))
+    odd = score_blocks(short, lambda x: x[:, :2], 6, 2, overlap=2)
+    assert odd.where("error = 'unexpected number of bands'").count() == 36
+
+
+def test_packed_blocks(spark):
+    px = cube(spark, 10, 2)
+    rows = G.to_blocks(G.assign_windows(px, 6, 2, 10, 10), 6, 2, ("tile",)).collect()
+    assert sorted((r["top"], r["left"]) for r in rows) == [(0, 0), (0, 4), (4, 0), (4, 4)]
+    for r in rows:
+        planes, there = G.unpack_block(r["block"], r["cells"], 6, 2)
+        assert there.all() and planes[0].tolist() == [[float(10 * (r["top"] + i) + r["left"] + j) for j in range(6)] for i in range(6)]
+    [one] = G.to_blocks(G.assign_windows(px.where("row < 4 AND col < 3"), 6, 2, 4, 3), 6, 2, ("tile",)).collect()
+    planes, there = G.unpack_block(one["block"], one["cells"], 6, 2)
+    assert there.sum() == 12 and there[:4, :3].all() and planes[:, ~there].sum() == 0
+
+
+def test_default_windows_fit_a_worker(spark):
+    """Four windows of 512 x 512 pixels with 67 bands at a time; the scorer tells the worker's peak in MB."""
+    n = 960
+    px = spark.range(n * n).select(F.lit("s").alias("scene_id"), (F.col("id") / n).cast("int").alias("row"), (F.col("id") % n).cast("int").alias("col"))
+    px = px.withColumn("bands", F.transform(F.sequence(F.lit(1), F.lit(67)), lambda k: (F.col("row") + k).cast("float")))
+
+    def peak(x):
+        assert x.shape[1:] == (67, 512, 512)
+        used = resource.getrusage(resource.RUSAGE_SELF).ru_maxrss / 1024
+        return np.full((len(x), 2, 512, 512), [[[used]], [[float(len(x))]]])
+
+    out = score_blocks(G.assign_windows(px, 512, 64, n, n), peak, 512, 67, overlap=64).groupBy("top").agg(F.max("logit0"), F.max("logit1"), F.count("*")).collect()
+    assert [r[2] for r in out] == [2.0, 2.0] and all(r[3] == 2 * 512 * 512 for r in out)
+    assert max(r[1] for r in out) < 1500
+
+
+def test_gathering_needs_one_shuffle_after_the_join(spark):
+    crop = G.random_crop(cube(spark, 40), 32, 1, 0, 40, 40)
+    wanted = crop.select("tile", "row", "col", (F.col("row") * 0.9).alias("y"), (F.col("col") * 0.9).alias("x"))
+    plan = G.gather(crop, wanted).select("tile", "bands")._jdf.queryExecution().executedPlan().toString()
+    assert "posexplode" not in plan and plan.count("Exchange hashpartitioning") <= 3  # two sides of the join, one grouping
 
 
 def test_classifier(spark):
@@ -367,9 +417,7 @@ def test_quantile_against_numpy(spark):
         assert abs(v - np.percentile([x for i, x in rows if i == k], 95)) < 1e-12
 
 
-def test_registry_and_artifacts(spark, tmp_path):
-    (tmp_path / "r.json").write_text('{"a": {"status": "x", "checkpoint": "c", "required_companion_files": ["p", "q"]}, "b": {"status": "y", "checkpoint": "d", "required_companion_files": []}}')
-    assert S.registry(spark, str(tmp_path / "r.json")).count() == 3
+def test_artifacts(spark, tmp_path):
     px = pixels(spark, SF)
     sweep, tiles = E.threshold_sweep(px), E.tile_metrics(px, 0.5)
     S.write_eval_artifacts(str(tmp_path / "art"), sweep, tiles, E.worst_tiles(tiles), E.best_threshold(sweep), E.projection_norms(view(spark, SF, "proj_w"))[0])
