@@ -126,26 +126,46 @@ def scene_summary(probs: DataFrame, keys: tuple[str, ...] = ("scene_id",), prob:
     return rows.select(*keys, "total_pixels", "valid_pixels", "nodata_fraction", "mean_probability", six(F.col("p95")).alias("p95_probability"), "max_probability")
 
 
-def quantile(df: DataFrame, q: float, keys: tuple[str, ...], value: str, buckets: int = 1024) -> DataFrame:
+#: Rows of a table that is sent to all tasks, at most.
+SENT_ROWS = 20_000
+
+
+def sent(df: DataFrame, rows: int = SENT_ROWS) -> DataFrame:
+    """A table of a row per group, broadcast if it is found to have ``rows`` at most; else it joins by a shuffle."""
+    found = df.limit(rows + 1).collect()
+    return df if len(found) > rows else F.broadcast(df.sparkSession.createDataFrame(found, df.schema))
+
+
+def bounds(df: DataFrame, q: float, keys: tuple[str, ...], value: str, accuracy: int = 10_000) -> DataFrame:
+    """Values of each group between which the quantile lies for sure: keys, total, low, high.
+
+    A sketch of each group gives the values 2 / ``accuracy`` below and above the wanted rank, whose own
+    ranks are off by 1 / ``accuracy`` at most. Groups of up to ten times ``accuracy`` values have none.
+    """
+    margin = 2 / accuracy
+    near = df.groupBy(*keys).agg(F.count(value).alias("total"), F.percentile_approx(value, [max(q - margin, 0.0), min(q + margin, 1.0)], accuracy).alias("_near"))
+    small = F.col("total") <= 10 * accuracy
+    low = F.when(small | F.lit(q <= margin), float("-inf")).otherwise(F.get("_near", F.lit(0)))
+    high = F.when(small | F.lit(q >= 1 - margin), float("inf")).otherwise(F.get("_near", F.lit(1)))
+    return near.where("total > 0").select(*keys, "total", low.alias("low"), high.alias("high"))
+
+
+def quantile(df: DataFrame, q: float, keys: tuple[str, ...], value: str, accuracy: int = 10_000) -> DataFrame:
     """The exact quantile of each group, between its two neighbours: keys, value.
 
-    Values are counted once each, and the counts summed over ``buckets`` ranges of 0 to 1 (others
-    join the first or last). The bucket that holds the rank is known from these sums, and only
-    its values are put in order, so no task holds or sorts a group.
+    ``bounds`` tells between which values it lies, however narrow they are. Values below are counted in
+    the tasks, those above dropped, and only the few between are exchanged, counted once each and put in
+    order, so no task holds or sorts a large group. Keys aren't null.
     """
-    at = F.least(F.greatest(F.floor(F.col("v") * buckets), F.lit(0)), F.lit(buckets - 1)).cast("int")
-    counts = df.where(F.col(value).isNotNull()).groupBy(*keys, F.col(value).cast("double").alias("v")).agg(F.count("*").alias("n")).withColumn("_b", at)
-    group = Window.partitionBy(*keys)
-    before = lambda w: F.coalesce(F.sum("n").over(w.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    sums = counts.groupBy(*keys, "_b").agg(F.sum("n").alias("n"))
-    sums = sums.select(*keys, "_b", "n", before(group.orderBy("_b")).alias("_start"), (q * (F.sum("n").over(group) - 1)).alias("_rank"))
+    rows = df.where(F.col(value).isNotNull()).select(*keys, F.col(value).cast("double").alias("v"))
+    marked = rows.join(sent(bounds(rows, q, keys, "v", accuracy)), list(keys)).where("v <= high")
+    counts = marked.groupBy(*keys, "total", F.when(F.col("v") >= F.col("low"), F.col("v")).alias("v")).agg(F.count("*").alias("n"))
+    order = Window.partitionBy(*keys).orderBy(F.asc_nulls_first("v"))
+    first = F.coalesce(F.sum("n").over(order.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    ranked = counts.select(*keys, "v", "n", first.alias("_first"), (q * (F.col("total") - 1)).alias("_rank"))
     lo, hi = F.floor("_rank"), F.ceil("_rank")
-    holding = sums.where((F.col("_start") <= hi) & (F.col("_start") + F.col("n") > lo)).drop("n")
-    rows = counts.join(holding, [*keys, "_b"])
-    first = F.col("_start") + before(Window.partitionBy(*keys, "_b").orderBy("v"))
-    rows = rows.select(*keys, "v", "n", "_rank", first.alias("_first"))
     holds = lambda k: F.max(F.when((F.col("_first") <= k) & (F.col("_first") + F.col("n") > k), F.col("v")))
-    ends = rows.groupBy(*keys, "_rank").agg(holds(lo).alias("a"), holds(hi).alias("b"))
+    ends = ranked.groupBy(*keys, "_rank").agg(holds(lo).alias("a"), holds(hi).alias("b"))
     return ends.select(*keys, (F.col("a") + (F.col("b") - F.col("a")) * (F.col("_rank") - lo)).alias("value"))
 
 
@@ -198,9 +218,23 @@ def worst_tiles(metrics: DataFrame, n: int = 25) -> DataFrame:
     return metrics.orderBy("water_iou", "precision", "recall", "tile_name").limit(n)
 
 
+#: Ranges of drawn order in which records are ranked apart.
+RANGES = 4096
+
+
 def _ranked(records: DataFrame, seed: int) -> DataFrame:
-    """Records in an order drawn from seed and name. Records are tiles, few enough to rank at once."""
-    return records.withColumn("_rank", F.row_number().over(Window.orderBy(F.md5(F.concat(F.lit(f"{seed}:"), "name")), "name")))
+    """Records with their place in an order drawn from seed and name.
+
+    The drawn hash falls into ``RANGES`` ranges; a range's records are ranked by themselves and start
+    behind those of the ranges before it, whose counts are all that comes together.
+    """
+    drawn = F.md5(F.concat(F.lit(f"{seed}:"), "name"))
+    rows = records.withColumn("_draw", drawn).withColumn("_range", (F.conv(F.substring("_draw", 1, 7), 16, 10).cast("bigint") * RANGES / (1 << 28)).cast("int"))
+    counts = rows.groupBy("_range").agg(F.count("*").alias("n"))
+    before = Window.orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)  # a row per range
+    starts = counts.select("_range", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("_start"))
+    own = F.row_number().over(Window.partitionBy("_range").orderBy("_draw", "name"))
+    return rows.join(F.broadcast(starts), "_range").withColumn("_rank", own + F.col("_start")).drop("_draw", "_range", "_start")
 
 
 def split_train_valid(records: DataFrame, valid_pct: float, seed: int) -> tuple[DataFrame, DataFrame]:
@@ -250,29 +284,43 @@ def threshold_list(ranges: list[tuple[float, float, float]]) -> tuple[float, ...
     return tuple(sorted(out))
 
 
-def lovasz_softmax(df: DataFrame, by: list[str] | None = None, prob: str = "prob", truth: str = "label", order: str = "px_id", buckets: int = 1024) -> DataFrame:
+def lovasz_softmax(df: DataFrame, by: list[str] | None = None, prob: str = "prob", truth: str = "label", buckets: int | None = None) -> DataFrame:
     """Lovasz-Softmax loss of two classes: mean over the classes present, 0 if none is (Berman et al., 2018).
 
-    Errors are sorted falling; an error weighs as much as it moves the Jaccard loss. With ``by``
-    each group (a tile, say) is one window. Without, see ``_lovasz_whole``. The order among equal errors
-    doesn't matter to the loss.
+    Errors are sorted falling; an error weighs as much as it moves the Jaccard loss. With ``by`` the loss
+    of each group (a tile, say), else that of all rows. Pixels without probability or label don't count.
+
+    Equal errors become one row, which changes nothing, and the rows of a group and class are dealt into
+    ``buckets`` ranges (a power of 2; 64 by group, else 1024) of about equal size, cut at approximate
+    quantiles of their own. Sums over the ranges above carry into a range, so no task sorts a whole group,
+    and a model that is sure of most pixels fills no range more than others.
     """
-    by = by or []
-    classes = F.explode(F.array(F.lit(0), F.lit(1)))
+    by, group = by or [], [*(by or []), "class"]
+    buckets = buckets or (64 if by else 1024)
+    if buckets & (buckets - 1):
+        raise ValueError("the number of ranges is a power of 2")
     p = F.when(F.col("class") == 1, F.col(prob)).otherwise(1 - F.col(prob))
-    rows = df.select(*by, F.col(prob), F.col(truth), *([F.col(order).alias("_px")] if by else []), classes.alias("class"))
+    rows = df.select(*by, F.col(prob), F.col(truth), F.explode(F.array(F.lit(0), F.lit(1))).alias("class"))
     fg = (F.col(truth) == F.col("class")).cast("int")
-    rows = rows.select(*by, "class", *(["_px"] if by else []), fg.alias("fg"), F.abs(fg - p).alias("err"))
+    rows = rows.select(*group, fg.alias("fg"), F.abs(fg - p).alias("err"))
+    equal = rows.where("err IS NOT NULL").groupBy(*group, "err").agg(F.sum("fg").alias("f"), F.count("*").alias("n"))
+    shares = [k / buckets for k in range(1, buckets)]
+    cuts = sent(equal.groupBy(*group).agg(F.percentile_approx("err", shares, 10 * buckets).alias("cuts"))) if buckets > 1 else None
+    steps = F.array(*(F.lit(buckets >> k) for k in range(1, buckets.bit_length())))  # halving from half of them to 1
+    place = F.aggregate(steps, F.lit(0), lambda i, step: F.when(F.get("cuts", i + step - 1) <= F.col("err"), i + step).otherwise(i))
+    equal = equal.join(cuts, group).withColumn("_b", place).drop("cuts") if cuts is not None else equal.withColumn("_b", F.lit(0))
+    sums = equal.groupBy(*group, "_b").agg(F.sum("f").alias("f"), F.sum("n").alias("n"))
+    above = Window.partitionBy(*group).orderBy(F.desc("_b")).rowsBetween(Window.unboundedPreceding, -1)
+    carry = sums.select(*group, "_b", *(F.coalesce(F.sum(c).over(above), F.lit(0)).alias(f"{c}0") for c in "fn"), F.sum("f").over(Window.partitionBy(*group)).alias("gts"))
+    equal = equal.join(carry, [*group, "_b"])
+    w = Window.partitionBy(*group, "_b").orderBy(F.desc("err")).rowsBetween(Window.unboundedPreceding, 0)
+    equal = equal.withColumn("_f", F.sum("f").over(w) + F.col("f0")).withColumn("_n", F.sum("n").over(w) + F.col("n0"))
+    grad = _jaccard_loss(F.col("_f"), F.col("_n")) - _jaccard_loss(F.col("_f") - F.col("f"), F.col("_n") - F.col("n"))
+    losses = equal.where("gts > 0").groupBy(*group).agg(F.sum(F.col("err") * grad).alias("loss"))
     if not by:
-        return _lovasz_whole(rows, buckets)
-    totals = rows.groupBy(*by, "class").agg(F.sum("fg").alias("gts"))
-    rows = rows.join(totals, [*by, "class"])
-    w = Window.partitionBy(*by, "class").orderBy(F.desc("err"), "_px").rowsBetween(Window.unboundedPreceding, 0)
-    rows = rows.withColumn("_f", F.sum("fg").over(w)).withColumn("_n", F.count("*").over(w))
-    grad = _jaccard_loss(F.col("_f"), F.col("_n")) - _jaccard_loss(F.col("_f") - F.col("fg"), F.col("_n") - 1)
-    losses = rows.where("gts > 0").groupBy(*by, "class").agg(F.sum(F.col("err") * grad).alias("loss"))
-    groups = df.select(*by).distinct()
-    return groups.join(losses.groupBy(*by).agg(F.avg("loss").alias("loss")), by, "left").withColumn("loss", F.coalesce("loss", F.lit(0.0)))
+        return losses.agg(F.coalesce(F.avg("loss"), F.lit(0.0)).alias("loss"))
+    mean = losses.groupBy(*by).agg(F.avg("loss").alias("loss"))
+    return df.select(*by).distinct().join(mean, by, "left").withColumn("loss", F.coalesce("loss", F.lit(0.0)))
 
 
 def _jaccard_loss(f: Column, n: Column) -> Column:
@@ -280,30 +328,6 @@ def _jaccard_loss(f: Column, n: Column) -> Column:
     return F.when(n > 0, 1 - (F.col("gts") - f) / (F.col("gts") + n - f)).otherwise(0.0)
 
 
-def _lovasz_whole(rows: DataFrame, buckets: int) -> DataFrame:
-    """The loss over all rows (class, fg, err).
-
-    Equal errors become one row, and these are dealt into ranges of about equal size, cut at
-    approximate quantiles: sums over the ranges above carry into a range, so no task sorts all
-    pixels, and a model that is sure of most pixels fills no range more than others.
-    """
-    from pyspark.ml.feature import Bucketizer
-
-    equal = rows.where("err IS NOT NULL").groupBy("class", "err").agg(F.sum("fg").alias("f"), F.count("*").alias("n"))
-    cuts = equal.agg(F.percentile_approx("err", [k / buckets for k in range(1, buckets)], 10 * buckets).alias("cuts")).first()["cuts"]
-    splits = [-float("inf"), *(sorted(set(cuts or [])) or [0.5]), float("inf")]
-    equal = Bucketizer(splits=splits, inputCol="err", outputCol="_b").transform(equal)
-    sums = equal.groupBy("class", "_b").agg(F.sum("f").alias("f"), F.sum("n").alias("n"))
-    above = Window.partitionBy("class").orderBy(F.desc("_b")).rowsBetween(Window.unboundedPreceding, -1)
-    carry = sums.select("class", "_b", F.coalesce(F.sum("f").over(above), F.lit(0)).alias("f0"), F.coalesce(F.sum("n").over(above), F.lit(0)).alias("n0"), F.sum("f").over(Window.partitionBy("class")).alias("gts"))
-    equal = equal.join(F.broadcast(carry), ["class", "_b"])  # two rows a range at most
-    w = Window.partitionBy("class", "_b").orderBy(F.desc("err")).rowsBetween(Window.unboundedPreceding, 0)
-    equal = equal.withColumn("_f", F.sum("f").over(w) + F.col("f0")).withColumn("_n", F.sum("n").over(w) + F.col("n0"))
-    grad = _jaccard_loss(F.col("_f"), F.col("_n")) - _jaccard_loss(F.col("_f") - F.col("f"), F.col("_n") - F.col("n"))
-    losses = equal.where("gts > 0").groupBy("class").agg(F.sum(F.col("err") * grad).alias("loss"))
-    return losses.agg(F.coalesce(F.avg("loss"), F.lit(0.0)).alias("loss"))
-
-
 def _soft_dice(p: Column, y: Column, smooth: float) -> Column:
     return 1 - (2 * F.sum(p * y) + smooth) / (F.sum(p) + F.sum(y) + smooth)
 

@@ -1,5 +1,6 @@
 """Golden cases and properties of the raster operators."""
 
+import hashlib
 import math
 import resource
 
@@ -422,3 +423,42 @@ def test_artifacts(spark, tmp_path):
     sweep, tiles = E.threshold_sweep(px), E.tile_metrics(px, 0.5)
     S.write_eval_artifacts(str(tmp_path / "art"), sweep, tiles, E.worst_tiles(tiles), E.best_threshold(sweep), E.projection_norms(view(spark, SF, "proj_w"))[0])
     assert {p.name for p in (tmp_path / "art").iterdir()} == {"threshold_sweep", "tile_metrics", "worst_tiles", "summary", "projection_report"}
+
+
+def test_percentile_of_a_sure_scene(spark):
+    """300,000 values below 0.0009 and a small scene: exact, and next to nothing is put in order."""
+    n = 300_000
+    rows = spark.range(n).select(F.lit("sure").alias("k"), (F.pmod(F.xxhash64("id"), F.lit(1 << 40)) / (1 << 40) * 9e-4).alias("v"))
+    few = spark.createDataFrame([("few", 0.1), ("few", 0.2), ("few", None), ("one", 0.7)], "k string, v double")
+    rows = rows.unionByName(few).unionByName(rows.where("v < 8.9e-4").limit(1000).select(F.lit("equal").alias("k"), F.lit(0.25).alias("v")))
+    got = {r["k"]: r["value"] for r in E.quantile(rows, 0.95, ("k",), "v").collect()}
+    assert set(got) == {"sure", "few", "one", "equal"}
+    assert got["few"] == pytest.approx(0.195) and got["one"] == 0.7 and got["equal"] == 0.25
+    values = np.array([r[0] for r in rows.where("k = 'sure'").select("v").collect()])
+    assert got["sure"] == np.percentile(values, 95)
+    near = {r["k"]: r for r in E.bounds(rows, 0.95, ("k",), "v").collect()}["sure"]
+    assert 0 < ((values >= near["low"]) & (values <= near["high"])).sum() < n / 100
+    for q in (0.0, 0.5, 1.0):
+        assert {r["k"]: r["value"] for r in E.quantile(rows, q, ("k",), "v").collect()}["sure"] == np.percentile(values, q * 100)
+
+
+def test_lovasz_ranges_of_a_large_tile_are_even(spark):
+    """A model that is sure of 200,000 pixels: the ranges that tasks sort hold 2 percent each at most."""
+    n = 200_000
+    px = spark.range(n).select(F.lit(1).alias("tile"), (F.pow(F.pmod(F.xxhash64("id"), F.lit(1 << 30)) / (1 << 30), 9.0)).alias("prob"), (F.col("id") % 3 == 0).cast("int").alias("label"))
+    loss = E.lovasz_softmax(px, ["tile"])
+    assert loss.first()["loss"] == pytest.approx(E.lovasz_softmax(px).first()["loss"]) == pytest.approx(E.lovasz_softmax(px, ["tile"], buckets=1).first()["loss"])
+    assert "_b" in loss._jdf.queryExecution().executedPlan().toString()
+    rows = px.select(F.explode(F.array(F.lit(0), F.lit(1))).alias("class"), "prob", "label").select("class", F.abs((F.col("label") == F.col("class")).cast("int") - F.when(F.col("class") == 1, F.col("prob")).otherwise(1 - F.col("prob"))).alias("err"))
+    cuts = rows.groupBy("class").agg(F.percentile_approx("err", [k / 64 for k in range(1, 64)], 640).alias("cuts"))
+    shares = rows.join(cuts, "class").groupBy("class", F.size(F.filter("cuts", lambda c: c <= F.col("err"))).alias("b")).count()
+    assert shares.agg(F.max("count")).first()[0] <= 0.02 * n
+
+
+def test_records_are_ranked_in_ranges(spark):
+    records = spark.range(3000).select(F.concat(F.lit("t"), "id").alias("name"))
+    got = {r["name"]: r["_rank"] for r in E._ranked(records, 7).collect()}
+    want = sorted(got, key=lambda x: (hashlib.md5(f"7:{x}".encode()).hexdigest(), x))
+    assert [got[x] for x in want] == list(range(1, 3001))
+    plan = E._ranked(records, 7)._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("Window [row_number") == 1 and "_range" in plan.split("Window [row_number")[1].split("]")[1]
