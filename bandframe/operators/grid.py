@@ -6,6 +6,7 @@ followed by equi-joins and grouped sums; no range join, no task that holds a who
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 from functools import reduce
 
@@ -223,15 +224,27 @@ def radar_jitter(crops: DataFrame, gain: float, bias: float, seed: int, n_s1: in
     return crops.withColumn("_g", g).withColumn("_b", b).withColumn(bands, out).drop("_g", "_b")
 
 
-def add_noise(crops: DataFrame, std: float, p: float, seed: int, key: str = "tile", bands: str = "bands") -> DataFrame:
+def normals(n: Column, *parts: Column | str) -> Column:
+    """``n`` draws from the normal distribution, the same on every run and engine.
+
+    An md5 of the parts and a number gives four uniform draws of 28 bits, and these four normal ones
+    (Box and Muller, 1958).
+    """
+    hashes = F.transform(F.sequence(F.lit(0), F.floor((n - 1) / 4).cast("int")), lambda g: F.md5(F.concat_ws(":", *(p if isinstance(p, Column) else F.lit(p) for p in parts), g.cast("string"))))
+    unit = lambda h, k: (F.conv(F.substring(h, 1 + 7 * k, 7), 16, 10).cast("double") + 0.5) / float(1 << 28)
+    pair = lambda h, k: F.struct(F.sqrt(-2 * F.log(unit(h, k))).alias("r"), (2 * math.pi * unit(h, k + 1)).alias("a"))
+    pairs = F.flatten(F.transform(hashes, lambda h: F.array(pair(h, 0), pair(h, 2))))
+    return F.slice(F.flatten(F.transform(pairs, lambda p: F.array(p["r"] * F.cos(p["a"]), p["r"] * F.sin(p["a"])))), F.lit(1), n)
+
+
+def add_noise(crops: DataFrame, std: float, p: float, seed: int | str, key: str = "tile", bands: str = "bands") -> DataFrame:
     """Gaussian noise on every band of the crops chosen with probability ``p``.
 
     The noise comes from a hash of key, place and band, so a replay on other partitions is the same.
     """
     on = uniform(seed, F.col(key), lot="noise_p") < p
-    lot = lambda name, i: (F.pmod(F.xxhash64(F.lit(f"{seed}:{name}"), F.col(key), F.col("row"), F.col("col"), i), F.lit(1 << 40)) + 0.5) / float(1 << 40)
-    normal = lambda i: F.sqrt(-2 * F.log(lot("a", i))) * F.cos(2 * F.pi() * lot("b", i))
-    return crops.withColumn(bands, F.when(on, F.transform(bands, lambda x, i: x + std * normal(i))).otherwise(F.col(bands)))
+    drawn = normals(F.size(bands), f"{seed}:noise", *(F.col(c).cast("string") for c in (key, "row", "col")))
+    return crops.withColumn(bands, F.when(on, F.zip_with(bands, drawn, lambda x, z: x + std * z)).otherwise(F.col(bands)))
 
 
 def training_table(pixels: DataFrame, stats: tuple[list[float], list[float]], *, size: int, h: int, w: int, seed: int, epoch: int, scale: tuple[float, float] = (1.0, 1.0), rotate: tuple[float, float] = (0.0, 0.0), radar: tuple[float, float] = (0.0, 0.0), noise: tuple[float, float] = (0.0, 0.0), key: str = "tile") -> DataFrame:

@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterator
+import math
+from collections.abc import Callable, Iterable, Iterator
+from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
@@ -10,6 +12,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from bandframe.functions.columns import dot, softmax_water
+from bandframe.operators.evaluate import best_threshold, threshold_sweep, union_sweeps
 from bandframe.operators.grid import FLIPS
 
 
@@ -169,27 +172,106 @@ def tta_average(pixels: DataFrame, scorer: Callable[[DataFrame], DataFrame], mod
     return out.agg(*(means[m].alias("prob" if isinstance(mode, str) else m) for m in modes))
 
 
-def features(kind: str, bands: str = "bands", n_s1: int = 3) -> Column:
+def features(kind: str, bands: Column | str = "bands", n_s1: int = 3) -> Column:
     """The bands that a model looks at: ``s1`` or ``s1aef``."""
     if kind not in ("s1", "s1aef"):
         raise ValueError(f"unknown features: {kind}")
-    return F.slice(bands, 1, n_s1) if kind == "s1" else F.col(bands)
+    bands = F.col(bands) if isinstance(bands, str) else bands
+    return F.slice(bands, 1, n_s1) if kind == "s1" else bands
 
 
-def fit_pixel_classifier(pixels: DataFrame, kind: str = "s1aef", label: str = "label", seed: int = 0, model: str = "logistic"):  # noqa: ANN201
-    """An MLlib classifier of single pixels, trained on ``pixels`` (bands, label)."""
+@dataclass(frozen=True)
+class PixelModel:
+    """A fitted classifier of single pixels as a function from its bands to the log odds of water.
+
+    Scoring is a Column expression: no model object goes to the tasks, and Catalyst prunes and pushes
+    filters as for any other.
+    """
+
+    kind: str
+    log_odds: Callable[[Column], Column]
+
+    def probability(self, bands: Column) -> Column:
+        """The probability of water; ``bands`` are all bands of a pixel."""
+        score = self.log_odds(bands)
+        return F.when(score >= 0, 1 / (1 + F.exp(-score))).otherwise(F.exp(score) / (1 + F.exp(score)))
+
+
+def _sum_of(values: Column) -> Column:
+    return F.aggregate(values, F.lit(0.0), lambda a, x: a + x)
+
+
+def _literals(values: Iterable[float]) -> Column:
+    return F.array(*(F.lit(float(v)) for v in values))
+
+
+def _gaussian(rows: DataFrame) -> Callable[[Column], Column]:
+    """Log odds of a Gaussian naive Bayes model: moments of each band by class, in one pass."""
+    from pyspark.ml.stat import Summarizer
+
+    stats = rows.groupBy("label").agg(Summarizer.metrics("mean", "variance", "count").summary(F.col("features")).alias("s"))
+    found = {int(r["label"]): r["s"] for r in stats.collect()}  # a row per class
+    if set(found) != {0, 1}:
+        raise ValueError("both classes are needed")
+    total, parts = sum(s["count"] for s in found.values()), {}
+    for c, s in found.items():
+        variance = np.maximum(s["variance"].toArray() * (s["count"] - 1) / s["count"], 1e-6)
+        parts[c] = (s["mean"].toArray(), 1 / (2 * variance), math.log(s["count"] / total) - 0.5 * float(np.log(variance).sum()))
+
+    def log_odds(bands: Column) -> Column:
+        def likelihood(c: int) -> Column:
+            mean, weight, start = parts[c]
+            apart = F.zip_with(bands, _literals(mean), lambda x, m: (x - m) * (x - m))
+            return F.lit(start) - _sum_of(F.zip_with(apart, _literals(weight), lambda d, w: d * w))
+
+        return likelihood(1) - likelihood(0)
+
+    return log_odds
+
+
+def _tree(node, bands: Column) -> Column:  # noqa: ANN001
+    """A node of a fitted tree as nested conditions."""
+    if not node.getClass().getSimpleName().startswith("Internal"):
+        return F.lit(float(node.prediction()))
+    split = node.split()
+    return F.when(F.get(bands, F.lit(split.featureIndex())) <= split.threshold(), _tree(node.leftChild(), bands)).otherwise(_tree(node.rightChild(), bands))
+
+
+def fit_pixel_classifier(pixels: DataFrame, kind: str = "s1aef", label: str = "label", seed: int = 0, model: str = "logistic") -> PixelModel:
+    """A classifier of single pixels, trained on ``pixels`` (bands, label 0 or 1) over all of them.
+
+    ``model`` is ``logistic`` (MLlib), ``trees`` (MLlib's boosted trees) or ``gaussian`` (naive Bayes, whose
+    variances are at least 1e-6); what was fitted becomes a Column expression. Pixels without label don't count.
+    """
     from pyspark.ml.classification import GBTClassifier, LogisticRegression
     from pyspark.ml.functions import array_to_vector
 
-    rows = pixels.select(array_to_vector(features(kind).cast("array<double>")).alias("features"), F.col(label).cast("double").alias("label"))
-    learner = LogisticRegression(maxIter=30, regParam=1e-3) if model == "logistic" else GBTClassifier(seed=seed, maxIter=10)
-    return learner.fit(rows)
+    rows = pixels.where(F.col(label).isNotNull()).select(array_to_vector(features(kind).cast("array<double>")).alias("features"), F.col(label).cast("double").alias("label"))
+    own = lambda bands: features(kind, bands)
+    if model == "gaussian":
+        log_odds = _gaussian(rows)
+        return PixelModel(kind, lambda bands: log_odds(own(bands)))
+    if model == "logistic":
+        fitted = LogisticRegression(maxIter=30, regParam=1e-3).fit(rows)
+        weights, start = fitted.coefficients.toArray(), float(fitted.intercept)
+        return PixelModel(kind, lambda bands: _sum_of(F.zip_with(own(bands), _literals(weights), lambda x, w: x * w)) + start)
+    if model == "trees":
+        fitted = GBTClassifier(seed=seed, maxIter=10).fit(rows)
+        trees = list(zip(fitted.treeWeights, fitted.trees))
+        return PixelModel(kind, lambda bands: 2 * sum((_tree(t._java_obj.rootNode(), own(bands)) * float(w) for w, t in trees), F.lit(0.0)))
+    raise ValueError(f"unknown model: {model}")
+
+
+def predict_pixels(fitted: PixelModel, pixels: DataFrame, bands: str = "bands") -> DataFrame:
+    """``pixels`` with ``prob``, the classifier's probability of water."""
+    return pixels.withColumn("prob", fitted.probability(F.col(bands)))
 
 
-def predict_pixels(fitted, pixels: DataFrame, kind: str = "s1aef") -> DataFrame:  # noqa: ANN001
-    """``pixels`` with ``prob``, the classifier's probability of water."""
-    from pyspark.ml.functions import array_to_vector, vector_to_array
+def compare_features(train: DataFrame, held: DataFrame, kinds: tuple[str, ...] = ("s1", "s1aef"), label: str = "label", model: str = "logistic", seed: int = 0) -> tuple[DataFrame, DataFrame]:
+    """The same classifier with radar alone and with the embedding, measured on held-out pixels.
 
-    rows = pixels.withColumn("features", array_to_vector(features(kind).cast("array<double>")))
-    out = fitted.transform(rows).withColumn("prob", F.get(vector_to_array("probability"), F.lit(1)))
-    return out.drop("features", "rawPrediction", "probability", "prediction")
+    Returns the sweeps of thresholds, ``eval_mode`` being the features, and the best threshold of each.
+    """
+    sweeps = [threshold_sweep(predict_pixels(fit_pixel_classifier(train, k, label, seed, model), held), mode=k, truth=label) for k in kinds]
+    both = union_sweeps(*sweeps)
+    return both, best_threshold(both)

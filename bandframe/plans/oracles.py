@@ -5,7 +5,7 @@ from __future__ import annotations
 
 from bandframe.operators.evaluate import THRESHOLDS
 from bandframe.plans.fixtures import duckdb_with
-from bandframe.plans.queries import HEAD, N_BANDS, SEEN, SHOWN
+from bandframe.plans.queries import HEAD, N_BANDS, SEEN, SHOWN, THREE
 
 PX = duckdb_with("px")
 P = "(p_milli / CAST(1000 AS DOUBLE))"
@@ -225,8 +225,48 @@ ORACLES |= {
         CASE WHEN error IS NULL THEN n ELSE 0 END AS total_pixels, CASE WHEN error IS NULL THEN valid ELSE 0 END AS valid_pixels,
         CASE WHEN error IS NULL THEN mean END AS mean_probability, CASE WHEN error IS NULL THEN top END AS max_probability FROM s""",
 }
-ORACLES["q43_training_table"] = (
-    ORACLES["q30_crop_augment"].replace("md5('7:flip", "md5('7:1:flip").replace("md5('7:turns", "md5('7:1:turns").replace("md5('7:gain", "md5('7:1:gain").replace("md5('7:bias", "md5('7:1:bias")
-    .replace("round(vh * g + b, 5)", "round((vh * g + b + 15) / 8, 5) + 0.0").replace("round(angle * g + b, 5)", "round((angle * g + b - 37) / 4, 5) + 0.0")
-    .replace(f"round({P}, 5)", f"round(({P} * g + b - 0.5) / CAST(0.3 AS DOUBLE), 5) + 0.0")
-)
+
+
+def _gathered(name: str, places: str, source: str) -> str:
+    """Tables ``name``: three bands between four neighbours of ``source`` at ``places``, and its nearest labels."""
+    return f"""{name}_ask AS (SELECT tile_no, row, col, floor(y) + i AS r, floor(x) + j AS c, (CASE i WHEN 1 THEN y - floor(y) ELSE 1 - (y - floor(y)) END) * (CASE j WHEN 1 THEN x - floor(x) ELSE 1 - (x - floor(x)) END) AS wt FROM {places} CROSS JOIN corners),
+      {name}_image AS (SELECT a.tile_no, a.row, a.col, sum(s.b0 * wt) AS b0, sum(s.b1 * wt) AS b1, sum(s.b2 * wt) AS b2 FROM {name}_ask a JOIN {source} s ON s.tile_no = a.tile_no AND s.row = a.r AND s.col = a.c WHERE wt > 0 GROUP BY ALL),
+      {name} AS (SELECT p.tile_no, p.row, p.col, coalesce(l.label, 0) AS label, coalesce(i.b0, 0) AS b0, coalesce(i.b1, 0) AS b1, coalesce(i.b2, 0) AS b2
+        FROM {places} p LEFT JOIN {name}_image i USING (tile_no, row, col) LEFT JOIN {source} l ON l.tile_no = p.tile_no AND l.row = p.ly AND l.col = p.lx)"""
+
+
+def _normal(i: int) -> str:
+    """The noise of band ``i`` of three: one md5 a pixel, its first two draws a pair."""
+    unit = lambda k: f"((CAST(concat('0x', substr(h, {1 + 7 * k}, 7)) AS BIGINT) + 0.5::DOUBLE) / 268435456)"
+    return f"sqrt(-2 * ln({unit(i // 2 * 2)})) * {('cos', 'sin')[i % 2]}(2 * pi() * {unit(i // 2 * 2 + 1)})"
+
+
+_SIDE = "greatest(32, round_even((CAST(0.8 AS DOUBLE) + {unit} * CAST({span!r} AS DOUBLE)) * 30, 0))".format(unit=_unit("7:1", "scale"), span=1.25 - 0.8)
+ORACLES |= {
+    "q43_training_table": f"""{PX}, d AS (SELECT *, 0 AS t, {drawn("7:1", "left")} % 21 AS l, {drawn("7:1", "flip")} % 2 AS m, {drawn("7:1", "turns")} % 4 AS k FROM px),
+      c AS (SELECT tile_no, row_i - t AS r, CASE m WHEN 1 THEN 29 - (col_i - l) ELSE col_i - l END AS c, k, vh AS b0, angle AS b1, {P} AS b2, {LABEL} AS label FROM d WHERE col_i BETWEEN l AND l + 29),
+      turned AS (SELECT tile_no, CASE k WHEN 1 THEN 29 - c WHEN 2 THEN 29 - r WHEN 3 THEN c ELSE r END AS row, CASE k WHEN 1 THEN r WHEN 2 THEN 29 - c WHEN 3 THEN 29 - r ELSE c END AS col, b0, b1, b2, label FROM c),
+      corners AS (SELECT * FROM (VALUES (0, 0), (0, 1), (1, 0), (1, 1)) AS k(i, j)), {CELLS.format(n=30)},
+      f AS (SELECT *, {_SIDE} AS side FROM cells),
+      o AS (SELECT *, row + {drawn("7:1", "jitter_top")} % CAST(side - 29 AS BIGINT) AS iy, col + {drawn("7:1", "jitter_left")} % CAST(side - 29 AS BIGINT) AS ix, CAST(30 AS DOUBLE) / side AS ratio FROM f),
+      zoom AS (SELECT *, least(greatest((iy + CAST(0.5 AS DOUBLE)) * ratio - 0.5, 0), 29) AS y, least(greatest((ix + CAST(0.5 AS DOUBLE)) * ratio - 0.5, 0), 29) AS x,
+        least(floor(iy * ratio), 29) AS ly, least(floor(ix * ratio), 29) AS lx FROM o), {_gathered("scaled", "zoom", "turned")},
+      a AS (SELECT *, radians(CASE WHEN {_unit("7:1", "turn_p")} < CAST(0.7 AS DOUBLE) THEN ({_unit("7:1", "angle")} * 2 - 1) * CAST(5 AS DOUBLE) ELSE 0 END) AS a, row - CAST(14.5 AS DOUBLE) AS dy, col - CAST(14.5 AS DOUBLE) AS dx FROM cells),
+      g AS (SELECT tile_no, row, col, round(sin(a) * dx + cos(a) * dy + 14.5, 9) AS y, round(cos(a) * dx - sin(a) * dy + 14.5, 9) AS x FROM a),
+      spin AS (SELECT *, round_even(y, 0) AS ly, round_even(x, 0) AS lx FROM g), {_gathered("rotated", "spin", "scaled")},
+      n AS (SELECT *, 1 + ({_unit("7:1", "gain")} * 2 - 1) * CAST(0.1 AS DOUBLE) AS gain, ({_unit("7:1", "bias")} * 2 - 1) * CAST(0.5 AS DOUBLE) AS bias,
+        CASE WHEN {_unit("7:1", "noise_p")} < CAST(0.5 AS DOUBLE) THEN CAST(0.05 AS DOUBLE) ELSE 0 END AS std, md5('7:1:noise:' || tile_no || ':' || row || ':' || col || ':0') AS h FROM rotated)
+      SELECT tile_no AS tile, row, col, CAST(label AS INT) AS label, {", ".join(f"round((b{i} * gain + bias + std * {_normal(i)} - CAST({m} AS DOUBLE)) / CAST({s} AS DOUBLE), 4) + 0.0 AS b{i}" for i, (m, s) in enumerate(zip(*THREE)))} FROM n""",
+    "q46_validation_table": f"""{PX} SELECT tile_no AS tile, row_i AS row, col_i AS col, CAST({LABEL} AS INT) AS label, {", ".join(f"round(({x} - CAST({m} AS DOUBLE)) / CAST({s} AS DOUBLE), 5) + 0.0 AS b{i}" for i, (x, m, s) in enumerate(zip(("vh", "angle", P), *THREE)))}
+      FROM px WHERE tile_no % 5 = 0""",
+    "q44_pixel_classifier": f"""{PX}, b AS (SELECT px_id, tile_no, {LABEL} AS y, {BANDS} AS bands FROM px WHERE dw_class IS NOT NULL),
+      long AS (SELECT px_id, tile_no % 5 = 0 AS held, y, unnest(bands) AS x, unnest(range({N_BANDS})) AS band FROM b),
+      fit AS (SELECT y, band, avg(x) AS mean, greatest(var_pop(x), 1e-6) AS var, count(*) AS n FROM long WHERE NOT held GROUP BY ALL),
+      prior AS (SELECT y, ln(n / CAST(sum(n) OVER () AS DOUBLE)) AS prior FROM (SELECT y, any_value(n) AS n FROM fit GROUP BY y)),
+      part AS (SELECT px_id, long.y, fit.y AS c, band, -0.5 * ln(var) - (x - mean) * (x - mean) / (2 * var) AS part FROM long JOIN fit USING (band) WHERE held),
+      side AS (SELECT px_id, part.y, c, mode AS eval_mode, sum(part) + any_value(prior) AS side FROM part JOIN prior ON prior.y = c JOIN (VALUES ('s1', 3), ('s1aef', {N_BANDS})) AS m(mode, most) ON band < most GROUP BY ALL),
+      probs AS (SELECT px_id, y, eval_mode, 1 / (1 + exp(sum(CASE c WHEN 0 THEN side ELSE -side END))) AS p FROM side GROUP BY ALL), {SWEEP},
+      best AS (SELECT *, row_number() OVER (PARTITION BY eval_mode ORDER BY water_iou DESC, dice DESC, threshold) AS k FROM raw),
+      told AS (SELECT eval_mode, round(threshold, 2) AS threshold, tp, fp, tn, fn FROM counted)
+      SELECT 'sweep' AS part, * FROM told UNION ALL SELECT 'best', told.* FROM told JOIN best USING (eval_mode) WHERE k = 1 AND round(best.threshold, 2) = told.threshold""",
+}

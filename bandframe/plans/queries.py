@@ -14,7 +14,7 @@ from bandframe.functions import columns as C
 from bandframe.operators import evaluate as E
 from bandframe.operators import grid as G
 from bandframe.operators import joins as J
-from bandframe.operators.score import fit_pixel_classifier, predict_pixels, score_blocks, score_pixels, tta_average
+from bandframe.operators.score import compare_features, score_blocks, score_pixels, tta_average
 from bandframe.plans.fixtures import view, workdir
 from bandframe.sources import files as S
 from bandframe.streaming import incremental as X
@@ -74,7 +74,12 @@ def q03_manifest_checks(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query
 def q04_read_window(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return S.read_window(pixels(spark, sf_dir), 5, 10, 10, 20).select("px_id", "tile", "row", "col", "p_milli")
+    """Windows of all tiles from a store that was written before."""
+    root = workdir(spark)
+    px = pixels(spark, sf_dir).select(F.col("tile").cast("string").alias("scene_id"), "row", "col", "px_id", "p_milli", "s1", "aef")
+    S.write_pixels(px, f"{root}/pixels", block=8)
+    rows = S.read_window(S.read_pixels(spark, f"{root}/pixels"), 5, 10, 10, 20, block=8)
+    return rows.select("px_id", F.col("scene_id").cast("bigint").alias("tile"), "row", "col", "p_milli")
 
 
 @query
@@ -422,16 +427,34 @@ def q42_stream_scenes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select("scene", "year", "status", *counts, *(F.round(c, 3).alias(c) for c in ("mean_probability", "max_probability")), error)
 
 
+#: Statistics of the three bands of the training tables.
+THREE = ([-15.0, 37.0, 0.5], [8.0, 4.0, 0.3])
+
+
+def three_bands(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Pixels with three bands."""
+    return pixels(spark, sf_dir).select("tile", "row", "col", F.array("vh", "angle", "prob").alias("bands"), "label")
+
+
 @query
 def q43_training_table(spark: SparkSession, sf_dir: str) -> DataFrame:
-    px = pixels(spark, sf_dir).select("tile", "row", "col", "px_id", F.array("vh", "angle", "prob").alias("bands"), "label")
-    rows = G.training_table(px, ([-15.0, 37.0, 0.5], [8.0, 4.0, 0.3]), size=16, h=H, w=W, seed=7, epoch=1, radar=(0.1, 0.5))
-    return rows.select("tile", "row", "col", "px_id", "label", *((F.round(F.get("bands", F.lit(i)), 5) + 0.0).alias(f"b{i}") for i in range(3)))
+    """An epoch with every step: crop, flips, scale, rotation, radar jitter, noise, normalising."""
+    more = {"scale": (0.8, 1.25), "rotate": (5.0, 0.7), "radar": (0.1, 0.5), "noise": (0.05, 0.5)}
+    rows = G.training_table(three_bands(spark, sf_dir), THREE, size=30, h=H, w=W, seed=7, epoch=1, **more)
+    return rows.select("tile", "row", "col", "label", *((F.round(F.get("bands", F.lit(i)), 4) + 0.0).alias(f"b{i}") for i in range(3)))
+
+
+@query
+def q46_validation_table(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = G.validation_table(three_bands(spark, sf_dir).where("tile % 5 = 0"), THREE)
+    return rows.select("tile", "row", "col", "label", *((F.round(F.get("bands", F.lit(i)), 5) + 0.0).alias(f"b{i}") for i in range(3)))
 
 
 @query
 def q44_pixel_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
-    px = banded(pixels(spark, sf_dir)).where("label IS NOT NULL").select("tile", "px_id", "bands", "label")
-    fitted = fit_pixel_classifier(px.where("tile % 5 <> 0"), "s1")
-    held = predict_pixels(fitted, px.where("tile % 5 = 0"), "s1")
-    return held.groupBy("tile").agg(F.count("*").alias("pixels"), F.round(F.avg("prob"), 3).alias("mean_prob"))
+    """Held-out tiles by a classifier with radar alone and with the embedding: sweeps and best thresholds."""
+    px = banded(pixels(spark, sf_dir)).where("label IS NOT NULL").select("tile", "bands", "label")
+    sweep, best = compare_features(px.where("tile % 5 <> 0"), px.where("tile % 5 = 0"), model="gaussian")
+    rows = sweep.select(F.lit("sweep").alias("part"), "eval_mode", F.round("threshold", 2).alias("threshold"), *E.COUNTS)
+    best = best.where("scope <> 'best_eval'").select("eval_mode", F.round("threshold", 2).alias("threshold"))
+    return rows.unionByName(rows.join(F.broadcast(best), ["eval_mode", "threshold"]).withColumn("part", F.lit("best")))

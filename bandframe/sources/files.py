@@ -138,22 +138,84 @@ def missing_paths(manifest: DataFrame, files: DataFrame) -> DataFrame:
     return sides.where("path IS NOT NULL").join(files.select("path"), "path", "left_anti").select("name", "kind", "path")
 
 
+#: Side of the square blocks of pixels that a store keeps together, and the bytes of a group of rows in its files.
+BLOCK, GROUP_BYTES = 64, 8 << 20
+
+
+def block_number(row: Column, col: Column, block: int = BLOCK) -> Column:
+    """The place of a pixel's block on a Morton curve: the bits of both block coordinates, 16 each, in turns."""
+
+    def spread(x: Column) -> Column:
+        x = F.floor(x / block).cast("bigint").bitwiseAND(0xFFFF)
+        for shift, mask in ((8, 0x00FF00FF), (4, 0x0F0F0F0F), (2, 0x33333333), (1, 0x55555555)):
+            x = x.bitwiseOR(F.shiftleft(x, shift)).bitwiseAND(F.lit(mask).cast("bigint"))
+        return x
+
+    return F.shiftleft(spread(row), 1).bitwiseOR(spread(col))
+
+
+def block_ranges(top: int, left: int, bottom: int, right: int, most: int = 32) -> list[tuple[int, int]]:
+    """Ranges of Morton numbers that cover a rectangle of blocks (both ends included), ``most`` at most.
+
+    A quadrant of the curve inside the rectangle is one range; of too many ranges those with the
+    smallest gaps between them are joined, so nothing is left out.
+    """
+    found: list[tuple[int, int]] = []
+
+    def visit(level: int, r: int, c: int, number: int) -> None:
+        side = 1 << level
+        if r > bottom or c > right or r + side <= top or c + side <= left:
+            return
+        if top <= r and left <= c and r + side - 1 <= bottom and c + side - 1 <= right:
+            first, last = number << 2 * level, ((number + 1) << 2 * level) - 1
+            if found and found[-1][1] + 1 == first:
+                found[-1] = found[-1][0], last
+            else:
+                found.append((first, last))
+            return
+        half = side >> 1
+        for k in range(4):
+            visit(level - 1, r + half * (k >> 1), c + half * (k & 1), 4 * number + k)
+
+    visit(16, 0, 0, 0)
+    while len(found) > most:
+        k = min(range(len(found) - 1), key=lambda i: found[i + 1][0] - found[i][1])
+        found[k : k + 2] = [(found[k][0], found[k + 1][1])]
+    return found
+
+
 def read_pixels(spark: SparkSession, path: str, scenes: list[str] | None = None, aef: bool = True) -> DataFrame:
     """The pixel table; only the folders of ``scenes``, and without ``aef`` not its column."""
     pixels = spark.read.parquet(path)
-    pixels = pixels if scenes is None else pixels.where(F.col("scene_id").isin(scenes))
+    pixels = pixels.withColumn("scene_id", F.col("scene_id").cast("string")) if scenes is None else pixels.where(F.col("scene_id").isin(scenes))
     return pixels if aef else pixels.drop("aef", "aef_mask")
 
 
-def write_pixels(pixels: DataFrame, path: str) -> None:
-    """Store pixels so that readers skip scenes by folder and rows by the files' statistics."""
+def write_pixels(pixels: DataFrame, path: str, block: int = BLOCK, group_bytes: int = GROUP_BYTES) -> None:
+    """Store pixels so that readers skip scenes by folder and what lies far from a window by statistics.
+
+    The rows of a scene lie along a Morton curve over square blocks, whose number is the column ``block``:
+    a group of rows, and a page within it, is about a square, and its least and greatest number tell
+    readers which. Rows and columns are below 65,536 blocks.
+    """
     n = max(1, int(pixels.sparkSession.conf.get("spark.sql.shuffle.partitions")))
-    pixels.repartitionByRange(n, "scene_id", "row", "col").sortWithinPartitions("scene_id", "row", "col").write.partitionBy("scene_id").parquet(path)
+    order = ("scene_id", "block", "row", "col")
+    rows = pixels.withColumn("block", block_number(F.col("row"), F.col("col"), block)).repartitionByRange(n, *order).sortWithinPartitions(*order)
+    rows.write.option("parquet.block.size", group_bytes).partitionBy("scene_id").parquet(path)
+
 
+def read_window(pixels: DataFrame, top: int, left: int, h: int, w: int, row: str = "row", col: str = "col", block: int = BLOCK) -> DataFrame:
+    """The pixels of one window. Of a store (``write_pixels``) only what may hold them is read.
 
-def read_window(pixels: DataFrame, top: int, left: int, h: int, w: int, row: str = "row", col: str = "col") -> DataFrame:
-    """The pixels of one window."""
-    return pixels.where(F.col(row).between(top, top + h - 1) & F.col(col).between(left, left + w - 1))
+    The window becomes ranges of block numbers, which reach the scan; ``block`` is the store's.
+    """
+    inside = F.col(row).between(top, top + h - 1) & F.col(col).between(left, left + w - 1)
+    if "block" not in pixels.columns:
+        return pixels.where(inside)
+    near = F.lit(False)
+    for first, last in block_ranges(max(top, 0) // block, max(left, 0) // block, (top + h - 1) // block, (left + w - 1) // block):
+        near = near | F.col("block").between(first, last)
+    return pixels.where(near & inside).drop("block")
 
 
 def split_manifest(train: DataFrame, valid: DataFrame) -> DataFrame:

@@ -12,7 +12,7 @@ from bandframe.functions import columns as C
 from bandframe.operators import evaluate as E
 from bandframe.operators import grid as G
 from bandframe.operators import joins as J
-from bandframe.operators.score import fit_pixel_classifier, predict_pixels, score_blocks, tta_average
+from bandframe.operators.score import compare_features, fit_pixel_classifier, predict_pixels, score_blocks, tta_average
 from bandframe.plans.fixtures import view
 from bandframe.plans.queries import looks_left, pixels
 from bandframe.sources import files as S
@@ -345,10 +345,75 @@ def test_gathering_needs_one_shuffle_after_the_join(spark):
 
 def test_classifier(spark):
     px = pixels(spark, SF).withColumn("bands", F.array((F.col("label") * 2 + F.col("p_milli") / 1000.0), F.lit(0.0), F.lit(1.0), F.lit(2.0)))
-    model = fit_pixel_classifier(px, "s1")
-    out = predict_pixels(model, px, "s1")
-    assert E.confusion(out, (F.col("prob") >= 0.5).cast("int"), F.col("label")).first()["tp"] > 0
-    assert E.water_iou(out, (F.col("prob") >= 0.5).cast("int"), F.col("label")).first()[0] > 0.8
+    for kind in ("logistic", "trees", "gaussian"):
+        out = predict_pixels(fit_pixel_classifier(px, "s1", model=kind), px)
+        assert E.water_iou(out, (F.col("prob") >= 0.5).cast("int"), F.col("label")).first()[0] > 0.8
+        plan = out._jdf.queryExecution().executedPlan().toString()
+        assert "UDF" not in plan and "Python" not in plan
+    with pytest.raises(ValueError):
+        fit_pixel_classifier(px, "s1", model="other")
+    with pytest.raises(ValueError, match="both classes"):
+        fit_pixel_classifier(px.where("label = 1"), "s1", model="gaussian")
+
+
+def test_fitted_models_as_columns_equal_mllib(spark):
+    from pyspark.ml.classification import GBTClassifier, LogisticRegression
+    from pyspark.ml.functions import array_to_vector, vector_to_array
+
+    px = pixels(spark, SF).withColumn("bands", F.array(F.col("vh"), F.col("angle"), F.col("prob"), F.col("vh") * F.col("prob"))).select("px_id", "bands", "label")
+    rows = px.select("px_id", array_to_vector("bands").alias("features"), F.col("label").cast("double").alias("label"))
+    for kind, learner in (("logistic", LogisticRegression(maxIter=30, regParam=1e-3)), ("trees", GBTClassifier(seed=0, maxIter=10))):
+        theirs = {r[0]: r[1][1] for r in learner.fit(rows).transform(rows).select("px_id", vector_to_array("probability")).collect()}
+        ours = {r[0]: r[1] for r in predict_pixels(fit_pixel_classifier(px, model=kind), px).select("px_id", "prob").collect()}
+        assert set(theirs) == set(ours) and max(abs(theirs[k] - ours[k]) for k in ours) < 1e-9
+
+
+def test_features_are_compared(spark):
+    px = pixels(spark, SF).withColumn("bands", F.array(F.lit(1.0), F.lit(2.0), F.col("prob"), F.col("label") * 1.0 + F.col("prob")))
+    sweep, best = compare_features(px.where("px_id % 2 = 0"), px.where("px_id % 2 = 1"))
+    assert sweep.count() == 2 * len(E.THRESHOLDS)
+    rows = {r["scope"]: r["water_iou"] for r in best.collect()}
+    assert rows["s1aef"] > rows["s1"] and rows["best_eval"] == rows["s1aef"]
+
+
+def test_windows_read_their_share_of_a_store(spark, tmp_path):
+    """A narrow, tall window: only the row groups of its blocks are read, where rows alone would prune none."""
+    import pyarrow.parquet as pq
+
+    n, side = 256, 8
+    px = spark.range(n * n).select(F.lit("a b").alias("scene_id"), (F.col("id") / n).cast("int").alias("row"), (F.col("id") % n).cast("int").alias("col"), F.sha2(F.col("id").cast("string"), 256).alias("filling"))
+    S.write_pixels(px, str(tmp_path / "px"), block=side, group_bytes=1 << 15)
+    window = (0, 96, n, 6)
+    got = S.read_window(S.read_pixels(spark, str(tmp_path / "px"), ["a b"]), *window, block=side)
+    assert got.count() == n * 6 and got.columns == ["row", "col", "filling", "scene_id"]
+    assert "PushedFilters" in (plan := got._jdf.queryExecution().executedPlan().toString()) and "block" in plan.split("PushedFilters")[1]
+    ranges = S.block_ranges(0, 96 // side, (n - 1) // side, 101 // side)
+    groups = [g for f in (tmp_path / "px").rglob("*.parquet") for m in [pq.ParquetFile(f).metadata] for g in (m.row_group(i) for i in range(m.num_row_groups))]
+    names = [groups[0].column(i).path_in_schema for i in range(groups[0].num_columns)]
+    reach = lambda g, c: (g.column(names.index(c)).statistics.min, g.column(names.index(c)).statistics.max)
+    hit = sum(any(a <= reach(g, "block")[1] and reach(g, "block")[0] <= b for a, b in ranges) for g in groups)
+    assert len(groups) > 60 and hit <= 0.15 * len(groups)
+
+
+@pytest.mark.parametrize("rectangle", [(0, 0, 0, 0), (3, 5, 9, 6), (0, 0, 7, 7), (1, 1, 30, 30), (100, 7, 131, 7)])
+def test_block_ranges(spark, rectangle):
+    top, left, bottom, right = rectangle
+    cells = [(r, c) for r in range(top, bottom + 1) for c in range(left, right + 1)]
+    frame = spark.createDataFrame(cells, "row int, col int").select("row", "col", S.block_number(F.col("row"), F.col("col"), 1).alias("k"))
+    numbers = {r["k"] for r in frame.collect()}
+    assert numbers == {sum((r >> i & 1) << 2 * i + 1 | (c >> i & 1) << 2 * i for i in range(16)) for r, c in cells}
+    exact = S.block_ranges(*rectangle, most=1 << 20)
+    assert numbers == {k for a, b in exact for k in range(a, b + 1)}
+    few = S.block_ranges(*rectangle, most=3)
+    assert len(few) <= 3 and all(any(a <= k <= b for a, b in few) for k in numbers)
+
+
+def test_noise_is_normal_and_by_band(spark):
+    rows = spark.range(2000).select(G.normals(F.lit(7), "seed", F.col("id").cast("string")).alias("z"))
+    z = np.array([r["z"] for r in rows.collect()])
+    assert z.shape == (2000, 7) and abs(z.mean()) < 0.03 and abs(z.std() - 1) < 0.03
+    assert np.abs(np.corrcoef(z.T) - np.eye(7)).max() < 0.1
+    assert spark.range(1).select(F.size(G.normals(F.lit(1), "s"))).first()[0] == 1
 
 
 def test_stream_scores_each_scene_once(spark, tmp_path):
