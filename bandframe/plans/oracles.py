@@ -3,6 +3,7 @@ range joins and window functions in place of buckets and computed explodes."""
 
 from __future__ import annotations
 
+from bandframe.functions.projection import FORWARD, INVERSE, LATITUDE, utm
 from bandframe.operators.evaluate import THRESHOLDS
 from bandframe.plans.fixtures import duckdb_with
 from bandframe.plans.queries import HEAD, N_BANDS, SEEN, SHOWN, THREE
@@ -74,6 +75,21 @@ def _flipped(name: str) -> str:
     return f"SELECT a.tile_no, a.row_i, a.col_i, 1.0 AS l0, {P.replace('p_milli', 'a.p_milli')} * 2 + coalesce({P.replace('p_milli', 'n.p_milli')}, 0) / 2 AS l1 FROM px a LEFT JOIN px n ON n.tile_no = a.tile_no AND n.row_i = a.row_i AND n.col_i = a.{left}"
 
 
+def _moved(points: str, start: int, end: int) -> str:
+    """Tables up to ``moved`` (row, col, east, north): points (row, col, x, y) of one UTM zone on the map of another."""
+    a, b = utm(start), utm(end)
+    e = (a.flattening * (2 - a.flattening)) ** 0.5
+    n = a.third
+    series = lambda rows, x, y, f, g, sign: "".join(f" {sign} {sum(c * n ** (i + 1) for i, c in enumerate(row))!r} * {f}({2 * j} * {x}) * {g}({2 * j} * {y})" for j, row in enumerate(rows, 1))
+    return f"""plane AS (SELECT row, col, y / {a.radius!r} AS xi, (x - 500000) / {a.radius!r} AS eta FROM {points}),
+      sphere AS (SELECT row, col, xi{series(INVERSE, "xi", "eta", "sin", "cosh", "-")} AS p, eta{series(INVERSE, "xi", "eta", "cos", "sinh", "-")} AS q FROM plane),
+      conformal AS (SELECT row, col, asin(sin(p) / cosh(q)) AS chi, radians({a.meridian!r}) + atan2(sinh(q), cos(p)) AS lon FROM sphere),
+      earth AS (SELECT row, col, lon - radians({b.meridian!r}) AS d, chi{"".join(f" + {sum(c * n ** (i + 1) for i, c in enumerate(row))!r} * sin({2 * j} * chi)" for j, row in enumerate(LATITUDE, 1))} AS lat FROM conformal),
+      tangent AS (SELECT row, col, d, sinh(atanh(sin(lat)) - {e!r} * atanh({e!r} * sin(lat))) AS t FROM earth),
+      onto AS (SELECT row, col, atan2(t, cos(d)) AS p, asinh(sin(d) / sqrt(t * t + cos(d) * cos(d))) AS q FROM tangent),
+      moved AS (SELECT row, col, 500000 + {b.radius!r} * (q{series(FORWARD, "p", "q", "cos", "sinh", "+")}) AS east, {b.radius!r} * (p{series(FORWARD, "p", "q", "sin", "cosh", "+")}) AS north FROM onto)"""
+
+
 ORACLES: dict[str, str] = {
     "q01_discover_scenes": f"""{DATED} SELECT CAST(day AS VARCHAR) AS date, year, 's1aef' AS model_kind, path AS s1_path, '/d/aef.tif' AS aef_path,
         'out/probabilities/' || year || '/' || replace(file, '.tif', '') || '_prob.tif' AS prob_path
@@ -105,9 +121,12 @@ ORACLES: dict[str, str] = {
       UNION ALL SELECT vec_id, i, CAST(i + 1 AS DOUBLE) FROM embeddings CROSS JOIN (SELECT CAST(unnest([0, 1, 2]) AS INT) AS i)""",
     "q13_regrid_nearest": f"""{PX}, cells AS (
         SELECT tile, r.range AS row, c.range AS col FROM (SELECT DISTINCT tile_no AS tile FROM px) CROSS JOIN range(64) r CROSS JOIN range(104) c
-      ), places AS (SELECT *, floor(((col + 0.5) * 5 - 12.5) / 10) AS x, floor(((row + 0.5) * 5 - 7.5) / 10) AS y FROM cells)
-      SELECT tile, CAST(row AS INT) AS row, count(*) AS cells, count(p_milli) AS inside, CAST(coalesce(sum(p_milli * (col + 1)), 0) AS BIGINT) AS weighted
-      FROM places LEFT JOIN px ON tile = tile_no AND x = col_i AND y = row_i GROUP BY tile, row""",
+      ), there AS (SELECT c.range AS col, r.range AS row, CAST(239295 + 5 * (c.range + 0.5) AS DOUBLE) AS x, CAST(4600710 - 5 * (r.range + 0.5) AS DOUBLE) AS y FROM range(64) r CROSS JOIN range(104) c
+      ), {_moved("there", 16, 15)}, places AS (
+        SELECT 'same' AS zone, *, floor(((col + 0.5) * 5 - 12.5) / 10) AS x, floor(((row + 0.5) * 5 - 7.5) / 10) AS y FROM cells
+        UNION ALL SELECT 'other', cells.*, floor((east - 740000) / 10), floor((4600000 - north) / 10) FROM cells JOIN moved USING (row, col))
+      SELECT zone, tile, CAST(row AS INT) AS row, count(*) AS cells, count(p_milli) AS inside, CAST(coalesce(sum(p_milli * (col + 1)), 0) AS BIGINT) AS weighted
+      FROM places LEFT JOIN px ON tile = tile_no AND x = col_i AND y = row_i GROUP BY ALL""",
     "q14_window_blend": f"""{PX}, win AS (SELECT t AS top, l AS left_ FROM (SELECT unnest([0, 12, 14]) AS t) CROSS JOIN (SELECT unnest([0, 12, 24, 34]) AS l)), s AS (
         SELECT tile_no, row_i, col_i, avg(top * 0.01 - {P}) AS a, avg({P} + left_ * 0.02) AS b
         FROM px JOIN win ON row_i >= top AND row_i < top + 16 AND col_i >= left_ AND col_i < left_ + 16 GROUP BY ALL)

@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from bandframe.functions import columns as C
+from bandframe.functions.projection import between, utm
 from bandframe.operators import evaluate as E
 from bandframe.operators import grid as G
 from bandframe.operators import joins as J
@@ -140,13 +141,17 @@ def q12_project_bands(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query
 def q13_regrid_nearest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Onto a finer grid of the same zone, and onto one of the next zone, whose axes are turned a little."""
     px = pixels(spark, sf_dir).select("tile", "row", "col", "p_milli")
-    src = {"a": 10.0, "b": 0.0, "c": 500000.0, "d": 0.0, "e": -10.0, "f": 4600000.0}
-    dst = {"a": 5.0, "b": 0.0, "c": 499987.5, "d": 0.0, "e": -5.0, "f": 4600007.5, "width": 104, "height": 64}
+    src = {"a": 10.0, "b": 0.0, "c": 740000.0, "d": 0.0, "e": -10.0, "f": 4600000.0}
+    same = {"a": 5.0, "b": 0.0, "c": 739987.5, "d": 0.0, "e": -5.0, "f": 4600007.5, "width": 104, "height": 64}
+    other = same | {"c": 239295.0, "f": 4600710.0}
     side = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
     targets = px.select("tile").distinct().select("tile", side(64).alias("row")).select("*", side(104).alias("col"))
-    out = J.regrid_nearest(px, src, dst, ["p_milli"], targets=targets, keys=("tile",))
-    return out.groupBy("tile", "row").agg(F.count("*").alias("cells"), F.count("p_milli").alias("inside"), F.coalesce(F.sum(F.col("p_milli") * (F.col("col") + 1)), F.lit(0)).alias("weighted"))
+    grids = {"same": (same, None), "other": (other, between(utm(15), utm(16)))}
+    parts = [J.regrid_nearest(px, src, dst, ["p_milli"], to_src, targets, ("tile",)).withColumn("zone", F.lit(zone)) for zone, (dst, to_src) in grids.items()]
+    out = parts[0].unionByName(parts[1])
+    return out.groupBy("zone", "tile", "row").agg(F.count("*").alias("cells"), F.count("p_milli").alias("inside"), F.coalesce(F.sum(F.col("p_milli") * (F.col("col") + 1)), F.lit(0)).alias("weighted"))
 
 
 @query
