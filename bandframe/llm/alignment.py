@@ -14,9 +14,11 @@ from bandframe.llm.store import cut, tidy
 from bandframe.llm.wavelet import byte_letters
 
 #: Bytes of text that are encoded and aligned in one go.
-LOT = 4 << 20
-#: A worker forgets its units when it knows so many, or so many bytes of them.
-UNITS, UNIT_BYTES = 1 << 20, 64 << 20
+LOT = 1 << 20
+#: Units that are encoded in one go: the tokenizers library holds a kilobyte for each.
+NEW = 1 << 12
+#: A worker forgets its units when it knows so many, or so many characters of them.
+UNITS, UNIT_CHARS = 1 << 19, 8 << 20
 #: Bits of an id of the second tokenizer in the code of a pair.
 B_BITS = 15
 #: Pairs whose counts are sent to all tasks: the most frequent. The others' counts come by a join.
@@ -80,7 +82,7 @@ class Coder:
 
     def codes(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """Numbers of the units of texts that begin with a blank, and how many each text has."""
-        if len(self.known) > UNITS or self.held > UNIT_BYTES:
+        if len(self.known) > UNITS or self.held > UNIT_CHARS:
             self.forget()
         known, flat, counts, new = self.known, [], [], []
         for text in texts:
@@ -91,8 +93,8 @@ class Coder:
                     new.append(unit)
                 flat.append(code)
             counts.append(len(units))
-        if new:
-            self._learn(new)
+        for k in range(0, len(new), NEW):
+            self._learn(new[k : k + NEW])
         return np.array(flat, np.int64), np.array(counts, np.int64)
 
     def _learn(self, units: list[str]) -> None:
