@@ -92,6 +92,7 @@ class Lot:
     def __init__(self, lang: str, text: bytes):
         parts = pc.split_pattern(pa.array([text.replace(b"\n", b" \n ")], pa.large_binary()), b" ").flatten()
         coded = parts.filter(pc.greater(pc.binary_length(parts), 0)).dictionary_encode()
+        self.lang = lang.encode()
         self.codes, self.words = coded.indices.to_numpy().astype(np.int64), coded.dictionary
         words = self.words.to_pylist()
         self.hashes = word_hash(lang, words)
@@ -99,7 +100,7 @@ class Lot:
             self.codes[self.codes == words.index(b"\n")] = -1
 
     def phrases(self, at: np.ndarray, size: int) -> tuple[pa.Array, np.ndarray]:
-        """The distinct phrases of ``size`` words that begin at given places, and how often each does."""
+        """The distinct phrases of ``size`` words that begin at given places as keys, and how often each does."""
         keys = self.codes[at]
         for k in range(1, size):
             if k > 1:
@@ -107,49 +108,50 @@ class Lot:
             keys = keys * len(self.words) + self.codes[at + k]
         _, first, n = np.unique(keys, return_index=True, return_counts=True)
         words = [self.words.take(pa.array(self.codes[at[first] + k])) for k in range(size)]
-        joined = words[0] if size == 1 else pc.binary_join_element_wise(*words, pa.scalar(b" ", pa.large_binary()))
+        joined = pc.binary_join_element_wise(*words, pa.scalar(b"\t" + self.lang, pa.large_binary()), pa.scalar(b" ", pa.large_binary()))
         return joined.cast(pa.binary()).cast(pa.string()), n
 
 
-SCHEMA = pa.schema([("lang", pa.string()), ("size", pa.int32()), ("phrase", pa.string()), ("n", pa.int64())])
-DDL = "lang string, size int, phrase string, n long"
+#: A key is a phrase, a blank and a tab, and its language; words hold neither, so the first tab parts them.
+DDL = "key string, n long"
 
 
 @tidy
-def _count(batches: Iterator[pa.RecordBatch], now: Members | None, before: list[Members], most: int) -> Iterator[pa.RecordBatch]:
-    """Counts by lot of the phrases whose parts ``now`` holds and no filter of an earlier pass held.
+def _count(batches: Iterator[pa.RecordBatch], now: Members | None, before: Members | None, most: int) -> Iterator[pa.RecordBatch]:
+    """Counts by lot of the phrases whose parts ``now`` holds, and without a filter of all.
 
-    A first pass counts all words too, and all places of words as those of the empty phrase. With no
-    filter every phrase is counted.
+    With ``before``, the filter of the first pass, it is the expansion: what that pass counted is left out,
+    and a phrase counted here counts as a part that ``now`` holds. A first pass counts all words too, and
+    all places of words as those of the empty phrase.
     """
-    filters = [m.opened() for m in ([now] if now else []) + before]
+    filters = [m.opened() for m in (now, before) if m]
     for lang, text in _lots(batches):
         lot = Lot(lang, text)
         codes = lot.codes
-        out = []
         if not before:
             at = np.flatnonzero(codes >= 0)
-            out.append((0, pa.array([""]), np.array([len(at)])))
-            out.append((1, *lot.phrases(at, 1)))
+            yield pa.RecordBatch.from_arrays([pa.array([" \t" + lang]), pa.array([len(at)])], names=["key", "n"])
+            yield pa.RecordBatch.from_arrays([*map(pa.array, lot.phrases(at, 1))], names=["key", "n"])
         own = lot.hashes[codes]
         hashes, fits = own, codes >= 0
         inside = [holds(f, lot.hashes)[codes] & fits for f in filters]
         for size in range(2, most + 1):
             fits = fits[:-1] & (codes[size - 1 :] >= 0)
-            inside = [x[:-1] & x[1:] for x in inside]  # both parts are in the filter
+            inside = [x[:-1] & x[1:] & fits for x in inside]  # both parts are in the filter
             counted = inside[0] if now else fits
-            for x in inside[1:]:
-                counted = counted & ~x
-            if len(at := np.flatnonzero(counted & fits)):
-                out.append((size, *lot.phrases(at, size)))
+            if before:
+                counted = counted & ~inside[1]
+            if len(at := np.flatnonzero(counted)):
+                yield pa.RecordBatch.from_arrays([*map(pa.array, lot.phrases(at, size))], names=["key", "n"])
+            if size == most:
+                break
             hashes = mix(hashes[:-1] * U(BASE) + own[size - 1 :])
-            if size < most:
-                for k, f in enumerate(filters):
-                    at = np.flatnonzero(inside[k] & fits)
-                    inside[k] = np.zeros(len(fits), bool)
-                    inside[k][at] = holds(f, hashes[at])
-        for size, phrases, n in out:
-            yield pa.RecordBatch.from_arrays([pa.array([lang] * len(n), pa.string()), pa.array(np.full(len(n), size, np.int32)), phrases, pa.array(n)], schema=SCHEMA)
+            for k, f in enumerate(filters):
+                at = np.flatnonzero(inside[k])
+                inside[k] = np.zeros(len(fits), bool)
+                inside[k][at] = holds(f, hashes[at])
+            if before:
+                inside[0] |= counted
 
 
 def _hashes(batch: pa.RecordBatch) -> np.ndarray:
@@ -204,9 +206,10 @@ def phrase_counts(docs: DataFrame, *, least: int = 10, most: int = 3, every: int
 
     Toivonen (1996). One document in ``every``, drawn by a hash of its row, proposes phrases with a lowered
     bound. A pass over all documents counts, beside all words, every phrase whose two parts one word
-    shorter were proposed: the proposed phrases and their negative border, as far as it occurs. Phrases of
-    the border or words that turn out frequent although they were not proposed are failures: another
-    pass counts what they make possible and no pass counted before, until there are no failures. The
+    shorter were proposed: the proposed phrases and their negative border, as far as it occurs. Words or
+    phrases of the border that turn out frequent although they were not proposed are failures. If there
+    are any, an expansion pass counts all that they make possible and the first pass left out: phrases
+    whose parts are frequent or are candidates of this pass themselves, which closes the border. The
     counts are exact and complete whatever the sample is.
 
     What a pass looks for is a Bloom filter of ``max_bits`` at most (64 MB). A phrase that it holds by
@@ -219,21 +222,24 @@ def phrase_counts(docs: DataFrame, *, least: int = 10, most: int = 3, every: int
     """
     rows = docs.select(F.coalesce(F.col(lang_col), F.lit("und")).alias("lang"), F.col(text_col).alias("text"), F.xxhash64(id_col, text_col).alias("_draw"))
     every_row = rows.select("lang", "text")
-    summed = lambda df, now, before: df.mapInArrow(lambda x: _count(x, now, before, most), DDL).groupBy("lang", "size", "phrase").agg(F.sum("n").alias("n"))
     sample = rows.where(F.pmod("_draw", F.lit(every)) == 0).select("lang", "text")
+    phrase = F.substring_index("key", " \t", 1)
+    size = F.when(phrase == "", 0).otherwise(F.size(F.split(phrase, " ")))
+    lang = F.expr("substring(key, instr(key, '\t') + 1)")
+
+    def counted(df: DataFrame, now: Members | None, before: Members | None, words: int, bound: int) -> DataFrame:
+        sums = df.mapInArrow(lambda x: _count(x, now, before, words), DDL).groupBy("key").agg(F.sum("n").alias("n"))
+        return cut(sums.where((F.col("n") >= bound) | F.col("key").startswith(" ")).select(lang.alias("lang"), size.alias("size"), phrase.alias("phrase"), "n"), "counted")
+
     parts = F.col("size").between(1, most - 1)
-    proposed = cut(sample.mapInArrow(lambda x: _count(x, None, [], most - 1), DDL).groupBy("lang", "size", "phrase").agg(F.sum("n").alias("n")).where(parts & (F.col("n") >= sampled_least(least, every))), "proposed")
-    now, before = members(proposed, max_bits), []
-    found = None
-    while True:
-        counts = cut(summed(every_row, now, list(before)).where((F.col("n") >= least) | (F.col("size") == 0)), "counted")
-        found = counts if found is None else found.unionByName(counts)
-        known = now
-        failed = counts.where(parts).select("lang", "phrase").mapInArrow(lambda x: _strangers(x, known), "lang string, phrase string")
-        if failed.isEmpty():
-            return found
-        before.append(now)
-        now = members(found.where(parts), max_bits)
+    proposed = counted(sample, None, None, most - 1, sampled_least(least, every)).where(parts)
+    first = members(proposed, max_bits)
+    found = counted(every_row, first, None, most, least)
+    failed = found.where(parts).select("lang", "phrase").mapInArrow(lambda x: _strangers(x, first), "lang string, phrase string")
+    if failed.isEmpty():
+        return found
+    frequent = members(found.where(parts), max_bits)
+    return found.unionByName(counted(every_row, frequent, first, most, least))
 
 
 def _scores(a: Column, left: Column, right: Column) -> Column:

@@ -214,14 +214,16 @@ def test_collocations(spark, docs, every, max_bits):  # noqa: F811
     assert {tuple(r) for r in got.select("lang", "rank", "phrase", "a", "l", "r", "n", "score").collect()} == want and want
 
 
-def test_failures_of_the_border_need_further_passes(spark, monkeypatch):
+def test_failures_of_the_border_are_expanded(spark, monkeypatch):
     passes = []
-    count = collocations._strangers
     monkeypatch.setattr(collocations, "members", lambda *x, own=collocations.members: passes.append(1) or own(*x))
     frame = spark.createDataFrame([(i, "alpha beta gamma, delta", "en") for i in range(12)], "doc_id long, text string, lang string")
     got = {(r["phrase"], r["n"]) for r in collocations.phrase_counts(frame, least=10, every=1 << 40).collect()}
     assert got == {("", 48), ("alpha", 12), ("beta", 12), ("gamma", 12), ("delta", 12), ("alpha beta", 12), ("beta gamma", 12), ("alpha beta gamma", 12)}
-    assert len(passes) == 3 and count is collocations._strangers  # words fail, then pairs; then nothing is left
+    assert len(passes) == 2  # nothing is proposed, so words fail and all that they make possible is counted
+    passes.clear()
+    assert {(r["phrase"], r["n"]) for r in collocations.phrase_counts(frame, least=10, every=1).collect()} == got
+    assert len(passes) == 1  # nothing fails
 
 
 def test_collocations_of_odd_rows(spark, edges):  # noqa: F811
