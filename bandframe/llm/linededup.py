@@ -76,15 +76,15 @@ def _merge(table: pa.Table, last: bool) -> pa.Table:
     return pa.table(out, schema=pa.schema([("segment", pa.int64()), ("once", pa.binary()), ("twice", pa.binary())]))
 
 
-def twice_filter(docs: DataFrame, text_col: str, least: int, max_filter_bits: int) -> tuple[bytes, int]:
-    """The filter of hashes seen in two rows or more (compressed), and its size in bits.
-
-    It has 8 bits a line, ``max_filter_bits`` at most: with more lines more of them become
-    suspects, and the exact step decides as before.
-    """
+def line_count(docs: DataFrame, text_col: str) -> int:
+    """The lines of all texts."""
     text = F.col(text_col)
-    lines = docs.agg(F.coalesce(F.sum(F.length(text) - F.length(F.replace(text, F.lit("\n"), F.lit(""))) + 1), F.lit(1)).alias("n")).first()["n"]
-    bits = min(max(SEGMENT, 1 << (8 * lines - 1).bit_length()), max_filter_bits)
+    return docs.agg(F.coalesce(F.sum(F.length(text) - F.length(F.replace(text, F.lit("\n"), F.lit(""))) + 1), F.lit(1)).alias("n")).first()["n"]
+
+
+def twice_filter(docs: DataFrame, text_col: str, least: int, lines: int) -> tuple[bytes, int]:
+    """The filter of hashes seen in two rows or more (compressed), and its size in bits: 8 for each of ``lines``."""
+    bits = max(SEGMENT, 1 << (8 * lines - 1).bit_length())
     salts = 64
     parts = docs.select(text_col).mapInArrow(lambda x: _local_filters(x, bits, least, salts), "segment long, salt int, once binary, twice binary")
     merged = "segment long, once binary, twice binary"
@@ -96,6 +96,50 @@ def twice_filter(docs: DataFrame, text_col: str, least: int, max_filter_bits: in
     return zlib.compress(twice, 1), bits
 
 
+#: Bits of a bucket of Spark's bitmaps.
+BUCKET = 8 * 4096
+
+
+def filter_of(places_: DataFrame, bits: int) -> bytes:
+    """A filter (compressed) from rows (bucket, bit) of set bits: they come together in Spark's bitmaps of
+    4 KB, and the driver puts ``bits`` / 8 bytes in a row."""
+    filled = bytearray(bits // 8)
+    for row in places_.groupBy("bucket").agg(F.bitmap_construct_agg("bit").alias("map")).toLocalIterator():
+        filled[row["bucket"] * BUCKET // 8 : (row["bucket"] + 1) * BUCKET // 8] = row["map"]
+    return zlib.compress(filled, 1)
+
+
+def bit_rows(hashes: np.ndarray, bits: int) -> pa.RecordBatch:
+    """Rows (bucket, bit) of the filter positions of hashes."""
+    at = np.unique(places(hashes, bits)).astype(np.int64)
+    return pa.RecordBatch.from_arrays([pa.array(at // BUCKET), pa.array(at % BUCKET)], names=["bucket", "bit"])
+
+
+@tidy
+def _line_hashes(batches: Iterator[pa.RecordBatch], least: int) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        ids, hashes = [], []
+        for i, text in zip(*(c.to_pylist() for c in batch.columns)):
+            own = list(map(xxhash.xxh3_64_intdigest, keys_of(text, least))) if i is not None else []
+            ids += [i] * len(own)
+            hashes += own
+        yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(np.array(hashes, np.uint64).view(np.int64))], names=["id", "hash"])
+
+
+def repeated_filter(docs: DataFrame, least: int, max_filter_bits: int) -> tuple[bytes, int]:
+    """The filter of hashes that two ids hold, for more lines than a filter of all has room for.
+
+    The hashes and ids of all lines are exchanged, combined in each task, but no text; only repeated ones
+    come into the filter, 16 bits each, so unique lines don't fill it however many there are.
+    """
+    pairs = docs.select("id", "text").mapInArrow(lambda x: _line_hashes(x, least), "id long, hash long")
+    ends = pairs.groupBy("hash").agg(F.min("id").alias("first"), F.max("id").alias("last")).where("first < last")
+    found = cut(ends.select("hash"), "repeated")
+    bits = max(BUCKET, min(1 << (16 * max(found.count(), 1) - 1).bit_length(), max_filter_bits))
+    rows = found.mapInArrow(lambda x: (bit_rows(b.column(0).to_numpy().view(np.uint64), bits) for b in x), "bucket long, bit long")
+    return filter_of(rows, bits), bits
+
+
 @tidy
 def _suspects(batches: Iterator[pa.RecordBatch], packed: bytes, bits: int, least: int) -> Iterator[pa.RecordBatch]:
     filled = np.frombuffer(zlib.decompress(packed), np.uint8)
@@ -131,7 +175,9 @@ def dedup_lines(docs: DataFrame, *, least: int = 10, max_filter_bits: int = 1 <<
     tasks count as twice. The filter of twice-seen hashes, of at most ``max_filter_bits`` (128 MB),
     is broadcast, and only lines that it holds shuffle: their least and greatest id is found by
     pre-aggregation, so a line in a third of all documents is a row per task, and the join that
-    follows can be split at such a line.
+    follows can be split at such a line. If 8 bits a line are more than ``max_filter_bits`` the hashes of
+    all lines are exchanged first and the filter holds those of repeated lines only (``repeated_filter``);
+    what it holds by mistake is refused by the text as before.
 
     Null text counts as one empty line. Rows with equal ids are one document to the count. Rows with a null id keep all lines and count for nobody.
     An empty table gives an empty result; other columns are ignored.
@@ -139,7 +185,8 @@ def dedup_lines(docs: DataFrame, *, least: int = 10, max_filter_bits: int = 1 <<
     more = {f"carried{i}": c for i, c in enumerate(carry)}
     whole = docs.select(F.col(id_col).cast("bigint").alias("id"), F.xxhash64(text_col).alias("mark"), F.col(text_col).alias("text"), *(F.col(c).alias(k) for k, c in more.items()))
     docs = whole.select("id", "mark", "text")
-    packed, bits = twice_filter(docs, "text", least, max_filter_bits)
+    lines = line_count(docs, "text")
+    packed, bits = twice_filter(docs, "text", least, lines) if 8 * lines <= max_filter_bits else repeated_filter(docs, least, max_filter_bits)
     sent = docs.sparkSession.sparkContext.broadcast(packed)
     suspects = cut(docs.mapInArrow(lambda x: _suspects(x, sent.value, bits, least), "id long, mark long, key binary, lines array<int>"), "suspects")
     first = suspects.groupBy("key").agg(F.min("id").alias("first"), F.max("id").alias("last")).where("first < last").drop("last")
