@@ -18,6 +18,8 @@ from bandframe.llm.store import cut, tidy
 WORD = r"[^\x20\x09-\x0D]+"
 #: Slots of one row before the second explode.
 CHUNK = 4096
+#: Slots that a task makes, about.
+TASK_SLOTS = 1 << 20
 ROUNDS = 6
 #: Documents of a group at most, about, where there are more than ``groups`` of them.
 ROWS = 1 << 18
@@ -193,7 +195,8 @@ def mix(
                 runs.append((shard, i, -(-sizes[i] // block), done[i], done[i] + n, quotas[i].slots, quotas[i].last, sizes[i]))
                 done[i] += n
     runs = spark.createDataFrame(runs, "shard int, number int, n_blocks long, lo long, hi long, slots long, last long, source_size long")
-    chunks = runs.select("*", F.explode(F.sequence("lo", F.col("hi") - 1, F.lit(CHUNK).cast("bigint"))).alias("from")).repartition("number", "from")
+    tasks = max(int(spark.conf.get("spark.sql.shuffle.partitions")), sum(done) // TASK_SLOTS)  # Spark would merge the few rows of chunks into one task if it chose
+    chunks = runs.select("*", F.explode(F.sequence("lo", F.col("hi") - 1, F.lit(CHUNK).cast("bigint"))).alias("from")).repartition(tasks, "number", "from")
     slots = chunks.select("*", F.explode(F.sequence("from", F.least(F.col("from") + CHUNK, "hi") - 1)).alias("k"))
     kinds = "shard int, number int, n_blocks long, slots long, last long, source_size long, k long"
     slots = slots.select("shard", "number", "n_blocks", "slots", "last", "source_size", "k").mapInArrow(lambda x: _blocks_of_slots(x, seed), f"{kinds}, block long")

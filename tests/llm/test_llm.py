@@ -390,14 +390,25 @@ def brute_lines(rows):
     return out
 
 
-@pytest.mark.parametrize("bits", [1 << 16, 1 << 30])
+@pytest.mark.parametrize("bits", [1, 1 << 30])
 @pytest.mark.parametrize("which", ["edges", "docs"])
 def test_lines(request, which, bits):
+    """With a filter of all lines, and with one of repeated lines only."""
     df = request.getfixturevalue(which)
     got = linededup.dedup_lines(df, max_filter_bits=bits).select("doc_id", "n_lines", "n_dropped", "text").collect()
     assert Counter(map(tuple, got)) == Counter(brute_lines(rows_of(df)))
 
 
+def test_unique_lines_are_no_suspects_however_small_the_filter(spark):
+    """20,000 unique lines and two repeated ones, and room for 2**15 bits: few but the repeated are looked at."""
+    docs = spark.range(1000).select(F.col("id"), F.concat_ws("\n", F.transform(F.sequence(F.lit(0), F.lit(19)), lambda k: F.concat(F.lit("a line of its own "), F.col("id") * 20 + k)), F.lit("shared by every document"), F.when(F.col("id") % 500 == 3, "shared by two")).alias("text"))
+    docs = docs.withColumn("mark", F.lit(0).cast("bigint"))
+    packed, bits = linededup.repeated_filter(docs, 10, 1 << 15)
+    suspects = docs.select("id", "mark", "text").mapInArrow(lambda x: linededup._suspects(x, packed, bits, 10), "id long, mark long, key binary, lines array<int>")
+    keys = Counter(bytes(r["key"]).decode() for r in suspects.collect())
+    assert keys["shared by every document"] == 1000 and keys["shared by two"] == 2 and sum(keys.values()) < 1010
+
+
 def test_filters_of_parts_merge():
     import pyarrow as pa
 
@@ -652,6 +663,12 @@ def test_places_are_compared_in_tasks_of_large_buckets(spark, monkeypatch):
 # 10
 
 
+def test_slots_are_made_in_many_tasks(spark, docs):
+    plan = mixing.mix(docs, n_shards=4)[1]._jdf.queryExecution().executedPlan().toString()
+    count = spark.conf.get("spark.sql.shuffle.partitions")
+    assert f"{count}), REPARTITION_BY_NUM" in plan  # AQE doesn't merge what has a number
+
+
 def test_permutations():
     for n in (1, 2, 3, 17, 64, 1000):
         i = np.arange(n)
