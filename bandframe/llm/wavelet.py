@@ -194,8 +194,9 @@ class Encoder:
         self.pieces: dict[str, bytes] = {}
 
     def _piece(self, piece: str) -> bytes:
-        shown = piece.encode().decode("latin-1").translate(self.letters)
-        out = np.array([t.id for t in self.model.tokenize(shown)], "<u2").tobytes()
+        shown = piece if piece.isascii() and piece.isprintable() else piece.encode().decode("latin-1").translate(self.letters)
+        ids = [t.id for t in self.model.tokenize(shown)]
+        out = struct.pack(f"<{len(ids)}H", *ids)
         if len(self.pieces) >= CACHE:
             self.pieces.clear()
         if len(piece) <= CACHED_BYTES:
@@ -206,8 +207,10 @@ class Encoder:
         text = word.decode()
         if "<|" in text:
             return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, "<u2").tobytes()
-        text = text.lower() if text.isascii() else self.normalizer.normalize_str(text)
-        out = b"".join([self.pieces.get(p) or self._piece(p) for p in SPLIT.findall(text)])
+        plain = text.isascii()
+        text = text.lower() if plain else self.normalizer.normalize_str(text)
+        pieces = [text] if plain and text.isalpha() else SPLIT.findall(text)
+        out = b"".join([self.pieces.get(p) or self._piece(p) for p in pieces])
         if len(self.words) >= CACHE:
             self.words.clear()
         if len(word) <= CACHED_BYTES:
@@ -218,11 +221,11 @@ class Encoder:
         """The ids of a text in UTF-8."""
         if not self.known:
             return np.array(self.tokenizer.encode(text.decode(), add_special_tokens=False).ids, "<u2").tobytes()
-        words, known = text.split(), self.words
-        try:
-            return b"".join([known[w] for w in words])
-        except KeyError:
-            return b"".join([known[w] if w in known else self._word(w) for w in words])
+        words = text.split()
+        found = list(map(self.words.get, words))
+        if None in found:
+            found = [self._word(w) if ids is None else ids for w, ids in zip(words, found)]
+        return b"".join(found)
 
 
 def encoder(path: str) -> Encoder:
@@ -294,14 +297,20 @@ def open_tokens(spark: SparkSession, path: str) -> DataFrame:
     return files.join(F.broadcast(parts), "part").withColumn("first", F.col("before") + F.col("start")).drop("before")
 
 
-def _documents(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _rows(batches: Iterator[pa.RecordBatch]) -> Iterator[dict]:
+    """Rows of files one at a time: a file has some MB."""
     for batch in batches:
-        for row in batch.to_pylist():
-            ids, start, out = WaveletMatrix(row["file"]).ids().astype("<u4"), 0, []
-            for doc, end in zip(row["docs"], row["ends"]):
-                out.append((doc, row["first"] + start, end - start, zlib.crc32(ids[start:end].tobytes())))
-                start = end
-            yield pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in zip(*out)], names=["doc_id", "start", "n_tokens", "ids_crc32"])
+        for i in range(batch.num_rows):
+            yield {c: batch.column(c)[i].as_py() for c in batch.schema.names}
+
+
+def _documents(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for row in _rows(batches):
+        ids, start, out = WaveletMatrix(row["file"]).ids().astype("<u4"), 0, []
+        for doc, end in zip(row["docs"], row["ends"]):
+            out.append((doc, row["first"] + start, end - start, zlib.crc32(ids[start:end].tobytes())))
+            start = end
+        yield pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in zip(*out)], names=["doc_id", "start", "n_tokens", "ids_crc32"])
 
 
 def token_documents(files: DataFrame) -> DataFrame:
@@ -310,13 +319,12 @@ def token_documents(files: DataFrame) -> DataFrame:
 
 
 def _found(batches: Iterator[pa.RecordBatch], value: int) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
-        for row in batch.to_pylist():
-            matrix, ends = WaveletMatrix(row["file"]), np.array(row["ends"], np.int64)
-            at = matrix.places(value)
-            doc = np.searchsorted(ends, at, "right")
-            ids = [row["docs"][d] for d in doc]
-            yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(at - np.concatenate([[0], ends])[doc])], names=["doc_id", "place"])
+    for row in _rows(batches):
+        matrix, ends = WaveletMatrix(row["file"]), np.array(row["ends"], np.int64)
+        at = matrix.places(value)
+        doc = np.searchsorted(ends, at, "right")
+        ids = [row["docs"][d] for d in doc]
+        yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(at - np.concatenate([[0], ends])[doc])], names=["doc_id", "place"])
 
 
 def occurrences(files: DataFrame, value: int) -> DataFrame:
@@ -326,8 +334,8 @@ def occurrences(files: DataFrame, value: int) -> DataFrame:
 
 def _counts(batches: Iterator[pa.RecordBatch], values: list[int]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        for file in batch.column(0).to_pylist():
-            matrix = WaveletMatrix(file)
+        for file in batch.column(0):
+            matrix = WaveletMatrix(file.as_py())
             yield pa.RecordBatch.from_pydict({"id": values, "n": [matrix.rank(v, matrix.n) for v in values]}, schema=pa.schema([("id", pa.int64()), ("n", pa.int64())]))
 
 
