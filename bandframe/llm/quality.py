@@ -182,11 +182,12 @@ def verdict(rules: list[Rule]) -> Column:
 
 
 def judge(docs: DataFrame, labels: DataFrame, *, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """Per row the base statistics, base_failed, and kept: whether neither the base nor a rule drops it.
+    """Per row the base statistics, base_failed, kept (whether neither the base nor a rule drops it), and n_upper.
 
     The statistics of all rows are computed once and written; learning and judging read them. The
     rules are learned from the labelled rows that the base passes.
     """
     stats = cut(base_statistics(docs, id_col=id_col, text_col=text_col), "statistics")
     rules = learn_rules(stats.where(~base_failed()), labels, id_col=id_col)
-    return stats.select("*", base_failed().alias("base_failed"), (~base_failed() & verdict(rules)).alias("kept"))
+    first = [c for c in stats.columns if c != "n_upper"]
+    return stats.select(*first, base_failed().alias("base_failed"), (~base_failed() & verdict(rules)).alias("kept"), "n_upper")
