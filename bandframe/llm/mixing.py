@@ -251,7 +251,8 @@ def mixed_documents(docs: DataFrame, pieces: DataFrame, *, id_col: str = "doc_id
     line end where some are left out between and after each pass.
 
     Rows meet their pieces by id, source and a hash of the text, null or not; rows alike in all of
-    these take the pieces of their places in turn, each its own. Documents of which nothing is taken
+    these take the pieces of their places in turn, each its own, in the order of a hash of all their columns, so that a
+    rerun gives each the same. Documents of which nothing is taken
     are absent. Columns are those of ``docs``; ``n_chars``, where present, counts the new text.
     """
     names = docs.columns
@@ -265,7 +266,8 @@ def mixed_documents(docs: DataFrame, pieces: DataFrame, *, id_col: str = "doc_id
     places = F.array_sort(F.collect_list(F.struct("at", "pieces")))
     taken = taken.groupBy("_mix_key").agg(places["pieces"].alias("_mix_pieces"))
     rows = docs.withColumn("_mix_key", key(F.xxhash64(text_col)))
-    rows = rows.withColumn("_mix_nth", F.row_number().over(Window.partitionBy("_mix_key").orderBy("_mix_key")))
+    hashed = F.xxhash64(*(f.name for f in docs.schema.fields if "map<" not in f.dataType.simpleString()))  # maps have no hash
+    rows = rows.withColumn("_mix_nth", F.row_number().over(Window.partitionBy("_mix_key").orderBy(hashed)))
     own = F.get("_mix_pieces", F.col("_mix_nth") - 1).alias("_mix_pieces")
     joined = rows.join(taken.hint("merge"), "_mix_key").select(*names, own).where("_mix_pieces IS NOT NULL")
     out = joined.mapInArrow(lambda x, at=names.index(text_col): _texts(x, at), docs.schema)
