@@ -98,7 +98,8 @@ def link_buckets(members: DataFrame, sketch: Callable[[DataFrame], DataFrame], c
     within the task, so that rows arise for likely pairs only; then they leave the bucket. Each round
     draws anew: a hash of the node alone would find its residue classes emptied by the hubs that left
     before. A bucket is done when its members lie in one component:
-    every pair of it was then compared or is connected by others. Buckets of at most ``small`` members give
+    every pair of it was then compared or is connected by others. Tables of a round are deleted when the
+    next one has what it needs of them. Buckets of at most ``small`` members give
     a row for each such pair instead, which costs no sketch. Nodes in no true pair are absent
     from the result.
     """
@@ -106,21 +107,26 @@ def link_buckets(members: DataFrame, sketch: Callable[[DataFrame], DataFrame], c
     hubs = cut(ends.select("bucket", "least"), "hubs")
     open_ = cut(members.join(hubs, "bucket").where("node > least"), "open")
     links = cut(verify(open_.select(F.col("least").alias("u"), F.col("node").alias("v")).distinct()), "links")
-    found = components(links)
+    found, before = components(links), [hubs, open_, links]
     for turn in count(2):  # 1 salts the chunks
         named = open_.select("bucket", "part", "node", "weight").join(found, "node", "left")
         named = cut(named.select("bucket", "part", "node", "weight", F.coalesce("component", "node").alias("c")), "named")
+        for table in before:
+            drop(table)
         sizes = named.groupBy("bucket", "c").agg(F.count("*").alias("n"), F.sum("weight").alias("w"))
         mixed = sizes.groupBy("bucket").agg(F.sum("n").alias("n"), F.sum("w").alias("w"), F.max(F.struct("n", "w", "c")).alias("most")).where("n > most.n")
         few = F.ceil(F.greatest((F.col("n") - F.col("most.n")) / HUBS, (F.col("w") - F.col("most.w")) / WEIGHT))
         chunks = F.ceil(F.greatest(F.col("n") / CHUNK, F.col("w") / WEIGHT))
         mixed = cut(mixed.select("bucket", "n", F.col("most.c").alias("most"), few.alias("lots"), chunks.alias("chunks")), "mixed")
         if mixed.isEmpty():
+            drop(named)
             return found
         hub = (F.col("c") != F.col("most")) & (F.pmod(F.xxhash64("node", F.lit(turn)), F.col("lots")) == 0)
         chunk = F.pmod(F.xxhash64("node", F.lit(1)), F.col("chunks"))
         rest = named.join(mixed, "bucket").select("bucket", "part", "node", "weight", "c", "chunks", (F.col("n") <= small).alias("small"), hub.alias("hub"), chunk.alias("chunk"))
         rest = cut(rest, "rest")
+        drop(named)
+        drop(mixed)
         large = rest.where("NOT small")
         large = cut(large.join(sketch(large.select("node").distinct()), "node"), "large")
         ask = large.where("hub").withColumn("chunk", F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("chunks") - 1)))
@@ -130,6 +136,9 @@ def link_buckets(members: DataFrame, sketch: Callable[[DataFrame], DataFrame], c
             both = one.join(two.hint("merge"), "bucket").where("c_u <> c_v AND (NOT hub_v OR node_v > node_u)")
             likely = likely.union(both.select(F.least("node_u", "node_v").alias("u"), F.greatest("node_u", "node_v").alias("v")))
         more = cut(verify(likely.distinct()), "links")
+        drop(large)
         if not more.isEmpty():
-            found = cut(joined_components(found, more), "components")
-        open_ = rest.where("NOT hub").select("bucket", "part", "node", "weight")
+            old, found = found, cut(joined_components(found, more), "components")
+            drop(old)
+        drop(more)
+        open_, before = rest.where("NOT hub").select("bucket", "part", "node", "weight"), [rest]
