@@ -15,7 +15,10 @@ from bandframe.llm.components import link_buckets
 from bandframe.llm.store import cut
 
 #: Pyramid steps, patch radius, binary tests, directions, and tables with the bits of each.
-SCALES, RADIUS, TESTS, TURNS, TABLES, TABLE_BITS = tuple(1.2**-k for k in range(5)), 7, 256, 64, 2, 96
+SCALES, RADIUS, TESTS, TURNS, TABLES, TABLE_BITS = tuple(1.13**-k for k in range(7)), 7, 256, 64, 6, 40
+#: How far apart the ends of tests lie: standard deviation and greatest distance from the corner. Tests over
+#: short distances tell few corners from others; these part unrelated pictures with half the bits.
+SPREAD, REACH = 8, 12
 #: Bits that may differ between two places that match, and pixels that a place may be off.
 NEAR, OFF = 56, 2.5
 #: Places that must agree: so many, and this part of those of the image that has fewer.
@@ -29,7 +32,7 @@ POINT = np.dtype([("x", "<f4"), ("y", "<f4"), ("scale", "<f4"), ("angle", "<f4")
 
 def _pattern(seed: int = 7) -> np.ndarray:
     """The tests, turned into each direction: (turn, test, end, coordinate) as whole offsets."""
-    pairs = np.clip(np.random.default_rng(seed).normal(0, RADIUS / 2, (TESTS, 2, 2)), -RADIUS * 0.7, RADIUS * 0.7)
+    pairs = np.clip(np.random.default_rng(seed).normal(0, SPREAD, (TESTS, 2, 2)), -REACH, REACH)
     angle = 2 * np.pi * np.arange(TURNS) / TURNS
     turn = np.stack([np.cos(angle), -np.sin(angle), np.sin(angle), np.cos(angle)], 1).reshape(TURNS, 2, 2)
     return np.rint(np.einsum("tij,nej->tnei", turn, pairs)).astype(np.int64)
@@ -64,7 +67,8 @@ def points(images: np.ndarray) -> list[np.ndarray]:
 
     A corner is the greatest Harris response within two pixels, above a hundredth of the image's
     greatest. Its direction points to the centre of mass of its patch, and the tests compare
-    smoothed pixels in a pattern turned to it. Corners nearer to the edge than the patch are left.
+    smoothed pixels in a pattern turned to it, those of the edge where it reaches over. Corners nearer to
+    the edge than the patch are left.
     """
     out, owner = [], []
     dy, dx = np.mgrid[-RADIUS : RADIUS + 1, -RADIUS : RADIUS + 1]
@@ -245,6 +249,25 @@ def edited(image: np.ndarray) -> np.ndarray:
     return np.clip(image[5:-3, 4:-6] * 0.8 + 20, 0, 255).astype(np.uint8)
 
 
+def warped(image: np.ndarray, scale: float = 1.0, degrees: float = 0.0) -> np.ndarray:
+    """A copy resized or turned about its centre, between its pixels."""
+    h, w = image.shape
+    a, (rows, cols) = np.radians(degrees), (int(h * scale), int(w * scale))
+    y, x = np.mgrid[:rows, :cols]
+    y, x = y - (rows - 1) / 2, x - (cols - 1) / 2
+    sy, sx = (np.cos(a) * y - np.sin(a) * x) / scale + (h - 1) / 2, (np.sin(a) * y + np.cos(a) * x) / scale + (w - 1) / 2
+    inside = (sy >= 0) & (sy <= h - 1) & (sx >= 0) & (sx <= w - 1)
+    sy, sx = np.clip(sy, 0, h - 1.001), np.clip(sx, 0, w - 1.001)
+    i, j = sy.astype(int), sx.astype(int)
+    b, c, f = sy - i, sx - j, image.astype(float)
+    out = (1 - b) * ((1 - c) * f[i, j] + c * f[i, j + 1]) + b * ((1 - c) * f[i + 1, j] + c * f[i + 1, j + 1])
+    return np.clip(np.where(inside, out, 0), 0, 255).astype(np.uint8)
+
+
+#: The edits of planted copies, in turn.
+PLANTED = (edited, lambda m: warped(m, 0.85), lambda m: warped(m, 0.75), lambda m: warped(m, 1.0, 10), lambda m: np.ascontiguousarray(np.rot90(m)))
+
+
 def _pictures(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         out = []
@@ -252,7 +275,7 @@ def _pictures(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             image = picture(vector)
             out.append((2 * i, image))
             if i % 4 == 0 and image is not None:
-                out.append((2 * i + 1, edited(image)))
+                out.append((2 * i + 1, PLANTED[i // 4 % len(PLANTED)](image)))
         sizes = [im.shape if im is not None else (None, None) for _, im in out]
         yield pa.RecordBatch.from_arrays(
             [pa.array([i for i, _ in out], pa.int64()), pa.array([w for _, w in sizes], pa.int32()), pa.array([h for h, _ in sizes], pa.int32()), pa.array([im if im is None else im.tobytes() for _, im in out], pa.binary())],
@@ -261,6 +284,6 @@ def _pictures(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def pictures(embeddings: DataFrame) -> DataFrame:
-    """A table of images drawn from vectors: 2 * vec_id, and for every fourth an edited copy after it."""
+    """A table of images drawn from vectors: 2 * vec_id, and for every fourth a copy after it (``PLANTED``)."""
     rows = embeddings.where("vec_id IS NOT NULL").select("vec_id", F.col("embedding").cast("array<double>").alias("embedding"))
     return rows.mapInArrow(_pictures, "image_id long, width int, height int, pixels binary")
