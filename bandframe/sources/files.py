@@ -224,14 +224,19 @@ def split_manifest(train: DataFrame, valid: DataFrame) -> DataFrame:
     return parts[0].unionByName(parts[1]).na.fill("", list(MANIFEST_COLUMNS))
 
 
-def write_csv(rows: DataFrame, path: str) -> None:
-    """One CSV file with a header; for listings and reports, which are small."""
-    rows.coalesce(1).write.csv(path, header=True, mode="overwrite", emptyValue="")
+def write_csv(rows: DataFrame, path: str, *order: Column | str) -> None:
+    """One CSV file with a header, its rows in the given order; for listings and reports, which are small.
+
+    What makes the rows runs in as many tasks as it would; one task sorts and writes.
+    """
+    one = rows.repartition(1)
+    one = one.sortWithinPartitions(*order) if order else one
+    one.write.csv(path, header=True, mode="overwrite", emptyValue="")
 
 
 def write_split_manifest(train: DataFrame, valid: DataFrame, path: str) -> None:
     """``split_manifest`` as CSV."""
-    write_csv(split_manifest(train, valid), path)
+    write_csv(split_manifest(train, valid), path, "split", "name")
 
 
 def scene_manifest(scenes: DataFrame, model_kind: str, aef_path: str | None = None) -> DataFrame:
@@ -242,7 +247,7 @@ def scene_manifest(scenes: DataFrame, model_kind: str, aef_path: str | None = No
 
 def write_scene_manifest(scenes: DataFrame, model_kind: str, path: str, aef_path: str | None = None) -> None:
     """``scene_manifest`` as CSV."""
-    write_csv(scene_manifest(scenes, model_kind, aef_path), path)
+    write_csv(scene_manifest(scenes, model_kind, aef_path), path, F.split("s1_path", "/"))
 
 
 def shape_scene_summary(rows: DataFrame) -> DataFrame:
@@ -252,7 +257,7 @@ def shape_scene_summary(rows: DataFrame) -> DataFrame:
 
 def write_scene_summary(rows: DataFrame, path: str) -> None:
     """``shape_scene_summary`` as CSV."""
-    write_csv(shape_scene_summary(rows), path)
+    write_csv(shape_scene_summary(rows), path, "date", "scene")
 
 
 def write_probability(probs: DataFrame, root: str) -> None:
@@ -370,15 +375,15 @@ def run_config(scenes: DataFrame, settings: dict[str, str], grid: DataFrame | No
 
 
 def write_json(rows: DataFrame, path: str) -> None:
-    """One JSON file of small results."""
-    rows.coalesce(1).write.json(path, mode="overwrite")
+    """One JSON file of small results. Only the writing is one task."""
+    rows.repartition(1).write.json(path, mode="overwrite")
 
 
 def write_eval_artifacts(root: str, sweep: DataFrame, tiles: DataFrame, worst: DataFrame, summary: DataFrame, projection: DataFrame | None = None) -> None:
     """The files of an evaluation: sweep, tile metrics, worst tiles, summary and projection report."""
-    write_csv(sweep, f"{root}/threshold_sweep")
-    write_csv(tiles, f"{root}/tile_metrics")
-    write_csv(worst, f"{root}/worst_tiles")
+    write_csv(sweep, f"{root}/threshold_sweep", "eval_mode", "threshold")
+    write_csv(tiles, f"{root}/tile_metrics", "tile_name")
+    write_csv(worst, f"{root}/worst_tiles", "water_iou", "precision", "recall", "tile_name")
     write_json(summary, f"{root}/summary")
     if projection is not None:
         write_json(projection, f"{root}/projection_report")
