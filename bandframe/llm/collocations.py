@@ -14,14 +14,14 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from bandframe.llm.linededup import places
+from bandframe.llm.linededup import BUCKET, bit_rows, filter_of, places
 from bandframe.llm.shingles import BASE, U, mix
 from bandframe.llm.store import cut, tidy
 
 #: Bytes of text that are counted in one go.
-LOT = 8 << 20
-#: Bits of a bucket of Spark's bitmaps.
-BUCKET = 8 * 4096
+LOT = 5 << 20
+#: Lots of a language's phrases that are ranked apart first.
+LOTS = 16
 _UPPER = bytes(range(65, 91))
 _BREAKS, _BLANKS = b".,;:!?\n\v\f\r", b"\t"
 #: A-Z to lower case, what ends a piece to a newline, blanks to a blank.
@@ -163,25 +163,12 @@ def _hashes(batch: pa.RecordBatch) -> np.ndarray:
     return out
 
 
-def _places(batches: Iterator[pa.RecordBatch], bits: int) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
-        at = np.unique(places(_hashes(batch), bits)).astype(np.int64)
-        yield pa.RecordBatch.from_arrays([pa.array(at // BUCKET), pa.array(at % BUCKET)], names=["bucket", "bit"])
-
-
 def members(phrases: DataFrame, max_bits: int) -> Members:
-    """The filter of rows (lang, phrase): 16 bits each, ``max_bits`` at most.
-
-    Its bits come together in Spark's bitmaps of 4 KB; the driver puts ``max_bits`` / 8 bytes at most in a row.
-    """
+    """The filter of rows (lang, phrase): 16 bits each, ``max_bits`` at most."""
     phrases = phrases.select("lang", "phrase")
-    bits = min(max(BUCKET, 1 << (16 * max(phrases.count(), 1) - 1).bit_length()), max_bits)
-    at = phrases.mapInArrow(lambda x: _places(x, bits), "bucket long, bit long")
-    buckets = at.groupBy("bucket").agg(F.bitmap_construct_agg("bit").alias("map"))
-    filled = bytearray(bits // 8)
-    for row in buckets.toLocalIterator():
-        filled[row["bucket"] * BUCKET // 8 : (row["bucket"] + 1) * BUCKET // 8] = row["map"]
-    return Members(zlib.compress(filled, 1), bits)
+    bits = max(BUCKET, min(1 << (16 * max(phrases.count(), 1) - 1).bit_length(), max_bits))
+    rows = phrases.mapInArrow(lambda x: (bit_rows(_hashes(b), bits) for b in x), "bucket long, bit long")
+    return Members(filter_of(rows, bits), bits)
 
 
 def _strangers(batches: Iterator[pa.RecordBatch], known: Members) -> Iterator[pa.RecordBatch]:
@@ -256,7 +243,8 @@ def collocations(docs: DataFrame, *, least: int = 10, most: int = 3, top: int =
     words gives l and r, the places of both parts, and the score floor(1000000 a a / (l r)); the cut
     with the lowest score counts, of several the first. A candidate that lies inside a longer one with
     at least ``within`` percent of its places is dropped. The first ``top`` of each language by score and
-    a, both falling, and phrase are kept; Spark limits each task's rows before they meet.
+    a, both falling, and phrase are kept: first those of each of ``LOTS`` lots of a language's phrases, so
+    one task sees ``LOTS`` times ``top`` rows of a language at most.
 
     The rules for odd rows are those of ``phrase_counts``, which takes ``more``.
     """
@@ -277,6 +265,9 @@ def collocations(docs: DataFrame, *, least: int = 10, most: int = 3, top: int =
         F.sequence(F.lit(1), F.col("size") - k + 1), lambda i: F.array_join(F.slice("words", i, k), " ")))))
     longer = many.where("size > 2").select("lang", F.explode(inner).alias("phrase"), "a").groupBy("lang", "phrase").agg(F.max("a").alias("longest"))
     kept = best.join(longer, ["lang", "phrase"], "left").where(F.col("longest").isNull() | (100 * F.col("longest") < within * F.col("a")))
-    order = Window.partitionBy("lang").orderBy(F.desc("best.score"), F.desc("a"), "phrase")
-    ranked = kept.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= top)
+    order = (F.desc("best.score"), F.desc("a"), "phrase")
+    place = lambda *keys: F.row_number().over(Window.partitionBy("lang", *keys).orderBy(*order))
+    kept = kept.withColumn("_lot", F.pmod(F.xxhash64("phrase"), F.lit(LOTS)))
+    ranked = kept.withColumn("rank", place("_lot")).where(F.col("rank") <= top)
+    ranked = ranked.withColumn("rank", place()).where(F.col("rank") <= top)
     return ranked.join(F.broadcast(totals), "lang").select("lang", F.col("rank").cast("bigint").alias("rank"), "phrase", "a", "best.l", "best.r", "n", "best.score")
