@@ -234,7 +234,6 @@ def _lot(texts: list[str | None], coder: Coder, tables: list[np.ndarray]) -> lis
     ends = np.cumsum(counts[right])
     numbers = np.zeros((4, n), np.int64)
     groups: list[str] = [""] * n
-    where: list[np.ndarray] = []
     parts: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
     ids, sizes = zip(*(coder.tokens(codes, k) for k in (0, 1)))
     tokens = [sums(s, ends) for s in sizes]
@@ -248,7 +247,6 @@ def _lot(texts: list[str | None], coder: Coder, tables: list[np.ndarray]) -> lis
         for doc, text in zip(docs.tolist(), lists.texts(tables)):
             groups[doc] = text.decode()
         doc, code, times = lists.pairs()
-        where.append(docs[doc])
         parts.append((docs[doc], code, times))
     doc, code, times = (np.concatenate(x) if parts else np.zeros(0, np.int64) for x in (zip(*parts) if parts else ((), (), ())))
     order = np.argsort(doc, kind="stable")
