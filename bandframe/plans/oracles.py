@@ -278,8 +278,8 @@ ORACLES |= {
       SELECT tile_no AS tile, row, col, CAST(label AS INT) AS label, {", ".join(f"round((b{i} * gain + bias + std * {_normal(i)} - CAST({m} AS DOUBLE)) / CAST({s} AS DOUBLE), 4) + 0.0 AS b{i}" for i, (m, s) in enumerate(zip(*THREE)))} FROM n""",
     "q46_validation_table": f"""{PX} SELECT tile_no AS tile, row_i AS row, col_i AS col, CAST({LABEL} AS INT) AS label, {", ".join(f"round(({x} - CAST({m} AS DOUBLE)) / CAST({s} AS DOUBLE), 5) + 0.0 AS b{i}" for i, (x, m, s) in enumerate(zip(("vh", "angle", P), *THREE)))}
       FROM px WHERE tile_no % 5 = 0""",
-    "q44_pixel_classifier": f"""{PX}, b AS (SELECT px_id, tile_no, {LABEL} AS y, {BANDS} AS bands FROM px WHERE dw_class IS NOT NULL),
-      long AS (SELECT px_id, tile_no % 5 = 0 AS held, y, unnest(bands) AS x, unnest(range({N_BANDS})) AS band FROM b),
+    "q44_pixel_classifier": f"""{PX}, b AS (SELECT px_id, (tile_no * 3 + row_i // 10) % 5 = 0 AS held, {LABEL} AS y, {BANDS} AS bands FROM px WHERE dw_class IS NOT NULL),
+      long AS (SELECT px_id, held, y, unnest(bands) AS x, unnest(range({N_BANDS})) AS band FROM b),
       fit AS (SELECT y, band, avg(x) AS mean, greatest(var_pop(x), 1e-6) AS var, count(*) AS n FROM long WHERE NOT held GROUP BY ALL),
       prior AS (SELECT y, ln(n / CAST(sum(n) OVER () AS DOUBLE)) AS prior FROM (SELECT y, any_value(n) AS n FROM fit GROUP BY y)),
       part AS (SELECT px_id, long.y, fit.y AS c, band, -0.5 * ln(var) - (x - mean) * (x - mean) / (2 * var) AS part FROM long JOIN fit USING (band) WHERE held),
