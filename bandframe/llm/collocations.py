@@ -20,6 +20,8 @@ from bandframe.llm.store import cut, tidy
 
 #: Bytes of text that are counted in one go.
 LOT = 5 << 20
+#: Rows that a task sends at a time.
+ROWS = 1 << 16
 #: Lots of a language's phrases that are ranked apart first.
 LOTS = 16
 _UPPER = bytes(range(65, 91))
@@ -116,6 +118,12 @@ class Lot:
 DDL = "key string, n long"
 
 
+def _slices(keys: pa.Array, n: np.ndarray) -> Iterator[pa.RecordBatch]:
+    """Rows (key, n), some at a time: Spark holds a batch outside its heap."""
+    for k in range(0, len(n), ROWS):
+        yield pa.RecordBatch.from_arrays([keys[k : k + ROWS], pa.array(n[k : k + ROWS])], names=["key", "n"])
+
+
 @tidy
 def _count(batches: Iterator[pa.RecordBatch], now: Members | None, before: Members | None, most: int) -> Iterator[pa.RecordBatch]:
     """Counts by lot of the phrases whose parts ``now`` holds, and without a filter of all.
@@ -131,7 +139,7 @@ def _count(batches: Iterator[pa.RecordBatch], now: Members | None, before: Membe
         if not before:
             at = np.flatnonzero(codes >= 0)
             yield pa.RecordBatch.from_arrays([pa.array([" \t" + lang]), pa.array([len(at)])], names=["key", "n"])
-            yield pa.RecordBatch.from_arrays([*map(pa.array, lot.phrases(at, 1))], names=["key", "n"])
+            yield from _slices(*lot.phrases(at, 1))
         own = lot.hashes[codes]
         hashes, fits = own, codes >= 0
         inside = [holds(f, lot.hashes)[codes] & fits for f in filters]
@@ -142,7 +150,7 @@ def _count(batches: Iterator[pa.RecordBatch], now: Members | None, before: Membe
             if before:
                 counted = counted & ~inside[1]
             if len(at := np.flatnonzero(counted)):
-                yield pa.RecordBatch.from_arrays([*map(pa.array, lot.phrases(at, size))], names=["key", "n"])
+                yield from _slices(*lot.phrases(at, size))
             if size == most:
                 break
             hashes = mix(hashes[:-1] * U(BASE) + own[size - 1 :])
