@@ -12,6 +12,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from bandframe.llm.components import link_buckets
+from bandframe.llm.linededup import repeated_numbers
 from bandframe.llm.store import cut
 
 #: Pyramid steps, patch radius, binary tests, directions, and tables with the bits of each.
@@ -214,6 +215,7 @@ def image_copies(images: DataFrame) -> DataFrame:
     own = rows.withColumnRenamed("id", "node").join(chosen, ["node", "print"], "left_semi").dropDuplicates(["node"])
     own = cut(own.select("print", "node", "width", "height", "pixels").mapInArrow(_described, "print string, node long, n long, points binary"), "described")
     members = cut(own.select("node", "points").mapInArrow(_table_rows, "bucket long, part int, node long, weight long"), "members")
+    members = repeated_numbers(members, "bucket")  # nearly all keys are of one picture: they stay where they are
 
     def verify(pairs: DataFrame) -> DataFrame:
         pairs = cut(pairs, "pairs")

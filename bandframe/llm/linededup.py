@@ -41,22 +41,44 @@ def _segments(hashes: np.ndarray, bits: int) -> dict[int, bytes]:
     return {int(n): x.astype("<u2").tobytes() for n, x in zip(number, np.split(at % SEGMENT, start[1:]))}
 
 
-@tidy
-def _local_filters(batches: Iterator[pa.RecordBatch], bits: int, least: int, salts: int) -> Iterator[pa.RecordBatch]:
+PART = pa.schema([("segment", pa.int64()), ("salt", pa.int32()), ("once", pa.binary()), ("twice", pa.binary())])
+PART_DDL = "segment long, salt int, once binary, twice binary"
+#: Parts of a segment that are merged first by themselves, and hashes that a part sums up at most.
+SALTS, HELD = 64, 1 << 22
+
+
+def _part(hashes: np.ndarray, bits: int) -> Iterator[pa.RecordBatch]:
+    """What of a filter some hashes set, by segment."""
     from pyspark import TaskContext
 
+    values, counts = np.unique(hashes, return_counts=True)
+    if len(values):
+        once, twice = _segments(values, bits), _segments(values[counts > 1], bits)
+        salt = TaskContext.get().partitionId() % SALTS
+        columns = {"segment": list(once), "salt": [salt] * len(once), "once": list(once.values()), "twice": [twice.get(n, b"") for n in once]}
+        yield pa.RecordBatch.from_pydict(columns, schema=PART)
+
+
+@tidy
+def _local_filters(batches: Iterator[pa.RecordBatch], bits: int, least: int) -> Iterator[pa.RecordBatch]:
     hashes: list[int] = []
     for batch in batches:
         for text in batch.column(0).to_pylist():
             hashes += map(xxhash.xxh3_64_intdigest, keys_of(text, least))
-    values, counts = np.unique(np.array(hashes, np.uint64), return_counts=True)
-    if len(values):
-        once, twice = _segments(values, bits), _segments(values[counts > 1], bits)
-        salt = TaskContext.get().partitionId() % salts
-        yield pa.RecordBatch.from_pydict(
-            {"segment": list(once), "salt": [salt] * len(once), "once": list(once.values()), "twice": [twice.get(n, b"") for n in once]},
-            schema=pa.schema([("segment", pa.int64()), ("salt", pa.int32()), ("once", pa.binary()), ("twice", pa.binary())]),
-        )
+    yield from _part(np.array(hashes, np.uint64), bits)
+
+
+@tidy
+def _number_filters(batches: Iterator[pa.RecordBatch], bits: int) -> Iterator[pa.RecordBatch]:
+    held, n = [], 0
+    for batch in batches:
+        held.append(batch.column(0).to_numpy().view(np.uint64))
+        n += len(held[-1])
+        if n >= HELD:
+            yield from _part(np.concatenate(held), bits)
+            held, n = [], 0
+    if held:
+        yield from _part(np.concatenate(held), bits)
 
 
 def _merge(table: pa.Table, last: bool) -> pa.Table:
@@ -85,15 +107,37 @@ def line_count(docs: DataFrame, text_col: str) -> int:
 def twice_filter(docs: DataFrame, text_col: str, least: int, lines: int) -> tuple[bytes, int]:
     """The filter of hashes seen in two rows or more (compressed), and its size in bits: 8 for each of ``lines``."""
     bits = max(SEGMENT, 1 << (8 * lines - 1).bit_length())
-    salts = 64
-    parts = docs.select(text_col).mapInArrow(lambda x: _local_filters(x, bits, least, salts), "segment long, salt int, once binary, twice binary")
+    return _merged(docs.select(text_col).mapInArrow(lambda x: _local_filters(x, bits, least), PART_DDL), bits), bits
+
+
+def _merged(parts: DataFrame, bits: int) -> bytes:
+    """The filter of hashes seen twice (compressed) from the parts of all tasks."""
     merged = "segment long, once binary, twice binary"
     parts = parts.groupBy("segment", "salt").applyInArrow(lambda t: _merge(t, False), merged)
     parts = parts.groupBy("segment").applyInArrow(lambda t: _merge(t, True), merged)
     twice, step = bytearray(bits // 8), SEGMENT // 8
     for row in parts.select("segment", "twice").toLocalIterator():
         twice[row["segment"] * step : (row["segment"] + 1) * step] = row["twice"]
-    return zlib.compress(twice, 1), bits
+    return zlib.compress(twice, 1)
+
+
+def repeated_numbers(rows: DataFrame, column: str, max_filter_bits: int = 1 << 30) -> DataFrame:
+    """The rows whose number in a column (long, not null) another row has too, and a few others.
+
+    A filter of all numbers, 8 bits each and ``max_filter_bits`` at most, tells in the tasks which rows may be
+    repeated, so single ones, however many, aren't exchanged. ``rows`` is read twice: it is a written table.
+    """
+    bits = min(max(SEGMENT, 1 << (8 * max(rows.count(), 1) - 1).bit_length()), max_filter_bits)
+    packed = _merged(rows.select(column).mapInArrow(lambda x: _number_filters(x, bits), PART_DDL), bits)
+    sent, at = rows.sparkSession.sparkContext.broadcast(packed), rows.columns.index(column)
+
+    def kept(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        filled = np.frombuffer(zlib.decompress(sent.value), np.uint8)
+        for batch in batches:
+            spots = places(batch.column(at).to_numpy().view(np.uint64), bits)
+            yield batch.filter(pa.array(((filled[spots >> np.uint64(3)] >> (spots & np.uint64(7)).astype(np.uint8)) & 1).all(axis=0)))
+
+    return rows.mapInArrow(kept, rows.schema)
 
 
 #: Bits of a bucket of Spark's bitmaps.

@@ -409,6 +409,13 @@ def test_unique_lines_are_no_suspects_however_small_the_filter(spark):
     assert keys["shared by every document"] == 1000 and keys["shared by two"] == 2 and sum(keys.values()) < 1010
 
 
+def test_repeated_numbers(spark):
+    rows = cut(spark.range(3000).select(F.xxhash64(F.when(F.col("id") < 2900, F.col("id")).otherwise(F.col("id") % 50 - 1000)).alias("n"), "id").repartition(5), "numbers")
+    kept = {r["id"] for r in linededup.repeated_numbers(rows, "n").collect()}
+    assert set(range(2900, 3000)) <= kept and len(kept) < 300
+    assert linededup.repeated_numbers(rows.limit(0), "n").count() == 0
+
+
 def test_filters_of_parts_merge():
     import pyarrow as pa
 
