@@ -44,7 +44,7 @@ def _segments(hashes: np.ndarray, bits: int) -> dict[int, bytes]:
 PART = pa.schema([("segment", pa.int64()), ("salt", pa.int32()), ("once", pa.binary()), ("twice", pa.binary())])
 PART_DDL = "segment long, salt int, once binary, twice binary"
 #: Parts of a segment that are merged first by themselves, and hashes that a part sums up at most.
-SALTS, HELD = 64, 1 << 22
+SALTS, HELD = 64, 1 << 19
 
 
 def _part(hashes: np.ndarray, bits: int) -> Iterator[pa.RecordBatch]:
