@@ -343,6 +343,12 @@ def test_gathering_needs_one_shuffle_after_the_join(spark):
     assert "posexplode" not in plan and plan.count("Exchange hashpartitioning") <= 3  # two sides of the join, one grouping
 
 
+def test_augmentation_moves_a_crop_once_for_a_step_and_joins_nothing(spark):
+    one = G.training_table(cube(spark, 40), ([5.0], [2.0]), size=32, h=40, w=40, seed=1, epoch=2, scale=(0.8, 1.25), rotate=(5.0, 0.7))
+    plan = one._jdf.queryExecution().executedPlan().toString()
+    assert "Join" not in plan and plan.count("Exchange hashpartitioning") <= 2
+
+
 def test_classifier(spark):
     px = pixels(spark, SF).withColumn("bands", F.array((F.col("label") * 2 + F.col("p_milli") / 1000.0), F.lit(0.0), F.lit(1.0), F.lit(2.0)))
     for kind in ("logistic", "trees", "gaussian"):
