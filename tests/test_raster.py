@@ -349,6 +349,16 @@ def test_augmentation_moves_a_crop_once_for_a_step_and_joins_nothing(spark):
     assert "Join" not in plan and plan.count("Exchange hashpartitioning") <= 2
 
 
+def test_scale_jitter_with_ragged_null_and_absent_bands(spark):
+    rows = [("t", 0, 0, [1.0], 1), ("t", 0, 1, [2.0, 5.0], 1), ("t", 1, 0, [3.0, None], 0)]  # nothing at (1, 1), too few at (0, 0)
+    crop = spark.createDataFrame(rows, "tile string, row int, col int, bands array<double>, label int")
+    got = {(r["row"], r["col"]): (r["bands"], r["label"]) for r in G.rotate_small(crop, 2, 0.0, 1.0, 1).collect()}
+    assert got == {(0, 0): ([1.0, None], 1), (0, 1): ([2.0, 5.0], 1), (1, 0): ([3.0, None], 0), (1, 1): ([0.0, 0.0], 0)}
+    for n in (1, 2):
+        step = G.scale_jitter(crop.repartition(n), 2, 16.0, 16.0, 1)
+        assert "Join" not in step._jdf.queryExecution().executedPlan().toString() and 0 < step.count() <= 4
+
+
 def test_classifier(spark):
     px = pixels(spark, SF).withColumn("bands", F.array((F.col("label") * 2 + F.col("p_milli") / 1000.0), F.lit(0.0), F.lit(1.0), F.lit(2.0)))
     for kind in ("logistic", "trees", "gaussian"):
