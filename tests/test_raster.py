@@ -359,6 +359,14 @@ def test_scale_jitter_with_ragged_null_and_absent_bands(spark):
         assert "Join" not in step._jdf.queryExecution().executedPlan().toString() and 0 < step.count() <= 4
 
 
+def test_rotate_small_holds_one_crop(spark):
+    tiles = spark.range(40 * 64).select((F.col("id") / 64).cast("int").cast("string").alias("tile"), (F.col("id") % 64 / 8).cast("int").alias("row"), (F.col("id") % 8).cast("int").alias("col"), F.array(F.col("id").cast("double")).alias("bands"), F.lit(1).alias("label"))
+    turned = G.rotate_small(tiles, 8, 5.0, 1.0, 3)
+    plan = turned._jdf.queryExecution().executedPlan().toString()
+    assert "Join" not in plan and plan.count("Exchange hashpartitioning") == 1
+    assert turned.groupBy("tile").count().where("count = 64").count() == 40
+
+
 def test_classifier(spark):
     px = pixels(spark, SF).withColumn("bands", F.array((F.col("label") * 2 + F.col("p_milli") / 1000.0), F.lit(0.0), F.lit(1.0), F.lit(2.0)))
     for kind in ("logistic", "trees", "gaussian"):
