@@ -68,19 +68,41 @@ def shape_mismatches(layers: dict[str, DataFrame], tile: str = "tile") -> DataFr
     return same.where((F.col("shapes") > 1) | (F.col("layers") < len(layers)))
 
 
+#: Target cells whose source cells, found once for all keys, are sent to all tasks; larger grids are crossed by partitions.
+SENT_CELLS = 1 << 16
+
+
 def regrid_nearest(source: DataFrame, src_grid: dict[str, float], dst_grid: dict[str, float], values: list[str], to_src: Callable[[Column, Column], tuple[Column, Column]] | None = None, targets: DataFrame | None = None, keys: tuple[str, ...] = ()) -> DataFrame:
     """The source pixel nearest to each target pixel; outside of the source the values are null.
 
     Grids have an affine transform a to f, width and height. The centre of a target pixel goes to
     map coordinates, through ``to_src`` if the reference systems differ, and back to a source row
     and column, which makes the join an equi-join. ``source`` and ``targets`` have row and col and
-    the columns ``keys`` (a tile, say); without ``targets`` the whole target grid is made.
+    the columns ``keys`` (a tile, say); without ``targets`` the whole target grid is made, for each
+    of the keys that the source has.
+
+    The whole grid is projected once and not once for a key, and each source cell is joined once: the
+    target cells that it serves come out of it afterwards.
     """
     spark = source.sparkSession
-    if targets is None:
-        w = int(dst_grid["width"])
-        cells = spark.range(int(dst_grid["width"]) * int(dst_grid["height"]))
-        targets = cells.select((F.col("id") / w).cast("int").alias("row"), (F.col("id") % w).cast("int").alias("col"))
+    pixels = source.select(*keys, F.col("row").alias("src_row"), F.col("col").alias("src_col"), *values)
+    if targets is not None:
+        at = _source_cells(targets, src_grid, dst_grid, to_src)
+        return at.join(pixels, [*keys, "src_row", "src_col"], "left").select(*keys, "row", "col", *values)
+    w = int(dst_grid["width"])
+    n = w * int(dst_grid["height"])
+    cells = spark.range(n).select((F.col("id") / w).cast("int").alias("row"), (F.col("id") % w).cast("int").alias("col"))
+    lots = _source_cells(cells, src_grid, dst_grid, to_src).groupBy("src_row", "src_col").agg(F.collect_list(F.struct("row", "col")).alias("_cells"))
+    if keys:
+        parts = int(spark.conf.get("spark.sql.shuffle.partitions"))  # few keys make many rows: not left to one task
+        every = source.select(*keys).distinct().repartition(parts, *keys)
+        lots = every.crossJoin(F.broadcast(lots) if n <= SENT_CELLS else lots)
+    rows = lots.join(pixels, [*keys, "src_row", "src_col"], "left")
+    return rows.select(*keys, *values, F.inline("_cells")).select(*keys, "row", "col", *values)
+
+
+def _source_cells(targets: DataFrame, src_grid: dict[str, float], dst_grid: dict[str, float], to_src: Callable[[Column, Column], tuple[Column, Column]] | None) -> DataFrame:
+    """``targets`` with the source cell, src_row and src_col, that holds the centre of each."""
     g, s = dst_grid, src_grid
     x = g["a"] * (F.col("col") + 0.5) + g["b"] * (F.col("row") + 0.5) + g["c"]
     y = g["d"] * (F.col("col") + 0.5) + g["e"] * (F.col("row") + 0.5) + g["f"]
@@ -88,9 +110,7 @@ def regrid_nearest(source: DataFrame, src_grid: dict[str, float], dst_grid: dict
         x, y = to_src(x, y)
     det = s["a"] * s["e"] - s["b"] * s["d"]
     u, v = x - s["c"], y - s["f"]
-    at = targets.withColumn("src_col", F.floor((s["e"] * u - s["b"] * v) / det).cast("int")).withColumn("src_row", F.floor((s["a"] * v - s["d"] * u) / det).cast("int"))
-    pixels = source.select(*keys, F.col("row").alias("src_row"), F.col("col").alias("src_col"), *values)
-    return at.join(pixels, [*keys, "src_row", "src_col"], "left").select(*keys, "row", "col", *values)
+    return targets.withColumn("src_col", F.floor((s["e"] * u - s["b"] * v) / det).cast("int")).withColumn("src_row", F.floor((s["a"] * v - s["d"] * u) / det).cast("int"))
 
 
 def attach_stats(pixels: DataFrame, stats: DataFrame) -> DataFrame:

@@ -367,6 +367,27 @@ def test_rotate_small_holds_one_crop(spark):
     assert turned.groupBy("tile").count().where("count = 64").count() == 40
 
 
+def test_regrid_projects_a_grid_once_for_all_keys(spark, monkeypatch):
+    src = spark.createDataFrame([(t, r, c, t * 100 + r * 4 + c) for t in (1, 2) for r in range(4) for c in range(4) if (t, r, c) != (2, 1, 1)], "tile int, row int, col int, v int")
+    g = {"a": 20.0, "b": 0.0, "c": 0.0, "d": 0.0, "e": -20.0, "f": 80.0, "width": 4, "height": 4}
+    fine = g | {"a": 10.0, "e": -10.0, "c": -10.0, "width": 10, "height": 8}
+    told = spark.sparkContext.accumulator(0)
+
+    @F.udf("double")
+    def moved(x):
+        told.add(1)
+        return x
+
+    wanted = {(t, r, c): t * 100 + (r // 2) * 4 + (c - 1) // 2 if 1 <= c <= 8 and (t, r // 2, (c - 1) // 2) != (2, 1, 1) else None for t in (1, 2) for r in range(8) for c in range(10)}
+    for sent in (1 << 16, 0):
+        monkeypatch.setattr(J, "SENT_CELLS", sent)
+        rows = J.regrid_nearest(src, g, fine, ["v"], lambda x, y: (x, y), keys=("tile",)).collect()
+        assert len(rows) == 160 and {tuple(r)[:3]: r["v"] for r in rows} == wanted
+    monkeypatch.undo()
+    J.regrid_nearest(src, g, fine, ["v"], lambda x, y: (moved(x), y), keys=("tile",)).collect()
+    assert told.value == 80  # the cells of one grid, not of two tiles
+
+
 def test_classifier(spark):
     px = pixels(spark, SF).withColumn("bands", F.array((F.col("label") * 2 + F.col("p_milli") / 1000.0), F.lit(0.0), F.lit(1.0), F.lit(2.0)))
     for kind in ("logistic", "trees", "gaussian"):
