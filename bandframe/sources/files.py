@@ -318,6 +318,12 @@ def read_scenes(spark: SparkSession, root: str, scenes: list[tuple[int, str]]) -
     return found.withColumn("prob", F.nullif(F.col("prob"), F.lit(NODATA).cast("float")))
 
 
+def delete_folder(spark: SparkSession, folder: str) -> None:
+    """Delete a folder of a run, if it is there."""
+    path = spark._jvm.org.apache.hadoop.fs.Path(folder)
+    path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+
+
 def delete_scenes(spark: SparkSession, root: str, scenes: list[tuple[int, str]]) -> None:
     """Take back the probabilities of some scenes (year, scene_id)."""
     path = spark._jvm.org.apache.hadoop.fs.Path

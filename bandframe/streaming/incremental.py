@@ -5,18 +5,22 @@ from __future__ import annotations
 import time
 import zlib
 from collections.abc import Callable, Iterable
+from dataclasses import dataclass
 from datetime import UTC, datetime
 
 from pyspark.sql import Column, DataFrame, Row, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
+from pyspark.sql.types import StructField, StructType
 
 from bandframe.operators.evaluate import scene_summary
-from bandframe.sources.files import delete_scenes, read_scenes, read_some, scene_date, write_probability
+from bandframe.sources.files import delete_folder, delete_scenes, read_scenes, read_some, scene_date, write_probability
 
 #: Folders of the ledger; a batch reads those that its scenes fall into.
 LEDGER_BUCKETS = 64
 LEDGER = "scene_id string, year int, pixels long, status string, error string, bucket int, batch long"
+#: Folders of neighbouring scenes that a batch is split into when its scorer fails.
+SPLITS = 128
 PLACE = ("scene_id", "row", "col")
 Scorer = Callable[[DataFrame], DataFrame]
 
@@ -97,18 +101,56 @@ def _write_scored(work: DataFrame, scorer: Scorer, root: str, batch: int) -> dic
     return told
 
 
-def _score_apart(work: DataFrame, scenes: list[str], scorer: Scorer, root: str, batch: int, whole: bool = True) -> dict[str, str]:
+def _score_apart(work: DataFrame, scenes: list[str], scorer: Scorer, root: str, batch: int) -> dict[str, str]:
     """Score scenes together; if that fails, each half alone, down to the scenes that fail: their errors.
 
-    The others are written. A failing scene costs about two jobs for each halving.
+    The others are written. When they fail together their pixels are written once in ``SPLITS`` folders of
+    neighbouring scenes, so that a half reads its own folders: a failing scene costs as much as scoring all
+    scenes about twice again, in two jobs for each halving.
     """
     try:
-        return _write_scored(work if whole else _only(work, scenes), scorer, root, batch)
+        return _write_scored(work, scorer, root, batch)
     except Exception as e:
         if len(scenes) == 1:
             return {scenes[0]: _message(e)}
+    path = f"{root}/split/batch={batch}"
+    names = work.sparkSession.createDataFrame([(s, k * SPLITS // len(scenes)) for k, s in enumerate(scenes)], "scene_id string, _split int")
+    rows = work.join(F.broadcast(names), "scene_id").repartition("_split")
+    rows.write.partitionBy("_split").mode("overwrite").parquet(path)
+    try:
+        return _score_halves(_Split(path, work, scenes), scenes, scorer, root, batch)
+    finally:
+        delete_folder(work.sparkSession, path)
+
+
+@dataclass(frozen=True)
+class _Split:
+    """The pixels of a batch in folders of neighbouring scenes."""
+
+    path: str
+    work: DataFrame
+    scenes: list[str]
+
+    def of(self, first: int, last: int) -> DataFrame:
+        """The pixels of the scenes from number ``first`` up to ``last``, left out, in the columns of ``work``."""
+        n, spark = len(self.scenes), self.work.sparkSession
+        folders = sorted({k * SPLITS // n for k in range(first, last)})
+        kept = StructType([StructField(f.name, f.dataType) for f in self.work.schema])
+        rows = spark.read.schema(kept).parquet(*(f"{self.path}/_split={k}" for k in folders))
+        whole = all(k * SPLITS // n not in folders for k in (first - 1, last) if 0 <= k < n)
+        return rows if whole else _only(rows, self.scenes[first:last])
+
+
+def _score_halves(split: _Split, scenes: list[str], scorer: Scorer, root: str, batch: int, first: int = 0) -> dict[str, str]:
+    """The halves of scenes that failed together; ``first`` is the number of the first."""
+    errors: dict[str, str] = {}
     half = len(scenes) // 2
-    return {k: v for part in (scenes[:half], scenes[half:]) for k, v in _score_apart(work, part, scorer, root, batch, False).items()}
+    for at, part in ((first, scenes[:half]), (first + half, scenes[half:])):
+        try:
+            errors |= _write_scored(split.of(at, at + len(part)), scorer, root, batch)
+        except Exception as e:
+            errors |= {part[0]: _message(e)} if len(part) == 1 else _score_halves(split, part, scorer, root, batch, at)
+    return errors
 
 
 def score_batch(pixels: DataFrame, root: str, scorer: Scorer, batch: int, n_s1: int = 3, n_aef: int | None = None, shape: tuple[int, int] | None = None) -> None:

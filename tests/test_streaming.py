@@ -65,6 +65,29 @@ def test_a_failing_scorer_fails_its_scene_alone(spark, tmp_path, eager):
     assert S.read_probability(spark, str(tmp_path)).count() == 4 * 12
 
 
+@pytest.mark.parametrize("splits", [2, 4, 128])
+def test_halves_of_a_failing_batch_read_their_own_pixels(spark, tmp_path, monkeypatch, splits):
+    monkeypatch.setattr(X, "SPLITS", splits)
+    every = spark.range(16 * 12).select(F.concat(F.lit("s"), F.floor(F.col("id") / 12)).alias("scene_id"), F.lit(2025).alias("year"), F.floor(F.col("id") % 12 / 4).cast("int").alias("row"), (F.col("id") % 4).cast("int").alias("col"), F.array(*[F.lit(1.0)] * 3).alias("s1"), F.lit(0.5).alias("prob"))
+    every.repartition(1).write.parquet(f"{tmp_path}/in")
+
+    @F.udf("double")
+    def judged(name, prob):
+        if name == "s5":
+            raise ValueError("no idea")
+        return prob
+
+    root = f"{tmp_path}/out"
+    inputs = []
+    X.score_batch(spark.read.parquet(f"{tmp_path}/in"), root, lambda d: inputs.append(d.inputFiles()) or d.withColumn("prob", judged("scene_id", "prob")), 0)
+    rows = told(spark, root)
+    assert {k: v[:2] for k, v in rows.items()} == {f"s{i}": ("error", None) if i == 5 else ("ok", 12) for i in range(16)} and "PythonException" in rows["s5"][2]
+    assert S.read_probability(spark, root).count() == 15 * 12
+    again = [f for fs in inputs[1:] for f in fs]
+    assert again and not any("/in/" in f for f in again)  # the batch itself is scored from once
+    assert not (tmp_path / "out" / "split" / "batch=0").exists()
+
+
 def test_failed_blocks_fail_their_scene(spark, tmp_path):
     def numbers(blocks):
         if (blocks > 900).any():
