@@ -388,6 +388,13 @@ def test_regrid_projects_a_grid_once_for_all_keys(spark, monkeypatch):
     assert told.value == 80  # the cells of one grid, not of two tiles
 
 
+def test_lines_to_look_left_in_are_not_merged_to_one_sort(spark):
+    px = pixels(spark, SF).select("tile", "row", "col", "prob")
+    plan = tta_average(px, looks_left, "logit_mean", 30, 50)._jdf.queryExecution().executedPlan().toString()
+    dealt = [line for line in plan.splitlines() if "Exchange hashpartitioning(tile" in line and "flip" in line]
+    assert len(dealt) == 1 and "REPARTITION_BY_NUM" in dealt[0]
+
+
 def test_classifier(spark):
     px = pixels(spark, SF).withColumn("bands", F.array((F.col("label") * 2 + F.col("p_milli") / 1000.0), F.lit(0.0), F.lit(1.0), F.lit(2.0)))
     for kind in ("logistic", "trees", "gaussian"):
