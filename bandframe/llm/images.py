@@ -4,16 +4,16 @@ agree on one similarity transform."""
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
-import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from bandframe.llm.components import link_buckets
 from bandframe.llm.linededup import repeated_numbers
-from bandframe.llm.store import cut
+from bandframe.llm.store import cut, drop, shuffles_freed
 
 #: Pyramid steps, patch radius, binary tests, directions, and tables with the bits of each.
 SCALES, RADIUS, TESTS, TURNS, TABLES, TABLE_BITS = tuple(1.13**-k for k in range(7)), 7, 256, 64, 6, 40
@@ -26,6 +26,8 @@ NEAR, OFF = 56, 2.5
 NEEDED, PART = 5, 0.15
 #: Buckets of so many images give a row for each pair; in larger ones tasks compare the places.
 SMALL = 32
+#: Pairs that get the places of both images at a time, if there aren't more images than that.
+PAIRS_AT_ONCE = 1 << 16
 #: Pixels of images that are described in one go.
 LOT = 1 << 16
 POINT = np.dtype([("x", "<f4"), ("y", "<f4"), ("scale", "<f4"), ("angle", "<f4"), ("bits", "u1", TESTS // 8)])
@@ -153,26 +155,36 @@ def _described(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([batch.column("print"), batch.column("node"), n, pa.array([p.tobytes() for p in found], pa.binary())], names=["print", "node", "n", "points"])
 
 
-def table_keys(found: np.ndarray) -> list[np.ndarray]:
-    """Per table the distinct keys of the places of an image."""
-    bits, out = np.unpackbits(found["bits"], axis=1), []
+def _mixed(x: np.ndarray) -> np.ndarray:
+    """Numbers of 64 bits mixed one to one (Steele et al., 2014), so that any of their bits serve as a hash."""
+    for shift, factor in ((30, 0xBF58476D1CE4E5B9), (27, 0x94D049BB133111EB)):
+        x = (x ^ (x >> np.uint64(shift))) * np.uint64(factor)
+    return x ^ (x >> np.uint64(31))
+
+
+def table_keys(found: np.ndarray, image: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Per table the distinct keys of the places of images, whose numbers (rising) are given, as (image, key)."""
+    bits = np.unpackbits(found["bits"], axis=1)
     for t, reads in enumerate(READS):
-        keys = {xxhash.xxh3_64_intdigest(k.tobytes(), t) for k in np.packbits(bits[:, reads], axis=1)}
-        out.append(np.fromiter(keys, np.uint64, len(keys)).view(np.int64))
-    return out
+        wide = np.zeros((len(found), 8), np.uint8)
+        wide[:, : TABLE_BITS // 8], wide[:, 7] = np.packbits(bits[:, reads], axis=1), t
+        key = _mixed(wide.view("<u8")[:, 0])
+        order = np.lexsort((key, image))
+        key, of = key[order], image[order]
+        new = np.ones(len(key), bool)
+        new[1:] = (key[1:] != key[:-1]) | (of[1:] != of[:-1])
+        yield of[new], key[new].view(np.int64)
 
 
 def _table_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
-        nodes, parts, keys, weights = [], [], [], []
-        for node, raw in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
-            for t, key in enumerate(table_keys(np.frombuffer(raw, POINT))):
-                keys.append(key)
-                nodes.append(np.full(len(key), node, np.int64))
-                parts.append(np.full(len(key), t))
-                weights.append(np.full(len(key), len(raw)))
-        if nodes:
-            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(keys)), pa.array(np.concatenate(parts), pa.int32()), pa.array(np.concatenate(nodes)), pa.array(np.concatenate(weights), pa.int64())], names=["bucket", "part", "node", "weight"])
+    for whole in batches:
+        for k in range(0, whole.num_rows, 256):
+            batch = whole.slice(k, 256)
+            nodes, raw = batch.column(0).to_numpy(), batch.column(1).to_pylist()
+            sizes = np.array([len(x) for x in raw])
+            found = np.frombuffer(b"".join(raw), POINT)
+            for t, (i, key) in enumerate(table_keys(found, np.repeat(np.arange(len(raw)), sizes // POINT.itemsize))):
+                yield pa.RecordBatch.from_arrays([pa.array(key), pa.array(np.full(len(key), t), pa.int32()), pa.array(nodes[i]), pa.array(sizes[i], pa.int64())], names=["bucket", "part", "node", "weight"])
 
 
 def copies(one: list[bytes], two: list[bytes]) -> np.ndarray:
@@ -188,6 +200,24 @@ def _agreed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield batch.select(["u", "v"]).filter(pa.array(keep, pa.bool_()))
 
 
+def _verified(pairs: DataFrame, own: DataFrame, at_once: int) -> DataFrame:
+    """The pairs (u, v) that are copies, written.
+
+    A pair takes the places of both images along. There may be many times more pairs than images, so
+    they come in lots of about ``at_once``, and what a lot exchanged is deleted before the next.
+    """
+    pairs = cut(pairs, "pairs")
+    lots = max(1, -(-pairs.count() // at_once))
+    mine = lambda node, k: F.pmod(F.xxhash64(node), F.lit(lots)) == k
+    one, two = (own.select(F.col("node").alias(x), F.col("points").alias(f"points_{x}")) for x in "uv")
+    found = []
+    for k in range(lots):
+        lot = pairs.where(mine("u", k)).join(one.where(mine("u", k)), "u").join(two, "v")
+        found.append(cut(lot.select("u", "v", "points_u", "points_v").mapInArrow(_agreed, "u long, v long"), "agreed"))
+    drop(pairs)
+    return reduce(DataFrame.unionAll, found)
+
+
 def image_copies(images: DataFrame) -> DataFrame:
     """Components of images of which one is a cropped or edited copy of another.
 
@@ -199,7 +229,8 @@ def image_copies(images: DataFrame) -> DataFrame:
     first image is compared with the others, then in rounds the images that aren't yet connected (see
     ``link_buckets``): a row for each pair in buckets of ``SMALL`` images, within tasks in larger ones, so
     a mark that very many pictures share gives rows for copies only. Compared are mutual nearest places,
-    which must agree on turn, scale and shift (``alike``). A copy whose places share no key is missed: the
+    which must agree on turn, scale and shift (``alike``); pairs get their places in lots of about as many
+    as there are images, so what is exchanged at a time grows with the images only. A copy whose places share no key is missed: the
     tests measure recall on crops, noise and edits against a comparison of all pairs.
 
     Null pixels are no copy of anything. Pixels that don't fill width times height have no places and
@@ -210,22 +241,23 @@ def image_copies(images: DataFrame) -> DataFrame:
     rows = images.select(F.col("image_id").cast("bigint").alias("id"), F.col("width").cast("int").alias("width"), F.col("height").cast("int").alias("height"), "pixels")
     parts = F.concat_ws(",", F.coalesce("width", F.lit(-1)), F.coalesce("height", F.lit(-1)), F.coalesce(F.sha2("pixels", 256), F.lit("none")))
     rows = rows.withColumn("print", parts)
-    classes = cut(rows.where("id IS NOT NULL AND pixels IS NOT NULL").groupBy("print").agg(F.min("id").alias("node")), "classes")
-    chosen = classes.groupBy("node").agg(F.min("print").alias("print"))
-    own = rows.withColumnRenamed("id", "node").join(chosen, ["node", "print"], "left_semi").dropDuplicates(["node"])
-    own = cut(own.select("print", "node", "width", "height", "pixels").mapInArrow(_described, "print string, node long, n long, points binary"), "described")
-    members = cut(own.select("node", "points").mapInArrow(_table_rows, "bucket long, part int, node long, weight long"), "members")
-    members = repeated_numbers(members, "bucket")  # nearly all keys are of one picture: they stay where they are
-
-    def verify(pairs: DataFrame) -> DataFrame:
-        pairs = cut(pairs, "pairs")
-        one, two = (own.select(F.col("node").alias(x), F.col("points").alias(f"points_{x}")) for x in "uv")
-        return pairs.join(one, "u").join(two, "v").select("u", "v", "points_u", "points_v").mapInArrow(_agreed, "u long, v long")
-
-    sketch = lambda nodes: own.select("node", F.col("points").alias("sketch")).join(nodes, "node").select("node", "sketch")
-    found = link_buckets(members, sketch, lambda one, two, part: copies(one, two), verify, small=SMALL)
-    named = classes.join(found, "node", "left").join(own.select("node", "n"), "node", "left")
-    named = cut(named.select("print", "n", F.coalesce("component", "node").alias("component")), "named")
+    with shuffles_freed(images.sparkSession):
+        classes = cut(rows.where("id IS NOT NULL AND pixels IS NOT NULL").groupBy("print").agg(F.min("id").alias("node")), "classes")
+        chosen = classes.groupBy("node").agg(F.min("print").alias("print"))
+        own = rows.withColumnRenamed("id", "node").join(chosen, ["node", "print"], "left_semi").dropDuplicates(["node"])
+        own = cut(own.select("print", "node", "width", "height", "pixels").mapInArrow(_described, "print string, node long, n long, points binary"), "described")
+        every = cut(own.select("node", "points").mapInArrow(_table_rows, "bucket long, part int, node long, weight long"), "keys")
+        members = cut(repeated_numbers(every, "bucket"), "members")  # nearly all keys are of one picture: they stay where they are
+        drop(every)
+        at_once = max(PAIRS_AT_ONCE, own.count())
+
+        def verify(pairs: DataFrame) -> DataFrame:
+            return _verified(pairs, own, at_once)
+
+        sketch = lambda nodes: own.select("node", F.col("points").alias("sketch")).join(nodes, "node").select("node", "sketch")
+        found = link_buckets(members, sketch, lambda one, two, part: copies(one, two), verify, small=SMALL)
+        named = classes.join(found, "node", "left").join(own.select("node", "n"), "node", "left")
+        named = cut(named.select("print", "n", F.coalesce("component", "node").alias("component")), "named")
     component = F.when(F.col("id").isNotNull(), F.coalesce("component", "id"))
     return rows.select("id", "print").join(named, "print", "left").select(
         F.col("id").alias("image_id"), F.coalesce("n", F.lit(0)).cast("bigint").alias("n_points"), component.alias("component_id"), F.coalesce(component == F.col("id"), F.lit(True)).alias("kept")

@@ -6,6 +6,7 @@ import ctypes
 import tempfile
 import uuid
 from collections.abc import Callable, Iterator
+from contextlib import contextmanager
 from functools import wraps
 
 import pyarrow as pa
@@ -47,6 +48,25 @@ def drop(df: DataFrame) -> None:
         path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
 
 
+@contextmanager
+def shuffles_freed(spark: SparkSession) -> Iterator[None]:
+    """Meanwhile Spark deletes the shuffle files of an action as soon as that ends.
+
+    Else they stay until the driver happens to collect its garbage. Only for actions that end here, such as
+    ``cut``: an iterator over rows reads them later.
+    """
+    key = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+    before = spark.conf.get(key, None)
+    spark.conf.set(key, "true")
+    try:
+        yield
+    finally:
+        if before is None:
+            spark.conf.unset(key)
+        else:
+            spark.conf.set(key, before)
+
+
 def give_back() -> None:
     """Return freed memory to the system: a Python worker lives on after its task, beside others."""
     pa.default_memory_pool().release_unused()

@@ -660,6 +660,41 @@ def test_places_are_compared_in_tasks_of_large_buckets(spark, monkeypatch):
     assert out[0] == out[1]
 
 
+def test_keys_of_many_images_are_those_of_each():
+    rng = np.random.default_rng(9)
+    found = images.points(np.stack([images.picture(rng.normal(size=64).tolist()) for _ in range(4)]))
+    found[2] = found[2][:0]
+    at = np.repeat(np.arange(4), [len(p) for p in found])
+    keys = [(t, i, k) for t, (of, key) in enumerate(images.table_keys(np.concatenate(found), at)) for i, k in zip(of.tolist(), key.tolist())]
+    bits = [np.unpackbits(p["bits"], axis=1) for p in found]
+    each = {(t, i): len({row.tobytes() for row in b[:, reads]}) for t, reads in enumerate(images.READS) for i, b in enumerate(bits)}
+    assert len(set(keys)) == len(keys) and {at: n for at, n in each.items() if n} == Counter((t, i) for t, i, _ in keys)
+    assert len({k for _, _, k in keys}) > 0.9 * len(keys)
+
+
+def test_pairs_get_their_places_in_lots_whose_shuffles_are_deleted(spark, monkeypatch):
+    rng = np.random.default_rng(10)
+    pictures = [images.picture(rng.normal(size=64).tolist()) for _ in range(4)]
+    found = images.points(np.stack(pictures + [np.clip(p * 0.9 + 9, 0, 255).astype(np.uint8) for p in pictures]))
+    own = spark.createDataFrame([(i, p.tobytes()) for i, p in enumerate(found)], "node long, points binary")
+    pairs = spark.createDataFrame([(u, v) for u in range(8) for v in range(u + 1, 8)], "u long, v long")
+    lots = []
+    monkeypatch.setattr(images, "cut", lambda df, name: lots.append(name) or cut(df, name))
+    assert {tuple(r) for r in images._verified(pairs, own, 5).collect()} == {(i, i + 4) for i in range(4)}
+    assert lots.count("agreed") == 6  # 28 pairs
+    key, seen = "spark.sql.classic.shuffleDependency.fileCleanup.enabled", []
+    monkeypatch.setattr(images, "cut", lambda df, name: seen.append(spark.conf.get(key)) or cut(df, name))
+    rows = spark.createDataFrame([(i, 64, 64, p.tobytes()) for i, p in enumerate(pictures)], "image_id long, width int, height int, pixels binary")
+    before = spark.conf.get(key)
+    assert images.image_copies(rows).count() == 4 and set(seen) == {"true"} and spark.conf.get(key) == before
+
+
+def test_numbers_are_told_by_two_bytes_each():
+    hashes = np.random.default_rng(1).integers(0, 1 << 63, 10_000).astype(np.uint64)
+    sent = linededup._segments(hashes, 1 << 18, 1)
+    assert sum(map(len, sent.values())) <= 2 * len(hashes)
+
+
 # 10
 
 
