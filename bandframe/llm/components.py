@@ -7,7 +7,7 @@ from itertools import count
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from bandframe.llm.store import cut, drop
@@ -46,17 +46,46 @@ def components(edges: DataFrame) -> DataFrame:
         now, mark, old = small, seen, [small]
 
 
+def _apart(pairs: DataFrame, found: DataFrame) -> DataFrame:
+    """The pairs (u, v, ...) of different components, with these as cu and cv."""
+    name = lambda c: found.select(F.col("node").alias(c), F.col("component").alias(f"c{c}"))
+    ends = pairs.join(name("u"), "u", "left").join(name("v"), "v", "left")
+    return ends.withColumns({"cu": F.coalesce("cu", "u"), "cv": F.coalesce("cv", "v")}).where("cu <> cv")
+
+
 def joined_components(found: DataFrame, links: DataFrame) -> DataFrame:
     """``found`` after more links (u, v): only the components that they connect are worked on."""
-    name = lambda c: found.select(F.col("node").alias(c), F.col("component").alias(f"c{c}"))
-    ends = links.join(name("u"), "u", "left").join(name("v"), "v", "left")
-    ends = ends.select(F.coalesce("cu", "u").alias("u"), F.coalesce("cv", "v").alias("v")).where("u <> v").distinct()
+    ends = _apart(links, found).select(F.col("cu").alias("u"), F.col("cv").alias("v")).distinct()
     moved = components(cut(ends, "contracted"))
     of = moved.select(F.col("node").alias("component"), F.col("component").alias("least"))
     kept = found.join(of, "component", "left").select("node", F.coalesce("least", "component").alias("component"))
     return kept.union(moved)
 
 
+def _hub_links(pairs: DataFrame, verify: Callable[[DataFrame], DataFrame]) -> DataFrame:
+    """Components by the true ones of ``pairs`` (u, v, place), a written table that is deleted.
+
+    ``place`` numbers the pairs of each v from 1. The first of each come first, then eight times as many a v each
+    time, all that are left once they are no more than the first: always only those whose ends aren't connected yet.
+    """
+    found, upto, many = None, 1, pairs.where("place = 1").count()
+    while True:
+        links = cut(verify(pairs.where(F.col("place") <= upto).select("u", "v")), "links")
+        if found is None:
+            found = components(links)
+        elif not links.isEmpty():
+            old, found = found, cut(joined_components(found, links), "components")
+            drop(old)
+        drop(links)
+        old, pairs = pairs, cut(_apart(pairs.where(F.col("place") > upto), found).select("u", "v", "place"), "apart")
+        drop(old)
+        left, most = pairs.agg(F.count("*"), F.max("place")).first()
+        if not left:
+            drop(pairs)
+            return found
+        upto = 8 * upto if left > many else most
+
+
 #: Members of a bucket that one task compares at a time, members that it compares them with, and the
 #: bytes of sketches of either.
 CHUNK, HUBS, WEIGHT = 1024, 1024, 16 << 20
@@ -81,17 +110,19 @@ def _compared(hubs: pa.Table, members: pa.Table, candidates: Callable) -> pa.Tab
     return pa.table([pa.array(np.minimum(u, v)), pa.array(np.maximum(u, v))], schema=PAIRS)
 
 
-def link_buckets(members: DataFrame, sketch: Callable[[DataFrame], DataFrame], candidates: Callable, verify: Callable[[DataFrame], DataFrame], small: int = 0) -> DataFrame:
+def link_buckets(members: DataFrame, sketch: Callable[[DataFrame], DataFrame], candidates: Callable, verify: Callable[[DataFrame], DataFrame], small: int = 0, begin: Callable[[DataFrame], None] | None = None) -> DataFrame:
     """Components of all nodes that share a bucket and are true pairs: rows (node, component).
 
     ``members`` has rows (bucket, part, node, weight); ``part`` numbers the table of the bucket, and
     ``weight`` is about the bytes of the node's sketch. ``verify``
-    takes pairs (u, v), u < v, and returns the true ones; its first call holds every node that
-    shares a bucket with another. ``sketch`` gives for rows (node) a binary each, (node, sketch), and
+    takes pairs (u, v), u < v, and returns the true ones; ``begin`` is called before with the nodes (node) that
+    share a bucket with another. ``sketch`` gives for rows (node) a binary each, (node, sketch), and
     ``candidates(sketches of hubs, sketches of members, part)`` the matrix of pairs worth a test,
     where it may leave a pair to another part that both share.
 
-    First each bucket pairs its least node with the others, a row a member. In what follows only
+    First each bucket pairs its least node with the others. Near copies share many buckets, each with another
+    least node, so these pairs are tested by place: of each node first the one that shares the most buckets
+    with it, and then only pairs that aren't connected yet (``_hub_links``). In what follows only
     buckets count whose members are in several components. All their members outside the largest
     component (or a share of them by a hash of the node and the round, about ``HUBS`` or ``WEIGHT`` a
     round) are hubs: they are compared with the members by sketch, ``CHUNK`` or ``WEIGHT`` at a time and
@@ -106,8 +137,12 @@ def link_buckets(members: DataFrame, sketch: Callable[[DataFrame], DataFrame], c
     ends = members.groupBy("bucket").agg(F.min("node").alias("least"), F.max("node").alias("top")).where("least < top")
     hubs = cut(ends.select("bucket", "least"), "hubs")
     open_ = cut(members.join(hubs, "bucket").where("node > least"), "open")
-    links = cut(verify(open_.select(F.col("least").alias("u"), F.col("node").alias("v")).distinct()), "links")
-    found, before = components(links), [hubs, open_, links]
+    pairs = open_.groupBy(F.col("least").alias("u"), F.col("node").alias("v")).agg(F.count("*").alias("n"))
+    place = F.row_number().over(Window.partitionBy("v").orderBy(F.desc("n"), "u"))
+    pairs = cut(pairs.select("u", "v", place.alias("place")), "pairs")
+    if begin:
+        begin(pairs.select(F.col("u").alias("node")).union(pairs.select("v")).distinct())
+    found, before = _hub_links(pairs, verify), [hubs, open_]
     for turn in count(2):  # 1 salts the chunks
         named = open_.select("bucket", "part", "node", "weight").join(found, "node", "left")
         named = cut(named.select("bucket", "part", "node", "weight", F.coalesce("component", "node").alias("c")), "named")

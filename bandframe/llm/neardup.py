@@ -144,12 +144,12 @@ def near_duplicates(
     least = percent / 100 - slack
     texts: list[DataFrame] = []
 
+    def begin(nodes: DataFrame) -> None:
+        nodes = own.join(nodes.hint("merge"), "node").select(F.col("node").alias("id"), "mark")
+        texts.append(cut(docs.join(nodes.hint("merge"), ["id", "mark"]).select("id", "text").dropDuplicates(["id"]), "texts"))
+
     def verify(pairs: DataFrame) -> DataFrame:
         pairs = cut(pairs, "pairs")
-        if not texts:
-            nodes = pairs.select(F.col("u").alias("id")).union(pairs.select("v")).distinct()
-            nodes = own.select(F.col("node").alias("id"), "mark").join(nodes.hint("merge"), "id")
-            texts.append(cut(docs.join(nodes.hint("merge"), ["id", "mark"]).select("id", "text").dropDuplicates(["id"]), "texts"))
         one, two = (own.select(F.col("node").alias(x), F.col("n").alias(f"n_{x}"), F.col("sig").alias(f"sig_{x}")) for x in "uv")
         near = pairs.join(one.hint("merge"), "u").join(two.hint("merge"), "v").where(F.least("n_u", "n_v") * 100 >= F.greatest("n_u", "n_v") * percent)
         near = cut(near.select("u", "v", "sig_u", "sig_v").mapInArrow(lambda x: _alike(x, least), "u long, v long"), "near")
@@ -161,7 +161,7 @@ def near_duplicates(
         return rows_.mapInArrow(lambda x: _sketched(x, bands * rows, seed), "node long, sketch binary")
 
     likely = lambda one, two, part: likely_pairs(one, two, part, bands * rows, rows, least, percent)
-    found = link_buckets(members, sketch, likely, verify).withColumnRenamed("node", "rep")
+    found = link_buckets(members, sketch, likely, verify, begin=begin).withColumnRenamed("node", "rep")
     named = cut(classes.join(found, "rep", "left").select("print", F.coalesce("component", "rep").alias("component")), "named")
     component = F.when(F.col("id").isNotNull(), F.coalesce("component", "id"))
     return signs.select("id", "n", "print").join(named, "print", "left").select(

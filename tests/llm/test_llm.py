@@ -213,6 +213,36 @@ def test_buckets_of_unlinked_members_end(spark, monkeypatch, n, hubs, weight):
     assert tested == Counter((u, v) for u in nodes for v in range(u + 1, n + 1))
 
 
+def test_near_copies_of_many_buckets_give_few_pairs(spark):
+    """Near copies share many buckets, each with another least node; nodes of another group share a few by chance."""
+    rng = np.random.default_rng(3)
+    rows = {(b, int(k)) for b in range(600) for k in rng.choice(np.arange(100, 160), 4, replace=False)}
+    rows |= {(1000 + b, int(k)) for b in range(60) for k in rng.choice(200, 2, replace=False)}
+    true = lambda u, v: 100 <= u and v < 160 or u % 7 == v % 7
+    members = spark.createDataFrame([(b, 0, k, 8) for b, k in sorted(rows)], "bucket long, part int, node long, weight long")
+    tested, began = Counter(), []
+
+    def verify(pairs):
+        got = [(r["u"], r["v"]) for r in pairs.collect()]
+        tested.update(got)
+        return spark.createDataFrame([p for p in got if true(*p)], "u long, v long")
+
+    found = components.link_buckets(members, lambda nodes: nodes.withColumn("sketch", F.lit(b"")), lambda one, two, part: np.ones((len(one), len(two)), bool), verify, begin=lambda nodes: began.extend(r["node"] for r in nodes.collect()))
+    of = {}
+    for b, k in rows:
+        of.setdefault(b, set()).add(k)
+    pairs = {(u, v) for ks in of.values() for u in ks for v in ks if u < v}
+    links = [p for p in pairs if true(*p)]
+    to = {x: x for p in links for x in p}
+    for _ in to:
+        for a, b in links:
+            to[a] = to[b] = min(to[a], to[b])
+    assert {r["node"]: r["component"] for r in found.collect()} == {x: c for x, c in to.items() if x != c}
+    assert sorted(began) == sorted({x for p in pairs for x in p})
+    assert set(tested) <= pairs and max(tested.values()) == 1
+    assert len(pairs) > 1500 and sum(tested.values()) < 250
+
+
 @pytest.mark.parametrize("n", [3000, 4000, 10_000])
 def test_large_buckets_of_unlinked_members_end(spark, n):
     """The library's own sizes, with a sketch by which no pair is likely."""
