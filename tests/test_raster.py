@@ -367,6 +367,19 @@ def test_rotate_small_holds_one_crop(spark):
     assert turned.groupBy("tile").count().where("count = 64").count() == 40
 
 
+@pytest.mark.parametrize("step", ["scale", "rotate", "both"])
+def test_crops_are_dealt_out_by_their_pixels(spark, monkeypatch, step):
+    monkeypatch.setattr(G, "PART_PIXELS", 256, raising=False)
+    tiles = spark.range(40 * 64).select((F.col("id") / 64).cast("int").cast("string").alias("tile"), (F.col("id") % 64 / 8).cast("int").alias("row"), (F.col("id") % 8).cast("int").alias("col"), F.array(F.col("id").cast("double")).alias("bands"), F.lit(1).alias("label"))
+    steps = {"scale": lambda: G.scale_jitter(tiles, 8, 1.0, 1.0, 3), "rotate": lambda: G.rotate_small(tiles, 8, 5.0, 1.0, 3)}
+    both = lambda: G.training_table(tiles, ([5.0], [2.0]), size=8, h=8, w=8, seed=1, epoch=2, scale=(0.8, 1.25), rotate=(5.0, 0.7))
+    rows = steps.get(step, both)()
+    dealt = [line for line in rows._jdf.queryExecution().executedPlan().toString().splitlines() if "Exchange hashpartitioning(tile" in line]
+    assert len(dealt) == (2 if step == "both" else 1) and all(", 10), REPARTITION_BY_NUM" in line for line in dealt)
+    held = rows.withColumn("part", F.spark_partition_id()).groupBy("part").agg(F.countDistinct("tile").alias("tiles")).collect()
+    assert sum(r["tiles"] for r in held) == 40 and len(held) > 4  # shuffles of 4 parts, merged to fewer, before
+
+
 def test_regrid_projects_a_grid_once_for_all_keys(spark, monkeypatch):
     src = spark.createDataFrame([(t, r, c, t * 100 + r * 4 + c) for t in (1, 2) for r in range(4) for c in range(4) if (t, r, c) != (2, 1, 1)], "tile int, row int, col int, v int")
     g = {"a": 20.0, "b": 0.0, "c": 0.0, "d": 0.0, "e": -20.0, "f": 80.0, "width": 4, "height": 4}
