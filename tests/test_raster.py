@@ -380,6 +380,12 @@ def test_crops_are_dealt_out_by_their_pixels(spark, monkeypatch, step):
     assert sum(r["tiles"] for r in held) == 40 and len(held) > 4  # shuffles of 4 parts, merged to fewer, before
 
 
+def test_crops_are_dealt_out_without_a_sort_by_part(spark, monkeypatch):
+    assert G.crop_parts(spark.range(2560)) == spark.sparkContext.defaultParallelism
+    monkeypatch.setattr(G, "PART_PIXELS", 10)
+    assert G.crop_parts(spark.range(1500)) == 150 and G.crop_parts(spark.range(2560)) == 200  # 256 would be sorted in memory
+
+
 def test_regrid_projects_a_grid_once_for_all_keys(spark, monkeypatch):
     src = spark.createDataFrame([(t, r, c, t * 100 + r * 4 + c) for t in (1, 2) for r in range(4) for c in range(4) if (t, r, c) != (2, 1, 1)], "tile int, row int, col int, v int")
     g = {"a": 20.0, "b": 0.0, "c": 0.0, "d": 0.0, "e": -20.0, "f": 80.0, "width": 4, "height": 4}
