@@ -3,8 +3,9 @@ agree on one similarity transform."""
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-from functools import reduce
+from collections.abc import Callable, Iterator
+from functools import partial, reduce
+from math import ceil, sqrt
 
 import numpy as np
 import pyarrow as pa
@@ -12,8 +13,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from bandframe.llm.components import link_buckets
-from bandframe.llm.linededup import repeated_numbers
-from bandframe.llm.store import cut, drop, shuffles_freed
+from bandframe.llm.store import cut, drop, shuffles_freed, tidy
 
 #: Pyramid steps, patch radius, binary tests, directions, and tables with the bits of each.
 SCALES, RADIUS, TESTS, TURNS, TABLES, TABLE_BITS = tuple(1.13**-k for k in range(7)), 7, 256, 64, 6, 40
@@ -22,15 +22,22 @@ SCALES, RADIUS, TESTS, TURNS, TABLES, TABLE_BITS = tuple(1.13**-k for k in range
 SPREAD, REACH = 8, 12
 #: Bits that may differ between two places that match, and pixels that a place may be off.
 NEAR, OFF = 56, 2.5
+#: Bits that may differ between two places for a key that both have to be a sign of a copy: ``NEAR`` and some to spare.
+SIGN = NEAR + 8
 #: Places that must agree: so many, and this part of those of the image that has fewer.
 NEEDED, PART = 5, 0.15
 #: Buckets of so many images give a row for each pair; in larger ones tasks compare the places.
 SMALL = 32
+#: Places that come together in a task by their keys, and places of one key that are compared there.
+BLOCK, RUN = 1 << 16, 1 << 13
 #: Pairs that get the places of both images at a time, if there aren't more images than that.
 PAIRS_AT_ONCE = 1 << 16
 #: Pixels of images that are described in one go.
 LOT = 1 << 16
 POINT = np.dtype([("x", "<f4"), ("y", "<f4"), ("scale", "<f4"), ("angle", "<f4"), ("bits", "u1", TESTS // 8)])
+#: A place on its way to those of the same key: its image, the bytes of all places of that, and its tests.
+SENT = np.dtype([("node", "<i8"), ("weight", "<i4"), ("bits", "u1", TESTS // 8)])
+MEMBERS = "bucket long, part int, node long, weight long"
 
 
 def _pattern(seed: int = 7) -> np.ndarray:
@@ -42,15 +49,42 @@ def _pattern(seed: int = 7) -> np.ndarray:
 
 
 PATTERN = _pattern()
+#: Pixels that a turned test reaches beyond those that corners keep from the edge.
+BEYOND = int(abs(PATTERN).max()) - RADIUS
 #: Which tests each table reads.
 READS = [np.sort(np.random.default_rng(100 + t).choice(TESTS, TABLE_BITS, replace=False)) for t in range(TABLES)]
 
 
+def _padded(images: np.ndarray, r: int) -> np.ndarray:
+    """Images (..., row, col) with their edges repeated r times."""
+    h, w = images.shape[-2:]
+    out = np.empty((*images.shape[:-2], h + 2 * r, w + 2 * r))
+    out[..., r:-r, r:-r] = images
+    out[..., :r, r:-r], out[..., -r:, r:-r] = images[..., :1, :], images[..., -1:, :]
+    out[..., :r], out[..., -r:] = out[..., r : r + 1], out[..., -r - 1 : -r]
+    return out
+
+
 def _box(images: np.ndarray, r: int) -> np.ndarray:
     """Sums over squares of side 2r+1 of images (..., row, col), edges repeated."""
-    s = np.pad(images, [(0, 0)] * (images.ndim - 2) + [(r + 1, r + 1)] * 2, mode="edge").cumsum(-2).cumsum(-1)
-    k, (h, w) = 2 * r + 1, images.shape[-2:]
-    return (s[..., k:, k:] - s[..., :-k, k:] - s[..., k:, :-k] + s[..., :-k, :-k])[..., :h, :w]
+    s, k, (h, w) = _padded(images, r + 1), 2 * r + 1, images.shape[-2:]
+    np.cumsum(s, axis=-2, out=s)
+    np.cumsum(s, axis=-1, out=s)
+    out = s[..., k : k + h, k : k + w] - s[..., :h, k : k + w]
+    out -= s[..., k : k + h, :w]
+    out += s[..., :h, :w]
+    return out
+
+
+def _greatest(images: np.ndarray) -> np.ndarray:
+    """The greatest value within two pixels of each, in rows and columns, of images (n, row, col)."""
+    n, h, w = images.shape
+    s = np.full((n, h + 4, w + 4), -np.inf)
+    s[:, 2:-2, 2:-2] = images
+    two = np.maximum(s[:, :-1], s[:, 1:])
+    rows = np.maximum(np.maximum(two[:, :h], two[:, 2 : 2 + h]), s[:, 4:])
+    two = np.maximum(rows[..., :-1], rows[..., 1:])
+    return np.maximum(np.maximum(two[..., :w], two[..., 2 : 2 + w]), rows[..., 4:])
 
 
 def _resized(images: np.ndarray, scale: float) -> np.ndarray:
@@ -85,21 +119,19 @@ def points(images: np.ndarray) -> list[np.ndarray]:
         gy, gx = np.gradient(level, axis=(1, 2))
         a, b, c = (_box(g, 2) for g in (gx * gx, gy * gy, gx * gy))
         harris = a * b - c * c - 0.05 * (a + b) ** 2
-        most = np.pad(harris, ((0, 0), (2, 2), (2, 2)), constant_values=-np.inf)
-        most = np.maximum.reduce([most[:, k : k + h] for k in range(5)])
-        most = np.maximum.reduce([most[:, :, k : k + w] for k in range(5)])
-        top = (harris == most) & (harris > 0.01 * harris.max(axis=(1, 2), keepdims=True)) & (harris > 0)
+        top = (harris == _greatest(harris)) & (harris > 0.01 * harris.max(axis=(1, 2), keepdims=True)) & (harris > 0)
         top[:, :RADIUS], top[:, -RADIUS:], top[:, :, :RADIUS], top[:, :, -RADIUS:] = False, False, False, False
         n, ys, xs = np.nonzero(top)
-        patches = level[n[:, None], ys[:, None] + dy, xs[:, None] + dx]
+        patches = level.reshape(-1)[((n * h + ys) * w + xs)[:, None] + dy * w + dx]
         angle = np.arctan2((patches * dy).sum(1), (patches * dx).sum(1))
-        soft = _box(level, 2)
-        at = PATTERN[np.rint(angle / (2 * np.pi) * TURNS).astype(int) % TURNS]
-        y, x = (np.clip(p[:, None, None] + at[..., k], 0, m - 1) for p, k, m in ((ys, 1, h), (xs, 0, w)))
-        values = soft[n[:, None, None], y, x]
+        soft = _padded(_box(level, 2), BEYOND)
+        tall, wide = soft.shape[1:]
+        corner = ((n * tall + ys + BEYOND) * wide + xs + BEYOND)[:, None]
+        ends = (PATTERN[..., 1] * wide + PATTERN[..., 0])[np.rint(angle / (2 * np.pi) * TURNS).astype(int) % TURNS]
+        soft = soft.reshape(-1)
         found = np.zeros(len(ys), POINT)
         found["x"], found["y"], found["scale"], found["angle"] = xs / scale, ys / scale, scale, angle
-        found["bits"] = np.packbits(values[..., 0] < values[..., 1], axis=1)
+        found["bits"] = np.packbits(soft[corner + ends[..., 0]] < soft[corner + ends[..., 1]], axis=1)
         out.append(found)
         owner.append(n)
     if not out:
@@ -109,20 +141,25 @@ def points(images: np.ndarray) -> list[np.ndarray]:
     return np.split(every[order], np.cumsum(np.bincount(of, minlength=len(images)))[:-1])
 
 
-def agreement(one: np.ndarray, two: np.ndarray) -> int:
-    """Places of two images that match and agree on one similarity transform.
+def agreement(one: np.ndarray, two: np.ndarray, least: float = 0) -> int:
+    """Places of two images that match and agree on one similarity transform; 0 if fewer than ``least`` match.
 
     Matches are mutually nearest places within ``NEAR`` bits. Each match proposes the turn, scale
     and shift that it implies; its consensus is the matches that land within ``OFF`` pixels.
     """
     if not len(one) or not len(two):
         return 0
-    a, b = (np.ascontiguousarray(p["bits"]).view("<u8") for p in (one, two))
-    far = np.bitwise_count(a[:, None] ^ b[None]).sum(2)
+    a, b = (np.ascontiguousarray(p["bits"]).view("<u8").T.copy() for p in (one, two))
+    far = np.zeros((len(one), len(two)), np.uint16)
+    for x, y in zip(a, b):
+        far += np.bitwise_count(x[:, None] ^ y)
+    if (far.min(1) <= NEAR).sum() < least:
+        return 0
     best, back = far.argmin(1), far.argmin(0)
-    k = np.flatnonzero((back[best] == np.arange(len(a))) & (far[np.arange(len(a)), best] <= NEAR))
+    each = np.arange(len(one))
+    k = np.flatnonzero((back[best] == each) & (far[each, best] <= NEAR))
     p, q = one[k], two[best[k]]
-    if len(k) < 2:
+    if len(k) < max(2, least):
         return 0
     turn, size = q["angle"] - p["angle"], p["scale"] / q["scale"]
     z, t = p["x"] + 1j * p["y"], q["x"] + 1j * q["y"]
@@ -133,7 +170,8 @@ def agreement(one: np.ndarray, two: np.ndarray) -> int:
 
 def alike(one: np.ndarray, two: np.ndarray) -> bool:
     """Whether enough places of two images agree for one to be a copy of the other."""
-    return agreement(one, two) >= max(NEEDED, PART * min(len(one), len(two)))
+    least = max(NEEDED, PART * min(len(one), len(two)))
+    return agreement(one, two, least) >= least
 
 
 def _described(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -162,13 +200,17 @@ def _mixed(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(31))
 
 
+def _read(bits: np.ndarray, t: int) -> np.ndarray:
+    """The tests that a table reads, as a number for each place."""
+    wide, at = np.zeros((len(bits), 8), np.uint8), READS[t]
+    wide[:, : TABLE_BITS // 8] = np.packbits(bits[:, at >> 3] >> (7 - at % 8).astype(np.uint8) & 1, axis=1)
+    return wide.view("<u8")[:, 0]
+
+
 def table_keys(found: np.ndarray, image: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
     """Per table the distinct keys of the places of images, whose numbers (rising) are given, as (image, key)."""
-    bits = np.unpackbits(found["bits"], axis=1)
-    for t, reads in enumerate(READS):
-        wide = np.zeros((len(found), 8), np.uint8)
-        wide[:, : TABLE_BITS // 8], wide[:, 7] = np.packbits(bits[:, reads], axis=1), t
-        key = _mixed(wide.view("<u8")[:, 0])
+    for t in range(TABLES):
+        key = _mixed(_read(found["bits"], t) | np.uint64(t << 56))
         order = np.lexsort((key, image))
         key, of = key[order], image[order]
         new = np.ones(len(key), bool)
@@ -176,15 +218,113 @@ def table_keys(found: np.ndarray, image: np.ndarray) -> Iterator[tuple[np.ndarra
         yield of[new], key[new].view(np.int64)
 
 
-def _table_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+@tidy
+def _dealt(batches: Iterator[pa.RecordBatch], t: int, blocks: int) -> Iterator[pa.RecordBatch]:
+    """The places of images by blocks of the keys of a table: a row for each block of some images."""
     for whole in batches:
-        for k in range(0, whole.num_rows, 256):
-            batch = whole.slice(k, 256)
-            nodes, raw = batch.column(0).to_numpy(), batch.column(1).to_pylist()
+        for k in range(0, whole.num_rows, 4096):
+            batch = whole.slice(k, 4096)
+            raw = batch.column(1).to_pylist()
             sizes = np.array([len(x) for x in raw])
-            found = np.frombuffer(b"".join(raw), POINT)
-            for t, (i, key) in enumerate(table_keys(found, np.repeat(np.arange(len(raw)), sizes // POINT.itemsize))):
-                yield pa.RecordBatch.from_arrays([pa.array(key), pa.array(np.full(len(key), t), pa.int32()), pa.array(nodes[i]), pa.array(sizes[i], pa.int64())], names=["bucket", "part", "node", "weight"])
+            found, image = np.frombuffer(b"".join(raw), POINT), np.repeat(np.arange(len(raw)), sizes // POINT.itemsize)
+            rows = np.empty(len(found), SENT)
+            rows["node"], rows["weight"], rows["bits"] = batch.column(0).to_numpy()[image], sizes[image], found["bits"]
+            block = (_mixed(_read(rows["bits"], t)) % np.uint64(blocks)).astype(np.int64)
+            order = np.argsort(block, kind="stable")
+            numbers, start = np.unique(block[order], return_index=True)
+            parts = [x.tobytes() for x in np.split(rows[order], start[1:])] if len(rows) else []
+            yield pa.RecordBatch.from_arrays([pa.array(numbers), pa.array(parts, pa.binary())], names=["block", "places"])
+
+
+def _groups(near: Callable[[np.ndarray, np.ndarray], np.ndarray], n: int) -> np.ndarray:
+    """The least of n things that each is connected to, where ``near`` gives a matrix for some things and others."""
+    of, left = np.arange(n), np.arange(n)
+    while len(left):
+        first, front, left = left[0], left[:1], left[1:]
+        while len(front) and len(left):
+            hit = np.zeros(len(left), bool)
+            for k in range(0, len(front), 64):
+                hit |= near(front[k : k + 64], left).any(0)
+            front, left = left[hit], left[~hit]
+            of[front] = first
+    return of
+
+
+def _signs(rows: np.ndarray, t: int) -> Iterator[pa.RecordBatch]:
+    """Members of the buckets of a table, from all places with some keys.
+
+    The places of a key make a bucket for each group that is connected by places within ``SIGN`` bits or of
+    one image; those of more than ``RUN`` make one.
+    """
+    words, node, key = np.ascontiguousarray(rows["bits"]).view("<u8"), rows["node"], _read(rows["bits"], t)
+
+    def near(one: np.ndarray, two: np.ndarray) -> np.ndarray:
+        """Whether places are near, for the numbers of places (..., a) and (..., b)."""
+        one, two = one[..., :, None], two[..., None, :]
+        return (np.bitwise_count(words[one] ^ words[two]).sum(-1, dtype=np.uint16) <= SIGN) | (node[one] == node[two])
+
+    order = np.argsort(key, kind="stable")
+    start = np.flatnonzero(np.r_[True, np.diff(key[order]) != 0][: len(order)])
+    size = np.diff(np.r_[start, len(order)])
+    places, groups = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
+    for m in np.unique(size[size > 1]):
+        runs = order[start[size == m][:, None] + np.arange(m)]
+        if m > SMALL:
+            of = np.array([_groups(lambda a, b: near(run[a], run[b]), m) if m <= RUN else np.zeros(m, int) for run in runs])  # noqa: B023
+            places.append(runs.ravel())
+            groups.append(of.ravel())
+            continue
+        for some in np.array_split(runs, -(-runs.size * m >> 20)):
+            both, now = near(some, some), np.broadcast_to(np.arange(m), some.shape)
+            while (now != (then := np.where(both, now[:, None], m).min(2))).any():
+                now = then
+            places.append(some.ravel())
+            groups.append(now.ravel())
+    at, group = np.concatenate(places), np.concatenate(groups)
+    bucket = key[at].view(np.int64) | group << TABLE_BITS | t << 56
+    order = np.lexsort((node[at], bucket))
+    bucket, at = bucket[order], at[order]
+    new = np.ones(len(at), bool)
+    new[1:] = (bucket[1:] != bucket[:-1]) | (node[at[1:]] != node[at[:-1]])
+    bucket, at = bucket[new], at[new]
+    _, back, many = np.unique(bucket, return_inverse=True, return_counts=True)
+    bucket, at = bucket[many[back] > 1], at[many[back] > 1]
+    columns = [pa.array(bucket), pa.array(np.full(len(at), t, np.int32)), pa.array(node[at]), pa.array(rows["weight"][at].astype(np.int64))]
+    yield pa.RecordBatch.from_arrays(columns, names=["bucket", "part", "node", "weight"])
+
+
+def _met(t: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """What finds the members of buckets among the places of a block.
+
+    Places of a key that has more than ``RUN`` are passed on as they come, so it holds a block without those.
+    """
+
+    def met(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, common, most = np.zeros(0, SENT), np.zeros(0, np.uint64), 4 * BLOCK
+        for batch in batches:
+            for k in range(0, batch.num_rows, 256):
+                held = np.concatenate([held, np.frombuffer(b"".join(batch.column("places")[k : k + 256].to_pylist()), SENT)])
+                if len(held) <= most:
+                    continue
+                key = _read(held["bits"], t)
+                found, n = np.unique(key, return_counts=True)
+                common = np.union1d(common, found[n > RUN])
+                out = np.isin(key, common)
+                yield _passed(held[out], t)
+                held = held[~out]
+                most = max(4 * BLOCK, 2 * len(held))
+        out = np.isin(_read(held["bits"], t), common)
+        yield _passed(held[out], t)
+        yield from _signs(held[~out], t)
+
+    return met
+
+
+def _passed(rows: np.ndarray, t: int) -> pa.RecordBatch:
+    """Members of the buckets of common keys."""
+    bucket = _read(rows["bits"], t).view(np.int64) | t << 56
+    columns = [pa.array(bucket), pa.array(np.full(len(rows), t, np.int32)), pa.array(rows["node"]), pa.array(rows["weight"].astype(np.int64))]
+    return pa.RecordBatch.from_arrays(columns, names=["bucket", "part", "node", "weight"])
 
 
 def copies(one: list[bytes], two: list[bytes]) -> np.ndarray:
@@ -200,20 +340,33 @@ def _agreed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield batch.select(["u", "v"]).filter(pa.array(keep, pa.bool_()))
 
 
+def bucket_members(own: DataFrame) -> list[DataFrame]:
+    """Members of buckets (bucket, part, node, weight) by each table, written, of images (node, n, points)."""
+    blocks, found = max(1, -(-(own.agg(F.sum("n")).first()[0] or 0) // BLOCK)), []
+    for t in range(TABLES):  # one after the other: the tests of all places are exchanged each time
+        dealt = own.select("node", "points").mapInArrow(partial(_dealt, t=t, blocks=blocks), "block long, places binary")
+        found.append(cut(dealt.groupBy("block").applyInArrow(_met(t), MEMBERS), "members"))
+    return found
+
+
 def _verified(pairs: DataFrame, own: DataFrame, at_once: int) -> DataFrame:
     """The pairs (u, v) that are copies, written.
 
     A pair takes the places of both images along. There may be many times more pairs than images, so
-    they come in lots of about ``at_once``, and what a lot exchanged is deleted before the next.
+    they come in lots of about ``at_once``, and what a lot exchanged is deleted before the next. A lot has a part
+    of the u and a part of the v, so that the places of all images are exchanged by the root of the lots.
     """
     pairs = cut(pairs, "pairs")
     lots = max(1, -(-pairs.count() // at_once))
-    mine = lambda node, k: F.pmod(F.xxhash64(node), F.lit(lots)) == k
+    mine = lambda node, k, n: F.pmod(F.xxhash64(node), F.lit(n)) == k
     one, two = (own.select(F.col("node").alias(x), F.col("points").alias(f"points_{x}")) for x in "uv")
-    found = []
-    for k in range(lots):
-        lot = pairs.where(mine("u", k)).join(one.where(mine("u", k)), "u").join(two, "v")
-        found.append(cut(lot.select("u", "v", "points_u", "points_v").mapInArrow(_agreed, "u long, v long"), "agreed"))
+    found, wide = [], ceil(sqrt(lots))
+    tall = -(-lots // wide)
+    for i in range(tall):
+        across = lots // tall + (i < lots % tall)
+        for j in range(across):
+            lot = pairs.where(mine("u", i, tall) & mine("v", j, across)).join(one.where(mine("u", i, tall)), "u").join(two.where(mine("v", j, across)), "v")
+            found.append(cut(lot.select("u", "v", "points_u", "points_v").mapInArrow(_agreed, "u long, v long"), "agreed"))
     drop(pairs)
     return reduce(DataFrame.unionAll, found)
 
@@ -224,8 +377,11 @@ def image_copies(images: DataFrame) -> DataFrame:
     ``images`` has image_id, width, height, pixels (grey bytes, row by row). Returns image_id,
     n_points, component_id (least id) and kept (id = component_id).
 
-    Equal images are one class, told by a 256-bit hash, and described once. Two classes share a
-    bucket if a place of each agrees in the ``TABLE_BITS`` tests of one of ``TABLES`` tables. Each bucket's
+    Equal images are one class, told by a 256-bit hash, and described once. Two places share a key if
+    they agree in the ``TABLE_BITS`` tests of one of ``TABLES`` tables. The places of a table come together in
+    blocks by their keys, one table after the other, and those of a key that differ in at most ``SIGN`` bits,
+    directly or by others, make a bucket of their images. Unrelated images share keys by chance, mostly of
+    places that differ in more tests than a match may, and those tell nothing of copies. Each bucket's
     first image is compared with the others, then in rounds the images that aren't yet connected (see
     ``link_buckets``): a row for each pair in buckets of ``SMALL`` images, within tasks in larger ones, so
     a mark that very many pictures share gives rows for copies only. Compared are mutual nearest places,
@@ -242,13 +398,13 @@ def image_copies(images: DataFrame) -> DataFrame:
     parts = F.concat_ws(",", F.coalesce("width", F.lit(-1)), F.coalesce("height", F.lit(-1)), F.coalesce(F.sha2("pixels", 256), F.lit("none")))
     rows = rows.withColumn("print", parts)
     with shuffles_freed(images.sparkSession):
-        classes = cut(rows.where("id IS NOT NULL AND pixels IS NOT NULL").groupBy("print").agg(F.min("id").alias("node")), "classes")
-        chosen = classes.groupBy("node").agg(F.min("print").alias("print"))
-        own = rows.withColumnRenamed("id", "node").join(chosen, ["node", "print"], "left_semi").dropDuplicates(["node"])
+        prints = cut(rows.select("id", "print", F.col("pixels").isNotNull().alias("filled")), "prints")
+        classes = cut(prints.where("id IS NOT NULL AND filled").groupBy("print").agg(F.min("id").alias("node")), "classes")
+        chosen = classes.groupBy("node").agg(F.min("print").alias("chosen"))
+        own = rows.withColumnRenamed("id", "node").join(chosen, "node").where("print = chosen").dropDuplicates(["node"])
         own = cut(own.select("print", "node", "width", "height", "pixels").mapInArrow(_described, "print string, node long, n long, points binary"), "described")
-        every = cut(own.select("node", "points").mapInArrow(_table_rows, "bucket long, part int, node long, weight long"), "keys")
-        members = cut(repeated_numbers(every, "bucket"), "members")  # nearly all keys are of one picture: they stay where they are
-        drop(every)
+        tables = bucket_members(own)
+        members = reduce(DataFrame.unionAll, tables)
         at_once = max(PAIRS_AT_ONCE, own.count())
 
         def verify(pairs: DataFrame) -> DataFrame:
@@ -256,10 +412,12 @@ def image_copies(images: DataFrame) -> DataFrame:
 
         sketch = lambda nodes: own.select("node", F.col("points").alias("sketch")).join(nodes, "node").select("node", "sketch")
         found = link_buckets(members, sketch, lambda one, two, part: copies(one, two), verify, small=SMALL)
+        for table in tables:
+            drop(table)
         named = classes.join(found, "node", "left").join(own.select("node", "n"), "node", "left")
         named = cut(named.select("print", "n", F.coalesce("component", "node").alias("component")), "named")
     component = F.when(F.col("id").isNotNull(), F.coalesce("component", "id"))
-    return rows.select("id", "print").join(named, "print", "left").select(
+    return prints.select("id", "print").join(named, "print", "left").select(
         F.col("id").alias("image_id"), F.coalesce("n", F.lit(0)).cast("bigint").alias("n_points"), component.alias("component_id"), F.coalesce(component == F.col("id"), F.lit(True)).alias("kept")
     )
 

@@ -719,6 +719,85 @@ def test_pairs_get_their_places_in_lots_whose_shuffles_are_deleted(spark, monkey
     assert images.image_copies(rows).count() == 4 and set(seen) == {"true"} and spark.conf.get(key) == before
 
 
+def places_of(rng, n, keys, spread):
+    """Places of which many share a key of the first table, with up to so many other bits turned."""
+    reads = set(images.READS[0].tolist())
+    free = np.array([k for k in range(images.TESTS) if k not in reads])
+    bits = rng.integers(0, 2, (keys, images.TESTS))[rng.integers(0, keys, n)]
+    for row in bits:
+        row[rng.choice(free, rng.integers(0, spread), replace=False)] ^= 1
+    return np.packbits(bits.astype(np.uint8), axis=1)
+
+
+def signs_of(node, bits, t=0, sign=None):
+    """Buckets as sets of images, by comparing the places of each key with one another; sign=None: of the key alone."""
+    of, to = {}, list(range(len(node)))
+    for i, row in enumerate(np.unpackbits(bits, axis=1)[:, images.READS[t]]):
+        of.setdefault(row.tobytes(), []).append(i)
+    far = np.bitwise_count(bits[:, None] ^ bits).sum(2, dtype=int)
+    for run in of.values():
+        for _ in run:
+            for i in run:
+                for j in run:
+                    if sign is None or node[i] == node[j] or far[i, j] <= sign:
+                        to[i] = to[j] = min(to[i], to[j])
+    found = {}
+    for i, root in enumerate(to):
+        found.setdefault(root, set()).add(int(node[i]))
+    return sorted(sorted(x) for x in found.values() if len(x) > 1)
+
+
+def test_places_that_share_a_key_by_chance_make_no_bucket(spark):
+    """Six tests in ten agree by chance with those of a key; such images were all compared before."""
+    rng = np.random.default_rng(11)
+    found = np.zeros(120, images.POINT)
+    found["bits"] = places_of(rng, 120, 30, 80)
+    node = np.arange(1000, 1120)
+    own = spark.createDataFrame([(int(i), 1, p.tobytes()) for i, p in zip(node, found)], "node long, n long, points binary")
+    members = images.bucket_members(own)
+    assert len(members) == images.TABLES
+    got = {}
+    for r in members[0].collect():
+        got.setdefault(r["bucket"], set()).add(r["node"])
+        assert r["part"] == 0 and r["weight"] == images.POINT.itemsize
+    want = signs_of(node, found["bits"], sign=images.SIGN)
+    assert sorted(map(sorted, got.values())) == want != signs_of(node, found["bits"])
+    assert images.bucket_members(own.limit(0))[0].count() == 0
+
+
+@pytest.mark.parametrize("small,run,block", [(32, 1 << 13, 1 << 16), (2, 1 << 13, 1), (3, 25, 1), (2, 2, 1 << 16), (2, 5, 8)])
+def test_members_of_buckets_whatever_comes_together(monkeypatch, small, run, block):
+    """Few or many places of a key, at once or as they come; common keys make one bucket."""
+    import pyarrow as pa
+
+    rng = np.random.default_rng(small + run)
+    rows = np.zeros(300, images.SENT)
+    rows["node"], rows["weight"] = rng.integers(0, 200, 300), 48
+    rows["bits"] = places_of(rng, 300, 12, 90)
+    rows["bits"][:20], rows["node"][:20] = rows["bits"][0], np.arange(20)
+    for name, value in (("SMALL", small), ("RUN", run), ("BLOCK", block)):
+        monkeypatch.setattr(images, name, value)
+    batches = [pa.RecordBatch.from_pydict({"block": [7] * 3, "places": [x.tobytes() for x in np.split(part, [10, 11])]}) for part in np.split(rows, 6)]
+    got = {}
+    for batch in images._met(0)(iter(batches)):
+        for r in batch.to_pylist():
+            got.setdefault(r["bucket"], set()).add(r["node"])
+    got = sorted(sorted(x) for x in got.values())
+    by_key, near = signs_of(rows["node"], rows["bits"]), signs_of(rows["node"], rows["bits"], sign=images.SIGN)
+    assert got == near if run > 300 else all(any(set(x) <= set(y) for y in got) for x in near) and all(any(set(x) <= set(y) for y in by_key) for x in got)
+    assert len(by_key) == 12 and (run > 2 or got == by_key)
+
+
+def test_few_matches_are_refused_as_by_the_whole_comparison():
+    rng = np.random.default_rng(12)
+    pictures = np.stack([images.picture(rng.normal(size=64).tolist()) for _ in range(12)])
+    one, two = images.points(pictures), images.points(np.stack([images.warped(m, 0.75) for m in pictures]))
+    for a, b in [(a, b) for a in one[:6] for b in two[:6]] + [(a[:k], b) for a, b in zip(one, two) for k in (0, 1, 4, 9, 30)]:
+        whole = images.agreement(a, b)
+        assert images.agreement(a, b, whole) == whole
+        assert images.alike(a, b) == (whole >= max(images.NEEDED, images.PART * min(len(a), len(b))))
+
+
 def test_numbers_are_told_by_two_bytes_each():
     hashes = np.random.default_rng(1).integers(0, 1 << 63, 10_000).astype(np.uint64)
     sent = linededup._segments(hashes, 1 << 18, 1)
