@@ -22,14 +22,15 @@ SCALES, RADIUS, TESTS, TURNS, TABLES, TABLE_BITS = tuple(1.13**-k for k in range
 SPREAD, REACH = 8, 12
 #: Bits that may differ between two places that match, and pixels that a place may be off.
 NEAR, OFF = 56, 2.5
-#: Bits that may differ between two places for a key that both have to be a sign of a copy: ``NEAR`` and some to spare.
-SIGN = NEAR + 8
+#: Bits that may differ between two places for a key that both have to be a sign of a copy: ``NEAR`` and some to spare;
+#: and for one that is nearly sure.
+SIGN, SURE = NEAR + 8, NEAR - 16
 #: Places that must agree: so many, and this part of those of the image that has fewer.
 NEEDED, PART = 5, 0.15
 #: Buckets of so many images give a row for each pair; in larger ones tasks compare the places.
 SMALL = 32
-#: Places that come together in a task by their keys, and places of one key that are compared there.
-BLOCK, RUN = 1 << 16, 1 << 13
+#: Places that come together in a task by their keys, places of one key of which pairs are told apart, and places that are compared there.
+BLOCK, TOLD, RUN = 1 << 16, 256, 1 << 13
 #: Pairs that get the places of both images at a time, if there aren't more images than that.
 PAIRS_AT_ONCE = 1 << 16
 #: Pixels of images that are described in one go.
@@ -253,35 +254,40 @@ def _groups(near: Callable[[np.ndarray, np.ndarray], np.ndarray], n: int) -> np.
 def _signs(rows: np.ndarray, t: int) -> Iterator[pa.RecordBatch]:
     """Members of the buckets of a table, from all places with some keys.
 
-    The places of a key make a bucket for each group that is connected by places within ``SIGN`` bits or of
-    one image; those of more than ``RUN`` make one.
+    The places of a key make a bucket for each group that is connected by places within ``SURE`` bits or of
+    one image, and one for each pair of other images with places within ``SIGN`` bits. Those of more than ``TOLD``
+    make one for each group that is connected by the latter, those of more than ``RUN`` one.
     """
     words, node, key = np.ascontiguousarray(rows["bits"]).view("<u8"), rows["node"], _read(rows["bits"], t)
 
-    def near(one: np.ndarray, two: np.ndarray) -> np.ndarray:
-        """Whether places are near, for the numbers of places (..., a) and (..., b)."""
+    def apart(one: np.ndarray, two: np.ndarray) -> np.ndarray:
+        """The bits by which places differ, 0 in one image, for the numbers of places (..., a) and (..., b)."""
         one, two = one[..., :, None], two[..., None, :]
-        return (np.bitwise_count(words[one] ^ words[two]).sum(-1, dtype=np.uint16) <= SIGN) | (node[one] == node[two])
+        return np.bitwise_count(words[one] ^ words[two]).sum(-1, dtype=np.uint16) * (node[one] != node[two])
 
     order = np.argsort(key, kind="stable")
     start = np.flatnonzero(np.r_[True, np.diff(key[order]) != 0][: len(order)])
     size = np.diff(np.r_[start, len(order)])
-    places, groups = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
+    places, groups, pairs = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)], [np.zeros((2, 0), np.int64)]
     for m in np.unique(size[size > 1]):
         runs = order[start[size == m][:, None] + np.arange(m)]
-        if m > SMALL:
-            of = np.array([_groups(lambda a, b: near(run[a], run[b]), m) if m <= RUN else np.zeros(m, int) for run in runs])  # noqa: B023
+        if m > TOLD:
+            of = np.array([_groups(lambda a, b: apart(run[a], run[b]) <= SIGN, m) if m <= RUN else np.zeros(m, int) for run in runs])  # noqa: B023
             places.append(runs.ravel())
             groups.append(of.ravel())
             continue
         for some in np.array_split(runs, -(-runs.size * m >> 20)):
-            both, now = near(some, some), np.broadcast_to(np.arange(m), some.shape)
-            while (now != (then := np.where(both, now[:, None], m).min(2))).any():
+            far, now = apart(some, some), np.broadcast_to(np.arange(m), some.shape)
+            while (now != (then := np.where(far <= SURE, now[:, None], m).min(2))).any():
                 now = then
             places.append(some.ravel())
             groups.append(now.ravel())
-    at, group = np.concatenate(places), np.concatenate(groups)
+            r, i, j = np.nonzero((far <= SIGN) & (now[:, :, None] < now[:, None]))
+            pairs.append(np.stack([some[r, i], some[r, j]]))
+    at, group, both = np.concatenate(places), np.concatenate(groups), np.concatenate(pairs, axis=1)
     bucket = key[at].view(np.int64) | group << TABLE_BITS | t << 56
+    ends = np.sort(node[both], axis=0).view(np.uint64)
+    bucket, at = np.concatenate([bucket, *[_mixed(ends[0] ^ _mixed(ends[1])).view(np.int64)] * 2]), np.concatenate([at, *both])
     order = np.lexsort((node[at], bucket))
     bucket, at = bucket[order], at[order]
     new = np.ones(len(at), bool)
@@ -379,8 +385,8 @@ def image_copies(images: DataFrame) -> DataFrame:
 
     Equal images are one class, told by a 256-bit hash, and described once. Two places share a key if
     they agree in the ``TABLE_BITS`` tests of one of ``TABLES`` tables. The places of a table come together in
-    blocks by their keys, one table after the other, and those of a key that differ in at most ``SIGN`` bits,
-    directly or by others, make a bucket of their images. Unrelated images share keys by chance, mostly of
+    blocks by their keys, one table after the other, and those of a key that differ in at most ``SIGN`` bits
+    make a bucket of their images (``_signs``). Unrelated images share keys by chance, mostly of
     places that differ in more tests than a match may, and those tell nothing of copies. Each bucket's
     first image is compared with the others, then in rounds the images that aren't yet connected (see
     ``link_buckets``): a row for each pair in buckets of ``SMALL`` images, within tasks in larger ones, so

@@ -729,63 +729,63 @@ def places_of(rng, n, keys, spread):
     return np.packbits(bits.astype(np.uint8), axis=1)
 
 
-def signs_of(node, bits, t=0, sign=None):
-    """Buckets as sets of images, by comparing the places of each key with one another; sign=None: of the key alone."""
-    of, to = {}, list(range(len(node)))
-    for i, row in enumerate(np.unpackbits(bits, axis=1)[:, images.READS[t]]):
-        of.setdefault(row.tobytes(), []).append(i)
-    far = np.bitwise_count(bits[:, None] ^ bits).sum(2, dtype=int)
-    for run in of.values():
+def signs_of(node, bits, near=None, sure=0, t=0):
+    """Pairs of images with places of one key, within so many bits of one another or connected by surer places."""
+    same, reads = {}, np.unpackbits(bits, axis=1)[:, images.READS[t]]
+    for i, row in enumerate(reads):
+        same.setdefault(row.tobytes(), []).append(i)
+    far, found = np.bitwise_count(bits[:, None] ^ bits).sum(2, dtype=int), set()
+    far[node[:, None] == node] = 0
+    for run in same.values():
+        to = {i: i for i in run}
         for _ in run:
             for i in run:
                 for j in run:
-                    if sign is None or node[i] == node[j] or far[i, j] <= sign:
+                    if far[i, j] <= sure:
                         to[i] = to[j] = min(to[i], to[j])
-    found = {}
-    for i, root in enumerate(to):
-        found.setdefault(root, set()).add(int(node[i]))
-    return sorted(sorted(x) for x in found.values() if len(x) > 1)
+        found |= {(int(node[i]), int(node[j])) for i in run for j in run if near is None or far[i, j] <= near or to[i] == to[j]}
+    return {(u, v) for u, v in found if u < v}
+
+
+def pairs_of(rows):
+    got = {}
+    for r in rows:
+        got.setdefault(r["bucket"], set()).add(r["node"])
+    return {(u, v) for x in got.values() for u in x for v in x if u < v}
 
 
 def test_places_that_share_a_key_by_chance_make_no_bucket(spark):
-    """Six tests in ten agree by chance with those of a key; such images were all compared before."""
+    """Images were all compared before if places of them shared a key, whatever the other tests said."""
     rng = np.random.default_rng(11)
     found = np.zeros(120, images.POINT)
     found["bits"] = places_of(rng, 120, 30, 80)
     node = np.arange(1000, 1120)
     own = spark.createDataFrame([(int(i), 1, p.tobytes()) for i, p in zip(node, found)], "node long, n long, points binary")
     members = images.bucket_members(own)
-    assert len(members) == images.TABLES
-    got = {}
-    for r in members[0].collect():
-        got.setdefault(r["bucket"], set()).add(r["node"])
-        assert r["part"] == 0 and r["weight"] == images.POINT.itemsize
-    want = signs_of(node, found["bits"], sign=images.SIGN)
-    assert sorted(map(sorted, got.values())) == want != signs_of(node, found["bits"])
+    rows = members[0].collect()
+    assert len(members) == images.TABLES and {(r["part"], r["weight"]) for r in rows} == {(0, images.POINT.itemsize)}
+    assert pairs_of(rows) == signs_of(node, found["bits"], images.SIGN, images.SURE) < signs_of(node, found["bits"])
     assert images.bucket_members(own.limit(0))[0].count() == 0
 
 
-@pytest.mark.parametrize("small,run,block", [(32, 1 << 13, 1 << 16), (2, 1 << 13, 1), (3, 25, 1), (2, 2, 1 << 16), (2, 5, 8)])
-def test_members_of_buckets_whatever_comes_together(monkeypatch, small, run, block):
+@pytest.mark.parametrize("told,run,block", [(256, 1 << 13, 1 << 16), (256, 1 << 13, 1), (3, 25, 1), (2, 2, 1 << 16), (2, 5, 8), (1, 1 << 13, 8)])
+def test_members_of_buckets_whatever_comes_together(monkeypatch, told, run, block):
     """Few or many places of a key, at once or as they come; common keys make one bucket."""
     import pyarrow as pa
 
-    rng = np.random.default_rng(small + run)
+    rng = np.random.default_rng(told + run)
     rows = np.zeros(300, images.SENT)
     rows["node"], rows["weight"] = rng.integers(0, 200, 300), 48
     rows["bits"] = places_of(rng, 300, 12, 90)
     rows["bits"][:20], rows["node"][:20] = rows["bits"][0], np.arange(20)
-    for name, value in (("SMALL", small), ("RUN", run), ("BLOCK", block)):
+    for name, value in (("TOLD", told), ("RUN", run), ("BLOCK", block)):
         monkeypatch.setattr(images, name, value)
     batches = [pa.RecordBatch.from_pydict({"block": [7] * 3, "places": [x.tobytes() for x in np.split(part, [10, 11])]}) for part in np.split(rows, 6)]
-    got = {}
-    for batch in images._met(0)(iter(batches)):
-        for r in batch.to_pylist():
-            got.setdefault(r["bucket"], set()).add(r["node"])
-    got = sorted(sorted(x) for x in got.values())
-    by_key, near = signs_of(rows["node"], rows["bits"]), signs_of(rows["node"], rows["bits"], sign=images.SIGN)
-    assert got == near if run > 300 else all(any(set(x) <= set(y) for y in got) for x in near) and all(any(set(x) <= set(y) for y in by_key) for x in got)
-    assert len(by_key) == 12 and (run > 2 or got == by_key)
+    got = pairs_of([r for batch in images._met(0)(iter(batches)) for r in batch.to_pylist()])
+    told_apart, connected, by_key = (signs_of(rows["node"], rows["bits"], *x) for x in ((images.SIGN, images.SURE), (images.SIGN, images.SIGN), ()))
+    assert told_apart <= got <= by_key and told_apart < connected < by_key
+    assert run <= 300 or got == (told_apart if told == 256 else connected)
+    assert run > 2 or got == by_key
 
 
 def test_few_matches_are_refused_as_by_the_whole_comparison():
